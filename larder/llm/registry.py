@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, decontaminate, line_dedup
+from larder.llm import chat, decontaminate, language_id, line_dedup, media, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict:
-    found = [line_dedup.op7_line_dedup, chat.op8_chat_format, decontaminate.op10_decontaminate]
+    found = [
+        sentencepiece_codec.op1_sentencepiece,
+        media.op3_media_columns,
+        token_counts.op4_token_counts,
+        simhash.op6_simhash,
+        line_dedup.op7_line_dedup,
+        chat.op8_chat_format,
+        language_id.op9_language_id,
+        decontaminate.op10_decontaminate,
+    ]
     return {f.__name__: f for f in found}
 
 
