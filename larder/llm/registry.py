@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, decontaminate, language_id, line_dedup, media, sentencepiece_codec, simhash, token_counts
+from larder.llm import chat, decontaminate, html_extract, language_id, line_dedup, media, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict:
     found = [
         sentencepiece_codec.op1_sentencepiece,
+        html_extract.op2_html_extract,
         media.op3_media_columns,
         token_counts.op4_token_counts,
         simhash.op6_simhash,
