@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, decontaminate, html_extract, language_id, line_dedup, media, sentencepiece_codec, simhash, token_counts
+from larder.llm import chat, decontaminate, html_extract, language_id, line_dedup, media, sentencepiece_codec, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         html_extract.op2_html_extract,
         media.op3_media_columns,
         token_counts.op4_token_counts,
+        suffix_dedup.op5_suffix_dedup,
         simhash.op6_simhash,
         line_dedup.op7_line_dedup,
         chat.op8_chat_format,
