@@ -5,8 +5,8 @@ over hashed n-grams of the lower-cased UTF-8 bytes, tells the languages whose bi
 the others; its weights are log-ratios of smoothed n-gram frequencies, counted over all
 labelled rows in one distributed aggregation that ends in one row per language and bucket.
 Decoding sums each bit's logistic loss, weighted by how far apart the bit's two sides are in
-training, and takes the codeword of least loss. A document whose second codeword is about as
-near as the first is flagged ambiguous.
+training, and takes the codeword of least loss. A document whose second codeword is almost
+as near as the first (odds above AMBIGUOUS) is flagged ambiguous.
 
 The model is as large as languages x BUCKETS, whatever the corpus, and travels with the task.
 
@@ -30,7 +30,7 @@ from larder.llm.common import table
 
 BUCKETS = 1 << 13
 SHARPNESS = 8.0
-AMBIGUOUS = 0.6
+AMBIGUOUS = 0.9
 UND = "und"
 _CHUNK = 1 << 20
 
@@ -97,7 +97,7 @@ class CodeModel:
         odds = np.exp(losses.min() - losses)
         best = int(losses.argmin())
         score = float(odds[best] / odds.sum())
-        return self.languages[best], score, score < AMBIGUOUS
+        return self.languages[best], score, bool(np.partition(odds, -2)[-2] > AMBIGUOUS)
 
 
 def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:

@@ -232,3 +232,134 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", size=S
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- Near-duplicate groups of five-word shingles, similarity 0.8 or more ---------------------
+
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 16, 4
+_ODD = np.random.default_rng(64).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band of ROWS least values of the shingle set under fixed permutations."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096, None] * _ODD).min(0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``(id, same1, same2, fp, bands)`` of ``docs (id, text)``; equal word sequences have equal same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        for batch in batches:
+            same, fps, bands = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, NEAR_SHINGLE)
+                same.append(xxh3_128_intdigest(b" ".join((text or "").encode().translate(_LOWER).split())))
+                fps.append(fingerprint(hashes))
+                bands.append(band_keys(hashes))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            offsets = pa.array(np.arange(0, BANDS * (len(bands) + 1), BANDS, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, longs(np.concatenate([*bands, np.zeros(0, np.uint64)])))
+            cols = [longs([s >> 64 for s in same]), longs([s & (1 << 64) - 1 for s in same]), longs(fps), lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "same1", "same2", "fp", "bands"])
+
+    return docs.mapInArrow(run, "id long, same1 long, same2 long, fp long, bands array<bigint>")
+
+
+def _verified(rows: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links ``(a, b)`` among rows (grp, left, right, id, text) of one group that are
+    similar enough; a group comes in pairs of blocks, left equal to right for one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def similar(a: np.ndarray, b: np.ndarray) -> bool:
+            small, large = sorted((len(a), len(b)))
+            if small < similarity * large:
+                return False
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= similarity * (len(a) + len(b) - both)
+
+        def links(members: list[tuple[int, int, np.ndarray]], one: bool) -> Iterator[tuple[int, int]]:
+            parent = list(range(len(members)))
+
+            def root(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for i, (side, x, a) in enumerate(members):
+                for j in range(i):
+                    other, y, b = members[j]
+                    if x != y and (one or side != other) and root(i) != root(j) and similar(a, b):
+                        parent[root(i)] = root(j)
+                        yield x, y
+
+        now, members, out = None, [], []
+        for batch in batches:
+            for grp, left, right, side, x, text in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if (grp, left, right) != now:
+                    out += links(members, now is not None and now[1] == now[2])
+                    now, members = (grp, left, right), []
+                members.append((side, x, np.unique(shingle_hashes(text, NEAR_SHINGLE))))
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        out += links(members, now is not None and now[1] == now[2])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col="doc_id", text_col="text", radius=RADIUS, similarity=SIMILARITY, shard=SHARD) -> DataFrame:
+    """``(id, group_id)`` of every row with an id; a group is named by its smallest id.
+
+    Texts of equal words are one node. Candidates are the SimHash links and, because at a
+    similarity of 0.8 fingerprints of 64 bits are up to 18 bits apart, groups that share a
+    band of least shingle hashes; two texts of that similarity share one of the 16 bands
+    with probability 0.9998. Every candidate is then held against the exact similarity of
+    the shingle sets, so nothing is grouped by its fingerprint alone. Groups beyond
+    ``shard`` members are compared block by block.
+    """
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketch = durable(_sketches(src), "sketches")
+    nodes = sketch.groupBy("same1", "same2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = durable(nodes, "nodes")
+
+    named = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    close = fingerprint_links(nodes, radius)
+    side = lambda c: named.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
+    close = close.join(side("a"), "a").join(side("b"), "b").select("na", "nb")
+    alike = nodes.join(named.withColumnRenamed("node", "nb"), "fp").where("node <> nb").select(F.col("node").alias("na"), "nb")
+    pairs = close.union(alike).select(F.xxhash64(F.least("na", "nb"), F.greatest("na", "nb"), F.lit("pair")).alias("grp"), F.explode(F.array("na", "nb")).alias("node"))
+
+    banded = nodes.select(F.explode("bands").alias("grp"), "node")
+    groups = banded.union(pairs).distinct()
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    # Bands with the same members are one group.
+    live = sizes.where("n > 1").groupBy("n", "low", "who").agg(F.min("grp").alias("grp")).select("grp", F.ceil(F.col("n") / shard).cast("int").alias("blocks"))
+    members = groups.join(live, "grp").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("grp", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "node")
+    texts = src.groupBy("id").agg(F.min("text").alias("text"))
+    rows = members.join(texts, members["node"] == texts["id"]).select("grp", "left", "right", "side", "node", "text")
+    rows = rows.repartition("grp", "left", "right").sortWithinPartitions("grp", "left", "right", "node")
+    linked = components(_verified(rows, similarity))
+    roots = nodes.join(linked, "node", "left").select("same1", "same2", F.coalesce("root", "node").alias("group_id"))
+    return sketch.join(roots, ["same1", "same2"]).select(F.col("id").alias(id_col), "group_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``docs`` with one document of each group; rows without an id stay."""
+    groups = near_duplicate_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(groups, docs[id_col] == groups["_gone"], "left_anti")
+    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(left.where(F.col(id_col).isNull()))
