@@ -34,7 +34,7 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
     few words make up most of all labels; stage and list order are the sort key of one
     aggregated minimum.
     """
-    table = build_lexicon(lex)
+    table = build_lexicon(lex).persist()
     longest = table.agg(F.max("n_tokens")).first()[0] or 1
     rows = ingredients.withColumn("family", family(F.col(type_col))).withColumn("_code", e_code(F.col("raw")))
     rows = rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code")))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larder.operators import classify as C
 from larder.operators import compare as P
@@ -280,7 +281,7 @@ def stream_latest_scan(spark, d):
     out = _shared(spark)
     scans = A.scans_of(_stream(spark, d, "events"))
     T.stream_latest_scan(scans, out + "/latest", f"{out}/check").awaitTermination()
-    states = spark.read.schema(scans.schema.add("state", "int")).parquet(f"{out}/latest")
+    states = spark.read.schema(StructType([*scans.schema.fields, StructField("state", IntegerType())])).parquet(f"{out}/latest")
     return states.where(F.col("state") == states.agg(F.max("state")).first()[0]).select("user_id", "product_id", "scan_id", "logged")
 
 
