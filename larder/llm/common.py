@@ -11,7 +11,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast while it holds at most this many rows.
@@ -82,3 +82,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+def small_values(df: DataFrame, column: str, rows: int = 50_000) -> Column | None:
+    """The distinct values of a long column as one array, if there are at most ``rows``."""
+    values = [r[0] for r in df.select(column).distinct().limit(rows + 1).collect()]
+    return F.lit(values).cast("array<bigint>") if len(values) <= rows else None
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row.
+
+    A column that a lambda refers to may be replaced by its definition when projections are
+    merged or filters pushed down, and would then be computed for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -1,7 +1,7 @@
 """Benchmark decontamination, native: template canonicalisation.
 
-Words become tokens; numbers, names and units become typed placeholders, everything else
-its lower-cased core. Windows of WINDOW tokens are hashed and hash-joined between
+Words become tokens without punctuation; digits, names and units become typed placeholders,
+everything else is lower-cased. Windows of WINDOW tokens are hashed and hash-joined between
 documents and benchmark items, so a question with other numbers or names still meets its
 template. A match counts only if the aligned slots are consistent: within one alignment
 each slot value of the item always meets the same value in the document and no two values
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_side, table
+from larder.llm.common import bound, small_side, small_values, table
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -30,58 +30,58 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 UNITS = (
     "mm cm m km in inch inches ft feet yd yards mile miles mg g kg lb lbs oz ton tons ml l litre litres liter liters "
     "s sec second seconds min minute minutes h hour hours day days week weeks year years "
-    "k c f percent % dollar dollars usd euro euros eur cent cents hz khz mhz w kw v a j kj cal kcal"
+    "k c f percent dollar dollars usd euro euros eur cent cents hz khz mhz w kw v a j kj cal kcal"
 ).split()
-_EDGE = r"^[^\p{L}\p{N}%$]+|[^\p{L}\p{N}%]+$"
-_IS_NUM = r"^\$?[+-]?\p{N}[\p{N}.,:/-]*%?$"
-_SENTENCE_END = r"[.!?:;|]$"
+_MARK = "\x01"
+#: A capital after a lower-case letter or a comma, so not at the start of a sentence.
+_NAME_START = r"(?<=[\p{Ll},]\s)(?=\p{Lu})"
+_NO_WORD = r"[^\p{L}\p{N}\s\x01]+"
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: F.length(x) > 0)
+def marked(text: Column) -> Column:
+    """The text without punctuation, names marked; tokens are what white space separates."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_START, _MARK), _NO_WORD, "")
 
 
-def with_templates(df: DataFrame) -> DataFrame:
-    """Adds ``_core`` (punctuation-free tokens) and ``_canon`` (their canonical forms)."""
-    df = df.withColumn("_raw", raw_tokens(F.col("_text")))
-    df = df.withColumn("_core", F.transform("_raw", lambda x: F.regexp_replace(x, _EDGE, "")))
+def canonical(mark: Column) -> Column:
+    """Typed placeholders instead of units, names and digits; the tokens stay as many."""
+    units = r"(?<=\p{N}\s)(?i:" + "|".join(UNITS) + r")(?!\S)"
+    t = F.regexp_replace(F.regexp_replace(mark, units, UNIT), r"\x01\S*", NAME)
+    return F.lower(F.regexp_replace(t, r"\p{N}+", NUM))
 
-    def canon(x: Column, i: Column) -> Column:
-        before = F.get(F.col("_raw"), i - 1)
-        is_num = x.rlike(_IS_NUM)
-        unit = F.lower(x).isin(*UNITS) & F.coalesce(F.get(F.col("_core"), i - 1).rlike(_IS_NUM), F.lit(False))
-        name = x.rlike(r"^\p{Lu}") & ~F.coalesce(before.rlike(_SENTENCE_END), F.lit(True))
-        return F.when(is_num, NUM).when(unit, UNIT).when(name, NAME).otherwise(F.lower(x))
 
-    return df.withColumn("_canon", F.transform("_core", canon))
+def tokens(text: Column) -> Column:
+    """Words between white space, without the empty ones at the ends."""
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
-def _windows(size: int) -> Column:
-    """Hashes of all windows of ``size`` canonical tokens, in order."""
-    codes = F.col("_codes")
-    return F.when(
-        F.size(codes) >= size, F.transform(F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(F.slice(codes, i + 1, size)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _windows(words: Column, size: int) -> Column:
+    """Hashes of all windows of ``size`` tokens, in order."""
+    at = lambda w: lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
+    every = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), at(w)))
+    return bound(words, every)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id", text_col="text", window=WINDOW, coverage=COVERAGE) -> DataFrame:
     """``(doc_id, item_id, n_tokens, n_covered, coverage)`` of contaminated documents."""
     d = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_text"))
     b = bench.select(F.col(item_id).alias("_item"), F.col(text_col).alias("_text")).dropDuplicates()
-    codes = F.transform("_canon", lambda x: F.xxhash64(x))
 
-    items = with_templates(b).withColumn("_codes", codes)
-    slots = [F.xxhash64(F.lit(x)) for x in (NUM, UNIT, NAME)]
-    literal = F.transform("_codes", lambda c: ~c.isin(*slots))
-    spoken = F.transform(F.sequence(F.lit(0), F.size("_codes") - window), lambda i: F.exists(F.slice(literal, i + 1, window), lambda x: x))
-    index = items.where(F.size("_codes") >= window).select("_item", F.posexplode(F.arrays_zip(_windows(window).alias("h"), spoken.alias("ok"))).alias("_ipos", "_w"))
-    index = index.where("_w.ok").select("_item", "_ipos", F.col("_w.h").alias("_hash"))
-
-    spread = with_templates(d).withColumn("_codes", codes).select("_doc", F.xxhash64("_text").alias("_th"), F.posexplode(_windows(window)).alias("_pos", "_hash"))
-    hits = spread.join(small_side(index), "_hash")
+    items = b.withColumn("_core", tokens(marked(F.col("_text")))).withColumn("_words", tokens(canonical(marked(F.col("_text")))))
+    spoken = F.exists("_words", lambda x: F.regexp_replace(x, "<num>|<unit>|<name>", "") != "")
+    index = items.where(spoken & (F.size("_words") >= window)).select("_item", "_words", F.posexplode(_windows(F.col("_words"), window)).alias("_ipos", "_hash"))
+    spoken = F.exists(F.slice("_words", F.col("_ipos") + 1, F.lit(window)), lambda x: F.regexp_replace(x, "<num>|<unit>|<name>", "") != "")
+    index = small_side(index.where(spoken).select("_item", "_ipos", "_hash"))
+
+    known = small_values(index, "_hash")
+    every = _windows(tokens(canonical(marked(F.col("_text")))), window)
+    if known is not None:
+        # Of a bounded benchmark the documents without any of its windows go before they are spread into rows.
+        every = bound(every, lambda w: F.when(F.arrays_overlap(w, known), w))
+    hits = d.select("_doc", F.xxhash64("_text").alias("_th"), F.posexplode_outer(every).alias("_pos", "_hash")).join(index, "_hash")
     runs = hits.groupBy("_doc", "_th", "_item", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(F.collect_set("_ipos").alias("_at"))
     # An alignment whose windows cover too little can't reach the coverage even with the item's others.
-    total = items.select(F.col("_item").alias("_it"), F.col("_core").alias("_icore"), F.size("_codes").alias("_n"))
+    total = items.select(F.col("_item").alias("_it"), F.col("_core").alias("_icore"), F.size("_words").alias("_n"))
     offsets = F.sequence(F.lit(0), F.lit(window - 1))
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.transform(offsets, lambda k: p + k))))
     runs = runs.withColumn("_cov", covered)
@@ -93,20 +93,23 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="it
     # Slots are compared on the few candidates only; their texts come back by an equi-join.
     texts = d.select(F.col("_doc").alias("_d"), F.xxhash64("_text").alias("_t"), F.col("_text"))
     near = enough.join(texts, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).dropDuplicates(["_doc", "_th", "_item"])
-    near = near.withColumn("_core", F.transform(raw_tokens(F.col("_text")), lambda x: F.regexp_replace(x, _EDGE, "")))
 
-    def consistent(run: Column) -> Column:
-        pairs = F.array_distinct(
-            F.transform(run["_cov"], lambda i: F.struct(F.lower(F.get(F.col("_icore"), i)).alias("a"), F.lower(F.get(F.col("_core"), i + run["_shift"])).alias("b")))
-        )
+    def consistent(words: Column):
+        def holds(run: Column) -> Column:
+            pair = lambda i: F.struct(F.lower(F.get(F.col("_icore"), i)).alias("a"), F.lower(F.get(words, i + run["_shift"])).alias("b"))
+            return bound(F.array_distinct(F.transform(run["_cov"], pair)), one_to_one)
+
+        return holds
+
+    def one_to_one(pairs: Column) -> Column:
         changed = F.filter(pairs, lambda p: p["a"] != p["b"])
-        left = F.transform(changed, lambda p: p["a"])
-        right = F.transform(changed, lambda p: p["b"])
+        left, right = F.transform(changed, lambda p: p["a"]), F.transform(changed, lambda p: p["b"])
         same = F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"])
         return (F.size(F.array_distinct(left)) == F.size(left)) & (F.size(F.array_distinct(right)) == F.size(right)) & ~F.arrays_overlap(left, same)
 
-    good = near.withColumn("_good", union(F.filter("_runs", consistent))).where(F.size("_good") >= F.ceil(F.col("_n") * coverage))
-    out = good.groupBy("_doc", "_item").agg(F.max("_n").alias("n_tokens"), F.max(F.size("_good")).alias("n_covered"))
+    good = bound(tokens(marked(F.col("_text"))), lambda words: union(F.filter(F.col("_runs"), consistent(words))))
+    good = near.select("_doc", "_item", "_n", F.size(good).alias("_good")).where(F.col("_good") >= F.ceil(F.col("_n") * coverage))
+    out = good.groupBy("_doc", "_item").agg(F.max("_n").alias("n_tokens"), F.max("_good").alias("n_covered"))
     return out.select(
         F.col("_doc").alias(doc_id),
         F.col("_item").alias(item_id),
