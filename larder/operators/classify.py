@@ -6,16 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import cap, family, norm, status_rank, title_case, tokens
+from larder.functions.tables import durable, small_side
 from larder.sources.lexicon import ECODE_STAGE, build_lexicon
 
-BROADCAST_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a frame proven to have few rows; else both sides shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def n_grams(words: Column, longest: int) -> Column:
     """Distinct runs of 1 to ``longest`` consecutive tokens."""
     runs = lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
@@ -32,7 +25,9 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
 
     The join runs on the distinct vocabulary (family, norm, code in the raw text), since a
     few words make up most of all labels; stage and list order are the sort key of one
-    aggregated minimum.
+    aggregated minimum. The told vocabulary is written before it meets the rows: a small one
+    is then broadcast and the rows are not shuffled; a large one is joined by a shuffle that
+    is split at words that very many labels share.
     """
     table = build_lexicon(lex).persist()
     longest = table.agg(F.max("n_tokens")).first()[0] or 1
@@ -40,7 +35,7 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
     rows = rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code")))
     vocabulary = rows.select("family", "norm", F.coalesce("_code", F.lit("")).alias("code")).distinct()
     grams = vocabulary.select("*", F.explode_outer(n_grams(tokens(F.col("norm")), longest)).alias("phrase"))
-    hits = grams.join(checked_broadcast(table.select("family", "phrase", "best")), ["family", "phrase"], "left")
+    hits = grams.join(small_side(table.select("family", "phrase", "best")), ["family", "phrase"], "left")
     best = hits.groupBy("family", "norm", "code").agg(F.min("best").alias("best"))
 
     known = lex["enumbers"].withColumn("low", F.lower("code"))
@@ -65,6 +60,7 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
         pick(code, "code", None).alias("enumber"),
         pick(null, "additive_id", None).alias("additive_id"),
     )
+    told = durable(told, "vocabulary")
     on = (F.col("family") == F.col("_f")) & (F.col("norm") == F.col("_n")) & (F.coalesce("_code", F.lit("")) == F.col("_c"))
     return rows.join(told, on).drop("_f", "_n", "_c", "_code")
 
@@ -75,9 +71,9 @@ def ingredient_detail(classified: DataFrame, lex: dict[str, DataFrame]) -> DataF
     g = lex["groups"].select(F.col("grp").alias("_grp"), F.col("category").alias("_gcategory"), F.col("summary").alias("_gsummary"))
     other = g.where("_grp = 'unknown'").select(F.col("_grp").alias("_other"), F.col("_gcategory").alias("_ocategory"), F.col("_gsummary").alias("_osummary"))
     b = lex["banned"].select(F.col("additive_id").alias("_bid"), "note")
-    c = classified.join(checked_broadcast(a), F.col("additive_id") == F.col("_id"), "left").join(checked_broadcast(g), F.col("grp") == F.col("_grp"), "left")
+    c = classified.join(small_side(a), F.col("additive_id") == F.col("_id"), "left").join(small_side(g), F.col("grp") == F.col("_grp"), "left")
     c = c.withColumn("_fallback", F.when(F.col("_grp").isNull(), "unknown")).join(F.broadcast(other), F.col("_fallback") == F.col("_other"), "left")
-    c = c.join(checked_broadcast(b), F.col("additive_id") == F.col("_bid"), "left")
+    c = c.join(small_side(b), F.col("additive_id") == F.col("_bid"), "left")
     return c.select(
         "product_id",
         "pos",
@@ -117,9 +113,9 @@ def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms:
     if mode == "token":
         longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
         grams = words.select("norm", F.explode(n_grams(tokens(F.col("norm")), longest)).alias("term"))
-        matched = grams.join(checked_broadcast(terms.select("profile_key", "term").distinct()), "term")
+        matched = grams.join(small_side(terms.select("profile_key", "term").distinct()), "term")
     else:
-        keywords = checked_broadcast(allergen_terms.select("profile_key", F.lower("phrase").alias("term")))
+        keywords = small_side(allergen_terms.select("profile_key", F.lower("phrase").alias("term")))
         matched = words.join(keywords, F.contains(F.col("norm"), F.col("term")))
     matched = matched.select("norm", "profile_key").distinct()
     hits = ingredients.join(matched, "norm").groupBy("product_id", "profile_key").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("h"))

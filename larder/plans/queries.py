@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from larder.functions.tables import shared_dir
 from larder.operators import classify as C
 from larder.operators import compare as P
 from larder.operators import history as H
@@ -38,8 +38,7 @@ def _as_of():
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/larder-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/larder-{uuid.uuid4().hex}"
 
 
 def score_products(spark, d):
