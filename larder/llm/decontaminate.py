@@ -121,3 +121,35 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="it
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LITERAL = "len(list_filter({0}, lambda x: regexp_replace(x, '<num>|<unit>|<name>', '', 'g') <> '')) > 0"
+OP10_SQL = f"""
+WITH src AS (
+  SELECT DISTINCT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark
+), marked AS (
+  SELECT k, id, regexp_replace(regexp_replace(coalesce(text, ''), '([\\p{{Ll}},]\\s)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\s\\x01]+', '', 'g') AS m FROM src
+), cut AS (
+  SELECT k, id, list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '') AS core,
+    list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(m, '(\\p{{N}}\\s)(?:(?i){"|".join(UNITS)})(\\s|$)', '\\1{UNIT}\\2', 'g'),
+      '\\x01\\S*', '{NAME}', 'g'), '\\p{{N}}+', '{NUM}', 'g')), '\\s+'), lambda x: x <> '') AS words
+  FROM marked
+), windows AS (
+  SELECT k, id, pos, list_slice(words, pos + 1, pos + {WINDOW}) AS w FROM (SELECT k, id, words, unnest(range(0, greatest(len(words) - {WINDOW - 1}, 0))) AS pos FROM cut)
+), hits AS (
+  SELECT d.id AS doc, b.id AS item, d.pos - b.pos AS shift, b.pos AS ipos
+  FROM (SELECT * FROM windows WHERE k = 'd') d JOIN (SELECT * FROM windows WHERE k = 'b' AND {_LITERAL.format('w')}) b ON d.w = b.w
+), cov AS (
+  SELECT DISTINCT doc, item, shift, ipos + j AS i FROM hits, range(0, {WINDOW}) r(j)
+), pairs AS (
+  SELECT DISTINCT doc, item, shift, lower(b.core[i + 1]) AS a, lower(d.core[i + shift + 1]) AS c
+  FROM cov JOIN cut d ON d.k = 'd' AND d.id = doc JOIN cut b ON b.k = 'b' AND b.id = item
+), agreed AS (
+  SELECT doc, item, shift FROM pairs GROUP BY doc, item, shift
+  HAVING count(*) = count(DISTINCT a) AND count(DISTINCT c) FILTER (WHERE a <> c) = count(*) FILTER (WHERE a <> c)
+), found AS (
+  SELECT doc, item, count(DISTINCT i) AS n FROM cov JOIN agreed USING (doc, item, shift) GROUP BY doc, item
+)
+SELECT doc AS doc_id, item AS item_id, len(words) AS n_tokens, n AS n_covered, n / len(words)::DOUBLE AS coverage
+FROM found JOIN cut ON k = 'b' AND id = item WHERE n >= ceil(len(words) * {COVERAGE})
+"""

@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
