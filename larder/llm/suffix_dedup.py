@@ -102,6 +102,18 @@ class _Prefix:
 _POWERS = (_powers(_BASE2, 1 << 17), _powers(_INVERSE2, 1 << 17))
 
 
+def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of short ranges, a segment of ``data`` at a time; equal bytes, equal hashes."""
+    if len(data) <= _SEGMENT or not len(start):
+        return _Prefix(data)(start, end)
+    out, longest = np.empty(len(start), np.uint64), int((end - start).max())
+    for at in range(0, len(data), _SEGMENT):
+        here = (start >= at) & (start < at + _SEGMENT)
+        if here.any():
+            out[here] = _Prefix(data[at : at + _SEGMENT + longest])(start[here] - at, end[here] - at)
+    return out
+
+
 def cover_sample(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
     """``(bucket, context, first start, last start, sample position)`` of the samples of
     ``data``; the strings that start between the two chose the sample."""
@@ -202,11 +214,11 @@ def _blocks(rows: DataFrame, length: int) -> DataFrame:
         q = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[row]
         low = np.maximum(sample[row] - q * BLOCK - (BLOCK - 1), first[row])
         high = np.minimum(sample[row] - q * BLOCK, last[row])
-        prefix = _Prefix(_bytes(text))
+        data = _bytes(text)
         end = sample[row] - q * BLOCK - (BLOCK - 1) + length
-        core = _mix(prefix(sample[row] - q * BLOCK, end) + q.astype(np.uint64))
+        core = _mix(_range_hashes(data, sample[row] - q * BLOCK, end) + q.astype(np.uint64))
         sides = ((sample[row] - low) * 256 + (sample[row] - high)).astype(np.uint64)
-        hull = _mix(prefix(low, high + length) + sides * np.uint64(0x94D049BB133111EB))
+        hull = _mix(_range_hashes(data, low, high + length) + sides * np.uint64(0x94D049BB133111EB))
         yield bucket[row], _signed(core), _signed(hull), np.full(len(row), doc), _place(low, tag), high - low + 1
 
     return rows.mapInArrow(lambda b: _emit(b, names, each), _schema(names))
@@ -220,7 +232,7 @@ def _strings(rows: DataFrame, length: int) -> DataFrame:
         bucket, place, count = _fields(requests)
         row = np.repeat(np.arange(len(bucket)), count)
         start = (place >> 16)[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        string = _Prefix(_bytes(text))(start, start + length)
+        string = _range_hashes(_bytes(text), start, start + length)
         yield bucket[row], _signed(string), np.full(len(row), doc), _place(start, tag)
 
     return rows.mapInArrow(lambda b: _emit(b, names, each), _schema(names))

@@ -62,6 +62,9 @@ def test_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_SEGMENT", 700)
     starts = [at + s for at, part in suffix_dedup._segments(data, 100) for f, e in zip(*suffix_dedup.cover_sample(part)[2:4], strict=True) for s in range(f, e + 1)]
     assert sorted(starts) == list(range(4901))
+    at = np.arange(0, 4800, 7)
+    parts = suffix_dedup._range_hashes(data, at, at + 150)
+    assert (parts == suffix_dedup._Prefix(data)(at, at + 150)).all()
 
 
 @settings(max_examples=30, deadline=None)
