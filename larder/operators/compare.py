@@ -32,7 +32,9 @@ def compare_products(pairs: DataFrame, analysis: DataFrame) -> DataFrame:
         return [F.array_except(x, y).alias(f"{kind}_a_only"), F.array_except(y, x).alias(f"{kind}_b_only"), F.array_intersect(x, y).alias(f"{kind}_shared")]
 
     better = F.when(a > b, "a").when(b > a, "b").otherwise("tie")
-    return p.select("a_id", "b_id", better.alias("better"), (a - b).alias("score_delta"), "a_additives", "b_additives", *sets("bad"), *sets("good"))
+    by = F.abs(a - b).cast("string")
+    told = F.when(a > b, F.concat(F.lit("The first scores "), by, F.lit(" more"))).when(b > a, F.concat(F.lit("The second scores "), by, F.lit(" more"))).otherwise("Equal scores")
+    return p.select("a_id", "b_id", better.alias("better"), told.alias("verdict"), (a - b).alias("score_delta"), "a_additives", "b_additives", *sets("bad"), *sets("good"))
 
 
 def compare_nutrition(pairs: DataFrame, analysis: DataFrame) -> DataFrame:

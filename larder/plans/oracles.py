@@ -136,6 +136,10 @@ _NUTRITION = f"""nutrition AS (
     UNION ALL SELECT product_id, 5, 'Fiber', fib, 'g', 1e9, 1e9 FROM products WHERE family = 'food' AND fib >= 3
     UNION ALL SELECT product_id, 6, 'Protein', pro, 'g', 1e9, 1e9 FROM products WHERE family = 'food' AND pro >= 8)
 )"""
+_NOTE = """CASE WHEN label = 'Fiber' THEN CASE WHEN value_num >= 6 THEN 'Excellent source' ELSE 'Good source' END WHEN label = 'Protein' THEN 'Good source'
+  WHEN label = 'Calories' THEN CASE sev WHEN 'good' THEN 'Low-calorie' WHEN 'mid' THEN 'Moderate' ELSE 'Calorie-dense' END
+  WHEN label = 'Saturated fat' THEN CASE sev WHEN 'good' THEN 'Low' WHEN 'mid' THEN 'A bit high' ELSE 'High' END
+  ELSE CASE sev WHEN 'good' THEN 'Low' WHEN 'mid' THEN 'Moderate' ELSE 'Too much ' || lower(label) END END"""
 _SCORED = """counted AS (
   SELECT p.*, coalesce(n_avoid, 0) AS n_avoid, coalesce(n_caution, 0) AS n_caution, coalesce(n_limit, 0) AS n_limit, coalesce(n_all, 0) AS n_ingredients,
     coalesce(n_bad, 0) AS n_bad, CASE WHEN family = 'food' THEN coalesce(nutriscore_grade, '') ELSE '' END AS grade, coalesce(family = 'food' AND nova_group = 4, false) AS nova
@@ -269,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_document_labels": f"WITH {_parse('documents', 'doc_id', 'text')} SELECT id AS label_id, pos::INT AS pos, raw, norm FROM ingredients",
         "classify_ingredients": f"{_KNOWN} SELECT product_id, pos::INT AS pos, norm, family, status, grp, name, enumber, additive_id FROM classified",
         "classify_order_lines": f"{lines} SELECT status, grp, count(*) AS n, sum(product_id)::BIGINT AS id_sum, sum(pos)::BIGINT AS pos_sum FROM classified GROUP BY status, grp",
-        "eval_nutrition": f"WITH {_products()}, {_NUTRITION} SELECT product_id, CASE WHEN sev = 'good' THEN 'positive' ELSE 'negative' END AS side, ord, label, value_num, unit, sev FROM nutrition",
+        "eval_nutrition": f"WITH {_products()}, {_NUTRITION} SELECT product_id, CASE WHEN sev = 'good' THEN 'positive' ELSE 'negative' END AS side, ord, label, value_num, unit, sev, {_NOTE} AS note FROM nutrition",
         "explain_scores": f"{_FULL}, reasons AS ({reasons}) SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY o, o2) - 1)::INT AS ord, d, t FROM reasons",
         "build_analysis": f"{_FULL} SELECT product_id, coalesce(nullif(barcode, ''), product_id::VARCHAR) AS id, score, kcal, protein, carbs, fat, family = 'food' AS is_food FROM analysis",
         "status_breakdown": f"{_KNOWN} SELECT product_id, status, count(*) AS n, {rank.format('status')} AS rank FROM classified WHERE status <> 'ok' GROUP BY product_id, status",
@@ -280,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
         "unknown_terms": f"{_KNOWN} SELECT norm, count(*) AS n_rows, count(DISTINCT product_id) AS n_products FROM classified WHERE status = 'unknown' AND length(raw) >= 3 AND lower(raw) NOT IN ('and', 'or', 'contains', 'less than', 'of', 'the', 'other', 'color added', 'natural', 'artificial') GROUP BY norm",
         "personal_alerts": f"WITH {_PARSED}, {_PROFILES}, {_alerts('token')}, {_SCANS} SELECT * FROM alerts WHERE (user_id, product_id) IN (SELECT (user_id, product_id) FROM scans)",
         "personal_alerts_substring": f"WITH {_PARSED}, {_PROFILES}, {_alerts('substring')}, {_SCANS} SELECT * FROM alerts WHERE (user_id, product_id) IN (SELECT (user_id, product_id) FROM scans)",
-        "compare_products": f"{_FULL}, {_PAIRS} SELECT a_id, b_id, CASE WHEN a.score > b.score THEN 'a' WHEN b.score > a.score THEN 'b' ELSE 'tie' END AS better, a.score - b.score AS score_delta, a.flagged_count AS a_additives, b.flagged_count AS b_additives, "
+        "compare_products": f"{_FULL}, {_PAIRS} SELECT a_id, b_id, CASE WHEN a.score > b.score THEN 'a' WHEN b.score > a.score THEN 'b' ELSE 'tie' END AS better, CASE WHEN a.score > b.score THEN 'The first scores ' || (a.score - b.score) || ' more' WHEN b.score > a.score THEN 'The second scores ' || (b.score - a.score) || ' more' ELSE 'Equal scores' END AS verdict, a.score - b.score AS score_delta, a.flagged_count AS a_additives, b.flagged_count AS b_additives, "
         + ", ".join(f"{_set('a_id', 'b_id', k, False)} AS {k}_a_only, {_set('b_id', 'a_id', k, False)} AS {k}_b_only, {_set('a_id', 'b_id', k, True)} AS {k}_shared" for k in ("bad", "good"))
         + " FROM pairs JOIN analysis a ON a.product_id = a_id JOIN analysis b ON b.product_id = b_id",
         "compare_nutrition": f"{_FULL}, {_PAIRS} SELECT a_id, b_id, x.label, x.value_num AS a, y.value_num AS b, {_R1('(x.value_num - y.value_num)')} AS delta, CASE WHEN x.value_num = y.value_num THEN 'tie' WHEN (x.label IN {lower}) = (x.value_num < y.value_num) THEN 'a' ELSE 'b' END AS better FROM pairs JOIN sides x ON x.product_id = a_id JOIN sides y ON y.product_id = b_id AND y.label = x.label WHERE x.value_num IS NOT NULL AND y.value_num IS NOT NULL",

@@ -118,7 +118,7 @@ def compare_products(spark, d):
     analysis = _analysis(spark, d)
     rows = P.compare_products(A.pairs_of(analysis), analysis)
     lists = [F.array_join(c, "|").alias(c) for c in rows.columns if c.startswith(("bad_", "good_"))]
-    return rows.select("a_id", "b_id", "better", "score_delta", "a_additives", "b_additives", *lists)
+    return rows.select("a_id", "b_id", "better", "verdict", "score_delta", "a_additives", "b_additives", *lists)
 
 
 def compare_nutrition(spark, d):
