@@ -117,7 +117,7 @@ def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms:
     else:
         keywords = small_side(allergen_terms.select("profile_key", F.lower("phrase").alias("term")))
         matched = words.join(keywords, F.contains(F.col("norm"), F.col("term")))
-    matched = matched.select("norm", "profile_key").distinct()
+    matched = durable(matched.select("norm", "profile_key").distinct(), "alert_words")
     hits = ingredients.join(matched, "norm").groupBy("product_id", "profile_key").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("h"))
     hits = hits.select("product_id", "profile_key", F.transform(F.slice("h", 1, 4), lambda x: x["raw"]).alias("hits"))
     return profiles.join(hits, "profile_key").select("user_id", "product_id", "profile_key", "hits")

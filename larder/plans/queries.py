@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from larder.functions.tables import shared_dir
+from larder.functions.tables import durable, shared_dir
 from larder.operators import classify as C
 from larder.operators import compare as P
 from larder.operators import history as H
@@ -29,8 +29,10 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
 
 
 def _analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Analysed products as a written table: comparisons and histories read it more than
+    once, and joins with it are broadcast or split where a product has very many scans."""
     products, classified, _ = _parts(spark, d)
-    return S.build_analysis(products, classified)
+    return durable(S.build_analysis(products, classified), "analysis")
 
 
 def _as_of():
@@ -140,7 +142,7 @@ def find_alternatives(spark, d):
 
 def find_alternatives_for_users(spark, d):
     products, classified, lex = _parts(spark, d)
-    analysis = S.build_analysis(products, classified)
+    analysis = durable(S.build_analysis(products, classified), "analysis")
     users = A.scans_from_events(spark, d).where("logged = 'eaten'").select("user_id", "product_id").distinct()
     alerts = C.personal_alerts(classified.select("product_id", "pos", "raw", "norm"), A.profiles_from_customer(spark, d), lex["allergen_terms"])
     return P.find_alternatives(analysis, alerts, users)
