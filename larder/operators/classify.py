@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import cap, family, norm, status_rank, title_case, tokens
-from larder.functions.tables import durable, small_side
+from larder.functions.tables import BROADCAST_ROWS, durable, small_side
 from larder.sources.lexicon import ECODE_STAGE, build_lexicon
 
 def n_grams(words: Column, longest: int) -> Column:
@@ -30,12 +30,14 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
     is split at words that very many labels share.
     """
     table = build_lexicon(lex).persist()
-    longest = table.agg(F.max("n_tokens")).first()[0] or 1
+    longest, size = table.agg(F.max("n_tokens"), F.count("*")).first()
+    phrases = table.select("family", "phrase", "best")
+    phrases = F.broadcast(phrases) if size <= BROADCAST_ROWS else phrases
     rows = ingredients.withColumn("family", family(F.col(type_col))).withColumn("_code", e_code(F.col("raw")))
     rows = rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code")))
     vocabulary = rows.select("family", "norm", F.coalesce("_code", F.lit("")).alias("code")).distinct()
-    grams = vocabulary.select("*", F.explode_outer(n_grams(tokens(F.col("norm")), longest)).alias("phrase"))
-    hits = grams.join(small_side(table.select("family", "phrase", "best")), ["family", "phrase"], "left")
+    grams = vocabulary.select("*", F.explode_outer(n_grams(tokens(F.col("norm")), longest or 1)).alias("phrase"))
+    hits = grams.join(phrases, ["family", "phrase"], "left")
     best = hits.groupBy("family", "norm", "code").agg(F.min("best").alias("best"))
 
     known = lex["enumbers"].withColumn("low", F.lower("code"))

@@ -6,8 +6,11 @@ A small seed in our own words serves the tests and queries; any tables of the sa
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from larder.functions.exprs import norm, tokens
 
@@ -125,7 +128,14 @@ def load_lexicon(spark: SparkSession, path: str | None = None) -> dict[str, Data
     if path:
         return {k: spark.read.schema(s).json(f"{path}/{k}.json") for k, s in SCHEMAS.items()}
     rows = seed_rows()
-    return {k: spark.createDataFrame(rows[k], s) for k, s in SCHEMAS.items()}
+    return {k: local_table(spark, rows[k], s) for k, s in SCHEMAS.items()}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, which needs no task to be read."""
+    fields = StructType.fromDDL(schema)
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=fields.names), fields)
 
 
 def merge_lexicons(base: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -159,7 +169,7 @@ def lexicon_entries(lex: dict[str, DataFrame]) -> DataFrame:
     stages = [("food", k, s) for k, s in _FOOD_STAGE.items()] + [("nonfood", k, s) for k, s in _OTHER_STAGE.items()]
     meta = [(f, k, s, *(_REASONS.get(k) or ("good", "Whole-food ingredient" if f == "food" else "Recognised ingredient"))) for f, k, s in stages]
     spark = lex["terms"].sparkSession
-    lists = spark.createDataFrame(meta, "family string, list string, stage int, status string, reason string")
+    lists = local_table(spark, meta, "family string, list string, stage int, status string, reason string")
     terms = lex["terms"].join(F.broadcast(lists), "list").select(
         "family", "stage", "seq", F.col("phrase").alias("raw"), null.alias("additive_id"), "status", F.col("list").alias("grp"), "reason", null.alias("name"), null.alias("code")
     )
