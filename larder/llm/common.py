@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, durable intermediate tables, checked broadcasts, components.
+"""Shared helpers: reading tables, dropping what is no longer needed, components.
 
 Intermediate results that several jobs read are written as Parquet below the folder
 named in ``spark.checkpoint.dir``, which all executors share, so a lost executor costs
@@ -8,60 +8,44 @@ a re-read and nothing else.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side may be broadcast while it holds at most this many rows.
-BROADCAST_ROWS = 200_000
+from larder.functions.exprs import bound
+from larder.functions.tables import durable, shared_dir, small_side
+
+__all__ = ["bound", "collect_garbage", "components", "discard", "durable", "shared_dir", "small_side", "small_values", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def collect_garbage(spark: SparkSession) -> None:
     """Let the driver drop what it no longer refers to, shuffle files of earlier jobs too."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows.
-
-    Beyond that the frame comes back unhinted and joins shuffle both sides. The probe
-    stops at ``rows + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and what jobs on them left behind."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/larder-" in f}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    collect_garbage(tables[0].sparkSession)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)`` as ``(node, root)``, root the least node.
 
     Alternating large-star and small-star steps: each is an aggregated minimum over the
-    neighbours (map-side combined, so a node with very many neighbours is no hot task)
-    and a join back. Nodes without an edge are absent. The number of rounds is
-    logarithmic in the longest path; each round's edges are cut from their lineage.
+    neighbours (map-side combined) and a join back; the minima are checkpointed in between,
+    so that the join reads plain exchanges and a node with very many neighbours is split.
+    Nodes without an edge are absent. The number of rounds is logarithmic in the longest
+    path; each round's edges are cut from their lineage.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -70,10 +54,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = small.distinct().checkpoint()
@@ -88,12 +72,3 @@ def small_values(df: DataFrame, column: str, rows: int = 50_000) -> Column | Non
     """The distinct values of a long column as one array, if there are at most ``rows``."""
     values = [r[0] for r in df.select(column).distinct().limit(rows + 1).collect()]
     return F.lit(values).cast("array<bigint>") if len(values) <= rows else None
-
-
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once a row.
-
-    A column that a lambda refers to may be replaced by its definition when projections are
-    merged or filters pushed down, and would then be computed for every element.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
