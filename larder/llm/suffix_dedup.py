@@ -19,7 +19,8 @@ about 2/(LENGTH-K+2) of all positions in it, where residue covers need 10 % and
 
 All grouping is by aggregated minima and counts, so a passage that a third of all documents
 share is combined on the map side; joins back are against one row per key, and their other
-side is split when it is skewed. Nothing larger than a document's own spans meets in a task.
+side is split when it is skewed. Each step's spans are written as it ends, and the tables it
+was made from are deleted, so the disk holds one step at a time. Nothing larger than a document's own spans meets in a task.
 Strings are told apart by 128 bits of hash (bucket and string).
 
 Defined results: null is the empty text; texts under LENGTH bytes keep everything; rows that
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import collect_garbage, durable, table
+from larder.llm.common import collect_garbage, discard, durable, table
 
 LENGTH = 100
 K = 24
@@ -267,21 +268,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     contexts = durable(_ranked(samples, ["bucket", "context"], "shape"), "contexts")
     collect_garbage(docs.sparkSession)
-    spans = [_later(samples, contexts, ["bucket", "context"]).select("doc", "at", (F.shiftright("shape", 8) + 1).alias("n"))]
+    later = _later(samples, contexts, ["bucket", "context"]).select("doc", "at", (F.shiftright("shape", 8) + 1).alias("n"))
+    spans = [durable(later, "spans")]
+    discard(samples)
+
     several = contexts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     several = contexts.join(several, "bucket", "left_semi")
-
     blocks = durable(_blocks(_asked(docs, several, ["bucket", "at", "shape"]), length), "blocks")
-    collect_garbage(docs.sparkSession)
+    discard(contexts)
     hulls = durable(_ranked(blocks, ["bucket", "core", "hull"], "n"), "hulls")
-    spans.append(_later(blocks, hulls, ["bucket", "core", "hull"]).select("doc", "at", "n"))
+    collect_garbage(docs.sparkSession)
+    spans.append(durable(_later(blocks, hulls, ["bucket", "core", "hull"]).select("doc", "at", "n"), "spans"))
+    discard(blocks)
+
     apart = hulls.groupBy("bucket", "core").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "core")
     apart = hulls.join(apart, ["bucket", "core"], "left_semi")
-
     strings = durable(_strings(_asked(docs, apart, ["bucket", "at", "n"]), length), "strings")
-    collect_garbage(docs.sparkSession)
-    firsts = _ranked(strings, ["bucket", "string"]).where("seen > 1")
-    spans.append(_later(strings, durable(firsts, "firsts"), ["bucket", "string"]).select("doc", "at", F.lit(1).cast("long").alias("n")))
+    discard(hulls)
+    firsts = durable(_ranked(strings, ["bucket", "string"]).where("seen > 1"), "firsts")
+    later = _later(strings, firsts, ["bucket", "string"]).select("doc", "at", F.lit(1).cast("long").alias("n"))
+    spans.append(durable(later, "spans"))
+    discard(strings, firsts)
 
     every = spans[0].union(spans[1]).union(spans[2])
     start = F.shiftright("at", 16)
