@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import table
+from larder.llm.common import bound, durable, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -54,6 +54,8 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=M
         .where(F.col("_n") >= min_docs)
         .select("_key", "_holder")
     )
+    # Written first, so that the join below reads two plain exchanges and its hot keys can be split.
+    frequent = durable(frequent, "frequent")
     return (
         lines.join(frequent, "_key")
         .where(~F.col("_id").eqNullSafe(F.col("_holder")))
@@ -70,10 +72,9 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN
     joined = left.join(drops, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     lines = _lines(F.col("_t"))
     whole = F.coalesce(F.col("_t"), F.lit(""))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), lines))
-    return out.select(
+    left_over = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_drop"))
+    text = bound(lines, lambda x: F.array_join(F.transform(left_over(x), lambda i: F.get(x, i)), "\n"))
+    return joined.select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")],
         F.when(F.col("_drop").isNull(), whole).otherwise(text).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
