@@ -263,8 +263,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """``(doc, tag, spans)`` for ``docs (doc, tag, text)``: spans array<(start, end)> to remove."""
     samples = _samples(docs, length, k)
     often = samples.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    often = durable(often, "often")
     samples = durable(samples.join(often, "bucket", "left_semi"), "samples")
-    collect_garbage(docs.sparkSession)
+    discard(often)
 
     contexts = durable(_ranked(samples, ["bucket", "context"], "shape"), "contexts")
     collect_garbage(docs.sparkSession)
@@ -273,6 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     discard(samples)
 
     several = contexts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    several = durable(several, "several")
     several = contexts.join(several, "bucket", "left_semi")
     blocks = durable(_blocks(_asked(docs, several, ["bucket", "at", "shape"]), length), "blocks")
     discard(contexts)
@@ -282,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     discard(blocks)
 
     apart = hulls.groupBy("bucket", "core").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "core")
+    apart = durable(apart, "apart")
     apart = hulls.join(apart, ["bucket", "core"], "left_semi")
     strings = durable(_strings(_asked(docs, apart, ["bucket", "at", "n"]), length), "strings")
     discard(hulls)
