@@ -13,6 +13,9 @@ marks as its article is content even where it recurs, as a common headline does.
 Hosts with fewer than MIN_PAGES pages use the template deduced over all hosts. Templates
 are a row per host and are broadcast only after their number is checked.
 
+Words of class, id and role mark boilerplate (NOT_WORDS) on elements other than html, body,
+main, article and those that enclose the page's article.
+
 Defined results: null or empty html gives an empty text; a page without any content region
 gives all its text outside boilerplate elements; a null url is a host of its own; repeated
 rows each come back.
@@ -24,6 +27,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,6 +60,9 @@ NOT_WORDS = set(
     "notices consent gdpr popup modal overlay newsletter subscribe subscription login signup search pagination pager skip hidden toolbar masthead complementary contentinfo".split()
 )
 OUTSIDE_ONLY = {"header", "banner"}
+ARTICLE = {"article", "main"}
+#: Elements whose own marks say nothing about the article.
+NO_WORDS = ARTICLE | {"html", "body"}
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -86,37 +93,57 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def _role_is_boilerplate(role: str) -> tuple[bool, bool]:
-    """Whether the role is never content, and whether it is not content outside an article."""
+@lru_cache(8192)
+def _rules(role: str) -> tuple[bool, bool, bool, bool]:
+    """Whether the role's element, or a word of its marks, is never content; whether either is none outside an article."""
     name, _, marks = role.partition(".")
-    words = set(re.split(r"[^a-z0-9]+", marks)) if marks else set()
-    return name in NOT_TEXT or bool(words & (NOT_WORDS - OUTSIDE_ONLY)), name in OUTSIDE_ONLY or bool(words & OUTSIDE_ONLY)
+    words = set(re.split(r"[^a-z0-9]+", marks)) if marks and name not in NO_WORDS else set()
+    return name in NOT_TEXT, bool(words & (NOT_WORDS - OUTSIDE_ONLY)), name in OUTSIDE_ONLY, bool(words & OUTSIDE_ONLY)
 
 
-def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """``(kind, text, path, boilerplate)``: kind is tag, text or break.
+class Element:
+    """An open element; inline elements have the label of the block around them."""
 
-    ``path`` has the roles of the enclosing block elements; inline elements are left out.
-    """
-    stack: list[tuple[str, str, bool, bool]] = []  # name, role, boilerplate, in an article
+    __slots__ = ("name", "role", "parent", "label", "region", "inside", "encloses", "barred", "boilerplate")
+
+    def __init__(self, name: str, role: str, parent: Element | None):
+        self.name, self.role, self.parent, self.encloses = name, role, parent, False
+        self.label = self.region = ""
+        self.inside = self.barred = self.boilerplate = False
+        if parent:
+            self.label = parent.label if name in INLINE else f"{parent.label}/{role}" if parent.label else role
+            # The label cut at the article or main element, else at the container of the text.
+            self.region = parent.region if parent.inside or name in INLINE or name in TEXT_BLOCKS else self.label
+            self.inside = parent.inside or name in ARTICLE
+            self.judge()
+
+    def judge(self) -> None:
+        """Set whether it is boilerplate, and barred: that by element names alone."""
+        never, words, outside, outside_words = _rules(self.role)
+        free, up = not self.parent.inside, self.parent
+        self.barred = up.barred or (never and not (self.encloses and self.name == "form")) or (outside and free)
+        self.boilerplate = self.barred or up.boilerplate or (not self.encloses and (words or (outside_words and free)))
 
-    def path() -> tuple[str, ...]:
-        return tuple(x[1] for x in stack if x[0] not in INLINE)
+
+def walk(page: str) -> list[tuple[str, str, Element]]:
+    """``(kind, text, element)`` in page order: kind is tag, text or break."""
+    root = Element("", "", None)
+    stack, made, items = [root], [], []
 
     def close(names: set[str], scope: set[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if stack[i].name in scope:
                 return
 
     for kind, name, role in events(page):
         if kind == "text":
-            yield "text", name, path(), bool(stack) and stack[-1][2]
+            items.append(("text", name, stack[-1]))
             continue
         if name not in INLINE or name == "br":
-            yield "break", "", (), False
+            items.append(("break", "", root))
         if kind == "close":
             close({name}, SCOPES - {name} if name in ("p", "li") else frozenset())
             continue
@@ -124,30 +151,63 @@ def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
             close({"p"}, SCOPES)
         if name in SIBLINGS:
             close(SIBLINGS[name], SCOPES - SIBLINGS[name])
-        never, outside = _role_is_boilerplate(role)
-        inside = bool(stack) and stack[-1][3]
-        boilerplate = bool(stack) and stack[-1][2] or never or (outside and not inside)
+        element = Element(name, role, stack[-1])
+        made.append(element)
         if name not in INLINE:
-            yield "tag", "", (*path(), role), boilerplate
+            items.append(("tag", "", element))
         if name not in VOID:
-            stack.append((name, role, boilerplate, inside or name in ("article", "main")))
-
+            stack.append(element)
+    while _free_article(items, made):
+        pass
+    return items
 
-def region(path: tuple[str, ...]) -> str:
-    """The path cut at its article or main element, else at the container of its text."""
-    for i, role in enumerate(path):
-        if role.partition(".")[0] in ("article", "main"):
-            return "/".join(path[: i + 1])
-    n = len(path)
-    while n and path[n - 1].partition(".")[0] in TEXT_BLOCKS:
-        n -= 1
-    return "/".join(path[:n])
 
+def _free_article(items: list[tuple[str, str, Element]], made: list[Element]) -> bool:
+    """Lift the keyword rule from what encloses the page's article; whether there was such.
 
-def _text_token(path: tuple[str, ...], text: str) -> int:
+    An article within a marked element (related stories, comments) is the page's own only
+    if it has over twice the text of all articles outside such elements.
+    """
+    hidden = {id(e): 0 for e in made if e.name in ARTICLE and e.parent.boilerplate and not _barred(e)}
+    if not hidden:
+        return False
+    plain = 0
+    for kind, text, e in items:
+        if kind == "text" and e.inside:
+            n = len("".join(text.split()))
+            if not e.boilerplate:
+                plain += n
+            while n and e:
+                if id(e) in hidden:
+                    hidden[id(e)] += n
+                elif e.name in NOT_TEXT and e.name != "form":
+                    break
+                e = e.parent
+    best = max((e for e in made if id(e) in hidden), key=lambda e: hidden[id(e)])
+    if hidden[id(best)] <= 2 * plain:
+        return False
+    e = best.parent
+    while e.parent:
+        e.encloses, e = True, e.parent
+    for e in made:
+        e.judge()
+    return True
+
+
+def _barred(element: Element) -> bool:
+    """Whether an element around it, other than a form, is no content by its name."""
+    e = element.parent
+    while e.parent:
+        if (e.name in NOT_TEXT and e.name != "form") or (e.name in OUTSIDE_ONLY and not e.parent.inside):
+            return True
+        e = e.parent
+    return False
+
+
+def _text_token(label: str, text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest("/".join(path) + "\n" + text, 1)
+    return xxh64_intdigest(label + "\n" + text, 1)
 
 
 def page_tokens(page: str) -> tuple[dict[int, list], dict[str, int]]:
@@ -157,16 +217,16 @@ def page_tokens(page: str) -> tuple[dict[int, list], dict[str, int]]:
     found: dict[int, list] = {}
     chars: dict[str, int] = {}
     place = 0
-    for kind, text, path, boilerplate in walk(page):
+    for kind, text, element in walk(page):
         if kind == "tag":
-            label = "/".join(path)
+            label = element.label
             token = xxh64_intdigest(label)
         elif kind == "text" and (text := " ".join(text.split())):
-            if not boilerplate:
-                chars[region(path)] = chars.get(region(path), 0) + len(text)
+            if not element.boilerplate:
+                chars[element.region] = chars.get(element.region, 0) + len(text)
             if len(text) > TEXT_TOKEN:
                 continue
-            label, token = None, _text_token(path, text)
+            label, token = None, _text_token(element.label, text)
         else:
             continue
         place += 1
@@ -273,16 +333,15 @@ def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
 def main_text(page: str, content: str | None, template_texts: set[int]) -> str:
     """The page's text in ``content``, or in its own article, without template text."""
     inside, own, loose = [], [], []
-    for kind, text, path, boilerplate in walk(page):
+    for kind, text, element in walk(page):
         if kind == "break":
             for part in (inside, own, loose):
                 part.append(" ")
-        elif kind == "text" and not boilerplate:
-            in_article = any(r.partition(".")[0] in ("article", "main") for r in path)
+        elif kind == "text" and not element.boilerplate:
+            in_article, where = element.inside, element.label
             flat = "" if in_article else " ".join(text.split())
-            if flat and len(flat) <= TEXT_TOKEN and template_texts and _text_token(path, flat) in template_texts:
+            if flat and len(flat) <= TEXT_TOKEN and template_texts and _text_token(where, flat) in template_texts:
                 continue
-            where = "/".join(path)
             text = entities.unescape(text)
             loose.append(text)
             if content and (where == content or where.startswith(content + "/")):

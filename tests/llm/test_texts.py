@@ -193,3 +193,18 @@ def test_html_equals_article(spark):
     for r in pages.collect():
         inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+
+
+def test_html_marks_around_the_article():
+    story = "<article{}><h1>Head</h1><p>Story text<div class=share>share</div></article>"
+    for page in (
+        "<body class='has-sidebar'>" + story.format(""),
+        "<html class=no-comments><body class='search-page'>" + story.format(""),
+        "<main class='no-comments'><h1>Head</h1><p>Story text</main>",
+        "<body>" + story.format(" class='post share-on'"),
+        "<body><div class='page with-sidebar'><div id=search>" + story.format("") + "</div></div>",
+        "<body><form><div class=widget><main><div class=related>" + story.format("") + "</div></main></div></form>",
+        "<body>" + story.format("") + "<div class=related><article>Other story</article></div><section id=comments><article>first!</article></section>",
+    ):
+        assert html_extract.main_text(page, None, set()) == "Head Story text"
+    assert html_extract.main_text("<body><nav><article>menu</article></nav><div class=ad>buy</div>", None, set()) == ""
