@@ -65,6 +65,9 @@ ARTICLE = {"article", "main"}
 NO_WORDS = ARTICLE | {"html", "body"}
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
+_NUMBER = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{8,}\b|\d+")
+#: Small numbers of classes are of the layout, as in col-6, unless they count pages.
+_LONG_NUMBER = re.compile(r"\d{3,}|(?<=post-)\d+|(?<=postid-)\d+|(?<=entry-)\d+|(?<=node-)\d+|(?<=item-)\d+|(?<=page-id-)\d+|(?<=article-)\d+")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -84,8 +87,8 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if m[1]:
             yield "close", name, ""
             continue
-        marks = " ".join(sorted({x for k in _MARKS.findall(m[3]) for x in (k[1] or k[2] or k[3]).lower().split()})) if m[3] else ""
-        yield "open", name, f"{name}.{marks.replace(' ', '.')}" if marks else name
+        marks = sorted({(k[0].lower() == "id", x) for k in _MARKS.findall(m[3]) for x in (k[1] or k[2] or k[3]).lower().split()}) if m[3] else ()
+        yield "open", name, ".".join([name, *dict.fromkeys(mark for is_id, x in marks if (mark := _steady(name, is_id, x)))])
         if name in RAW:
             close = re.compile(rf"</{name}", re.I).search(page, at)
             at = close.start() if close else end
@@ -93,6 +96,18 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
+@lru_cache(8192)
+def _steady(name: str, is_id: bool, mark: str) -> str:
+    """The mark without what varies by page: numbers, and ids of articles or of many words.
+
+    Words that mark boilerplate stay.
+    """
+    words = re.split(r"[^a-z0-9]+", mark)
+    if is_id and (name in ARTICLE or len(words) > 3):
+        return "-".join(sorted({w for w in words if w in NOT_WORDS})) if name not in NO_WORDS else ""
+    return _NUMBER.sub("0", mark) if is_id else _LONG_NUMBER.sub("0", mark)
+
+
 @lru_cache(8192)
 def _rules(role: str) -> tuple[bool, bool, bool, bool]:
     """Whether the role's element, or a word of its marks, is never content; whether either is none outside an article."""
@@ -285,8 +300,8 @@ _TEMPLATE = "host string, pages long, region string, texts array<long>, classes
 
 
 def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's template from its frequent tokens; bounded by the tokens of a page."""
-    vectors = rows[rows["pages"] > 0]
+    """One host's template from its frequent tokens, at most a page's tokens over SUPPORT."""
+    vectors = rows[rows["token"] != 0]
     groups = []
     for (support, _, _), g in vectors.groupby(["pages", "v1", "v2"], sort=True):
         g = g.sort_values(["place", "token"])
@@ -303,10 +318,8 @@ def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             if owner.get(outer, i) != i:
                 c["parent"] = owner[outer]
                 break
-    content = rows[(rows["chars"] > 0) & rows["label"].notna()].sort_values(["chars", "label"], ascending=[False, True])
     texts = [t for c in groups for t in c["texts"]]
-    best = content["label"].iloc[0] if len(content) else None
-    return pd.DataFrame({"host": [host[0]], "pages": [int(rows["n"].max())], "region": [best], "texts": [texts], "classes": [json.dumps(groups)]})
+    return pd.DataFrame({"host": [host[0]], "pages": [int(rows["n"].max())], "region": [rows["region"].iloc[0]], "texts": [texts], "classes": [json.dumps(groups)]})
 
 
 def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -324,9 +337,12 @@ def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
         *[F.sum(c).alias(c) for c in ("place", "chars")],
     )
     stats = stats.unionByName(merged)
-    sizes = stats.where("token = 0").select("host", F.col("pages").alias("n"))
-    frequent = stats.where("token <> 0").join(small_side(sizes, MAX_TEMPLATES), "host")
-    frequent = frequent.where(((F.col("n") >= MIN_PAGES) | (F.col("host") == ANY_HOST)) & ((F.col("pages") >= F.col("n") * SUPPORT) | (F.col("chars") > 0)))
+    # One row a host: its pages and the region of most text, combined before the shuffle.
+    region = F.min_by(F.when(F.col("chars") > 0, F.col("label")), F.when(F.col("chars") > 0, F.struct(-F.col("chars"), F.col("label"))))
+    hosts = stats.groupBy("host").agg(F.max(F.when(F.col("token") == 0, F.col("pages"))).alias("n"), region.alias("region"))
+    hosts = durable(hosts.where((F.col("n") >= MIN_PAGES) | (F.col("host") == ANY_HOST)), "hosts")
+    # The row of token 0 is kept, so that a host without a frequent token has its region.
+    frequent = stats.where("pages > 0").join(small_side(hosts, MAX_TEMPLATES), "host").where(F.col("pages") >= F.col("n") * SUPPORT)
     return frequent.groupBy("host").applyInPandas(_deduce, _TEMPLATE)
 
 

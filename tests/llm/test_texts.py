@@ -208,3 +208,20 @@ def test_html_marks_around_the_article():
     ):
         assert html_extract.main_text(page, None, set()) == "Head Story text"
     assert html_extract.main_text("<body><nav><article>menu</article></nav><div class=ad>buy</div>", None, set()) == ""
+
+
+def test_html_templates_take_no_row_per_page(spark, monkeypatch):
+    page = "<body><article id=post-{0} class='post-{0} post'><h1>Head {0}</h1></article><div id=entry-{0}>low {0}</div><div id=a-slug-of-story-{1}>x{0}</div>"
+    rows = [(i, f"http://{'a' if i % 2 else i}.example/", page.format(i, "abcdefghij"[i % 10] * (i + 1))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    deduce = html_extract._deduce
+
+    def counted(host, found):
+        out = deduce(host, found)
+        return out.assign(classes=str(len(found)))
+
+    monkeypatch.setattr(html_extract, "_deduce", counted)
+    got = {r.host: (r.region, int(r.classes)) for r in html_extract.templates(pages).collect()}
+    assert set(got) == {"a.example", "*"}
+    assert all(region == "body/article.post.post-0" and n < 12 for region, n in got.values())
+    assert {x for x in html_extract.page_tokens(rows[1][2])[1]} == {x for x in html_extract.page_tokens(rows[2][2])[1]}
