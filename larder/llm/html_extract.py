@@ -1,14 +1,15 @@
 """HTML extraction by equivalence-class template deduction.
 
 Pages of one host come from a few templates. Every page is cut into tokens: a tag with its
-path of enclosing elements, or a short text with its path. The occurrence vector of a
-token over the host's pages is carried as two order-free sums of hashes of (page, count),
-so tokens are grouped by equal vectors with ordinary aggregations and no host's pages
-ever meet in one task. Frequent classes are the template: classes are nested by their
-paths, the element whose slots hold most of the host's text becomes the content region
-(its article or main element if there is one), and text that is part of a class is
-template text. Extraction keeps the remaining slots of the content region. What a page
-marks as its article is content even where it recurs, as a common headline does.
+path of enclosing elements, or a text with its path. The occurrence vector of a token over
+the host's pages is carried as two order-free sums of hashes of (page, count), so tokens
+are grouped by equal vectors with ordinary aggregations and no host's pages ever meet in
+one task. Classes of LOW_SUPPORT of the pages or more are nested by their paths. One with
+texts is valid if it has a tag, MIN_CLASS tokens or a support of SUPPORT; on each page its
+tokens must all be there, and those out of template order do not count. The texts of valid
+classes are template text, in articles too; the region whose slots, the rest, hold most
+text becomes the content region (its article or main element if there is one). Extraction
+keeps the slots of the content region and its headline.
 
 Hosts with fewer than MIN_PAGES pages use the template deduced over all hosts. Templates
 are a row per host and are broadcast only after their number is checked.
@@ -26,6 +27,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +42,11 @@ from pyspark.sql import types as T
 from larder.llm.common import durable, small_side, table
 
 MIN_PAGES = 3
+#: Share of a host's pages that a token of one of its templates has; alone, without a class.
+LOW_SUPPORT = 0.1
 SUPPORT = 0.6
-TEXT_TOKEN = 120
+#: Tokens of a class without a tag.
+MIN_CLASS = 3
 ANY_HOST = "*"
 MAX_TEMPLATES = 20_000
 
@@ -226,7 +232,7 @@ def _text_token(label: str, text: str) -> int:
 
 
 def page_tokens(page: str) -> tuple[dict[int, list], dict[str, int]]:
-    """Token to [count, first place, label]; region to its characters of content text."""
+    """Token to [count, first place, label, characters of content, enclosing tag, region]; region to its characters of content text."""
     from xxhash import xxh64_intdigest
 
     found: dict[int, list] = {}
@@ -234,26 +240,33 @@ def page_tokens(page: str) -> tuple[dict[int, list], dict[str, int]]:
     place = 0
     for kind, text, element in walk(page):
         if kind == "tag":
-            label = element.label
-            token = xxh64_intdigest(label)
+            token, row = xxh64_intdigest(element.label), [0, 0, element.label, 0, 0, 0]
         elif kind == "text" and (text := " ".join(text.split())):
-            if not element.boilerplate:
-                chars[element.region] = chars.get(element.region, 0) + len(text)
-            if len(text) > TEXT_TOKEN:
-                continue
-            label, token = None, _text_token(element.label, text)
+            n = 0 if element.boilerplate else len(text)
+            if n:
+                chars[element.region] = chars.get(element.region, 0) + n
+            token, row = _text_token(element.label, text), [0, 0, None, 0, _signed(xxh64_intdigest(element.label)), _signed(xxh64_intdigest(element.region, 2))]
         else:
             continue
         place += 1
-        found.setdefault(token, [0, place, label])[0] += 1
+        if token not in found:
+            found[token] = row
+            row[1] = place
+        found[token][0] += 1
+        if kind == "text":
+            found[token][3] += n
     return found, chars
 
 
+def _signed(token: int) -> int:
+    return token - (1 << 64) if token >> 63 else token
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-_STATS = "host string, token long, label string, pages long, v1 long, v2 long, least long, most long, place double, chars long"
+_STATS = "host string, token long, label string, pages long, v1 long, v2 long, least long, most long, place double, chars long, within long, region long"
 
 
 def token_stats(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -261,7 +274,7 @@ def token_stats(pages: DataFrame, id_col="page_id", url_col="url", html_col="htm
     pages, and a label without vector carries the characters of a region."""
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     names = [f.split(" ")[0] for f in _STATS.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), *[pa.int64()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -279,47 +292,64 @@ def token_stats(pages: DataFrame, id_col="page_id", url_col="url", html_col="htm
         for batch in batches:
             for host, page_id, page in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 found, chars = page_tokens(page)
-                for token, (n, place, label) in [*found.items(), (0, (1, 0, None))]:
-                    s = sums.setdefault((host, token, label), [0, 0, 0, n, n, 0.0, 0])
+                for token, (n, place, label, size, within, region) in [*found.items(), (0, (1, 0, None, 0, 0, 0))]:
+                    s = sums.setdefault((host, token, label), [0, 0, 0, n, n, 0.0, 0, within, region])
                     h = xxh64_intdigest(f"{page_id}\n{n}")
                     s[0] += 1
                     s[1] += h & 0x7FFFFFFF
                     s[2] += h >> 33
-                    s[3], s[4], s[5] = min(s[3], n), max(s[4], n), s[5] + place / (1 + len(found))
+                    s[3], s[4], s[5], s[6] = min(s[3], n), max(s[4], n), s[5] + place / (1 + len(found)), s[6] + size
                 for label, n in chars.items():
-                    sums.setdefault((host, xxh64_intdigest(label, 2), label), [0, 0, 0, 0, 0, 0.0, 0])[6] += n
+                    sums.setdefault((host, xxh64_intdigest(label, 2), label), [0, 0, 0, 0, 0, 0.0, 0, 0, 0])[6] += n
                 if len(sums) > 100_000:
                     yield out()
         yield out()
 
     total = [F.sum(c).alias(c) for c in ("pages", "v1", "v2")] + [F.min("least").alias("least"), F.max("most").alias("most"), F.sum("place").alias("place"), F.sum("chars").alias("chars")]
+    total += [F.max(c).alias(c) for c in ("within", "region")]
     return src.mapInArrow(run, _STATS).groupBy("host", "token").agg(F.first("label", ignorenulls=True).alias("label"), *total)
 
 
-_TEMPLATE = "host string, pages long, region string, texts array<long>, classes string"
+_TEMPLATE = "host string, pages long, tokens array<long>, class array<int>, strong array<boolean>, gone array<struct<region:long,chars:long>>, classes string"
 
 
 def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's template from its frequent tokens, at most a page's tokens over SUPPORT."""
-    vectors = rows[rows["token"] != 0]
-    groups = []
+    """One host's template from its frequent tokens, at most a page's tokens over LOW_SUPPORT.
+
+    ``tokens`` has the tokens of each valid class that holds texts, in template order.
+    """
+    n, vectors = int(rows["n"].max()), rows[rows["token"] != 0]
+    groups, members = [], []
     for (support, _, _), g in vectors.groupby(["pages", "v1", "v2"], sort=True):
         g = g.sort_values(["place", "token"])
         labels = [x for x in g["label"] if isinstance(x, str)]
-        steady = bool((g["least"] == g["most"]).all())
-        groups.append({"support": int(support), "steady": steady, "tags": labels, "texts": [int(t) for t, x in zip(g["token"], g["label"], strict=True) if not isinstance(x, str)]})
-    # A class is valid if its tags lie in a common order; it nests in the class that has the nearest enclosing tag.
+        texts = g[g["label"].isna()]
+        strong = support >= n * SUPPORT
+        groups.append({"support": int(support), "steady": bool((g["least"] == g["most"]).all()), "tags": labels, "texts": [int(t) for t in texts["token"]]})
+        groups[-1]["valid"] = bool(len(texts)) and bool(strong or labels or len(g) >= MIN_CLASS)
+        members.append((g, texts, bool(strong)))
+    # A class nests in the class of the nearest tag around its outermost tag, or around its texts if it has none.
     owner = {label: i for i, c in enumerate(groups) for label in c["tags"]}
+    label_of = {int(t): x for t, x in zip(vectors["token"], vectors["label"], strict=True) if isinstance(x, str)}
     for i, c in enumerate(groups):
-        outer = min(c["tags"], key=len, default="")
+        inner = [label_of.get(int(t), "") + "/" for t in members[i][1]["within"]]
+        outer = min(c["tags"] or inner, key=len, default="")
         c["parent"] = None
         while "/" in outer:
             outer = outer.rpartition("/")[0]
             if owner.get(outer, i) != i:
                 c["parent"] = owner[outer]
                 break
-    texts = [t for c in groups for t in c["texts"]]
-    return pd.DataFrame({"host": [host[0]], "pages": [int(rows["n"].max())], "region": [rows["region"].iloc[0]], "texts": [texts], "classes": [json.dumps(groups)]})
+        # Texts whose enclosing tags are no class of the host are in no template.
+        c["valid"] = c["valid"] and all(int(t) in label_of for t in members[i][1]["within"])
+    order, kinds, strongs, gone = [], [], [], []
+    for i, (g, texts, strong) in enumerate(members):
+        if groups[i]["valid"]:
+            order += [int(t) for t in g["token"]]
+            kinds += [i] * len(g)
+            strongs += [strong] * len(g)
+            gone += [{"region": int(r), "chars": int(k)} for r, k in zip(texts["region"], texts["chars"], strict=True) if k]
+    return pd.DataFrame({"host": [host[0]], "pages": [n], "tokens": [order], "class": [kinds], "strong": [strongs], "gone": [gone], "classes": [json.dumps(groups)]})
 
 
 def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -335,62 +365,126 @@ def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
         F.min("least").alias("least"),
         F.max("most").alias("most"),
         *[F.sum(c).alias(c) for c in ("place", "chars")],
+        *[F.max(c).alias(c) for c in ("within", "region")],
     )
     stats = stats.unionByName(merged)
-    # One row a host: its pages and the region of most text, combined before the shuffle.
-    region = F.min_by(F.when(F.col("chars") > 0, F.col("label")), F.when(F.col("chars") > 0, F.struct(-F.col("chars"), F.col("label"))))
-    hosts = stats.groupBy("host").agg(F.max(F.when(F.col("token") == 0, F.col("pages"))).alias("n"), region.alias("region"))
-    hosts = durable(hosts.where((F.col("n") >= MIN_PAGES) | (F.col("host") == ANY_HOST)), "hosts")
+    hosts = stats.where("token = 0").select("host", F.col("pages").alias("n")).where((F.col("n") >= MIN_PAGES) | (F.col("host") == ANY_HOST))
     # The row of token 0 is kept, so that a host without a frequent token has its region.
-    frequent = stats.where("pages > 0").join(small_side(hosts, MAX_TEMPLATES), "host").where(F.col("pages") >= F.col("n") * SUPPORT)
-    return frequent.groupBy("host").applyInPandas(_deduce, _TEMPLATE)
+    enough = F.least(F.col("n") * SUPPORT, F.greatest(F.col("n") * LOW_SUPPORT, F.lit(float(MIN_PAGES))))
+    frequent = stats.where("pages > 0").join(small_side(hosts, MAX_TEMPLATES), "host").where(F.col("pages") >= enough)
+    found = durable(frequent.groupBy("host").applyInPandas(_deduce, _TEMPLATE), "classes")
+    # The region whose slots hold most text, one row a host, combined before the shuffle.
+    gone = found.select("host", F.explode("gone").alias("g")).groupBy("host", F.col("g.region").alias("token")).agg(F.sum("g.chars").alias("gone"))
+    regions = stats.where("pages = 0 AND chars > 0").select("host", "token", "label", "chars").join(gone, ["host", "token"], "left")
+    slots = F.col("chars") - F.coalesce("gone", F.lit(0))
+    best = regions.groupBy("host").agg(F.min_by("label", F.struct(-slots, -F.col("chars"), F.col("label"))).alias("region"))
+    best = durable(best.join(small_side(hosts, MAX_TEMPLATES), "host").select("host", "region"), "regions")
+    return found.join(small_side(best, MAX_TEMPLATES), "host", "left").select("host", "pages", "region", "tokens", "class", "strong", "classes")
+
+
+def _longest_rise(ranks: list[int]) -> set[int]:
+    """The most ranks that stand in rising order."""
+    tops, at, before = [], [], []
+    for i, r in enumerate(ranks):
+        k = bisect_left(tops, r)
+        before.append(at[k - 1] if k else -1)
+        tops[k:], at[k:] = [r, *tops[k + 1 :]], [i, *at[k + 1 :]]
+    kept, i = set(), at[-1] if at else -1
+    while i >= 0:
+        kept.add(ranks[i])
+        i = before[i]
+    return kept
+
+
+Template = dict[int, tuple[int, int, bool]]
+
+
+def as_template(tokens: list[int], classes: list[int], strong: list[bool]) -> Template:
+    """Token to (class, place in the template, whether its support is SUPPORT or more)."""
+    return {t & (1 << 64) - 1: (c, i, s) for i, (t, c, s) in enumerate(zip(tokens, classes, strong, strict=True))}
 
 
-def main_text(page: str, content: str | None, template_texts: set[int]) -> str:
-    """The page's text in ``content``, or in its own article, without template text."""
+def template_texts(items: list[tuple[str, str, Element]], template: Template) -> dict[int, bool]:
+    """The text tokens that the page's valid classes hold, and whether each is strong.
+
+    On a page a class is valid with all its tokens, as far as they stand in template order.
+    """
+    from xxhash import xxh64_intdigest
+
+    seen: dict[int, list[int]] = {}
+    texts: dict[int, int] = {}
+    for token, is_text in dict.fromkeys((xxh64_intdigest(e.label), False) if kind == "tag" else (_text_token(e.label, " ".join(text.split())), True) for kind, text, e in items if kind != "break"):
+        if known := template.get(token):
+            seen.setdefault(known[0], []).append(known[1])
+            if is_text:
+                texts[token] = known[1]
+    sizes = Counter(c for c, _, _ in template.values())
+    good = {r for c, ranks in seen.items() if len(ranks) == sizes[c] for r in (ranks if ranks == sorted(ranks) else _longest_rise(ranks))}
+    return {t: template[t][2] for t, r in texts.items() if r in good}
+
+
+def main_text(page: str, content: str | None, template: Template) -> str:
+    """The page's text in ``content``, or in its own article, without template text.
+
+    Where the template has half or more of an article's text, the pages are copies of each
+    other and it tells nothing: the article stays whole. So do headlines (h1).
+    """
+    items = walk(page)
+    fixed = template_texts(items, template) if template else {}
+    texts = [(" ".join(text.split()), e) if kind == "text" and not e.boilerplate else None for kind, text, e in items]
+    tokens = [_text_token(x[1].label, x[0]) if x and fixed else 0 for x in texts]
+    article = [(t in fixed, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and x[1].inside]
+    around = [(fixed[t] if t in fixed else None, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and not x[1].inside]
+    clear_article = 2 * sum(n for gone, n in article if gone) < sum(n for _, n in article)
+    clear_around = 2 * sum(n for strong, n in around if strong is False) < sum(n for strong, n in around if not strong)
     inside, own, loose = [], [], []
-    for kind, text, element in walk(page):
+    for (kind, text, element), token in zip(items, tokens, strict=True):
         if kind == "break":
             for part in (inside, own, loose):
                 part.append(" ")
         elif kind == "text" and not element.boilerplate:
-            in_article, where = element.inside, element.label
-            flat = "" if in_article else " ".join(text.split())
-            if flat and len(flat) <= TEXT_TOKEN and template_texts and _text_token(where, flat) in template_texts:
+            where = element.label
+            if token in fixed and (clear_article and not _in_headline(element) if element.inside else fixed[token] or clear_around):
                 continue
             text = entities.unescape(text)
             loose.append(text)
             if content and (where == content or where.startswith(content + "/")):
                 inside.append(text)
-            if in_article:
+            if element.inside:
                 own.append(text)
     for part in (inside, own, loose):
         if found := " ".join("".join(part).split()):
             return found
     # Copies of one page share all their texts, which are then no template.
-    return main_text(page, content, set()) if template_texts else ""
+    return main_text(page, content, {}) if template else ""
+
+
+def _in_headline(element: Element) -> bool:
+    while element.parent and element.name != "h1":
+        element = element.parent
+    return element.name == "h1"
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """``(id, url, text)`` for every page."""
-    found = durable(templates(pages, id_col, url_col, html_col).select("host", "region", "texts"), "templates")
-    every = found.where(F.col("host") == ANY_HOST).select(F.col("region").alias("region_any"), F.col("texts").alias("texts_any"))
-    every = every.first()
+    found = durable(templates(pages, id_col, url_col, html_col).select("host", "region", "tokens", "class", "strong"), "templates")
+    every = found.where(F.col("host") == ANY_HOST).first()
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = src.join(small_side(found.where(F.col("host") != ANY_HOST), MAX_TEMPLATES), "host", "left").select("id", "url", "html", "host", "region", "texts")
-    any_region, any_texts = (every["region_any"], list(every["texts_any"] or [])) if every else (None, [])
+    joined = src.join(small_side(found.where(F.col("host") != ANY_HOST), MAX_TEMPLATES), "host", "left").select("id", "url", "html", "host", "region", "tokens", "class", "strong")
+    any_region, shared = (every["region"], as_template(every["tokens"], every["class"], every["strong"])) if every else (None, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[int]] = {}
-        shared = {t & (1 << 64) - 1 for t in any_texts}
+        known: dict[str, Template] = {}
         for batch in batches:
             out = []
-            for page, host, content, texts in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                if texts is not None and host not in known:
+            pages, hosts, regions = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+            for i, (page, host, content) in enumerate(zip(pages, hosts, regions, strict=True)):
+                own = batch.column(5)[i].is_valid
+                if own and host not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[host] = {t & (1 << 64) - 1 for t in texts}
-                out.append(main_text(page, content, known[host]) if texts is not None else main_text(page, any_region, shared))
+                    known[host] = as_template(*[batch.column(k)[i].as_py() for k in (5, 6, 7)])
+                out.append(main_text(page, content, known[host]) if own else main_text(page, any_region, shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("url", src.schema["url"].dataType), T.StructField("text", T.StringType())])

@@ -206,8 +206,8 @@ def test_html_marks_around_the_article():
         "<body><form><div class=widget><main><div class=related>" + story.format("") + "</div></main></div></form>",
         "<body>" + story.format("") + "<div class=related><article>Other story</article></div><section id=comments><article>first!</article></section>",
     ):
-        assert html_extract.main_text(page, None, set()) == "Head Story text"
-    assert html_extract.main_text("<body><nav><article>menu</article></nav><div class=ad>buy</div>", None, set()) == ""
+        assert html_extract.main_text(page, None, {}) == "Head Story text"
+    assert html_extract.main_text("<body><nav><article>menu</article></nav><div class=ad>buy</div>", None, {}) == ""
 
 
 def test_html_templates_take_no_row_per_page(spark, monkeypatch):
@@ -225,3 +225,23 @@ def test_html_templates_take_no_row_per_page(spark, monkeypatch):
     assert set(got) == {"a.example", "*"}
     assert all(region == "body/article.post.post-0" and n < 12 for region, n in got.values())
     assert {x for x in html_extract.page_tokens(rows[1][2])[1]} == {x for x in html_extract.page_tokens(rows[2][2])[1]}
+
+
+def test_html_template_texts_in_articles(spark):
+    rng = random.Random(3)
+    story = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60))
+    long = "This notice of the publisher stands below every story of the site and has well over a hundred and twenty characters in its one sentence."
+    news = "<body><div class=news></div><article><h1>Daily brief</h1><p>Filed by the desk<p>{}<p>" + long + "</article>"
+    wiki = "<body><table class=wiki><tr><td>x</table><article><h1>{}</h1><p>From the free library<p>{}</article>"
+    stories = [story() for _ in range(24)]
+    rows = [(i, f"http://a.example/{i}", news.format(s) if i % 4 else wiki.format(f"Title {i}", s)) for i, s in enumerate(stories)]
+    copy = news.format(stories[0])
+    rows += [(100 + i, f"http://copies.example/{i}", copy) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert [got[i] for i in range(24)] == [f"Daily brief {s}" if i % 4 else f"Title {i} {s}" for i, s in enumerate(stories)]
+    assert all(got[100 + i] == f"Daily brief Filed by the desk {stories[0]} {long}" for i in range(6))
+
+
+def test_longest_rise():
+    assert html_extract._longest_rise([0, 1, 5, 2, 3]) == {0, 1, 2, 3} and html_extract._longest_rise([]) == set()
