@@ -9,8 +9,8 @@ follows only the edges within the radius of the distance to a node. A shard hold
 SHARD fingerprints: a key with more is dealt over several trees, and each of its
 fingerprints visits all of them, so no link is lost and no task holds an unbounded group.
 
-A shard gives back a spanning set of its links, at most a few per fingerprint, never all
-pairs; connected components follow as joins.
+A shard gives back each linked fingerprint with the root of its component there, never all
+pairs: a spanning set of its links. Connected components follow as joins.
 
 Equal texts share a fingerprint and are collapsed before any search, so a group of
 thousands of copies costs one tree node.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import components, durable, table
+from larder.llm.common import collect_garbage, components, durable, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -131,9 +131,10 @@ class BKTree:
 
 
 def _shard_links(members: list[int], queries: Iterator[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning set of the links between a shard's members and its visitors."""
+    """Every member and visitor that has a link, with the root of its component in the shard."""
     tree, array = BKTree(members), np.array(members, np.uint64)
     label = np.arange(len(members))
+    met: list[tuple[np.ndarray, np.ndarray]] = []
     for values in queries:
         for at in range(0, len(values), 512):
             part = values[at : at + 512]
@@ -149,9 +150,11 @@ def _shard_links(members: list[int], queries: Iterator[np.ndarray], radius: int)
                 if (label == old).all():
                     break
             have, first = np.unique(q, return_index=True)
-            for x, y in zip(part[have].tolist(), array[label[m[first]]].tolist(), strict=True):
-                if x != y:
-                    yield x, y
+            met.append((part[have], m[first]))
+    for values, first in met:
+        for x, y in zip(values.tolist(), array[label[first]].tolist(), strict=True):
+            if x != y:
+                yield x, y
     for x, y in zip(members, array[label].tolist(), strict=True):
         if x != y:
             yield x, y
@@ -165,6 +168,14 @@ def _blocks(fp: Column, radius: int) -> list[Column]:
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``(a, b)``: links that connect the distinct values of ``fps.fp`` within ``radius``."""
+    return shard_links(fps, radius, shard).select("a", "b").distinct()
+
+
+def shard_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``(key, tree, a, b)``: in a tree, ``b`` is the root of the component of ``a``.
+
+    Two distinct values within ``radius`` are in one component of some tree.
+    """
     fp = F.col("fp")
     blocks = _blocks(fp, radius)
     keys = [F.struct(F.lit(k).alias("pair"), x.alias("x"), y.alias("y")) for k, (x, y) in enumerate(combinations(blocks, 2))]
@@ -186,13 +197,13 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD)
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                     yield (key[a], tree[a]), values[a:b], visits[a:b]
 
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         members: list[int] = []
         shard_of, guests = None, []
 
         def flush() -> None:
             own = iter([np.array(members, np.uint64)])
-            out.extend(_shard_links(members, (v for source in (own, iter(guests)) for v in source), radius))
+            out.extend((*shard_of, x, y) for x, y in _shard_links(members, (v for source in (own, iter(guests)) for v in source), radius))
 
         for shard_key, values, visits in groups():
             if shard_key != shard_of:
@@ -209,12 +220,13 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD)
             flush()
         yield _edges(out)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "key long, tree int, a long, b long")
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    sides = [pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64)) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+def _edges(links: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    shards = [pa.array([x[k] for x in links], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()))]
+    sides = [pa.array(np.array([x[k] for x in links], np.uint64).view(np.int64)) for k in (2, 3)]
+    return pa.RecordBatch.from_arrays([*shards, *sides], names=["key", "tree", "a", "b"])
 
 
 def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", size=SHINGLE, radius=RADIUS) -> DataFrame:
@@ -238,7 +250,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 32, 4
 _ODD = np.random.default_rng(64).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -322,11 +334,13 @@ def _verified(rows: DataFrame, similarity: float) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, id_col="doc_id", text_col="text", radius=RADIUS, similarity=SIMILARITY, shard=SHARD) -> DataFrame:
     """``(id, group_id)`` of every row with an id; a group is named by its smallest id.
 
-    Texts of equal words are one node. Candidates are the SimHash links and, because at a
-    similarity of 0.8 fingerprints of 64 bits are up to 18 bits apart, groups that share a
-    band of least shingle hashes; two texts of that similarity share one of the 16 bands
-    with probability 0.9998. Every candidate is then held against the exact similarity of
-    the shingle sets, so nothing is grouped by its fingerprint alone. Groups beyond
+    Texts of equal words are one node. Candidates are the groups that a tree of fingerprints
+    connects, with all texts of each fingerprint, and, because at a similarity of 0.8
+    fingerprints of 64 bits are up to 18 bits apart, groups that share a band of least
+    shingle hashes; of two texts of that similarity 5 in 10**8 share none of the 32 bands.
+    Within a group any two texts not yet connected are held against the exact similarity
+    of the shingle sets, so no group is taken on its fingerprints alone and no link is lost
+    because the root of its component is not similar. Groups beyond
     ``shard`` members are compared block by block.
     """
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -334,18 +348,19 @@ def near_duplicate_groups(docs: DataFrame, id_col="doc_id", text_col="text", rad
     nodes = sketch.groupBy("same1", "same2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = durable(nodes, "nodes")
 
-    named = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    close = fingerprint_links(nodes, radius)
-    side = lambda c: named.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
-    close = close.join(side("a"), "a").join(side("b"), "b").select("na", "nb")
-    alike = nodes.join(named.withColumnRenamed("node", "nb"), "fp").where("node <> nb").select(F.col("node").alias("na"), "nb")
-    pairs = close.union(alike).select(F.xxhash64(F.least("na", "nb"), F.greatest("na", "nb"), F.lit("pair")).alias("grp"), F.explode(F.array("na", "nb")).alias("node"))
+    links = durable(shard_links(nodes, radius, shard), "links")
+    collect_garbage(docs.sparkSession)
+    tree = F.xxhash64("key", "tree", "b")
+    grouped = links.select(tree.alias("grp"), F.col("a").alias("fp")).union(links.select(tree, "b"))
+    alike = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp", F.lit("alike")).alias("grp"), "fp")
+    close = durable(grouped.union(alike).distinct(), "close").join(nodes.select("fp", "node"), "fp").select("grp", "node")
 
-    banded = nodes.select(F.explode("bands").alias("grp"), "node")
-    groups = banded.union(pairs).distinct()
+    groups = nodes.select(F.explode("bands").alias("grp"), "node").union(close)
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who"))
     # Bands with the same members are one group.
     live = sizes.where("n > 1").groupBy("n", "low", "who").agg(F.min("grp").alias("grp")).select("grp", F.ceil(F.col("n") / shard).cast("int").alias("blocks"))
+    live = durable(live, "live")
+    collect_garbage(docs.sparkSession)
     members = groups.join(live, "grp").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("grp", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "node")

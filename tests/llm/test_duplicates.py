@@ -164,3 +164,24 @@ def test_stages_on_edges(spark, docs_of, edge_rows):
         if stage is not corpus_pipeline.encoding_stage:
             assert out.columns == docs.columns
             docs = out
+
+
+def test_near_values_meet_in_a_group(spark):
+    rng = random.Random(8)
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(63), 3))
+    values = [rng.getrandbits(63) for _ in range(6)]
+    values += [flip(rng.choice(values)) for _ in range(40)]
+    near = {(x, y) for x in values for y in values if x < y and (x ^ y).bit_count() <= 4}
+    fps = spark.createDataFrame([(x,) for x in values], "fp long")
+    for shard in (2048, 3):
+        groups = {}
+        for r in simhash.shard_links(fps, 4, shard).collect():
+            groups.setdefault((r.key, r.tree, r.b), {r.b}).add(r.a)
+        assert near <= {(x, y) for g in groups.values() for x in g for y in g}
+    # The links alone do not have them: they lead to the root of a component.
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.fingerprint_links(fps).collect()}
+    assert near - links
+
+
+def test_few_similar_pairs_share_no_band():
+    assert (1 - simhash.SIMILARITY**simhash.ROWS) ** simhash.BANDS < 1e-7
