@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import bound
-from larder.functions.tables import durable, shared_dir, small_side
+from larder.functions.tables import delete, durable, is_small, scratch, shared_dir, small_side
 
-__all__ = ["bound", "collect_garbage", "components", "discard", "durable", "shared_dir", "small_side", "small_values", "table"]
+__all__ = ["bound", "collect_garbage", "components", "discard", "durable", "is_small", "scratch", "shared_dir", "small_side", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,8 @@ def collect_garbage(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and what jobs on them left behind."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/larder-" in f}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete(folder)
     collect_garbage(tables[0].sparkSession)
 
 
@@ -66,9 +64,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
-
-
-def small_values(df: DataFrame, column: str, rows: int = 50_000) -> Column | None:
-    """The distinct values of a long column as one array, if there are at most ``rows``."""
-    values = [r[0] for r in df.select(column).distinct().limit(rows + 1).collect()]
-    return F.lit(values).cast("array<bigint>") if len(values) <= rows else None

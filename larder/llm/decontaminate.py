@@ -1,27 +1,41 @@
 """Benchmark decontamination, native: template canonicalisation.
 
 Words become tokens without punctuation; digits, names and units become typed placeholders,
-everything else is lower-cased. Windows of WINDOW tokens are hashed and hash-joined between
-documents and benchmark items, so a question with other numbers or names still meets its
-template. A match counts only if the aligned slots are consistent: within one alignment
-each slot value of the item always meets the same value in the document and no two values
-meet the same one. A document is contaminated by an item when consistent alignments cover
-at least COVERAGE of the item's tokens.
-
-The benchmark's window index is broadcast only after its row count is checked; beyond the
-bound the join shuffles by hash. Items with fewer than WINDOW tokens prove nothing and are
-never matched; windows made of placeholders alone are not indexed, as they carry no words.
-
-Defined results: null or empty texts have no tokens and match nothing; repeated rows of a
-document give the row once per (doc_id, item_id); null ids are kept as null.
+everything else is lower-cased. Items with equal placeholders are one template. Windows of
+WINDOW tokens are hashed and hash-joined between documents and templates, so a question with
+other numbers or names still meets its template. Then the slots of each item are compared at
+the alignments found: within one alignment every value of the item must always meet the same
+value in the document, and no two values may meet the same one, changed or not. Tokens of a
+consistent alignment count; of an inconsistent one only those count that are the item's own
+words and values. A document is contaminated by an item when COVERAGE of the item's tokens
+count.
+
+Only windows that a match needs are joined: a document that covers enough of a template
+holds at least m of its w windows, so one of any w - m + 1; the windows that most templates
+share are left out, and a common phrase of questions does not pair documents with all of
+them. What the others could add is granted before the alignments are compared token by token.
+
+The window index is broadcast only after its rows and bytes are checked; beyond the bound the
+join shuffles by hash.
+
+Items with fewer than WINDOW tokens have no room for other values and are matched word for
+word, in lower case, wherever a document has them. Windows and items made of placeholders
+alone are not indexed, as they carry no words. A capital at the start of a sentence is no
+name, since any word may stand there: a name that is replaced there costs its one token.
+
+Defined results: null or empty texts have no tokens and match nothing, and so does an empty
+table on either side; very long texts are searched whole; repeated rows of a document give
+the row once per (doc_id, item_id), rows that share only the id are searched one by one and
+the best match is told; null ids are kept as null; repeated items are one, and items that
+share only the id are searched one by one; other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import bound, small_side, small_values, table
+from larder.llm.common import bound, durable, is_small, small_side, table
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -33,8 +47,8 @@ UNITS = (
     "k c f percent dollar dollars usd euro euros eur cent cents hz khz mhz w kw v a j kj cal kcal"
 ).split()
 _MARK = "\x01"
-#: A capital after a lower-case letter or a comma, so not at the start of a sentence.
-_NAME_START = r"(?<=[\p{Ll},]\s)(?=\p{Lu})"
+#: A capital after a lower-case letter, a digit or a comma, so not at the start of a sentence.
+_NAME_START = r"(?<=[\p{Ll}\p{N},]\s)(?=\p{Lu})"
 _NO_WORD = r"[^\p{L}\p{N}\s\x01]+"
 
 
@@ -62,63 +76,117 @@ def _windows(words: Column, size: int) -> Column:
     return bound(words, every)
 
 
+def _spoken(words: Column) -> Column:
+    """Whether any of the tokens is more than placeholders."""
+    return F.exists(words, lambda x: F.regexp_replace(x, "<num>|<unit>|<name>", "") != "")
+
+
+def _index(templates: DataFrame, window: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """``(tpl, ipos, hash)`` of the windows to join, and ``(tpl, n, free)`` of the templates
+    that can be covered, ``free`` being the tokens of the windows left out."""
+    every = templates.select("tpl", "words", F.posexplode(_windows(F.col("words"), window)).alias("ipos", "hash"))
+    every = every.where(_spoken(F.slice("words", F.col("ipos") + 1, F.lit(window)))).select("tpl", F.size("words").alias("n"), "ipos", "hash")
+    shared = every.groupBy("hash").agg(F.count("*").alias("shared"))
+    one, rarest = Window.partitionBy("tpl"), Window.partitionBy("tpl").orderBy("shared", "ipos")
+    least = F.ceil(F.ceil(F.col("n") * coverage) / window)
+    ranked = every.join(shared, "hash").select("*", (F.count("*").over(one) - least + 1).alias("probes"), F.row_number().over(rarest).alias("rank"))
+    ranked = durable(ranked.where("probes >= 1"), "windows")
+    offsets = F.sequence(F.col("ipos"), F.col("ipos") + (window - 1))
+    left_out = F.when(F.col("rank") > F.col("probes"), offsets).otherwise(F.array().cast("array<int>"))
+    free = ranked.groupBy("tpl").agg(F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list(left_out))).alias("free"))
+    return ranked.where("rank <= probes").select("tpl", "ipos", "hash"), free
+
+
+def _at(words: Column, shift: Column, template: Column, window: int) -> Column:
+    """Positions of the template whose windows the document has at ``shift``."""
+    first = F.greatest(F.lit(0), -shift)
+    last = F.least(F.size(template), F.size(words) - shift) - window
+    equal = lambda p: (F.slice(words, p + shift + 1, F.lit(window)) == F.slice(template, p + 1, F.lit(window))) & _spoken(F.slice(template, p + 1, F.lit(window)))
+    starts = F.when(last >= first, F.filter(F.sequence(first, F.greatest(first, last)), equal)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (window - 1)))))
+
+
+def _counted(pairs: Column) -> Column:
+    """Positions of ``pairs array<(i, a, b)>`` that count: all if the values agree, else equal ones."""
+    kinds = [F.array_distinct(F.transform(pairs, f)) for f in (lambda x: F.struct(x["a"], x["b"]), lambda x: x["a"], lambda x: x["b"])]
+    agreed = (F.size(kinds[0]) == F.size(kinds[1])) & (F.size(kinds[0]) == F.size(kinds[2]))
+    return F.transform(F.filter(pairs, lambda x: agreed | (x["a"] == x["b"])), lambda x: x["i"])
+
+
+def _runs(size: int):
+    """All runs of ``size`` words of an array, each once."""
+    run = lambda w: lambda i: F.array_join(F.slice(w, i + 1, size), " ")
+    return lambda w: F.when(F.size(w) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), run(w))))
+
+
+def matches(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id", text_col="text", window=WINDOW, coverage=COVERAGE) -> DataFrame:
+    """``(doc, th, item, n, good)``: documents by id and text hash, the items they hold, the
+    item's tokens and how many of them count. May repeat a row."""
+    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    mark = marked(F.col("text"))
+    items = bench.select(F.col(item_id).alias("item"), F.col(text_col).alias("text")).dropDuplicates()
+    items = items.select("item", tokens(mark).alias("core"), tokens(canonical(mark)).alias("words")).where(_spoken(F.col("words")))
+    items = durable(items.withColumn("tpl", F.xxhash64("words")), "items")
+    long_ = items.where(F.size("words") >= window)
+    templates = long_.groupBy("tpl").agg(F.first("words").alias("words"))
+
+    index, free = _index(templates, window, coverage)
+    every = _windows(tokens(canonical(mark)), window)
+    hits = d.select("doc", "th", F.posexplode(every).alias("pos", "hash")).join(small_side(index), "hash")
+    runs = hits.groupBy("doc", "th", "tpl", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    runs = runs.join(small_side(free), "tpl")
+    spans = F.flatten(F.transform("at", lambda p: F.sequence(p, p + (window - 1))))
+    near = runs.groupBy("doc", "th", "tpl").agg(
+        F.collect_list("shift").alias("shifts"), F.flatten(F.collect_list(F.array_distinct(spans))).alias("met"), F.first("n").alias("n"), F.first("free").alias("free")
+    )
+    enough = F.size(F.array_union(F.array_distinct("met"), "free")) >= F.ceil(F.col("n") * coverage)
+    near = durable(near.where(enough).select("doc", "th", "tpl", "shifts"), "near")
+
+    # Alignments are compared on the few candidates only; their texts come back by an equi-join.
+    asked = near.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "tpl", "shifts")
+    asked = F.broadcast(asked) if is_small(asked) else asked.hint("shuffle_hash")
+    told = d.join(asked, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
+    told = told.select("doc", "th", "tpl", "shifts", tokens(mark).alias("dcore"), tokens(canonical(mark)).alias("dwords")).join(small_side(long_), "tpl")
+
+    def counts(doc: Column) -> Column:
+        def run(shift: Column) -> Column:
+            pair = lambda i: F.struct(i.alias("i"), F.lower(F.get(F.col("core"), i)).alias("a"), F.lower(F.get(doc["core"], i + shift)).alias("b"))
+            return bound(F.transform(_at(doc["words"], shift, F.col("words"), window), pair), _counted)
+
+        return F.size(F.array_distinct(F.flatten(F.transform("shifts", run))))
+
+    good = bound(F.struct(F.col("dcore").alias("core"), F.col("dwords").alias("words")), counts)
+    told = told.select("doc", "th", "item", F.size("words").alias("n"), good.alias("good"))
+    found = told.where(F.col("good") >= F.ceil(F.col("n") * coverage))
+
+    short = items.where(F.size("words") < window).select("item", F.array_join(F.transform("core", F.lower), " ").alias("say"), F.size("core").alias("n"))
+    for size in sorted(r[0] for r in short.select("n").distinct().collect()):
+        own = small_side(short.where(F.col("n") == size))
+        said = bound(F.transform(tokens(mark), F.lower), _runs(size))
+        found = found.unionByName(d.select("doc", "th", F.explode(said).alias("say")).join(own, "say").select("doc", "th", "item", "n", F.col("n").alias("good")))
+    return found
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id", text_col="text", window=WINDOW, coverage=COVERAGE) -> DataFrame:
     """``(doc_id, item_id, n_tokens, n_covered, coverage)`` of contaminated documents."""
-    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_text"))
-    b = bench.select(F.col(item_id).alias("_item"), F.col(text_col).alias("_text")).dropDuplicates()
-
-    items = b.withColumn("_core", tokens(marked(F.col("_text")))).withColumn("_words", tokens(canonical(marked(F.col("_text")))))
-    spoken = F.exists("_words", lambda x: F.regexp_replace(x, "<num>|<unit>|<name>", "") != "")
-    index = items.where(spoken & (F.size("_words") >= window)).select("_item", "_words", F.posexplode(_windows(F.col("_words"), window)).alias("_ipos", "_hash"))
-    spoken = F.exists(F.slice("_words", F.col("_ipos") + 1, F.lit(window)), lambda x: F.regexp_replace(x, "<num>|<unit>|<name>", "") != "")
-    index = small_side(index.where(spoken).select("_item", "_ipos", "_hash"))
-
-    known = small_values(index, "_hash")
-    every = _windows(tokens(canonical(marked(F.col("_text")))), window)
-    if known is not None:
-        # Of a bounded benchmark the documents without any of its windows go before they are spread into rows.
-        every = bound(every, lambda w: F.when(F.arrays_overlap(w, known), w))
-    hits = d.select("_doc", F.xxhash64("_text").alias("_th"), F.posexplode_outer(every).alias("_pos", "_hash")).join(index, "_hash")
-    runs = hits.groupBy("_doc", "_th", "_item", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(F.collect_set("_ipos").alias("_at"))
-    # An alignment whose windows cover too little can't reach the coverage even with the item's others.
-    total = items.select(F.col("_item").alias("_it"), F.col("_core").alias("_icore"), F.size("_words").alias("_n"))
-    offsets = F.sequence(F.lit(0), F.lit(window - 1))
-    covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.transform(offsets, lambda k: p + k))))
-    runs = runs.withColumn("_cov", covered)
-    runs = runs.join(small_side(total, 20_000), F.col("_item").eqNullSafe(F.col("_it")))
-    enough = runs.groupBy("_doc", "_th", "_item").agg(F.collect_list(F.struct("_shift", "_cov")).alias("_runs"), F.first("_icore").alias("_icore"), F.first("_n").alias("_n"))
-    union = lambda r: F.array_distinct(F.flatten(F.transform(r, lambda x: x["_cov"])))
-    enough = enough.where(F.size(union(F.col("_runs"))) >= F.ceil(F.col("_n") * coverage))
-
-    # Slots are compared on the few candidates only; their texts come back by an equi-join.
-    texts = d.select(F.col("_doc").alias("_d"), F.xxhash64("_text").alias("_t"), F.col("_text"))
-    near = enough.join(texts, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).dropDuplicates(["_doc", "_th", "_item"])
-
-    def consistent(words: Column):
-        def holds(run: Column) -> Column:
-            pair = lambda i: F.struct(F.lower(F.get(F.col("_icore"), i)).alias("a"), F.lower(F.get(words, i + run["_shift"])).alias("b"))
-            return bound(F.array_distinct(F.transform(run["_cov"], pair)), one_to_one)
-
-        return holds
-
-    def one_to_one(pairs: Column) -> Column:
-        changed = F.filter(pairs, lambda p: p["a"] != p["b"])
-        left, right = F.transform(changed, lambda p: p["a"]), F.transform(changed, lambda p: p["b"])
-        same = F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"])
-        return (F.size(F.array_distinct(left)) == F.size(left)) & (F.size(F.array_distinct(right)) == F.size(right)) & ~F.arrays_overlap(left, same)
-
-    good = bound(tokens(marked(F.col("_text"))), lambda words: union(F.filter(F.col("_runs"), consistent(words))))
-    good = near.select("_doc", "_item", "_n", F.size(good).alias("_good")).where(F.col("_good") >= F.ceil(F.col("_n") * coverage))
-    out = good.groupBy("_doc", "_item").agg(F.max("_n").alias("n_tokens"), F.max("_good").alias("n_covered"))
-    return out.select(
-        F.col("_doc").alias(doc_id),
-        F.col("_item").alias(item_id),
-        F.col("n_tokens").cast("long"),
-        F.col("n_covered").cast("long"),
-        (F.col("n_covered") / F.col("n_tokens")).alias("coverage"),
+    found = matches(docs, bench, doc_id, item_id, text_col, window, coverage).withColumn("coverage", F.col("good") / F.col("n"))
+    best = found.groupBy("doc", "item").agg(F.max(F.struct("coverage", "n", "good")).alias("x"))
+    return best.select(
+        F.col("doc").alias(doc_id),
+        F.col("item").alias(item_id),
+        F.col("x.n").cast("long").alias("n_tokens"),
+        F.col("x.good").cast("long").alias("n_covered"),
+        F.col("x.coverage").alias("coverage"),
     )
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id", text_col="text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item; rows are told apart by id and text."""
+    gone = durable(matches(docs, bench, doc_id, item_id, text_col).select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct(), "gone")
+    gone = F.broadcast(gone) if is_small(gone) else gone.hint("shuffle_hash")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs[text_col]) == gone["_th"]), "left_anti")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -128,7 +196,7 @@ OP10_SQL = f"""
 WITH src AS (
   SELECT DISTINCT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark
 ), marked AS (
-  SELECT k, id, regexp_replace(regexp_replace(coalesce(text, ''), '([\\p{{Ll}},]\\s)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\s\\x01]+', '', 'g') AS m FROM src
+  SELECT k, id, regexp_replace(regexp_replace(coalesce(text, ''), '([\\p{{Ll}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\s\\x01]+', '', 'g') AS m FROM src
 ), cut AS (
   SELECT k, id, list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '') AS core,
     list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(m, '(\\p{{N}}\\s)(?:(?i){"|".join(UNITS)})(\\s|$)', '\\1{UNIT}\\2', 'g'),
@@ -142,14 +210,21 @@ WITH src AS (
 ), cov AS (
   SELECT DISTINCT doc, item, shift, ipos + j AS i FROM hits, range(0, {WINDOW}) r(j)
 ), pairs AS (
-  SELECT DISTINCT doc, item, shift, lower(b.core[i + 1]) AS a, lower(d.core[i + shift + 1]) AS c
+  SELECT doc, item, shift, i, lower(b.core[i + 1]) AS a, lower(d.core[i + shift + 1]) AS c
   FROM cov JOIN cut d ON d.k = 'd' AND d.id = doc JOIN cut b ON b.k = 'b' AND b.id = item
-), agreed AS (
-  SELECT doc, item, shift FROM pairs GROUP BY doc, item, shift
-  HAVING count(*) = count(DISTINCT a) AND count(DISTINCT c) FILTER (WHERE a <> c) = count(*) FILTER (WHERE a <> c)
+), judged AS (
+  SELECT doc, item, shift, count(DISTINCT (a, c)) = count(DISTINCT a) AND count(DISTINCT (a, c)) = count(DISTINCT c) AS agreed FROM pairs GROUP BY doc, item, shift
 ), found AS (
-  SELECT doc, item, count(DISTINCT i) AS n FROM cov JOIN agreed USING (doc, item, shift) GROUP BY doc, item
+  SELECT doc, item, count(DISTINCT i) AS n FROM pairs JOIN judged USING (doc, item, shift) WHERE agreed OR a = c GROUP BY doc, item
+), spoken AS (
+  SELECT k, id, list_transform(core, lambda x: lower(x)) AS said, len(core) AS n FROM cut
+), short AS (
+  SELECT DISTINCT d.id AS doc, b.id AS item, b.n
+  FROM (SELECT id, said, n FROM spoken JOIN cut USING (k, id) WHERE k = 'b' AND n < {WINDOW} AND {_LITERAL.format('words')}) b,
+    (SELECT id, said, n, unnest(range(0, n)) AS p FROM spoken WHERE k = 'd') d
+  WHERE d.p + b.n <= d.n AND list_slice(d.said, d.p + 1, d.p + b.n) = b.said
 )
 SELECT doc AS doc_id, item AS item_id, len(words) AS n_tokens, n AS n_covered, n / len(words)::DOUBLE AS coverage
 FROM found JOIN cut ON k = 'b' AND id = item WHERE n >= ceil(len(words) * {COVERAGE})
+UNION ALL SELECT doc, item, n, n, 1.0::DOUBLE FROM short
 """

@@ -185,3 +185,46 @@ def test_near_values_meet_in_a_group(spark):
 
 def test_few_similar_pairs_share_no_band():
     assert (1 - simhash.SIMILARITY**simhash.ROWS) ** simhash.BANDS < 1e-7
+
+
+def test_near_duplicates_tell_rows_by_id_and_text(docs_of):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, a.upper()), (8, c), (8, c), (9, None), (9, ""), (None, a), (None, a), (None, None)]
+    kept = sorted((str(r.doc_id), str(r.text)) for r in simhash.drop_near_duplicates(docs_of(rows)).collect())
+    nothing = [r for r in kept if r[0] == "9"]
+    assert [r for r in kept if r[0] != "9"] == sorted([("3", a), ("7", b), ("8", c), ("None", a), ("None", a), ("None", "None")])
+    assert len(nothing) == 1
+    many = [(None, text()) for _ in range(300)] + [(5, text()) for _ in range(300)]
+    assert simhash.drop_near_duplicates(docs_of(many * 2)).count() == 600 + 300
+
+
+def chain(n, rng):
+    """Texts of which each is similar to the next only, a few to none."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100 + 9 * n)]
+    return [" ".join(words[9 * i : 9 * i + 100]) for i in range(n)]
+
+
+def test_near_duplicates_of_large_groups(docs_of):
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    star = [" ".join(w if rng.random() > 0.012 else f"x{i}" for w in base) for i in range(150)]
+    far = [" ".join(w if rng.random() > 0.04 else f"y{i}" for w in base) for i in range(60)]
+    rows = list(enumerate([*chain(12, rng), *star, *far]))
+    want = similar_groups(rows)
+    for shard, block in ((2048, 256), (3, 5)):
+        groups = simhash.near_duplicate_groups(docs_of(rows), shard=shard, block=block).collect()
+        assert {r.group_id for r in groups} == want and len(groups) == len(rows)
+
+
+def test_full_keys_are_dealt_finer(spark):
+    rng = random.Random(10)
+    top = rng.getrandbits(43) << 20
+    values = sorted({top | rng.getrandbits(20) for _ in range(400)})
+    fps = spark.createDataFrame([(x,) for x in values], "fp long")
+    at = {v: i for i, v in enumerate(values)}
+    want = union(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4])
+    for shard, finest in ((50, 8), (20, 2)):
+        links = [(at[r.a], at[r.b]) for r in simhash.shard_links(fps, 4, shard, finest).select("a", "b").distinct().collect()]
+        assert union(len(values), links) == want

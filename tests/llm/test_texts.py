@@ -1,11 +1,13 @@
 """Line dedup, chats, decontamination, tokens, media, languages and pages."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from larder.llm import chat, decontaminate, html_extract, language_id, line_dedup, media, sentencepiece_codec, token_counts
@@ -64,6 +66,61 @@ def test_slots_must_agree(spark, docs_of):
     assert [r.doc_id for r in decontaminate.contaminated(docs_of(rows), bench).collect()] == [1]
 
 
+def plain_tokens(text):
+    """(word, placeholder) of each token, by another way than the job's."""
+    mark = regex.sub(r"(?<=[\p{Ll}\p{N},]\s)(?=\p{Lu})", "\x01", text or "")
+    words = [w for w in regex.split(r"[ \t\n\x0b\x0c\r]+", regex.sub(r"[^\p{L}\p{N}\s\x01]+", "", mark)) if w]
+    out = []
+    for k, w in enumerate(words):
+        unit = k and regex.search(r"\p{N}$", words[k - 1]) and w.lower() in decontaminate.UNITS
+        kind = "<unit>" if unit else w[: w.index("\x01")] + "<name>" if "\x01" in w else regex.sub(r"\p{N}+", "<num>", w)
+        out.append((w.lower(), kind.lower()))
+    return out
+
+
+def brute_matches(docs, bench):
+    """{(doc, item): tokens that count} by trying every alignment."""
+    literal = lambda ws: any(regex.sub("<num>|<unit>|<name>", "", w) for w in ws)
+    found = {}
+    for (i, text), (item, say) in itertools.product(docs, bench):
+        d, b = plain_tokens(text), plain_tokens(say)
+        kinds = [k for _, k in b]
+        if not literal(kinds):
+            continue
+        if len(b) < 5:
+            if any([w for w, _ in d[p : p + len(b)]] == [w for w, _ in b] for p in range(len(d) - len(b) + 1)):
+                found[i, item] = len(b)
+            continue
+        good = set()
+        for shift in range(-len(b), len(d)):
+            at = {p + k for p in range(len(b) - 4) if 0 <= p + shift <= len(d) - 5 and literal(kinds[p : p + 5]) and [k for _, k in d[p + shift : p + shift + 5]] == kinds[p : p + 5] for k in range(5)}
+            pairs = {(b[p][0], d[p + shift][0]) for p in at}
+            agreed = len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+            good |= {p for p in at if agreed or b[p][0] == d[p + shift][0]}
+        if len(good) >= 0.8 * len(b):
+            found[i, item] = max(len(good), found.get((i, item), 0))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, docs_of):
+    item = "Anna pays 7 euros for 7 apples and 3 euros for 3 pears while Berta pays 5 euros for one plum at the shop"
+    swap = lambda text, **by: regex.sub(r"\w+", lambda m: by.get(m[0], by.get("n" + m[0], m[0])), text)
+    ask = "which of the following words is said by the {0} of the {1} in the old book of {2} songs"
+    bench = [(1, item), (2, "7 apples, 3 pears, 7 each"), (3, "What is 7 + 5?"), (4, "7 + 5"), (None, "the old man and 12 of the young boys go home"), (1, "another text of item one that has ten tokens")]
+    bench += [(10 + k, ask.format(a, b, 5)) for k, (a, b) in enumerate([("fool", "king"), ("wife", "miller"), ("child", "smith"), ("fool", "king")])]
+    rows = [(1, item), (2, swap(item, n7="4", n3="9", Berta="Carla")), (3, swap(item, n7="3")), (4, item.replace("7 apples", "8 apples")), (5, "3 apples, 3 pears, 3 each"), (6, "4 apples, 3 pears, 4 each")]
+    rows += [(7, "Say what is 7 5 then"), (8, "What is 9 + 5?"), (9, "7 + 5"), (10, f"x {ask.format('fool', 'king', 8)} y"), (11, "which of the following words is said by the crowd in the end"), (12, f"{item} {item}")]
+    rows += [(None, "So the old man and 40 of the young boys go home today"), (None, "clean"), (13, "clean"), (13, item), (13, swap(item, n7="2")), (14, "the old man and 12 of the young boys go home " * 30), (15, ""), (16, None)]
+    frame = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated(docs_of(rows + rows[:3]), frame).collect()
+    want = brute_matches(rows, bench)
+    assert {(r.doc_id, r.item_id): r.n_covered for r in got} == want and len(got) == len(want)
+    assert {(5, 2), (8, 3), (11, 10)}.isdisjoint(want) and want[3, 1] == 22 and {(1, 1), (2, 1), (4, 1), (6, 2), (7, 3), (10, 10), (10, 11), (None, None), (13, 1)} <= set(want)
+    left = decontaminate.drop_contaminated(docs_of(rows), frame).collect()
+    dirty = {(i, t) for i, t in rows if any(k[0] == i for k in brute_matches([(i, t)], bench))}
+    assert sorted(map(str, [(r.doc_id, r.text) for r in left])) == sorted(str(r) for r in rows if r not in dirty)
+
+
 def odd_texts():
     rng = random.Random(5)
     return ["", " ", "  a  b", "\n\n a\n", "a \n b", "▁a▁ b", "é 梦\x00\x01 😀", "x\ty  \n\nz", " lead", "trail ", "a" * 3000] + ["".join(rng.choice(" \n▁ab é梦,.") for _ in range(40)) for _ in range(300)]
