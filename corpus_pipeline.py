@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.tables import delete, scratch
 from larder.llm.common import shared_dir, table
-from larder.llm.decontaminate import contaminated
+from larder.llm.decontaminate import drop_contaminated
 from larder.llm.language_id import UND, fit, held_out, identify
 from larder.llm.line_dedup import dedup_lines
 from larder.llm.sentencepiece_codec import encode_pieces
@@ -39,8 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +58,19 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: Classifier, fingerprints and encoder are not SQL; the tests hold the stages against brute force.
+#: Classifier, fingerprints and encoder are not SQL; the tests hold run()'s rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage wrote goes when the next one has written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(before)
+        before = path
     return docs
