@@ -23,9 +23,11 @@ side is split when it is skewed. Each step's spans are written as it ends, and t
 was made from are deleted, so the disk holds one step at a time. Nothing larger than a document's own spans meets in a task.
 Strings are told apart by 128 bits of hash (bucket and string).
 
-Defined results: null is the empty text; texts under LENGTH bytes keep everything; rows that
-share id and text are the same document and come back with the same result; of rows that
-share only the id, the earlier start is the first; null ids sort before all others.
+Defined results: null is the empty text; texts under LENGTH bytes keep everything; very long
+texts are hashed in overlapping segments; rows that share id and text are the same document
+and come back with the same result; rows that share only the id are documents of their own,
+in the order of their texts' 64-bit hashes, by which they are told apart in every step; null
+ids sort before all others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -158,9 +160,9 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _place(start: np.ndarray, tag: int) -> np.ndarray:
-    """Start and document tag in one value that sorts by start."""
-    return (start.astype(np.int64) << 16) | tag
+def _place(start: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Start and a number under 2**16 in one value that sorts by start."""
+    return (start.astype(np.int64) << 16) | more
 
 
 def _emit(batches: Iterator[pa.RecordBatch], names: list[str], each) -> Iterator[pa.RecordBatch]:
@@ -187,8 +189,9 @@ def _fields(requests: pa.ListScalar) -> list[np.ndarray]:
 
 
 def _samples(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows (bucket, context, doc, at, shape): one per sample; ``at`` holds the first start."""
-    names = ["bucket", "context", "doc", "at", "shape"]
+    """Rows (bucket, context, doc, tag, at), one per sample; ``at`` holds the first start, how
+    many starts follow it and how far the sample is from it."""
+    names = ["bucket", "context", "doc", "tag", "at"]
 
     def each(doc: int, tag: int, text: str) -> Iterator[tuple]:
         data = _bytes(text)
@@ -196,19 +199,20 @@ def _samples(docs: DataFrame, length: int, k: int) -> DataFrame:
             bucket, context, first, last, at = cover_sample(part, length, k)
             n = len(bucket)
             if n:
-                yield _signed(bucket), _signed(context), np.full(n, doc), _place(first + skip, tag), ((last - first) << 8) | (at - first)
+                yield _signed(bucket), _signed(context), np.full(n, doc), np.full(n, tag), _place(first + skip, ((last - first) << 8) | (at - first))
 
     return docs.mapInArrow(lambda b: _emit(b, names, each), _schema(names))
 
 
 def _blocks(rows: DataFrame, length: int) -> DataFrame:
-    """Rows (bucket, core, hull, doc, at, n) for the contexts requested of each document."""
-    names = ["bucket", "core", "hull", "doc", "at", "n"]
+    """Rows (bucket, core, hull, doc, tag, at) for the contexts requested of each document;
+    ``at`` holds the first start of a block and how many starts it has."""
+    names = ["bucket", "core", "hull", "doc", "tag", "at"]
 
     def each(doc: int, tag: int, text: str, requests: pa.ListScalar) -> Iterator[tuple]:
-        bucket, place, shape = _fields(requests)
+        bucket, place = _fields(requests)
         first = place >> 16
-        last, sample = first + (shape >> 8), first + (shape & 255)
+        last, sample = first + ((place >> 8) & 255), first + (place & 255)
         near, far = (sample - last) // BLOCK, (sample - first) // BLOCK
         count = far - near + 1
         row = np.repeat(np.arange(len(first)), count)
@@ -220,43 +224,43 @@ def _blocks(rows: DataFrame, length: int) -> DataFrame:
         core = _mix(_range_hashes(data, sample[row] - q * BLOCK, end) + q.astype(np.uint64))
         sides = ((sample[row] - low) * 256 + (sample[row] - high)).astype(np.uint64)
         hull = _mix(_range_hashes(data, low, high + length) + sides * np.uint64(0x94D049BB133111EB))
-        yield bucket[row], _signed(core), _signed(hull), np.full(len(row), doc), _place(low, tag), high - low + 1
+        yield bucket[row], _signed(core), _signed(hull), np.full(len(row), doc), np.full(len(row), tag), _place(low, high - low + 1)
 
     return rows.mapInArrow(lambda b: _emit(b, names, each), _schema(names))
 
 
 def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """Rows (bucket, hash, doc, at) for the blocks requested of each document."""
-    names = ["bucket", "string", "doc", "at"]
+    """Rows (bucket, string, doc, tag, at) for the blocks requested of each document."""
+    names = ["bucket", "string", "doc", "tag", "at"]
 
     def each(doc: int, tag: int, text: str, requests: pa.ListScalar) -> Iterator[tuple]:
-        bucket, place, count = _fields(requests)
+        bucket, place = _fields(requests)
+        count = place & 0xFFFF
         row = np.repeat(np.arange(len(bucket)), count)
         start = (place >> 16)[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         string = _range_hashes(_bytes(text), start, start + length)
-        yield bucket[row], _signed(string), np.full(len(row), doc), _place(start, tag)
+        yield bucket[row], _signed(string), np.full(len(row), doc), np.full(len(row), tag), _place(start, 1)
 
     return rows.mapInArrow(lambda b: _emit(b, names, each), _schema(names))
 
 
-def _ranked(rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
-    """One row per key: its first occurrence (doc, at), how many there are, and ``extra``."""
-    first = F.min(F.struct("doc", "at")).alias("first")
-    out = rows.groupBy(*keys).agg(first, F.count("*").alias("seen"), *[F.first(c).alias(c) for c in extra])
-    return out.select(*keys, F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "seen", *extra)
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: its first occurrence (doc, tag, at), and how many there are."""
+    first = F.min(F.struct("doc", "tag", "at")).alias("first")
+    out = rows.groupBy(*keys).agg(first, F.count("*").alias("seen"))
+    return out.select(*keys, "first.doc", "first.tag", "first.at", "seen")
 
 
 def _later(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """The occurrences that are not the first of their key."""
-    first = ranked.where("seen > 1").select(*keys, F.col("doc").alias("doc0"), F.col("at").alias("at0"))
-    return rows.join(first, keys).where("doc <> doc0 OR at <> at0")
+    """``(doc, tag, at)`` of the occurrences that are not the first of their key."""
+    first = ranked.where("seen > 1").select(*keys, F.col("doc").alias("doc0"), F.col("tag").alias("tag0"), F.col("at").alias("at0"))
+    return rows.join(first, keys).where("doc <> doc0 OR tag <> tag0 OR at <> at0").select("doc", "tag", "at")
 
 
-def _asked(docs: DataFrame, requests: DataFrame, columns: list[str]) -> DataFrame:
+def _asked(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """Documents with the list of what is asked of them; the text side is never sorted."""
-    tag = F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("tag_")
-    lists = requests.select(F.col("doc").alias("doc_"), tag, F.struct(*columns).alias("r")).groupBy("doc_", "tag_").agg(F.collect_list("r").alias("requests"))
-    return docs.join(lists.hint("shuffle_hash"), (F.col("doc") == F.col("doc_")) & (F.col("tag") == F.col("tag_"))).select("doc", "tag", "text", "requests")
+    lists = requests.groupBy("doc", "tag").agg(F.collect_list(F.struct("bucket", "at")).alias("requests"))
+    return docs.join(lists.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "requests")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -267,44 +271,43 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     samples = durable(samples.join(often, "bucket", "left_semi"), "samples")
     discard(often)
 
-    contexts = durable(_ranked(samples, ["bucket", "context"], "shape"), "contexts")
+    start = F.shiftright("at", 16)
+    span = lambda n: [F.col("doc"), F.col("tag"), start.alias("start"), (start + n + (length - 1)).alias("end")]
+    contexts = durable(_ranked(samples, ["bucket", "context"]), "contexts")
     collect_garbage(docs.sparkSession)
-    later = _later(samples, contexts, ["bucket", "context"]).select("doc", "at", (F.shiftright("shape", 8) + 1).alias("n"))
-    spans = [durable(later, "spans")]
+    starts = F.shiftright("at", 8).bitwiseAND(F.lit(255)) + 1
+    spans = [durable(_later(samples, contexts, ["bucket", "context"]).select(*span(starts)), "spans")]
     discard(samples)
 
     several = contexts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     several = durable(several, "several")
     several = contexts.join(several, "bucket", "left_semi")
-    blocks = durable(_blocks(_asked(docs, several, ["bucket", "at", "shape"]), length), "blocks")
+    blocks = durable(_blocks(_asked(docs, several), length), "blocks")
     discard(contexts)
-    hulls = durable(_ranked(blocks, ["bucket", "core", "hull"], "n"), "hulls")
+    hulls = durable(_ranked(blocks, ["bucket", "core", "hull"]), "hulls")
     collect_garbage(docs.sparkSession)
-    spans.append(durable(_later(blocks, hulls, ["bucket", "core", "hull"]).select("doc", "at", "n"), "spans"))
+    spans.append(durable(_later(blocks, hulls, ["bucket", "core", "hull"]).select(*span(F.col("at").bitwiseAND(F.lit(0xFFFF)))), "spans"))
     discard(blocks)
 
     apart = hulls.groupBy("bucket", "core").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "core")
     apart = durable(apart, "apart")
     apart = hulls.join(apart, ["bucket", "core"], "left_semi")
-    strings = durable(_strings(_asked(docs, apart, ["bucket", "at", "n"]), length), "strings")
+    strings = durable(_strings(_asked(docs, apart), length), "strings")
     discard(hulls)
     firsts = durable(_ranked(strings, ["bucket", "string"]).where("seen > 1"), "firsts")
-    later = _later(strings, firsts, ["bucket", "string"]).select("doc", "at", F.lit(1).cast("long").alias("n"))
-    spans.append(durable(later, "spans"))
+    spans.append(durable(_later(strings, firsts, ["bucket", "string"]).select(*span(F.lit(1))), "spans"))
     discard(strings, firsts)
 
     every = spans[0].union(spans[1]).union(spans[2])
-    start = F.shiftright("at", 16)
-    span = F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end"))
-    return every.groupBy("doc", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("tag")).agg(F.collect_list(span).alias("spans"))
+    return every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGTH, k: int = K) -> DataFrame:
     """``(id, n_bytes, kept binary, spans)``; ids are integers, spans merged byte ranges."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).alias("tag"), text.alias("text"))
-    found = repeated_spans(src, length, k).select(F.col("doc").alias("doc_"), F.col("tag").alias("tag_"), "spans")
-    joined = src.join(found.hint("shuffle_hash"), (F.col("doc") == F.col("doc_")) & (F.col("tag") == F.col("tag_")), "left").select("doc", "text", "spans")
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    found = repeated_spans(src, length, k)
+    joined = src.join(found.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "spans")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

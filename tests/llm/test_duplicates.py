@@ -57,6 +57,27 @@ def test_repeats_of_equal_rows(docs_of, edge_rows):
     assert kept[6] == 0 and kept[5] > 0
 
 
+def text_hash(spark, texts):
+    """The hash by which rows that share an id are told apart."""
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    return {r.i: r.h for r in frame.selectExpr("i", "xxhash64(coalesce(t, '')) AS h").collect()}
+
+
+def test_repeats_of_shared_ids(spark, docs_of):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    text = lambda: " ".join(word() for _ in range(rng.randint(0, 30))) + rng.choice(["", passage, passage[40:], passage[:180]])
+    rows = [(rng.choice([None, 7, 8]), text()) for _ in range(400)] + [(None, text()) for _ in range(2000)] + [(9, passage)] * 3
+    hashes = text_hash(spark, [t for _, t in rows])
+    order = [((-1 if i is None else i, hashes[k]), t) for k, (i, t) in enumerate(rows)]
+    # Equal rows are one document: the second would repeat the first.
+    want = {tuple(x[0]): x[1:] for x in brute_repeats(list(dict.fromkeys(order)))}
+    got = suffix_dedup.remove_repeats(docs_of(rows)).collect()
+    told = sorted((str(r.doc_id), r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got)
+    assert told == sorted((str(rows[k][0]), *want[key]) for k, (key, _) in enumerate(order))
+
+
 def test_segments(monkeypatch):
     data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
     monkeypatch.setattr(suffix_dedup, "_SEGMENT", 700)
