@@ -2,17 +2,26 @@
 
 An Aho-Corasick automaton enumerates every vocabulary piece that ends at each character;
 dynamic programming carries the best path score and its number of pieces, never the path.
-Tie rule of the tokenizer: at each end a later candidate must be strictly better, and
-candidates come by start, so among equal scores the longest piece wins. A character that
-is no piece itself costs the lowest score minus 10 and counts one token per UTF-8 byte with
-byte fallback; without it, a run of such characters counts one token.
-
-Scores are summed in double precision, which is exact for the integer scores of the
-vocabulary files used here; a tokenizer that sums in single precision agrees as long as its
-sums stay below 2**24. No piece has a space after another character, so best paths split at
-words, and a bounded memo per worker keeps the counts of words.
-
-Defined results: a null or empty text has 0 tokens and score 0; repeated rows each come back.
+Tie rule of the tokenizer: candidates come by start and a later one must be strictly better,
+so among equal scores the longest piece wins. A character that is no piece itself costs the
+lowest score minus 10 and counts one token per UTF-8 byte with byte fallback; without it, a
+run of such characters counts one token.
+
+The tokenizer keeps scores in single precision, and so does this: a candidate is compared as
+it is, but the best of a character is rounded when it is kept, which decides between paths
+once a long text's score exceeds 2**24. Pieces with a reserved score (the runs of white space
+at -1e9 that a byte-pair vocabulary lists for its own use) are no unigram pieces: with them
+every sum would be lost in rounding. Over the pieces that remain, counts of whole texts equal
+those of the tokenizer.
+
+No piece has a space after another character, so best paths split at words, and a bounded
+memo per worker keeps the counts of words. What a word adds depends on the score before it
+only by the rounding: by the power of two it lies under and whether its last digit is odd. So
+there is one memo for scores under 2**24, which whole scores reach exactly, and two for each
+power beyond; a word on the way from one power to the next is counted anew.
+
+Defined results: a null or empty text has 0 tokens and score 0; a text of any length is one
+row; repeated rows each come back; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +29,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import frexp
+from struct import pack, unpack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,41 +41,67 @@ from larder.llm.common import table
 from larder.llm.sentencepiece_codec import MEMO_WORDS, MODEL, model_file
 
 UNKNOWN_COST = 10.0
+#: Pieces that score no more are not of the unigram vocabulary.
+RESERVED = -1e8
 _MARK = "▁"
 
 
+#: Whole numbers below are exact in single precision.
+_EXACT = float(1 << 24)
+
+
+def _single(value: float) -> float:
+    """The nearest single-precision number."""
+    return unpack("f", pack("f", value))[0]
+
+
+def _single_whole(value: float) -> float:
+    """The same for a whole number that is not positive."""
+    if value > -_EXACT:
+        return value
+    unit = 2.0 ** (frexp(value)[1] - 24)
+    return round(value / unit) * unit
+
+
 class CountingViterbi:
-    """Piece counts under ``pieces``: text of a piece to its score."""
+    """Piece counts under ``pieces``, text of a piece to its score; those of ``chosen`` are
+    user-defined symbols, which the tokenizer prefers."""
 
-    def __init__(self, pieces: dict[str, float], byte_fallback: bool = True):
+    def __init__(self, pieces: dict[str, float], byte_fallback: bool = True, chosen: frozenset[str] = frozenset()):
         import ahocorasick
 
+        best = max(pieces.values(), default=0.0)
+        scores = {p: len(p.encode()) * best - 0.1 if p in chosen else s for p, s in pieces.items()}
         self.automaton = ahocorasick.Automaton()
-        for piece, score in pieces.items():
+        for piece, score in scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.singles = {p for p in pieces if len(p) == 1}
-        self.unknown = min(pieces.values()) - UNKNOWN_COST
+        self.unknown = _single(min(pieces.values(), default=0.0) - UNKNOWN_COST)
         self.byte_fallback = byte_fallback
-        self.memo: dict[str, tuple[int, float]] = {}
-        self.splits = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
+        self.memos: dict[tuple[float, int], dict[str, tuple[int, float, float]]] = {}
+        whole = all(s <= 0 and s == int(s) for s in (*scores.values(), self.unknown))
+        self.single = _single_whole if whole else _single
+        self.splits = whole and byte_fallback and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self.split = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+").findall
 
-    def chunk(self, text: str) -> tuple[int, float]:
-        """Count and score of the best path over ``text``, which is normalised."""
-        n = len(text)
-        score, count, length, odd = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+    def chunk(self, text: str, before: float = 0.0) -> tuple[int, float, float]:
+        """Count and end score of the best path over ``text``, which is normalised, from the
+        score ``before``, and how far below that any kept score lies."""
+        n, single, reach = len(text), self.single, before
+        score, count, odd = [before] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             ends[end].append(match)
         for end in range(1, n + 1):
-            best, took, unknown = None, 0, False
+            best, took, unknown = None, 1, False
+            # The automaton gives longer matches first, as the tokenizer meets them.
             for size, own in ends[end - 1]:
                 cand = score[end - size] + own
-                if best is None or cand > best or (cand == best and size > took):
-                    best, took = cand, size
+                if best is None or cand > best:
+                    best, took = single(cand), size
             if text[end - 1] not in self.singles:
-                cand = score[end - 1] + self.unknown
+                cand = single(score[end - 1] + self.unknown)
                 if best is None or cand > best:
                     best, took, unknown = cand, 1, True
             start = end - took
@@ -74,27 +111,38 @@ class CountingViterbi:
                 more = len(text[start].encode("utf-8", "surrogatepass"))
             else:
                 more = 0 if odd[start] else 1
-            score[end], count[end], length[end], odd[end] = best, count[start] + more, took, unknown
-        return count[n], score[n]
+            score[end], count[end], odd[end] = best, count[start] + more, unknown
+            if best < reach:
+                reach = best
+        return count[n], score[n], before - reach
 
     def text(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         text = _MARK + text.replace(" ", _MARK)
-        if not self.splits or not self.byte_fallback:
-            return self.chunk(text)
-        tokens, total, memo = 0, 0.0, self.memo
+        if not self.splits:
+            return self.chunk(text)[:2]
+        tokens, score, limit, unit = 0, 0.0, _EXACT, 0.0
+        memo = self.memos.setdefault((0.0, 0), {})
         for word in self.split(text):
             found = memo.get(word)
-            if found is None:
-                found = self.chunk(word)
-                if len(word) <= 64:
+            if found and score - found[2] > -limit:
+                tokens += found[0]
+                score += found[1]
+            else:
+                more, end, reach = self.chunk(word, score)
+                if score - reach > -limit and len(word) <= 64:
                     if len(memo) >= MEMO_WORDS:
                         memo.clear()
-                    memo[word] = found
-            tokens += found[0]
-            total += found[1]
-        return tokens, total
+                    memo[word] = (more, end - score, reach)
+                tokens += more
+                score = end
+            if score <= -_EXACT:
+                if score <= -limit or not unit:
+                    power = frexp(score)[1]
+                    limit, unit = 2.0**power, 2.0 ** (power - 24)
+                memo = self.memos.setdefault((unit, int(score / unit) & 1), {})
+        return tokens, score
 
 
 @lru_cache(1)
@@ -103,12 +151,13 @@ def _viterbi(model: str) -> CountingViterbi:
 
     with open(model_file(model), "rb") as f:
         proto = pb.ModelProto.FromString(f.read())
-    normal = {p.piece: p.score for p in proto.pieces if p.type in (pb.ModelProto.SentencePiece.NORMAL, pb.ModelProto.SentencePiece.USER_DEFINED)}
-    return CountingViterbi(normal, proto.trainer_spec.byte_fallback)
+    kinds = pb.ModelProto.SentencePiece
+    known = {p.piece: p.score for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED) and p.score > RESERVED}
+    return CountingViterbi(known, proto.trainer_spec.byte_fallback, frozenset(p.piece for p in proto.pieces if p.type == kinds.USER_DEFINED))
 
 
 def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", model=MODEL) -> DataFrame:
-    """``(id, n_tokens, score)``: the pieces of ``model`` taken as a unigram vocabulary."""
+    """``(id, n_tokens, score)``: the pieces of ``model`` above RESERVED as a unigram vocabulary."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,28 +162,48 @@ def test_encode_table(docs_of, edge_rows):
     assert sentencepiece_codec.encode_pieces(docs_of([])).count() == 0
 
 
-def test_viterbi_equals_library(docs_of, edge_rows):
+def unigram_library(least=token_counts.RESERVED):
+    """The library over the pieces that score more than ``least``, and these."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     with open(sentencepiece_codec.model_file(sentencepiece_codec.MODEL), "rb") as f:
         proto = pb.ModelProto.FromString(f.read())
-    # Single precision holds the sums of short texts once the scores of -1e9 are out of the vocabulary.
-    few = [p for p in proto.pieces if p.score > -1e8]
+    few = [p for p in proto.pieces if p.score > least]
     del proto.pieces[:]
     proto.pieces.extend(few)
     proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
-    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    ours = token_counts.CountingViterbi({p.piece: p.score for p in few if p.type == 1})
-    texts = [r.text[:300] for r in docs_of([(1, "x")]).sparkSession.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
-    for t in texts + odd_texts():
-        if "▁" not in t:
-            assert ours.text(t)[0] == len(library.encode(t))
-    assert ours.chunk("▁" + "a b a".replace(" ", "▁")) == ours.text("a b a")
+    return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), {p.piece: p.score for p in few if p.type == 1}
+
+
+def test_viterbi_equals_library(docs_of, edge_rows):
+    library, pieces = unigram_library()
+    ours = token_counts.CountingViterbi(pieces)
+    for t in odd_texts():
+        assert ours.text(t)[0] == len(library.encode(t))
+    assert ours.chunk("▁" + "a b a".replace(" ", "▁"))[:2] == ours.text("a b a")
     assert token_counts.count_tokens(docs_of(edge_rows)).where("n_tokens = 0").count() == 3
     assert token_counts.count_tokens(docs_of([])).count() == 0
 
 
+def test_token_counts_of_whole_texts(spark):
+    library, _ = unigram_library()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in token_counts.op4_token_counts(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r.doc_id: len(library.encode(r.text or "")) for r in docs.collect()}
+
+
+def test_token_counts_beyond_exact_scores():
+    library, pieces = unigram_library()
+    ours = token_counts.CountingViterbi(pieces)
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdeé\n梦") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(30_000))
+    count, score = ours.text(text)
+    assert score < -(2**28) and count == len(library.encode(text)) == ours.chunk("▁" + text.replace(" ", "▁"))[0]
+    assert all(ours.text(text[:n])[0] == len(library.encode(text[:n])) for n in range(10_000, 40_000, 3_001))
+
+
 def test_media(spark, docs_of, edge_rows):
     for size in (64, 64 * 127, 64 * 128, 64 * 129, 64 * 1000):
         payload = random.Random(size).randbytes(size)
