@@ -66,6 +66,32 @@ def test_slots_must_agree(spark, docs_of):
     assert [r.doc_id for r in decontaminate.contaminated(docs_of(rows), bench).collect()] == [1]
 
 
+def brute_chats(turns):
+    """(conv_id, n_turns, n_logged, rendered) of conversations that prefix no other."""
+    key = lambda t: tuple((x is not None, x) for x in t)
+    chats = {}
+    for k, (i, *turn) in enumerate(turns):
+        chats.setdefault((i is None, i, k if i is None else 0), []).append(tuple(turn))
+    said = {c: [t[1:] for t in sorted(ts, key=lambda t: [(x is not None, x if x is not None else 0) for x in t])] for c, ts in chats.items()}
+    groups = {}
+    for c, ts in said.items():
+        groups.setdefault(tuple(map(key, ts)), []).append(c)
+    show = lambda ts: "\n".join(f"<|im_start|>{'user' if r is None else r}\n{t or ''}<|im_end|>" for r, t in ts)
+    alone = [g for g in groups if not any(len(h) > len(g) and h[: len(g)] == g for h in groups)]
+    return sorted(((min(groups[g])[1], len(g), len(groups[g]), show(said[groups[g][0]])) for g in alone), key=str)
+
+
+def test_chats_equal_brute_force(spark):
+    rng = random.Random(17)
+    text = lambda: rng.choice([None, "", "yes", "no", "long " * 20_000])
+    turns = [(rng.choice([None, *range(30)]), rng.choice([None, 0, 1, 2, 3]), rng.choice([None, "user", "assistant"]), text()) for _ in range(120)]
+    turns += [(40, k, "user", "same") for k in range(4)] + [(41, k, "user", "same") for k in range(3)] + [(42, 0, "user", "tie"), (42, 0, "user", "tie"), (43, 0, "user", "tie")]
+    turns += [(None, 0, "user", "lone")] * 500 + [(44, 0, "user", "lone")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("h1", F.lit("clash"))
+    got = chat.format_chats(df).select("conv_id", "n_turns", "n_logged", "rendered").collect()
+    assert sorted(map(tuple, got), key=str) == brute_chats(turns)
+
+
 def plain_tokens(text):
     """(word, placeholder) of each token, by another way than the job's."""
     mark = regex.sub(r"(?<=[\p{Ll}\p{N},]\s)(?=\p{Lu})", "\x01", text or "")
