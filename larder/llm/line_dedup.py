@@ -7,9 +7,10 @@ before their shuffle, so a line that every document holds is no hot task; the jo
 is an equi-join against one row per frequent key, whose many-rows side adaptive execution
 splits. Only the positions to drop travel to the documents.
 
-Defined results: a null or empty text is one empty line; rows with an equal doc_id count
-as one document; rows with a null doc_id are never counted and lose frequent lines;
-repeated rows each come back.
+Defined results: a null or empty text is one empty line; a text of any length is split whole;
+rows with an equal doc_id count as one document; rows with a null doc_id are never counted
+and lose frequent lines; repeated rows each come back; an empty table gives no rows; input
+columns named like the three that are added give way to them, others may have any names.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN
     drops = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
     left = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
     left = left.withColumn("_h", F.xxhash64("_t"))
-    joined = left.join(drops, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    # The text side is hashed, not sorted.
+    joined = left.join(drops.hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     lines = _lines(F.col("_t"))
     whole = F.coalesce(F.col("_t"), F.lit(""))
     left_over = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_drop"))
