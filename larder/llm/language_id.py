@@ -8,11 +8,14 @@ Decoding sums each bit's logistic loss, weighted by how far apart the bit's two
 training, and takes the codeword of least loss. A document whose second codeword is almost
 as near as the first (odds above AMBIGUOUS) is flagged ambiguous.
 
-The model is as large as languages x BUCKETS, whatever the corpus, and travels with the task.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; rows without
-a label never train; with no labelled row at all everything is ``und``; ties go to the
-language that sorts first; repeated rows each come back (and each train).
+Languages are the LANGUAGES labels with the most labelled rows, counted over all of them, so
+a column of stray labels makes no model without bound. The model is at most as large as
+2 x LANGUAGES bits x BUCKETS, whatever the corpus, and travels with the task.
+
+Defined results: null texts and texts without a letter are ``und`` with score 0; very long
+texts count whole; rows without a label never train; with no labelled row at all everything
+is ``und``; ties go to the language that sorts first; repeated rows each come back (and each
+train); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import types as T
 from larder.llm.common import table
 
 BUCKETS = 1 << 13
+#: Labels that a model learns at most.
+LANGUAGES = 256
 SHARPNESS = 8.0
 AMBIGUOUS = 0.9
 UND = "und"
@@ -59,7 +64,7 @@ def codewords(n: int) -> np.ndarray:
     if n <= 7:
         splits = [s for k in range(1, n) for s in combinations(range(n), k) if 0 in s]
         return np.array([[1 if i in s else -1 for s in splits] for i in range(n)], np.int8)
-    order = 1 << max(4, n.bit_length() + 1)
+    order = 1 << max(4, n.bit_length())
     bits = np.array([[(i & j).bit_count() & 1 for j in range(1, order)] for i in range(1, n + 1)])
     return (1 - 2 * bits[:, (bits.min(0) != bits.max(0))]).astype(np.int8)
 
@@ -79,7 +84,7 @@ class CodeModel:
             ones, zeros = rate[bit > 0].mean(0), rate[bit < 0].mean(0)
             logs.append(np.log(ones / zeros))
             self.trust.append(float(((ones - zeros) * logs[-1]).sum()))
-        self.weights = np.stack(logs)
+        self.weights = np.stack(logs).astype(np.float32)
         self.trust = np.array(self.trust) / max(sum(self.trust), 1e-12)
         expected = rate @ self.weights.T
         self.centre = np.array([(e[b > 0].mean() + e[b < 0].mean()) / 2 for e, b in zip(expected.T, self.code.T, strict=True)])
@@ -92,7 +97,7 @@ class CodeModel:
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
         grams = _grams(text)
-        margins = (self.weights @ grams / grams.sum() - self.centre) / self.width
+        margins = (self.weights @ grams.astype(np.float32) / grams.sum() - self.centre) / self.width
         losses = (np.logaddexp(0, -SHARPNESS * self.code * margins) * self.trust).sum(1)
         odds = np.exp(losses.min() - losses)
         best = int(losses.argmin())
@@ -100,9 +105,16 @@ class CodeModel:
         return self.languages[best], score, bool(np.partition(odds, -2)[-2] > AMBIGUOUS)
 
 
-def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``(lang, bucket, n)`` over all rows; partitions sum up before the shuffle."""
-    src = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+def languages_of(labelled: DataFrame, lang_col: str, n: int) -> list[str]:
+    """The ``n`` labels with the most rows, ties by name."""
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    return [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(n).collect()]
+
+
+def gram_counts(labelled: DataFrame, text_col: str, lang_col: str, languages: int = LANGUAGES) -> DataFrame:
+    """``(lang, bucket, n)`` over all rows of at most ``languages`` labels; partitions sum up before the shuffle."""
+    known = languages_of(labelled, lang_col, languages)
+    src = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(known) & F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -116,9 +128,10 @@ def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return src.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, text_col="text", lang_col="lang") -> CodeModel:
+def fit(labelled: DataFrame, text_col="text", lang_col="lang", languages: int = LANGUAGES) -> CodeModel:
+    """The model of at most ``languages`` labels; their counts, one row a label and bucket, come to the driver."""
     counts: dict[str, np.ndarray] = {}
-    for row in gram_counts(labelled, text_col, lang_col).toLocalIterator():
+    for row in gram_counts(labelled, text_col, lang_col, languages).toLocalIterator():
         counts.setdefault(row["lang"], np.zeros(BUCKETS))[row["bucket"]] = row["n"]
     return CodeModel(counts)
 

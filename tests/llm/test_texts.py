@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,6 +267,68 @@ def test_language_id(spark, docs_of, edge_rows):
         assert len({tuple(x) for x in code.tolist()}) == n
 
 
+def brute_languages(rows, labelled):
+    """(lang_pred, score) of each text, by dictionaries and sums over all code bits."""
+
+    def grams(text):
+        data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()]
+        found = Counter()
+        for i in range(len(data)):
+            h = 0
+            for n in range(1, 5):
+                if i + n > len(data):
+                    break
+                h = (h * 0x01000193 ^ data[i + n - 1]) & 0xFFFFFFFF
+                found[((h * 2654435761 + n) & 0xFFFFFFFF) >> 19] += 1
+        return found
+
+    counts = {}
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    names = sorted(counts)
+    code = language_id.codewords(len(names)).tolist()
+    rate = []
+    for x in names:
+        total = sum(counts[x].values()) + 0.5 * 8192
+        rate.append([(counts[x][k] + 0.5) / total for k in range(8192)])
+    bits = []
+    for j in range(len(code[0])):
+        sides = {s: [r for r, c in zip(rate, code, strict=True) if c[j] == s] for s in (1, -1)}
+        mean = {s: [sum(col) / len(rs) for col in zip(*rs, strict=True)] for s, rs in sides.items()}
+        weight = [math.log(a / b) for a, b in zip(mean[1], mean[-1], strict=True)]
+        at = {s: sum(sum(w * r for w, r in zip(weight, row, strict=True)) for row in rs) / len(rs) for s, rs in sides.items()}
+        bits.append((weight, (at[1] + at[-1]) / 2, (at[1] - at[-1]) / 2, sum((a - b) * w for a, b, w in zip(mean[1], mean[-1], weight, strict=True))))
+    trust = sum(b[3] for b in bits)
+    out = []
+    for text in rows:
+        if text is None or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0))
+            continue
+        g = grams(text)
+        margin = [(sum(w[k] * n for k, n in g.items()) / sum(g.values()) - c) / r for w, c, r, _ in bits]
+        loss = [sum(math.log1p(math.exp(-8 * s * m)) * b[3] / trust for s, m, b in zip(word, margin, bits, strict=True)) for word in code]
+        odds = [math.exp(min(loss) - x) for x in loss]
+        best = loss.index(min(loss))
+        out.append((names[best], odds[best] / sum(odds)))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    told = {r.doc_id: r for r in language_id.op9_language_id(spark, DATA).collect()}
+    want = brute_languages([r.text for r in rows], train)
+    assert all(told[r.doc_id].lang_pred == lang and abs(told[r.doc_id].score - score) < 1e-3 for r, (lang, score) in zip(rows, want, strict=True))
+    assert all(told[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_stray_labels_make_no_large_model(spark, docs_of):
+    docs = docs_of([*[(i, "some words of a text", f"x{i}") for i in range(60)], *[(100 + i, "the plain words of it", "en") for i in range(3)], *[(200 + i, "die worte von allem", "de") for i in range(2)]])
+    assert language_id.fit(docs, languages=3).languages == ["de", "en", "x0"]
+    assert len({tuple(x) for x in language_id.codewords(256).tolist()}) == 256
+
+
 PAGE = (
     "<html><head><title>t</title><script>x='</p>'</script></head><body><nav><ul><li>menu</ul></nav><div class='cookie-notice'>ok?</div>"
     "<article><h1>Head &amp; {0}</h1><p><b>One {0}<br>two<p>three&nbsp;  four</p><div class=ad>buy</div><form>mail</form><section id=comments><p>first!</section></article>"
