@@ -80,7 +80,7 @@ def status_rank(status: Column) -> Column:
 
 def type_label(product_type: Column) -> Column:
     t = F.coalesce(missing(product_type), F.lit("food"))
-    return F.when(t == "food", "Food").when(t == "petfood", "Pet food").when(t == "beauty", "Beauty").otherwise("Household")
+    return F.when(t == "food", "Food").when(t == "petfood", "Pet food").when(t == "beauty", "Cosmetics").otherwise("Household and others")
 
 
 def verdict(badge_cls: Column) -> Column:

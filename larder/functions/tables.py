@@ -20,7 +20,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 _written: set[str] = set()
-_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,19 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A folder of its own in the shared folder.
+
+    It goes at the end of the ``scratch`` around the call, with ``keep`` at that of the next
+    one around, else when the driver's program ends.
+    """
+    path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, gives the optimiser the true size, and lets a join that follows
     an aggregation on the same keys be split where a key is hot. A lost executor costs a
-    re-read. The table goes at the end of the ``scratch`` around the call, else when the
-    driver's program ends.
+    re-read. How long the table stays is told at ``new_path``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
-    _written.add(path)
-    if (scope := _scope.get()) is not None:
-        scope.append(path)
+    path = new_path(spark, name, keep)
     # Not zstd: its native contexts are freed only by the garbage collector, outside the heap.
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,12 +77,12 @@ def delete(path: str) -> None:
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes the tables that ``durable`` writes within; for a job that ends with a write."""
-    token = _scope.set([])
+    token = _scopes.set((*_scopes.get(), []))
     try:
         yield
     finally:
-        paths = _scope.get()
-        _scope.reset(token)
+        paths = _scopes.get()[-1]
+        _scopes.reset(token)
         for path in paths:
             if path in _written:
                 delete(path)

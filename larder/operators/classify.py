@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import cap, family, norm, status_rank, title_case, tokens
-from larder.functions.tables import BROADCAST_ROWS, durable, small_side
+from larder.functions.tables import durable, is_small, small_side
 from larder.sources.lexicon import ECODE_STAGE, build_lexicon
 
 def n_grams(words: Column, longest: int) -> Column:
@@ -27,14 +27,14 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
     few words make up most of all labels; stage and list order are the sort key of one
     aggregated minimum. The told vocabulary is written before it meets the rows: a small one
     is then broadcast and the rows are not shuffled; a large one is joined by a shuffle that
-    is split at words that very many labels share.
+    is split at words that very many labels share. The rows are written too, so that a label
+    is parsed once for both.
     """
-    table = build_lexicon(lex).persist()
-    longest, size = table.agg(F.max("n_tokens"), F.count("*")).first()
-    phrases = table.select("family", "phrase", "best")
-    phrases = F.broadcast(phrases) if size <= BROADCAST_ROWS else phrases
+    table = durable(build_lexicon(lex), "lexicon")
+    longest = table.agg(F.max("n_tokens")).first()[0]
+    phrases = small_side(table.select("family", "phrase", "best"))
     rows = ingredients.withColumn("family", family(F.col(type_col))).withColumn("_code", e_code(F.col("raw")))
-    rows = rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code")))
+    rows = durable(rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code"))), "ingredients")
     vocabulary = rows.select("family", "norm", F.coalesce("_code", F.lit("")).alias("code")).distinct()
     grams = vocabulary.select("*", F.explode_outer(n_grams(tokens(F.col("norm")), longest or 1)).alias("phrase"))
     hits = grams.join(phrases, ["family", "phrase"], "left")
@@ -42,7 +42,7 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
 
     known = lex["enumbers"].withColumn("low", F.lower("code"))
     first = known.groupBy("low").agg(F.min(F.struct("seq", "code", "name", "risk")).alias("e"))
-    best = best.join(F.broadcast(first), F.concat(F.lit("e"), F.nullif("code", F.lit(""))) == F.col("low"), "left")
+    best = best.join(small_side(first), F.concat(F.lit("e"), F.nullif("code", F.lit(""))) == F.col("low"), "left")
     shown = F.concat(F.lit("E"), F.upper("code"))
     by_code = (F.col("code") != "") & (F.col("best").isNull() | (F.col("best.stage") > ECODE_STAGE))
     risk, code = F.coalesce("e.risk", F.lit("caution")), F.coalesce("e.code", shown)
@@ -57,34 +57,45 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
         F.col("code").alias("_c"),
         pick(risk, "status", "unknown").alias("status"),
         pick(F.concat(F.lit("e"), cap(risk)), "grp", "unknown").alias("grp"),
-        pick(F.concat(F.lit("Food additive "), code), "reason", "Not catalogued yet").alias("reason"),
+        pick(F.concat(F.lit("Additive by number, "), code), "reason", "In no list").alias("reason"),
         pick(F.coalesce("e.name", F.concat(F.lit("Additive "), shown)), "name", None).alias("name"),
         pick(code, "code", None).alias("enumber"),
         pick(null, "additive_id", None).alias("additive_id"),
     )
-    told = durable(told, "vocabulary")
+    told = small_side(durable(told, "vocabulary"))
     on = (F.col("family") == F.col("_f")) & (F.col("norm") == F.col("_n")) & (F.coalesce("_code", F.lit("")) == F.col("_c"))
     return rows.join(told, on).drop("_f", "_n", "_c", "_code")
 
 
 def ingredient_detail(classified: DataFrame, lex: dict[str, DataFrame]) -> DataFrame:
-    """What is told about each ingredient: its additive record, else its group, and bans."""
-    a = lex["additives"].select(F.col("id").alias("_id"), F.get("names", F.lit(0)).alias("_first"), F.col("category").alias("_category"), F.col("summary").alias("_summary"))
-    g = lex["groups"].select(F.col("grp").alias("_grp"), F.col("category").alias("_gcategory"), F.col("summary").alias("_gsummary"))
-    other = g.where("_grp = 'unknown'").select(F.col("_grp").alias("_other"), F.col("_gcategory").alias("_ocategory"), F.col("_gsummary").alias("_osummary"))
-    b = lex["banned"].select(F.col("additive_id").alias("_bid"), "note")
-    c = classified.join(small_side(a), F.col("additive_id") == F.col("_id"), "left").join(small_side(g), F.col("grp") == F.col("_grp"), "left")
-    c = c.withColumn("_fallback", F.when(F.col("_grp").isNull(), "unknown")).join(F.broadcast(other), F.col("_fallback") == F.col("_other"), "left")
-    c = c.join(small_side(b), F.col("additive_id") == F.col("_bid"), "left")
+    """What is told about each ingredient: its additive record with bans, else its group, with
+    what it is, why it is flagged, its effects and the studies of either."""
+    studies = F.sort_array(F.collect_list(F.struct("seq", "title", "source", "year")))
+    read = lex["studies"].groupBy("kind", "key").agg(studies.alias("studies"))
+    of = lambda kind: read.where(F.col("kind") == kind).select(F.col("key").alias("_key"), "studies")
+
+    a = lex["additives"].select(
+        F.col("id").alias("_id"), F.get("names", F.lit(0)).alias("_first"), F.struct("category", "summary", "what_is", "why_flagged", F.col("health_risk").alias("effects")).alias("_told")
+    )
+    a = a.join(of("additive"), F.col("_id") == F.col("_key"), "left").join(lex["banned"].select(F.col("additive_id").alias("_bid"), "note"), F.col("_id") == F.col("_bid"), "left")
+    a = a.select("_id", "_first", F.struct("_told.*", F.col("studies")).alias("_additive"), "note")
+    g = lex["groups"].join(lex["group_details"], "grp", "left").join(of("group"), F.col("grp") == F.col("_key"), "left")
+    g = g.select(F.col("grp").alias("_grp"), F.struct("category", "summary", "what_is", "why_flagged", "effects", "studies").alias("_group"))
+    known = small_side(g)
+    other = small_side(g.where("_grp = 'unknown'").select(F.col("_grp").alias("_other"), F.col("_group").alias("_rest")))
+    c = classified.join(small_side(a), F.col("additive_id") == F.col("_id"), "left").join(known, F.col("grp") == F.col("_grp"), "left")
+    c = c.withColumn("_fallback", F.when(F.col("_grp").isNull(), "unknown")).join(other, F.col("_fallback") == F.col("_other"), "left")
+    told = F.coalesce("_additive", "_group", "_rest")
     return c.select(
         "product_id",
         "pos",
         title_case(F.coalesce("_first", "name", "raw")).alias("title"),
-        F.coalesce("_category", "_gcategory", "_ocategory").alias("category"),
+        told["category"].alias("category"),
         F.coalesce("enumber", F.lit("")).alias("enumber"),
         "status",
-        F.coalesce("_summary", "_gsummary", "_osummary").alias("summary"),
+        *[told[k].alias(k) for k in ("summary", "what_is", "why_flagged", "effects")],
         F.coalesce("note", F.lit("")).alias("banned"),
+        F.coalesce(told["studies"], F.array().cast("array<struct<seq:int,title:string,source:string,year:int>>")).alias("studies"),
     )
 
 
@@ -104,12 +115,18 @@ def unknown_terms(classified: DataFrame) -> DataFrame:
     return rows.groupBy("norm").agg(F.count("*").alias("n_rows"), F.count_distinct("product_id").alias("n_products"))
 
 
-def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms: DataFrame, mode: str = "token") -> DataFrame:
-    """``(user_id, product_id, profile_key, hits)``: the first four raw hits in label order.
+#: Keywords that may be looked for as substrings; each is held against every distinct word.
+SUBSTRINGS = 10_000
+
 
-    The match of ingredients and keywords runs once per vocabulary word and profile key and
-    only then meets the users, so it doesn't grow with them.
+def alert_hits(ingredients: DataFrame, allergen_terms: DataFrame, mode: str = "token") -> DataFrame:
+    """``(product_id, profile_key, hits)``: the first four raw hits in label order.
+
+    Keywords are matched with the distinct vocabulary only. ``mode="token"`` is an equi-join
+    of whole words; ``mode="substring"`` holds every word against every distinct keyword and
+    is refused beyond SUBSTRINGS keywords.
     """
+    ingredients = durable(ingredients.select("product_id", "pos", "raw", "norm"), "labels")
     words = ingredients.select("norm").distinct()
     terms = allergen_terms.withColumn("term", F.array_join(tokens(norm(F.col("phrase"))), " ")).where("term <> ''")
     if mode == "token":
@@ -117,9 +134,25 @@ def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms:
         grams = words.select("norm", F.explode(n_grams(tokens(F.col("norm")), longest)).alias("term"))
         matched = grams.join(small_side(terms.select("profile_key", "term").distinct()), "term")
     else:
-        keywords = small_side(allergen_terms.select("profile_key", F.lower("phrase").alias("term")))
-        matched = words.join(keywords, F.contains(F.col("norm"), F.col("term")))
-    matched = durable(matched.select("norm", "profile_key").distinct(), "alert_words")
+        keywords = allergen_terms.select(F.lower("phrase").alias("term")).distinct()
+        if not is_small(keywords, SUBSTRINGS):
+            raise ValueError(f"more than {SUBSTRINGS} keywords cannot be looked for as substrings; use mode='token'")
+        found = words.join(F.broadcast(keywords), F.contains(F.col("norm"), F.col("term")))
+        matched = found.join(small_side(allergen_terms.select("profile_key", F.lower("phrase").alias("term")).distinct()), "term")
+    matched = small_side(durable(matched.select("norm", "profile_key").distinct(), "alert_words"))
     hits = ingredients.join(matched, "norm").groupBy("product_id", "profile_key").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("h"))
-    hits = hits.select("product_id", "profile_key", F.transform(F.slice("h", 1, 4), lambda x: x["raw"]).alias("hits"))
-    return profiles.join(hits, "profile_key").select("user_id", "product_id", "profile_key", "hits")
+    return hits.select("product_id", "profile_key", F.transform(F.slice("h", 1, 4), lambda x: x["raw"]).alias("hits"))
+
+
+def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms: DataFrame, mode: str = "token", pairs: DataFrame | None = None) -> DataFrame:
+    """``(user_id, product_id, profile_key, hits)`` for the ``pairs (user_id, product_id)`` asked for.
+
+    The pairs meet the users' few profile keys first and then, by product and key, the hits:
+    no profile key, which very many users and products share, is a join key by itself.
+    Without pairs every user meets every product that has hits, which grows with both.
+    """
+    hits = alert_hits(ingredients, allergen_terms, mode)
+    if pairs is None:
+        return profiles.join(hits, "profile_key").select("user_id", "product_id", "profile_key", "hits")
+    asked = pairs.select("user_id", "product_id").distinct().join(profiles.select("user_id", "profile_key").distinct(), "user_id")
+    return asked.join(hits, ["product_id", "profile_key"]).select("user_id", "product_id", "profile_key", "hits")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import missing, round1
+from larder.functions.tables import durable, small_side
 
 LOWER_IS_BETTER = ["Calories", "Sugar", "Salt", "Saturated fat", "Additives"]
 GOOD_ENOUGH, LEAST_GAIN, ALERT_COST, SUGGESTIONS = 75, 8, 12, 4
@@ -22,8 +23,19 @@ def _side(analysis: DataFrame, side: str) -> DataFrame:
     )
 
 
-def compare_products(pairs: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Pairs with the better side, the score delta, label sets and additive counts."""
+def flagged_counts(analysis: DataFrame, classified: DataFrame) -> DataFrame:
+    """``analysis`` with ``flagged_count`` counted from the ingredients where it is missing."""
+    told = analysis if "flagged_count" in analysis.columns else analysis.withColumn("flagged_count", F.lit(None).cast("int"))
+    counts = classified.groupBy("product_id").agg(F.count_if(F.col("status").isin("avoid", "caution")).cast("int").alias("_counted"))
+    return told.join(counts, "product_id", "left").withColumn("flagged_count", F.coalesce("flagged_count", "_counted", F.lit(0))).drop("_counted")
+
+
+def compare_products(pairs: DataFrame, analysis: DataFrame, classified: DataFrame | None = None) -> DataFrame:
+    """Pairs with the better side, the score delta, label sets and additive counts.
+
+    With ``classified`` the additives of products without a flagged count are counted there.
+    """
+    analysis = analysis if classified is None else flagged_counts(analysis, classified)
     p = pairs.join(_side(analysis, "a"), "a_id").join(_side(analysis, "b"), "b_id")
     a, b = F.col("a_score"), F.col("b_score")
 
@@ -59,42 +71,71 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def compare_candidates(history: DataFrame, favorites: DataFrame, alternatives: DataFrame) -> DataFrame:
     """Products one could compare with, per user and product, first source first.
 
-    Inputs ``(user_id, product_id, other_id, other_barcode)``; a product is no candidate
-    for itself, and the first row per barcode, else per product, stays.
+    Inputs ``(user_id, product_id, barcode, other_id, other_barcode, badge_cls)``; a product
+    is no candidate for itself, by id or barcode, one without a badge is none at all, and the
+    first row per barcode, else per product, stays.
     """
     parts = [x.withColumn("source", F.lit(i)) for i, x in enumerate((history, favorites, alternatives))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("product_id <> other_id")
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("badge_cls IS NOT NULL AND product_id <> other_id")
+    rows = rows.where((F.coalesce("barcode", F.lit("")) == "") | ~F.col("barcode").eqNullSafe(F.col("other_barcode")))
     rows = rows.withColumn("key", F.coalesce(missing(F.col("other_barcode")), F.col("other_id").cast("string")))
     return keep_first(rows, ["user_id", "product_id", "key"], ["source", "other_id"]).drop("key")
 
 
-def find_alternatives(analysis: DataFrame, alerts: DataFrame | None = None, for_users: DataFrame | None = None) -> DataFrame:
-    """``(product_id, [user_id,] rank, other_id, other_score, fit)``: the best four of the category.
-
-    Without users, only a category's best five products can be among anyone's best four
-    (one may be the product itself), so the self-join meets five rows per category and no
-    large category is paired with itself. With users, alerts may cost more than the whole
-    score range, so nothing may be cut before the fit is known; candidates are then reduced
-    to one row per (category, set of alert keys, score, id) by the user's own alerts.
-    """
+def _pool_and_need(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What may be suggested, first per barcode, else name, and what needs better ones."""
     known = F.coalesce("category", F.lit("")) != ""
     pool = analysis.where(known & (F.col("n_ingredients") > 0) & (F.coalesce("name", F.lit("")) != ""))
     pool = pool.withColumn("_key", F.coalesce(missing(F.col("barcode")), F.col("name")))
     pool = keep_first(pool.select("category", "_key", "product_id", "score"), ["category", "_key"], ["product_id"])
     need = analysis.where(known & (F.col("score") < GOOD_ENOUGH)).select("product_id", "category", F.col("score").alias("own"), F.coalesce(missing(F.col("barcode")), F.col("name")).alias("own_key"))
-    if for_users is None:
-        top = Window.partitionBy("category").orderBy(F.desc("score"), "product_id")
-        best = pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1)
-        pairs = _pairs(need, best).withColumn("fit", F.col("other_score"))
-        key = ["product_id"]
-    else:
-        costs = alerts.groupBy("user_id", "product_id").agg(F.count("*").alias("n_alerts")).select("user_id", F.col("product_id").alias("other_id"), "n_alerts")
-        pairs = _pairs(need.join(for_users, "product_id"), pool).join(costs, ["user_id", "other_id"], "left")
-        pairs = pairs.withColumn("fit", F.col("other_score") - ALERT_COST * F.coalesce("n_alerts", F.lit(0)))
-        key = ["product_id", "user_id"]
-    order = Window.partitionBy(*key).orderBy(F.desc("fit"), F.desc("other_score"), "other_id")
+    return pool, need
+
+
+def find_alternatives(analysis: DataFrame) -> DataFrame:
+    """``(product_id, rank, other_id, other_score, fit)``: the best four of the category.
+
+    Only a category's best five products can be among anyone's best four (one may be the
+    product itself), so the self-join meets five rows per category and no large category is
+    paired with itself.
+    """
+    pool, need = _pool_and_need(analysis)
+    top = Window.partitionBy("category").orderBy(F.desc("score"), "product_id")
+    best = pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1)
+    pairs = _pairs(need, best).withColumn("fit", F.col("other_score"))
+    order = Window.partitionBy("product_id").orderBy(F.desc("fit"), F.desc("other_score"), "other_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SUGGESTIONS)
-    return ranked.select(*key, "rank", "other_id", "other_score", F.col("fit").cast("int").alias("fit"))
+    return ranked.select("product_id", "rank", "other_id", "other_score", F.col("fit").cast("int").alias("fit"))
+
+
+def find_alternatives_for_users(analysis: DataFrame, hits: DataFrame, profiles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(product_id, user_id, rank, other_id, other_score, fit)`` for ``wanted (user_id, product_id)``.
+
+    Every alert that ``hits (product_id, profile_key)`` raises for a user costs points. Of the
+    products of a category with the same set of keys all cost a user the same, so the best
+    five per category and set are all that can be among the best four. They make one list a
+    category, and each wanted row ranks the list by its user's keys: a row per wanted product
+    goes in and at most four come out, however large the category.
+    """
+    pool, need = _pool_and_need(analysis)
+    sets = hits.groupBy("product_id").agg(F.sort_array(F.collect_set("profile_key")).alias("keys"))
+    none = F.array().cast("array<string>")
+    pool = pool.join(sets, "product_id", "left").withColumn("keys", F.coalesce("keys", none))
+    top = Window.partitionBy("category", "keys").orderBy(F.desc("score"), "product_id")
+    best = pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1)
+    lists = best.groupBy("category").agg(F.collect_list(F.struct("product_id", "score", "_key", "keys")).alias("others"))
+    users = profiles.groupBy("user_id").agg(F.collect_set("profile_key").alias("mine"))
+    rows = need.join(wanted.select("user_id", "product_id").distinct(), "product_id").join(users, "user_id", "left").withColumn("mine", F.coalesce("mine", none))
+    rows = rows.join(small_side(durable(lists, "lists")), "category")
+
+    def ranked(x: Column) -> Column:
+        fit = x["score"] - ALERT_COST * F.size(F.array_intersect(x["keys"], F.col("mine")))
+        return F.struct((-fit).alias("f"), (-x["score"]).alias("s"), x["product_id"].alias("other_id"))
+
+    able = F.filter("others", lambda x: (x["score"] >= F.col("own") + LEAST_GAIN) & (x["_key"] != F.col("own_key")))
+    best = F.slice(F.sort_array(F.transform(able, ranked)), 1, SUGGESTIONS)
+    out = rows.select("product_id", "user_id", F.posexplode(best).alias("rank", "x"))
+    return out.select("product_id", "user_id", (F.col("rank") + 1).alias("rank"), "x.other_id", (-F.col("x.s")).alias("other_score"), (-F.col("x.f")).cast("int").alias("fit"))
 
 
 def _pairs(need: DataFrame, pool: DataFrame) -> DataFrame:

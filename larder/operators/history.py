@@ -6,10 +6,11 @@ scan, or ``mode='events'``, where every eaten event counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import js_round, missing, portion_or_one, title_case
+from larder.functions.tables import small_side
 
 KEPT = 100
 
@@ -32,6 +33,15 @@ def newest_scans(scans: DataFrame, n: int = KEPT) -> DataFrame:
     return upsert_scans(scans).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def save_history(scans: DataFrame, path: str, n: int = KEPT) -> None:
+    """Write what a history keeps, a user's newest ``n`` products, over what was there."""
+    newest_scans(scans, n).write.mode("overwrite").parquet(path)
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def set_logged(changes: DataFrame) -> DataFrame:
     """Latest ``logged`` per user and product of ``(user_id, product_id, scan_id, ts, logged)``; eaten carries its time."""
     last = changes.groupBy("user_id", "product_id").agg(F.max(F.struct("ts", "scan_id", "logged")).alias("x"))
@@ -59,13 +69,16 @@ def scan_insights(scans: DataFrame, analysis: DataFrame, eaten_only: bool = Fals
 
 
 def top_flagged(scans: DataFrame, classified: DataFrame, additives: DataFrame, n: int = 6) -> DataFrame:
-    """Per user the flagged ingredient names in most products, each once per product."""
+    """Per user the flagged ingredient names in most products, each once per product; of equal
+    counts the one met first, going from the newest scan and down its label."""
     first = additives.select(F.col("id").alias("additive_id"), F.get("names", F.lit(0)).alias("_first"))
-    flagged = classified.where(F.col("status").isin("avoid", "caution")).join(F.broadcast(first), "additive_id", "left")
-    flagged = flagged.select("product_id", title_case(F.coalesce("_first", "name", "raw")).alias("title")).distinct()
-    counts = upsert_scans(scans).select("user_id", "product_id").join(flagged, "product_id").groupBy("user_id", "title").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("n"), "title")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    flagged = classified.where(F.col("status").isin("avoid", "caution")).join(small_side(first), "additive_id", "left")
+    flagged = flagged.groupBy("product_id", title_case(F.coalesce("_first", "name", "raw")).alias("title")).agg(F.min("pos").alias("pos"))
+    seen = upsert_scans(scans).select("user_id", "product_id", (-F.unix_micros("ts")).alias("age"), (-F.col("scan_id")).alias("scan"))
+    met = F.min(F.struct("age", "scan", "pos")).alias("met")
+    counts = seen.join(flagged, "product_id").groupBy("user_id", "title").agg(F.count("*").alias("n"), met)
+    order = Window.partitionBy("user_id").orderBy(F.desc("n"), "met", "title")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("met")
 
 
 def daily_targets(health: DataFrame) -> DataFrame:
@@ -98,26 +111,31 @@ def eaten_items(scans: DataFrame, analysis: DataFrame, mode: str = "latest") ->
 
 
 def today_intake(scans: DataFrame, analysis: DataFrame, targets: DataFrame, as_of: Column, mode: str = "latest") -> DataFrame:
-    """What a user ate on the day of ``as_of``, its share of the target, and what remains."""
-    day = F.to_date(as_of)
-    sums = eaten_items(scans, analysis, mode).where(F.col("day") == day).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("kcal", "protein", "carbs", "fat")])
+    """What every user with a target ate on the day of ``as_of``, perhaps nothing, its share
+    of the target, and what remains."""
+    sums = eaten_items(scans, analysis, mode).where(F.col("day") == F.to_date(as_of)).groupBy("user_id")
+    sums = sums.agg(F.count("*").alias("n_items"), *[F.sum(c).alias(c) for c in ("kcal", "protein", "carbs", "fat")])
     t = targets.select("user_id", "target", *[F.col(m).alias(f"target_{m}") for m in ("protein", "carbs", "fat")])
-    pct = lambda a, b: F.least(F.lit(100), js_round(F.col(a) * 100 / F.nullif(F.col(b), F.lit(0)))).cast("int")
-    out = sums.join(t, "user_id")
+    out = t.join(sums, "user_id", "left").fillna(0, ["n_items", "kcal", "protein", "carbs", "fat"])
+    pct = lambda a, b: F.coalesce(F.least(F.lit(100), js_round(F.col(a) * 100 / F.nullif(F.col(b), F.lit(0)))), F.lit(0)).cast("int")
     return out.select(
-        "user_id", "kcal", "protein", "carbs", "fat", "target", pct("kcal", "target").alias("pct"), (F.col("target") - F.col("kcal")).alias("remaining"),
+        "user_id", "n_items", "kcal", "protein", "carbs", "fat", "target", pct("kcal", "target").alias("pct"), (F.col("target") - F.col("kcal")).alias("remaining"),
         *[pct(m, f"target_{m}").alias(f"{m}_pct") for m in ("protein", "carbs", "fat")],
     )
 
 
 def weekly_trend(scans: DataFrame, analysis: DataFrame, targets: DataFrame, as_of: Column, mode: str = "latest") -> DataFrame:
-    """Seven days up to ``as_of`` per user who ate: calories, over target, bar heights."""
+    """Seven days up to ``as_of`` per user who ever ate: calories, over target, bar heights.
+
+    A user who ate before that week only has seven days of nothing.
+    """
     last = F.to_date(as_of)
-    days = eaten_items(scans, analysis, mode).where((F.col("day") > F.date_sub(last, 7)) & (F.col("day") <= last))
-    days = days.groupBy("user_id", "day").agg(F.sum("kcal").alias("kcal"))
-    users = days.groupBy("user_id").agg(F.sum("kcal").alias("all"), F.max("kcal").alias("top")).where(F.col("all") > 0).join(targets.select("user_id", "target"), "user_id", "left")
+    of_week = (F.col("day") > F.date_sub(last, 7)) & (F.col("day") <= last)
+    days = eaten_items(scans, analysis, mode).groupBy("user_id", F.when(of_week, F.col("day")).alias("day")).agg(F.sum("kcal").alias("kcal"))
+    top = F.coalesce(F.max(F.when(F.col("day").isNotNull(), F.col("kcal"))), F.lit(0)).alias("top")
+    users = days.groupBy("user_id").agg(top).join(targets.select("user_id", "target"), "user_id", "left")
     users = users.select("user_id", F.coalesce("target", F.lit(0)).alias("target"), F.greatest(F.coalesce("target", F.lit(0)), "top", F.lit(1)).alias("scale"))
     spine = users.withColumn("day", F.explode(F.sequence(F.date_sub(last, 6), last)))
-    out = spine.join(days, ["user_id", "day"], "left").withColumn("kcal", F.coalesce("kcal", F.lit(0)))
+    out = spine.join(days.where("day IS NOT NULL"), ["user_id", "day"], "left").withColumn("kcal", F.coalesce("kcal", F.lit(0)))
     bar = lambda c: js_round(F.col(c) * 100 / F.col("scale")).cast("int")
     return out.select("user_id", "day", "kcal", ((F.col("target") > 0) & (F.col("kcal") > F.col("target"))).alias("over"), bar("kcal").alias("bar"), bar("target").alias("goal_line"))

@@ -71,14 +71,18 @@ def labels_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("label_id"), "text", (F.col("doc_id") % 100).cast("double").alias("confidence"))
 
 
-def scans_of(events: DataFrame) -> DataFrame:
-    """Events as scans; works on a stream too."""
+def count_products(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
+def scans_of(events: DataFrame, n_products: int) -> DataFrame:
+    """Events as scans of all products; works on a stream too."""
     eaten = F.col("event_type").isin("purchase", "view")
     ts = F.col("ts").cast("timestamp")
     return events.select(
         F.col("event_id").alias("scan_id"),
         "user_id",
-        (F.col("event_id") * 31 % 200).alias("product_id"),
+        (F.col("event_id") * 31 % n_products).alias("product_id"),
         ts.alias("ts"),
         F.when(eaten, "eaten").otherwise("checked").alias("logged"),
         F.when(eaten, ts).alias("ate_at"),
@@ -88,7 +92,7 @@ def scans_of(events: DataFrame) -> DataFrame:
 
 
 def scans_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return scans_of(spark.read.parquet(f"{sf_dir}/events.parquet"), count_products(spark, sf_dir))
 
 
 def health_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +116,21 @@ def profiles_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("user_id"), F.explode(flags).alias("profile_key")).where("profile_key IS NOT NULL")
 
 
+def overrides_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels read by other means: for every second product the text of the next one, for every fifth a type."""
+    k = F.col("p_partkey")
+    text, kind = F.when(k % 2 == 0, label_text(k + 1)), F.when(k % 5 == 0, "beauty")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("product_id"), text.alias("text"), kind.alias("product_type"))
+
+
+def imperial_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("user_id"), (4 + k % 3).alias("feet"), (k % 12).alias("inches"), (90 + k % 200).alias("pounds"))
+
+
 def pairs_of(products: DataFrame) -> DataFrame:
-    """``(k, k+1)`` for even k whose partner exists."""
-    a = products.where(F.col("product_id") % 2 == 0).select(F.col("product_id").alias("a_id"), (F.col("product_id") + 1).alias("b_id"))
+    """``(k, k+1)`` for every k whose partner exists."""
+    a = products.select(F.col("product_id").alias("a_id"), (F.col("product_id") + 1).alias("b_id"))
     return a.join(products.select(F.col("product_id").alias("b_id")), "b_id").select("a_id", "b_id")
 
 
@@ -143,6 +159,7 @@ def raw_records(products: DataFrame) -> DataFrame:
         F.when(k % 4 == 0, F.upper("ingredients_text")).when(k % 4 == 1, "").alias("ingredients_text_en"),
         tags.alias("categories_tags"),
         F.when(k % 5 == 0, F.array(F.lit("en:Kosher-parve"))).otherwise(F.array(F.lit("en:organic"))).alias("labels_tags"),
+        F.when(k % 2 == 0, F.array(F.lit("en:e330"), F.lit("en:e129"))).alias("additives_tags"),
         "serving_quantity",
         "nova_group",
         "nutriscore_grade",

@@ -61,14 +61,16 @@ def _label(k: str) -> str:
 _WORDS = "words AS " + _values([(i, w) for i, w in enumerate(pool())], "n, w")
 
 
-def _products() -> str:
+def _products(text: str | None = None, kind: str | None = None) -> str:
+    """Products with the label text and type given by expressions, else the part's own."""
+    text = text or _label("p_partkey")
+    kind = kind or "CASE WHEN p_partkey % 10 <= 6 THEN 'food' WHEN p_partkey % 10 = 7 THEN 'petfood' WHEN p_partkey % 10 = 8 THEN 'beauty' ELSE 'household' END"
     t = lambda c, m: f"((p_partkey * {c} % {m}) / 10.0)::DOUBLE"
     return f"""{_WORDS}, products AS (
   SELECT p_partkey AS product_id, CASE WHEN p_partkey % 19 = 0 THEN '' ELSE lpad(p_partkey::VARCHAR, 13, '0') END AS barcode,
     p_name AS name, p_brand AS brand, lower(p_type) AS category,
-    CASE WHEN p_partkey % 10 <= 6 THEN 'food' WHEN p_partkey % 10 = 7 THEN 'petfood' WHEN p_partkey % 10 = 8 THEN 'beauty' ELSE 'household' END AS product_type,
-    CASE WHEN p_partkey % 10 <= 7 THEN 'food' ELSE 'nonfood' END AS family,
-    {_label('p_partkey')} AS ingredients_text,
+    {kind} AS product_type, CASE WHEN {kind} IN ('food', 'petfood') THEN 'food' ELSE 'nonfood' END AS family,
+    {text} AS ingredients_text,
     ((p_partkey % 5) * 25)::DOUBLE AS serving, CASE WHEN p_partkey % 17 <> 0 THEN 1 + p_size % 4 END AS nova_group,
     CASE WHEN p_partkey % 17 <> 1 THEN substr('abcde', (1 + p_size % 5)::INT, 1) END AS nutriscore_grade,
     {t(37, 6000)} AS kcal100, {t(11, 100)} AS sat, {t(23, 400)} AS sug, {t(7, 90)} AS fib, {t(13, 200)} AS pro, {t(29, 800)} AS carb, {t(17, 350)} AS fat100,
@@ -136,10 +138,10 @@ _NUTRITION = f"""nutrition AS (
     UNION ALL SELECT product_id, 5, 'Fiber', fib, 'g', 1e9, 1e9 FROM products WHERE family = 'food' AND fib >= 3
     UNION ALL SELECT product_id, 6, 'Protein', pro, 'g', 1e9, 1e9 FROM products WHERE family = 'food' AND pro >= 8)
 )"""
-_NOTE = """CASE WHEN label = 'Fiber' THEN CASE WHEN value_num >= 6 THEN 'Excellent source' ELSE 'Good source' END WHEN label = 'Protein' THEN 'Good source'
-  WHEN label = 'Calories' THEN CASE sev WHEN 'good' THEN 'Low-calorie' WHEN 'mid' THEN 'Moderate' ELSE 'Calorie-dense' END
-  WHEN label = 'Saturated fat' THEN CASE sev WHEN 'good' THEN 'Low' WHEN 'mid' THEN 'A bit high' ELSE 'High' END
-  ELSE CASE sev WHEN 'good' THEN 'Low' WHEN 'mid' THEN 'Moderate' ELSE 'Too much ' || lower(label) END END"""
+_NOTE = """CASE WHEN label = 'Fiber' AND value_num >= 6 THEN 'Plenty' WHEN label IN ('Fiber', 'Protein') THEN 'A fair amount'
+  WHEN label = 'Calories' THEN CASE sev WHEN 'good' THEN 'Light' WHEN 'mid' THEN 'Medium' ELSE 'Rich in energy' END
+  WHEN label = 'Saturated fat' THEN CASE sev WHEN 'good' THEN 'Little' WHEN 'mid' THEN 'Some' ELSE 'A lot' END
+  ELSE CASE sev WHEN 'good' THEN 'Barely ' WHEN 'mid' THEN '' ELSE 'Very ' END || CASE WHEN sev = 'mid' THEN CASE label WHEN 'Sugar' THEN 'Sweet' ELSE 'Salty' END WHEN label = 'Sugar' THEN 'sweet' ELSE 'salty' END END"""
 _SCORED = """counted AS (
   SELECT p.*, coalesce(n_avoid, 0) AS n_avoid, coalesce(n_caution, 0) AS n_caution, coalesce(n_limit, 0) AS n_limit, coalesce(n_all, 0) AS n_ingredients,
     coalesce(n_bad, 0) AS n_bad, CASE WHEN family = 'food' THEN coalesce(nutriscore_grade, '') ELSE '' END AS grade, coalesce(family = 'food' AND nova_group = 4, false) AS nova
@@ -167,7 +169,7 @@ _SCORED = """counted AS (
   UNION ALL SELECT product_id, 0, 'Additives', NULL, 'good', true FROM analysis WHERE flagged_count = 0 AND n_ingredients > 0
 )"""
 _SCANS = """scans AS (
-  SELECT event_id AS scan_id, user_id, event_id * 31 % 200 AS product_id, ts, event_type, CASE WHEN event_type IN ('purchase', 'view') THEN 'eaten' ELSE 'checked' END AS logged,
+  SELECT event_id AS scan_id, user_id, event_id * 31 % (SELECT count(*) FROM part) AS product_id, ts, event_type, CASE WHEN event_type IN ('purchase', 'view') THEN 'eaten' ELSE 'checked' END AS logged,
     least(10.0, greatest(0.25, floor(value / 10.0 * 4 + 0.5) / 4)) AS portion FROM events
 ), latest AS (
   SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY ts DESC, scan_id DESC) AS n FROM scans) WHERE n = 1
@@ -218,7 +220,7 @@ def _set(left: str, right: str, kind: str, both: bool) -> str:
     return f"coalesce((SELECT string_agg(s.label, '|' ORDER BY s.ord) FROM sides s WHERE s.product_id = {left} AND s.sev = '{sev}' AND {pos} AND {'' if both else 'NOT '}{exists}), '')"
 
 
-_PAIRS = "pairs AS (SELECT a.product_id AS a_id, b.product_id AS b_id FROM products a JOIN products b ON b.product_id = a.product_id + 1 WHERE a.product_id % 2 = 0)"
+_PAIRS = "pairs AS (SELECT a.product_id AS a_id, b.product_id AS b_id FROM products a JOIN products b ON b.product_id = a.product_id + 1)"
 _POOLED = """need AS (SELECT product_id, category, score AS own, coalesce(nullif(barcode, ''), name) AS own_key FROM analysis WHERE category <> '' AND score < 75
 ), candidates AS (
   SELECT * FROM (SELECT category, product_id AS other_id, score AS other_score, coalesce(nullif(barcode, ''), name) AS k,
@@ -232,11 +234,12 @@ _EATEN = """eaten AS (
 
 
 def _today(rows: str) -> str:
-    pct = lambda a, b: f"least(100, floor(sum(e.{a}) * 100 / any_value(t.{b})::DOUBLE + 0.5))::INT"
+    pct = lambda a, b: f"least(100, floor(coalesce(sum(e.{a}), 0) * 100 / any_value(t.{b})::DOUBLE + 0.5))::INT"
+    total = lambda c: f"coalesce(sum(e.{c}), 0)::BIGINT"
     return f"""{_FULL}, {_SCANS}, {_HEALTH}, {_EATEN.format(rows=rows)}
-SELECT e.user_id, sum(e.kcal)::BIGINT AS kcal, sum(e.protein)::BIGINT AS protein, sum(e.carbs)::BIGINT AS carbs, sum(e.fat)::BIGINT AS fat, any_value(t.target) AS target,
-  {pct('kcal', 'target')} AS pct, (any_value(t.target) - sum(e.kcal))::BIGINT AS remaining, {pct('protein', 'protein')} AS protein_pct, {pct('carbs', 'carbs')} AS carbs_pct, {pct('fat', 'fat')} AS fat_pct
-FROM eaten e JOIN split t USING (user_id) WHERE e.day = TIMESTAMP '{AS_OF}'::DATE GROUP BY e.user_id"""
+SELECT t.user_id, count(e.user_id) AS n_items, {total('kcal')} AS kcal, {total('protein')} AS protein, {total('carbs')} AS carbs, {total('fat')} AS fat, any_value(t.target) AS target,
+  {pct('kcal', 'target')} AS pct, (any_value(t.target) - {total('kcal')})::BIGINT AS remaining, {pct('protein', 'protein')} AS protein_pct, {pct('carbs', 'carbs')} AS carbs_pct, {pct('fat', 'fat')} AS fat_pct
+FROM split t LEFT JOIN eaten e ON e.user_id = t.user_id AND e.day = TIMESTAMP '{AS_OF}'::DATE GROUP BY t.user_id"""
 
 
 def _insights(where: str) -> str:
@@ -257,16 +260,25 @@ def oracle_sql() -> dict[str, str]:
     lower = "('Calories', 'Sugar', 'Salt', 'Saturated fat', 'Additives')"
     many = lambda s: f"CASE WHEN n_{s} > 1 THEN ' ingredients ' ELSE ' ingredient ' END"
     reasons = " UNION ALL ".join(
-        [f"SELECT product_id, {i} AS o, 0 AS o2, (-{w} * n_{s})::INT AS d, n_{s} || {many(s)} || '{t}' AS t FROM analysis WHERE n_{s} > 0" for i, (s, w, t) in enumerate((("avoid", 22, "to avoid"), ("caution", 10, "of concern"), ("limit", 4, "to limit")), 1)]
-        + ["SELECT product_id, 4, 0, -8, 'Ultra-processed (NOVA group 4)' FROM analysis WHERE nova"]
+        [f"SELECT product_id, {i} AS o, 0 AS o2, (-{w} * n_{s})::INT AS d, n_{s} || {many(s)} || 'rated {s}' AS t FROM analysis WHERE n_{s} > 0" for i, (s, w) in enumerate((("avoid", 22), ("caution", 10), ("limit", 4)), 1)]
+        + ["SELECT product_id, 4, 0, -8, 'Processing: NOVA 4' FROM analysis WHERE nova"]
         + [f"SELECT product_id, 5, 0, {w}, 'Nutri-Score {g.upper()}' FROM analysis WHERE grade = '{g}'" for g, w in (("e", -12), ("d", -7), ("a", 5))]
-        + ["SELECT product_id, 6, ord, -4, 'High ' || lower(label) FROM nutrition WHERE sev = 'bad'", "SELECT product_id, 7, 0, 0, 'Capped: contains an avoid-grade ingredient' FROM analysis WHERE n_avoid > 0 AND points >= 40", "SELECT product_id, 0, 0, 100, 'Base score' FROM analysis", "SELECT product_id, 8, 0, score, 'Final score' FROM analysis"]
+        + ["SELECT product_id, 6, ord, -4, lower(label) || ' above the limit' FROM nutrition WHERE sev = 'bad'", "SELECT product_id, 7, 0, 0, 'Held below 40 by an ingredient rated avoid' FROM analysis WHERE n_avoid > 0 AND points >= 40", "SELECT product_id, 0, 0, 100, 'Start' FROM analysis", "SELECT product_id, 8, 0, score, 'Result' FROM analysis"]
     )
     alternatives = """SELECT product_id{u}, rank, other_id, other_score, fit::INT AS fit FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id{u} ORDER BY fit DESC, other_score DESC, other_id) AS rank FROM ({inner})) WHERE rank <= 4"""
+    plain = "SELECT product_id, other_id, other_score, other_score AS fit FROM need JOIN candidates c ON c.category = need.category AND other_score >= own + 8 AND k <> own_key"
     # The label text is a correlated subquery; labels of order lines are the part formula on their own key.
     lines = f"WITH {_WORDS}, keys AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k FROM lineitem), items AS (SELECT k, i, i * 2 + 1 AS o FROM keys, range(0, 12) r(i) WHERE i < k % 13 UNION ALL SELECT k, 0, 0 FROM keys WHERE k % 13 = 3), joined AS (SELECT k, string_agg(CASE WHEN k % 7 = 0 AND o > 0 AND i = k % 13 - 1 THEN '(' || w || ')' ELSE w END, ', ' ORDER BY o) AS t FROM items JOIN words ON n = (k * 7 + i * 13 + i * i) % {len(pool())} GROUP BY k), labels AS (SELECT k AS product_id, 'food' AS family, 'Ingredients: ' || coalesce(t, '') || CASE WHEN k % 5 = 0 THEN '. Calories 120. Total Fat 2g. Distributed by ACME. www.acme.com' ELSE '' END || CASE WHEN k % 11 = 0 THEN '. Contains: Milk, Soy' ELSE '' END AS ingredients_text FROM keys LEFT JOIN joined USING (k)), {_parse('labels', 'product_id', 'ingredients_text', 'family')}, {_lexicon()}, {_CLASSIFIED}"
     visible = "length(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(65279), '  '), '\\s+', '', 'g'))"
+    swapped = _products(f"CASE WHEN p_partkey % 2 = 0 THEN {_label('(p_partkey + 1)')} ELSE {_label('p_partkey')} END", "CASE WHEN p_partkey % 5 = 0 THEN 'beauty' WHEN p_partkey % 10 <= 6 THEN 'food' WHEN p_partkey % 10 = 7 THEN 'petfood' WHEN p_partkey % 10 = 8 THEN 'beauty' ELSE 'household' END")
+    overridden = f"{swapped}, {_parse('products', 'product_id', 'ingredients_text', 'family')}, {_lexicon()}, {_CLASSIFIED}, {_NUTRITION}, {_SCORED}"
+    seed = seed_rows()
+    told = _values([("a", r[2], r[5], r[7], r[8], r[9], r[10]) for r in seed["additives"]] + [("g", g, c, s, *next(x[1:] for x in seed["group_details"] if x[0] == g)) for g, c, _, s in seed["groups"]], "kind, key, category, summary, what_is, why_flagged, effects")
+    studies = _values([(k[0], *rest) for k, *rest in seed["studies"]], "kind, key, seq, title, source, year")
+    history = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scan_id DESC)::INT AS rank FROM latest) WHERE rank <= 100)"
+    eaten_sums = ", ".join(f"sum(coalesce(floor(a.{c} * s.portion + 0.5), 0))::BIGINT AS {c}" for c in ("kcal", "protein", "carbs", "fat"))
+    liked = "(SELECT user_id, product_id FROM scans WHERE event_type = 'click' GROUP BY user_id, product_id HAVING count(*) % 2 = 1)"
     sql = {
         "score_products": f"{_FULL} SELECT product_id, score, badge_label, badge_cls, flagged_count, n_ingredients::INT AS n_ingredients FROM analysis",
         "parse_part_labels": f"WITH {_PARSED} SELECT id AS product_id, pos::INT AS pos, raw, norm FROM ingredients",
@@ -275,11 +287,13 @@ def oracle_sql() -> dict[str, str]:
         "classify_order_lines": f"{lines} SELECT status, grp, count(*) AS n, sum(product_id)::BIGINT AS id_sum, sum(pos)::BIGINT AS pos_sum FROM classified GROUP BY status, grp",
         "eval_nutrition": f"WITH {_products()}, {_NUTRITION} SELECT product_id, CASE WHEN sev = 'good' THEN 'positive' ELSE 'negative' END AS side, ord, label, value_num, unit, sev, {_NOTE} AS note FROM nutrition",
         "explain_scores": f"{_FULL}, reasons AS ({reasons}) SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY o, o2) - 1)::INT AS ord, d, t FROM reasons",
-        "build_analysis": f"{_FULL} SELECT product_id, coalesce(nullif(barcode, ''), product_id::VARCHAR) AS id, score, kcal, protein, carbs, fat, family = 'food' AS is_food FROM analysis",
+        "build_analysis": f"{_FULL} SELECT product_id, coalesce(nullif(barcode, ''), product_id::VARCHAR) AS id, score, kcal, protein, carbs, fat, family = 'food' AS is_food, CASE product_type WHEN 'food' THEN 'Food' WHEN 'petfood' THEN 'Pet food' WHEN 'beauty' THEN 'Cosmetics' ELSE 'Household and others' END AS type_label, CASE badge_cls WHEN 'exc' THEN 'Nothing of note against it.' WHEN 'good' THEN 'Little to hold against it.' WHEN 'mid' THEN 'Some points to keep an eye on.' ELSE 'Better left alone or kept rare.' END AS verdict FROM analysis",
+        "overridden_labels": f"WITH {overridden} SELECT product_id, product_type, score, badge_cls, n_ingredients::INT AS n_ingredients FROM analysis",
+        "shown_negatives": f"{_FULL} SELECT product_id, 'ingredient' AS kind, (row_number() OVER (PARTITION BY product_id ORDER BY {rank.format('status')} DESC, pos) - 1)::INT AS ord, raw AS label, CASE WHEN status = 'limit' THEN 'mid' ELSE 'bad' END AS sev FROM classified WHERE status IN ('avoid', 'caution', 'limit') UNION ALL SELECT product_id, 'nutrition', ord, label, sev FROM nutrition WHERE sev <> 'good'",
         "status_breakdown": f"{_KNOWN} SELECT product_id, status, count(*) AS n, {rank.format('status')} AS rank FROM classified WHERE status <> 'ok' GROUP BY product_id, status",
         "concern_rows": f"{_KNOWN} SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY {rank.format('status')} DESC, pos) - 1)::INT AS ord, pos::INT AS pos, raw, status, CASE WHEN status = 'limit' THEN 'mid' ELSE 'bad' END AS sev FROM classified WHERE status IN ('avoid', 'caution', 'limit')",
         "nutrition_facts": f"WITH {_products()} {fact_rows}",
-        "ingredient_detail": f"{_KNOWN}, shown AS (SELECT c.*, coalesce(a.first, c.name, c.raw) AS t, a.category AS ac, a.summary AS asu, g.category AS gc, g.summary AS gs, b.note FROM classified c LEFT JOIN {additives} a ON a.id = c.additive_id LEFT JOIN {groups} g ON g.grp = CASE WHEN c.grp IN (SELECT grp FROM {groups}) THEN c.grp ELSE 'unknown' END LEFT JOIN {banned} b ON b.additive_id = c.additive_id) SELECT product_id, pos::INT AS pos, {_title('t')} AS title, coalesce(ac, gc) AS category, coalesce(enumber, '') AS enumber, status, coalesce(asu, gs) AS summary, coalesce(note, '') AS banned FROM shown",
+        "ingredient_detail": f"{_KNOWN}, keyed AS (SELECT *, CASE WHEN additive_id IS NOT NULL THEN 'a' ELSE 'g' END AS kind, CASE WHEN additive_id IS NOT NULL THEN additive_id WHEN grp IN (SELECT grp FROM {groups}) THEN grp ELSE 'unknown' END AS key FROM classified), shown AS (SELECT c.*, coalesce(a.first, c.name, c.raw) AS t, b.note, d.category, d.summary, d.what_is, d.why_flagged, d.effects FROM keyed c LEFT JOIN {additives} a ON a.id = c.additive_id LEFT JOIN {told} d ON d.kind = c.kind AND d.key = c.key LEFT JOIN {banned} b ON b.additive_id = c.additive_id) SELECT product_id, pos::INT AS pos, {_title('t')} AS title, category, coalesce(enumber, '') AS enumber, status, summary, what_is, why_flagged, effects, coalesce(note, '') AS banned, coalesce((SELECT string_agg(title || '|' || source || '|' || year, ';' ORDER BY seq) FROM {studies} x WHERE x.kind = shown.kind AND x.key = shown.key), '') AS studies FROM shown",
         "lexicon_browse": f"{_KNOWN} SELECT a.family, a.id AS additive_id, a.first AS name, a.category, a.risk, {rank.format('a.risk')} AS rank, (SELECT count(DISTINCT product_id) FROM classified c WHERE c.additive_id = a.id) AS n_products FROM {additives} a WHERE contains(lower(a.category), 'colour')",
         "unknown_terms": f"{_KNOWN} SELECT norm, count(*) AS n_rows, count(DISTINCT product_id) AS n_products FROM classified WHERE status = 'unknown' AND length(raw) >= 3 AND lower(raw) NOT IN ('and', 'or', 'contains', 'less than', 'of', 'the', 'other', 'color added', 'natural', 'artificial') GROUP BY norm",
         "personal_alerts": f"WITH {_PARSED}, {_PROFILES}, {_alerts('token')}, {_SCANS} SELECT * FROM alerts WHERE (user_id, product_id) IN (SELECT (user_id, product_id) FROM scans)",
@@ -288,15 +302,15 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"{_set('a_id', 'b_id', k, False)} AS {k}_a_only, {_set('b_id', 'a_id', k, False)} AS {k}_b_only, {_set('a_id', 'b_id', k, True)} AS {k}_shared" for k in ("bad", "good"))
         + " FROM pairs JOIN analysis a ON a.product_id = a_id JOIN analysis b ON b.product_id = b_id",
         "compare_nutrition": f"{_FULL}, {_PAIRS} SELECT a_id, b_id, x.label, x.value_num AS a, y.value_num AS b, {_R1('(x.value_num - y.value_num)')} AS delta, CASE WHEN x.value_num = y.value_num THEN 'tie' WHEN (x.label IN {lower}) = (x.value_num < y.value_num) THEN 'a' ELSE 'b' END AS better FROM pairs JOIN sides x ON x.product_id = a_id JOIN sides y ON y.product_id = b_id AND y.label = x.label WHERE x.value_num IS NOT NULL AND y.value_num IS NOT NULL",
-        "compare_candidates": f"WITH {_products()}, {_SCANS}, seen AS (SELECT DISTINCT user_id, p.product_id % 7 AS product_id, p.product_id AS other_id, barcode AS other_barcode FROM scans JOIN products p USING (product_id)), every AS (SELECT *, 0 AS source FROM seen WHERE other_id % 2 = 0 UNION ALL SELECT *, 1 FROM seen WHERE other_id % 3 = 0 UNION ALL SELECT *, 2 FROM seen) SELECT user_id, product_id, other_id, other_barcode, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id, coalesce(nullif(other_barcode, ''), other_id::VARCHAR) ORDER BY source, other_id) AS n FROM every WHERE product_id <> other_id) WHERE n = 1",
-        "find_alternatives": f"{_FULL}, {_POOLED} " + alternatives.format(u="", inner="SELECT product_id, other_id, other_score, other_score AS fit FROM need JOIN candidates c ON c.category = need.category AND other_score >= own + 8 AND k <> own_key"),
+        "compare_candidates": f"{_FULL}, {_POOLED}, {_SCANS}, saved AS {history}, liked AS {liked}, better AS ({alternatives.format(u='', inner=plain)}), screen AS (SELECT user_id, product_id, barcode FROM saved JOIN products USING (product_id) WHERE rank = 1), every AS (SELECT s.*, k.product_id AS other_id, 0 AS source FROM screen s JOIN saved k USING (user_id) UNION ALL SELECT s.*, k.product_id, 1 FROM screen s JOIN liked k USING (user_id) UNION ALL SELECT s.*, k.other_id, 2 FROM screen s JOIN better k USING (product_id)), listed AS (SELECT e.*, o.barcode AS other_barcode FROM every e JOIN products o ON o.product_id = e.other_id WHERE e.product_id <> other_id AND (e.barcode = '' OR e.barcode <> o.barcode)) SELECT user_id, product_id, other_id, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id, coalesce(nullif(other_barcode, ''), other_id::VARCHAR) ORDER BY source, other_id) AS n FROM listed) WHERE n = 1",
+        "find_alternatives": f"{_FULL}, {_POOLED} " + alternatives.format(u="", inner=plain),
         "find_alternatives_for_users": f"{_FULL}, {_POOLED}, {_SCANS}, {_PROFILES}, {_alerts('token')}, costs AS (SELECT user_id, product_id AS other_id, count(*) AS n_alerts FROM alerts GROUP BY ALL), eaters AS (SELECT DISTINCT user_id, product_id FROM scans WHERE logged = 'eaten') "
         + alternatives.format(u=", user_id", inner="SELECT product_id, user_id, other_id, other_score, other_score - 12 * coalesce(n_alerts, 0) AS fit FROM need JOIN eaters USING (product_id) JOIN candidates c ON c.category = need.category AND other_score >= own + 8 AND k <> own_key LEFT JOIN costs USING (user_id, other_id)"),
-        "category_scan": f"WITH {_products()} SELECT product_id, name, category FROM products WHERE category = 'economy' AND name NOT IN ('', 'Unknown product')",
+        "category_scan": f"WITH {_products()} SELECT barcode, name, category FROM products WHERE category = 'economy' AND product_id % 3 = 0 AND product_id % 8 <> 0 AND name NOT IN ('', 'Unknown product')",
         "health_sort": f"WITH {_products()} SELECT product_id, nutriscore_grade, CASE WHEN nutriscore_grade IS NULL THEN 9 ELSE instr('abcde', nutriscore_grade) END::INT AS grade_rank FROM products",
-        "load_products": f"WITH {_products()} SELECT barcode, CASE WHEN product_id % 8 = 0 THEN 'Unknown product' ELSE name END AS name, brand, CASE WHEN product_id % 2 = 0 THEN 'small/' ELSE 'large/' END || product_id AS image, CASE WHEN product_id % 3 < 2 THEN category ELSE '' END AS category, length(ingredients_text)::INT AS n_text, product_id % 5 = 0 AS kosher, nova_group FROM products",
+        "load_products": f"WITH {_products()} SELECT barcode, CASE WHEN product_id % 8 = 0 THEN 'Unknown product' ELSE name END AS name, brand, CASE WHEN product_id % 2 = 0 THEN 'small/' ELSE 'large/' END || product_id AS image, CASE WHEN product_id % 3 < 2 THEN category ELSE '' END AS category, length(ingredients_text)::INT AS n_text, product_id % 5 = 0 AS kosher, nova_group, CASE product_id % 3 WHEN 0 THEN 'en:snacks|en:' || category || '|fr:divers' WHEN 1 THEN 'fr:' || category ELSE '' END AS categories_tags, CASE WHEN product_id % 2 = 0 THEN 'en:e330|en:e129' ELSE '' END AS additives_tags FROM products",
         "union_sources": f"WITH {_products()}, {_SOURCES} SELECT source, source_rank, count(*) AS n, sum(product_id)::BIGINT AS id_sum FROM sources GROUP BY source, source_rank",
-        "resolve_barcodes": f"WITH {_products()}, {_SOURCES} SELECT barcode, name, source FROM (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY source_rank, product_id) AS n FROM sources WHERE barcode <> '' AND barcode IN (SELECT barcode FROM products WHERE product_id % 3 = 0)) WHERE n = 1",
+        "resolve_barcodes": f"WITH {_products()}, {_SOURCES} SELECT barcode, name, source FROM (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY source_rank, product_id) AS n FROM sources WHERE barcode <> '') WHERE n = 1",
         "search_products": f"WITH {_products()}, {_SOURCES} SELECT barcode, name, brand, source FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(barcode, ''), name || '|' || brand) ORDER BY source_rank, product_id) AS n FROM sources WHERE contains(lower(name), 'ring') OR contains(lower(brand), 'ring')) WHERE n = 1",
         "fresh_snapshots": f"WITH {_SCANS} SELECT product_id, scan_id, portion FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ts DESC, scan_id DESC) AS n FROM scans WHERE ts >= TIMESTAMP '2024-02-20 12:00:00' - INTERVAL 30 DAY) WHERE n = 1",
         "normalize_barcodes": f"WITH {_products()}, codes AS (SELECT product_id, CASE WHEN product_id % 4 = 0 THEN substr(barcode, 9, 5) ELSE ' ' || barcode || '-x' END AS code FROM products) SELECT product_id, code, regexp_replace(code, '[^0-9]', '', 'g') AS barcode FROM codes WHERE length(regexp_replace(code, '[^0-9]', '', 'g')) >= 8",
@@ -308,14 +322,18 @@ def oracle_sql() -> dict[str, str]:
         "toggle_favorites": f"WITH {_SCANS} SELECT user_id, product_id % 10 AS product_id, epoch_us(max(ts)) AS since_us FROM scans WHERE event_type = 'click' GROUP BY user_id, product_id % 10 HAVING count(*) % 2 = 1",
         "scan_insights": _insights(""),
         "scan_insights_eaten": _insights("WHERE logged = 'eaten'"),
-        "top_flagged": f"{_KNOWN}, {_SCANS}, named AS (SELECT DISTINCT product_id, coalesce(a.first, c.name, c.raw) AS t FROM classified c LEFT JOIN {additives} a ON a.id = c.additive_id WHERE status IN ('avoid', 'caution')), titled AS (SELECT DISTINCT product_id, {_title('t')} AS title FROM named) SELECT user_id, title, n, rank FROM (SELECT user_id, title, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, title)::INT AS rank FROM latest JOIN titled USING (product_id) GROUP BY user_id, title) WHERE rank <= 6",
+        "top_flagged": f"{_KNOWN}, {_SCANS}, named AS (SELECT product_id, pos, coalesce(a.first, c.name, c.raw) AS t FROM classified c LEFT JOIN {additives} a ON a.id = c.additive_id WHERE status IN ('avoid', 'caution')), spelt AS (SELECT t, {_title('t')} AS title FROM (SELECT DISTINCT t FROM named)), titled AS (SELECT product_id, title, min(pos) AS pos FROM named JOIN spelt USING (t) GROUP BY product_id, title) SELECT user_id, title, n, rank FROM (SELECT user_id, title, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(row(-epoch_us(ts), -scan_id, pos)), title)::INT AS rank FROM latest JOIN titled USING (product_id) GROUP BY user_id, title) WHERE rank <= 6",
         "today_intake": _today("latest"),
         "today_intake_events": _today("scans"),
-        "weekly_trend": f"{_FULL}, {_SCANS}, {_HEALTH}, {_EATEN.format(rows='latest')}, span AS (SELECT (TIMESTAMP '{AS_OF}'::DATE - i::INT)::DATE AS day FROM range(0, 7) r(i)), days AS (SELECT user_id, day, sum(kcal)::BIGINT AS kcal FROM eaten WHERE day IN (SELECT day FROM span) GROUP BY ALL), ate AS (SELECT user_id, max(kcal) AS top, coalesce(any_value(target), 0) AS target FROM days LEFT JOIN targets USING (user_id) GROUP BY user_id HAVING sum(kcal) > 0) "
+        "weekly_trend": f"{_FULL}, {_SCANS}, {_HEALTH}, {_EATEN.format(rows='latest')}, span AS (SELECT (TIMESTAMP '{AS_OF}'::DATE - i::INT)::DATE AS day FROM range(0, 7) r(i)), days AS (SELECT user_id, day, sum(kcal)::BIGINT AS kcal FROM eaten WHERE day IN (SELECT day FROM span) GROUP BY ALL), ate AS (SELECT u.user_id, coalesce(max(d.kcal), 0) AS top, coalesce(any_value(target), 0) AS target FROM (SELECT DISTINCT user_id FROM eaten) u LEFT JOIN days d USING (user_id) LEFT JOIN targets USING (user_id) GROUP BY u.user_id) "
         "SELECT a.user_id, s.day, coalesce(d.kcal, 0)::BIGINT AS kcal, a.target > 0 AND coalesce(d.kcal, 0) > a.target AS over, floor(coalesce(d.kcal, 0) * 100 / greatest(a.target, a.top, 1)::DOUBLE + 0.5)::INT AS bar, floor(a.target * 100 / greatest(a.target, a.top, 1)::DOUBLE + 0.5)::INT AS goal_line FROM ate a CROSS JOIN span s LEFT JOIN days d ON d.user_id = a.user_id AND d.day = s.day",
-        "backup_round_trip": f"WITH {_SCANS} SELECT user_id, product_id, logged, CASE WHEN user_id % 2 = 0 THEN portion ELSE 0.0 END::DOUBLE AS portion FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scan_id DESC) AS r FROM latest) WHERE r <= 100",
+        "backup_round_trip": f"WITH {_SCANS}, kept AS (SELECT user_id, scan_id, product_id, epoch_us(ts) AS ts_us, logged, CASE WHEN logged = 'eaten' THEN epoch_us(ts) END AS ate_at_us, portion FROM {history}) SELECT * FROM kept UNION ALL SELECT * REPLACE (-1 - user_id AS user_id, 0.0::DOUBLE AS portion) FROM kept",
+        "backup_sections": f"WITH {_SCANS}, {_HEALTH}, {_PROFILES}, flags AS (SELECT user_id, string_agg(profile_key, '|' ORDER BY profile_key) AS flags FROM profiles GROUP BY user_id), liked AS (SELECT user_id, count(*) AS n_favorites, sum(product_id)::BIGINT AS favorites_sum FROM {liked} GROUP BY user_id) SELECT user_id, sex, age, cm, kg, CASE goal WHEN -500 THEN 'lose' WHEN 0 THEN 'maintain' ELSE 'gain' END AS goal, CASE sex WHEN 'male' THEN 'dark' ELSE 'light' END AS theme, flags, n_favorites, favorites_sum FROM health LEFT JOIN flags USING (user_id) LEFT JOIN liked USING (user_id)",
+        "saved_history": f"WITH {_SCANS} SELECT user_id, product_id, scan_id, logged, portion, rank FROM {history}",
+        "step_portion": f"WITH {_SCANS} SELECT scan_id, least(10.0, greatest(0.25, floor((portion + CASE WHEN event_type = 'purchase' THEN 0.25 ELSE -0.25 END) * 4 + 0.5) / 4))::DOUBLE AS portion FROM scans",
+        "body_from_imperial": "SELECT c_custkey AS user_id, floor(((4 + c_custkey % 3) * 12 + c_custkey % 12) * 2.54::DOUBLE + 0.5::DOUBLE) AS cm, floor((90 + c_custkey % 200) * 0.45359::DOUBLE * 10 + 0.5::DOUBLE) / 10 AS kg FROM customer",
         "stream_scores": f"{_FULL} SELECT product_id, score, badge_cls, flagged_count FROM analysis",
-        "stream_daily_intake": f"{_FULL}, {_SCANS} SELECT s.user_id, s.ts::DATE AS day, sum(coalesce(floor(a.kcal * s.portion + 0.5), 0))::BIGINT AS kcal, count(*) AS n FROM scans s JOIN analysis a USING (product_id) WHERE s.logged = 'eaten' AND s.ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM scans WHERE logged = 'eaten') - INTERVAL 1 DAY GROUP BY s.user_id, s.ts::DATE",
+        "stream_daily_intake": f"{_FULL}, {_SCANS} SELECT s.user_id, s.ts::DATE AS day, {eaten_sums}, count(*) AS n FROM scans s JOIN analysis a USING (product_id) WHERE s.logged = 'eaten' AND s.ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM scans WHERE logged = 'eaten') - INTERVAL 1 DAY GROUP BY s.user_id, s.ts::DATE",
         "stream_latest_scan": f"WITH {_SCANS} SELECT user_id, product_id, scan_id, logged FROM latest",
     }
     return sql

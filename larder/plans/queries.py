@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from larder.functions.tables import durable, shared_dir
+from larder.functions.exprs import body_from_imperial as imperial
+from larder.functions.exprs import step_portion as step
+from larder.functions.tables import durable, new_path
 from larder.operators import classify as C
 from larder.operators import compare as P
 from larder.operators import history as H
@@ -40,7 +40,7 @@ def _as_of():
 
 
 def _shared(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/larder-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 def score_products(spark, d):
@@ -74,7 +74,20 @@ def explain_scores(spark, d):
 
 
 def build_analysis(spark, d):
-    return _analysis(spark, d).select("product_id", "id", "score", "kcal", F.col("macros.protein").alias("protein"), F.col("macros.carbs").alias("carbs"), F.col("macros.fat").alias("fat"), "is_food")
+    macros = [F.col(f"macros.{m}").alias(m) for m in ("protein", "carbs", "fat")]
+    return _analysis(spark, d).select("product_id", "id", "score", "kcal", *macros, "is_food", "type_label", "verdict")
+
+
+def overridden_labels(spark, d):
+    """Scores where labels read by other means replace the records'."""
+    products = R.override_products(A.products_from_part(spark, d), A.overrides_from_part(spark, d))
+    classified = C.classify(parse_labels(products, "product_id", "ingredients_text", "product_type"), load_lexicon(spark))
+    return S.score_products(products, classified).select("product_id", "product_type", "score", "badge_cls", "n_ingredients")
+
+
+def shown_negatives(spark, d):
+    products, classified, _ = _parts(spark, d)
+    return S.shown_negatives(S.score_products(products, classified), classified)
 
 
 def status_breakdown(spark, d):
@@ -91,7 +104,8 @@ def nutrition_facts(spark, d):
 
 def ingredient_detail(spark, d):
     _, classified, lex = _parts(spark, d)
-    return C.ingredient_detail(classified, lex)
+    rows = C.ingredient_detail(classified, lex)
+    return rows.withColumn("studies", F.array_join(F.transform("studies", lambda x: F.concat_ws("|", x["title"], x["source"], x["year"].cast("string"))), ";"))
 
 
 def lexicon_browse(spark, d):
@@ -105,15 +119,18 @@ def unknown_terms(spark, d):
 
 
 def personal_alerts(spark, d):
-    scans = A.scans_from_events(spark, d).select("user_id", "product_id").distinct()
-    alerts = C.personal_alerts(parse_labels(A.products_from_part(spark, d)), A.profiles_from_customer(spark, d), load_lexicon(spark)["allergen_terms"])
-    return alerts.join(scans, ["user_id", "product_id"], "left_semi").select("user_id", "product_id", "profile_key", F.array_join("hits", "|").alias("hits"))
+    return _alerts(spark, d, "token")
 
 
 def personal_alerts_substring(spark, d):
-    scans = A.scans_from_events(spark, d).select("user_id", "product_id").distinct()
-    alerts = C.personal_alerts(parse_labels(A.products_from_part(spark, d)), A.profiles_from_customer(spark, d), load_lexicon(spark)["allergen_terms"], "substring")
-    return alerts.join(scans, ["user_id", "product_id"], "left_semi").select("user_id", "product_id", "profile_key", F.array_join("hits", "|").alias("hits"))
+    return _alerts(spark, d, "substring")
+
+
+def _alerts(spark, d, mode):
+    """Alerts of every product that a user has scanned."""
+    ingredients = parse_labels(A.products_from_part(spark, d))
+    alerts = C.personal_alerts(ingredients, A.profiles_from_customer(spark, d), load_lexicon(spark)["allergen_terms"], mode, A.scans_from_events(spark, d))
+    return alerts.select("user_id", "product_id", "profile_key", F.array_join("hits", "|").alias("hits"))
 
 
 def compare_products(spark, d):
@@ -129,11 +146,21 @@ def compare_nutrition(spark, d):
 
 
 def compare_candidates(spark, d):
-    products = A.products_from_part(spark, d).select(F.col("product_id").alias("other_id"), F.col("barcode").alias("other_barcode"), (F.col("product_id") % 7).alias("product_id"))
+    """What a user could compare the newest scan with: the rest of the history, favorites, better products."""
+    analysis = _analysis(spark, d)
     scans = A.scans_from_events(spark, d)
-    seen = scans.select("user_id", F.col("product_id").alias("other_id")).distinct().join(products, "other_id").select("user_id", "product_id", "other_id", "other_barcode")
-    liked = seen.where(F.col("other_id") % 3 == 0)
-    return P.compare_candidates(seen.where(F.col("other_id") % 2 == 0), liked, seen)
+    saved = H.newest_scans(scans)
+    known = analysis.select("product_id", "barcode", "badge_cls")
+    screen = saved.where("rank = 1").select("user_id", "product_id").join(known.drop("badge_cls"), "product_id")
+    other = known.select(F.col("product_id").alias("other_id"), F.col("barcode").alias("other_barcode"), "badge_cls")
+
+    def others(rows, on):
+        return screen.join(rows, on).join(other, "other_id").select("user_id", "product_id", "barcode", "other_id", "other_barcode", "badge_cls")
+
+    history = others(saved.select("user_id", F.col("product_id").alias("other_id")), "user_id")
+    liked = others(H.toggle_favorites(scans.where("event_type = 'click'")).select("user_id", F.col("product_id").alias("other_id")), "user_id")
+    better = others(P.find_alternatives(analysis).select("product_id", "other_id"), "product_id")
+    return P.compare_candidates(history, liked, better).select("user_id", "product_id", "other_id", "source")
 
 
 def find_alternatives(spark, d):
@@ -143,24 +170,29 @@ def find_alternatives(spark, d):
 def find_alternatives_for_users(spark, d):
     products, classified, lex = _parts(spark, d)
     analysis = durable(S.build_analysis(products, classified), "analysis")
-    users = A.scans_from_events(spark, d).where("logged = 'eaten'").select("user_id", "product_id").distinct()
-    alerts = C.personal_alerts(classified.select("product_id", "pos", "raw", "norm"), A.profiles_from_customer(spark, d), lex["allergen_terms"])
-    return P.find_alternatives(analysis, alerts, users)
+    eaten = A.scans_from_events(spark, d).where("logged = 'eaten'")
+    hits = C.alert_hits(classified, lex["allergen_terms"])
+    return P.find_alternatives_for_users(analysis, hits, A.profiles_from_customer(spark, d), eaten)
 
 
 def category_scan(spark, d):
-    products = A.products_from_part(spark, d).withColumn("categories_tags", F.array(F.concat(F.lit("en:"), "category")))
-    return P.category_scan(products, "en:economy").select("product_id", "name", "category")
+    return P.category_scan(_loaded(spark, d), "en:economy").select("barcode", "name", "category")
 
 
 def health_sort(spark, d):
     return P.health_sort(A.products_from_part(spark, d)).select("product_id", "nutriscore_grade", "grade_rank")
 
 
+def _loaded(spark, d):
+    """Products as JSON records, written as files and loaded."""
+    path = _shared(spark)
+    A.raw_records(A.products_from_part(spark, d)).select("record").write.text(path)
+    return R.load_products(spark, path)
+
+
 def load_products(spark, d):
-    raw = A.raw_records(A.products_from_part(spark, d))
-    rows = raw.select("product_id", F.from_json("record", R.RAW_SCHEMA).alias("r")).select("product_id", "r.*")
-    return R.map_products(rows).select("barcode", "name", "brand", "image", "category", F.length("ingredients_text").alias("n_text"), "kosher", "nova_group")
+    tags = [F.array_join(c, "|").alias(c) for c in ("categories_tags", "additives_tags")]
+    return _loaded(spark, d).select("barcode", "name", "brand", "image", "category", F.length("ingredients_text").alias("n_text"), "kosher", "nova_group", *tags)
 
 
 def _sources(spark, d):
@@ -172,7 +204,7 @@ def union_sources(spark, d):
 
 
 def resolve_barcodes(spark, d):
-    wanted = A.products_from_part(spark, d).where("product_id % 3 = 0").select("barcode")
+    wanted = A.products_from_part(spark, d).select("barcode")
     return R.resolve_barcodes(_sources(spark, d), wanted).select("barcode", "name", "source")
 
 
@@ -207,6 +239,23 @@ def newest_scans(spark, d):
     return H.newest_scans(A.scans_from_events(spark, d), 5).select("user_id", "product_id", "scan_id", "rank")
 
 
+def saved_history(spark, d):
+    path = _shared(spark)
+    H.save_history(A.scans_from_events(spark, d), path)
+    return H.load_history(spark, path).select("user_id", "product_id", "scan_id", "logged", "portion", "rank")
+
+
+def step_portion(spark, d):
+    """Portions a quarter up after a purchase, else down."""
+    scans = A.scans_from_events(spark, d)
+    return scans.select("scan_id", step(F.col("portion"), F.when(F.col("event_type") == "purchase", 0.25).otherwise(-0.25)).alias("portion"))
+
+
+def body_from_imperial(spark, d):
+    cm, kg = imperial(F.col("feet"), F.col("inches"), F.col("pounds"))
+    return A.imperial_from_customer(spark, d).select("user_id", cm.alias("cm"), kg.alias("kg"))
+
+
 def set_logged(spark, d):
     return H.set_logged(A.scans_from_events(spark, d)).select("user_id", "product_id", "logged", F.unix_micros("ate_at").alias("ate_at_us"))
 
@@ -241,16 +290,33 @@ def weekly_trend(spark, d):
     return H.weekly_trend(A.scans_from_events(spark, d), _analysis(spark, d), H.daily_targets(A.health_from_customer(spark, d)), _as_of())
 
 
-def backup_round_trip(spark, d):
-    """History and favorites written as JSON and read back over the old ones."""
+def _backup(spark, d):
+    """History and the saved sections, after an export of every user's data."""
     scans = A.scans_from_events(spark, d)
-    history = H.newest_scans(scans).select("user_id", "product_id", "ts", "logged", "portion")
-    favorites = H.toggle_favorites(scans.where("event_type = 'click'")).select("user_id", "product_id")
+    history = H.newest_scans(scans).select("user_id", "scan_id", "product_id", "ts", "logged", "ate_at", "portion")
+    health = A.health_from_customer(spark, d)
+    settings = health.select("user_id", F.create_map(F.lit("theme"), F.when(F.col("sex") == "male", "dark").otherwise("light")).alias("settings"))
     path = _shared(spark)
-    R.export_backup(history.where("user_id % 2 = 0"), favorites, path, _as_of())
-    saved, _ = R.import_backup(spark, path)
-    now = R.replace_section(history.withColumn("portion", F.lit(0.0)), saved)
-    return now.select("user_id", "product_id", "logged", "portion")
+    R.export_backup(path, _as_of(), history, H.toggle_favorites(scans.where("event_type = 'click'")), A.profiles_from_customer(spark, d), health, settings)
+    return history, R.import_backup(spark, path)
+
+
+def backup_round_trip(spark, d):
+    """History after an import over older rows of the same users and of others, whose rows stay."""
+    history, saved = _backup(spark, d)
+    old = history.withColumn("portion", F.lit(0.0))
+    old = old.unionByName(old.withColumn("user_id", -1 - F.col("user_id")))
+    now = R.replace_section(old, saved, "history")
+    return now.select("user_id", "scan_id", "product_id", F.unix_micros("ts").alias("ts_us"), "logged", F.unix_micros("ate_at").alias("ate_at_us"), "portion")
+
+
+def backup_sections(spark, d):
+    """Profile, health, settings and favorites of every user as an import gives them."""
+    _, saved = _backup(spark, d)
+    flags = saved["profile"].groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("profile_key")), "|").alias("flags"))
+    liked = saved["favorites"].groupBy("user_id").agg(F.count("*").alias("n_favorites"), F.sum("product_id").alias("favorites_sum"))
+    rows = saved["health"].join(saved["settings"], "user_id").join(flags, "user_id", "left").join(liked, "user_id", "left")
+    return rows.select("user_id", "sex", "age", "cm", "kg", "goal", F.col("settings")["theme"].alias("theme"), "flags", "n_favorites", "favorites_sum")
 
 
 def _stream(spark, d, name):
@@ -272,15 +338,15 @@ def stream_scores(spark, d):
 def stream_daily_intake(spark, d):
     """Closed days only: a day is told once the watermark has passed it."""
     out = _shared(spark)
-    kcal = _analysis(spark, d).select("product_id", "kcal")
-    scans = A.scans_of(_stream(spark, d, "events"))
-    T.stream_daily_intake(scans, kcal, f"{out}/days", f"{out}/check").awaitTermination()
-    return spark.read.schema("user_id long, day date, kcal long, n long").parquet(f"{out}/days")
+    amounts = _analysis(spark, d).select("product_id", "kcal", "macros.*")
+    scans = A.scans_of(_stream(spark, d, "events"), A.count_products(spark, d))
+    T.stream_daily_intake(scans, amounts, f"{out}/days", f"{out}/check").awaitTermination()
+    return spark.read.schema("user_id long, day date, kcal long, protein long, carbs long, fat long, n long").parquet(f"{out}/days")
 
 
 def stream_latest_scan(spark, d):
     out = _shared(spark)
-    scans = A.scans_of(_stream(spark, d, "events"))
+    scans = A.scans_of(_stream(spark, d, "events"), A.count_products(spark, d))
     T.stream_latest_scan(scans, out + "/latest", f"{out}/check").awaitTermination()
     states = spark.read.schema(StructType([*scans.schema.fields, StructField("state", IntegerType())])).parquet(f"{out}/latest")
     return states.where(F.col("state") == states.agg(F.max("state")).first()[0]).select("user_id", "product_id", "scan_id", "logged")
@@ -288,10 +354,11 @@ def stream_latest_scan(spark, d):
 
 _FUNCTIONS = [
     score_products, parse_part_labels, parse_document_labels, classify_ingredients, classify_order_lines, eval_nutrition, explain_scores, build_analysis,
-    status_breakdown, concern_rows, nutrition_facts, ingredient_detail, lexicon_browse, unknown_terms, personal_alerts, personal_alerts_substring,
+    overridden_labels, shown_negatives, status_breakdown, concern_rows, nutrition_facts, ingredient_detail, lexicon_browse, unknown_terms, personal_alerts, personal_alerts_substring,
     compare_products, compare_nutrition, compare_candidates, find_alternatives, find_alternatives_for_users, category_scan, health_sort, load_products,
     union_sources, resolve_barcodes, search_products, fresh_snapshots, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
     set_logged, toggle_favorites, scan_insights, scan_insights_eaten, top_flagged, today_intake, today_intake_events, weekly_trend, backup_round_trip,
+    backup_sections, saved_history, step_portion, body_from_imperial,
     stream_scores, stream_daily_intake, stream_latest_scan,
 ]
 

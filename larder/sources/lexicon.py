@@ -22,6 +22,8 @@ SCHEMAS = {
     "groups": "grp string, category string, status string, summary string",
     "banned": "additive_id string, note string",
     "allergen_terms": "profile_key string, seq int, phrase string",
+    "group_details": "grp string, what_is string, why_flagged string, effects string",
+    "studies": "kind string, key string, seq int, title string, source string, year int",
 }
 
 _ADDITIVES = [
@@ -85,6 +87,15 @@ _GROUPS = [
     ("eLimit", "Additive", "limit", "Additive to limit."),
     ("eOk", "Additive", "ok", "Additive of no concern."),
 ]
+_GROUP_DETAILS = [(g, f"What is called {c.lower()}.", f"Its status is {s}.", f"No effect is told of {c.lower()} here.") for g, c, s, _ in _GROUPS]
+#: Studies of additives and groups; titles are placeholders of the seed.
+_STUDIES = [
+    ("additive", "red40", 0, "On colours in sweets", "Seed journal", 2007),
+    ("additive", "red40", 1, "On colours in drinks", "Seed journal", 2012),
+    ("additive", "e171", 0, "On white pigments", "Seed journal", 2021),
+    ("group", "sweetener", 0, "On intense sweeteners", "Seed journal", 2019),
+    ("group", "addedSugar", 0, "On sugar in drinks", "Seed journal", 2015),
+]
 _BANNED = [("e171", "Not allowed in food in the EU."), ("red3", "Not allowed in cosmetics in the US."), ("formaldehyde", "Not allowed in cosmetics in the EU.")]
 _ALLERGENS = {
     "gluten": ["wheat", "barley", "wheat flour"],
@@ -104,7 +115,7 @@ PROFILE_KEYS = list(_ALLERGENS)
 #: Words that no lexicon lists, for the adapters.
 UNCATALOGUED = "Moonberry;Zorblat root;Eggplant;Unsalted Xyl;Kappa bloom;Quillfruit;Ferro leaf;Tansy pulp;Drumstick pod;Sea lettuce;Pine tips;Nettle juice;Sodium;Vervain;Quince paste".split(";")
 
-_REASONS = {"sweetener": ("caution", "Artificial sweetener"), "seedOil": ("limit", "Refined seed oil"), "vague": ("limit", "Undisclosed ingredient"), "addedSugar": ("limit", "Added sugar")}
+_REASONS = {"sweetener": ("caution", "Intense sweetener"), "seedOil": ("limit", "Refined seed oil"), "vague": ("limit", "The label names no substance"), "addedSugar": ("limit", "Sugar added in making")}
 _FOOD_STAGE = {"sweetener": 2, "seedOil": 3, "vague": 4, "addedSugar": 7, "clean": 8}
 _OTHER_STAGE = {"vague": 13, "clean": 14}
 ENAME_STAGE, ECODE_STAGE, UNKNOWN_STAGE = 5, 6, 99
@@ -120,6 +131,8 @@ def seed_rows() -> dict[str, list[tuple]]:
         "groups": _GROUPS,
         "banned": _BANNED,
         "allergen_terms": [(k, i, p) for k, ps in _ALLERGENS.items() for i, p in enumerate(ps)],
+        "group_details": _GROUP_DETAILS,
+        "studies": _STUDIES,
     }
 
 
@@ -139,12 +152,12 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def merge_lexicons(base: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """``other``'s groups and bans replace ``base``'s of equal key; terms are appended unless
-    they are there already."""
-    keys = {"groups": ["grp"], "banned": ["additive_id"], "terms": ["list", "phrase"], "additives": ["family", "id"], "enumbers": ["code"], "concern_terms": ["bucket", "phrase"], "allergen_terms": ["profile_key", "phrase"]}
+    """``other``'s groups, their details, studies and bans replace ``base``'s of equal key;
+    terms are appended unless they are there already."""
+    keys = {"group_details": ["grp"], "studies": ["kind", "key", "seq"], "groups": ["grp"], "banned": ["additive_id"], "terms": ["list", "phrase"], "additives": ["family", "id"], "enumbers": ["code"], "concern_terms": ["bucket", "phrase"], "allergen_terms": ["profile_key", "phrase"]}
     out = {}
     for name, key in keys.items():
-        first, second = (other, base) if name in ("groups", "banned") else (base, other)
+        first, second = (other, base) if name in ("groups", "banned", "group_details", "studies") else (base, other)
         both = first[name].withColumn("_from", F.lit(0)).unionByName(second[name].withColumn("_from", F.lit(1)))
         order = [F.col("_from"), *[F.col(c) for c in ("seq",) if c in both.columns]]
         best = both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -162,12 +175,12 @@ def lexicon_entries(lex: dict[str, DataFrame]) -> DataFrame:
     )
     e = lex["enumbers"].select(
         F.lit("food").alias("family"), F.lit(ENAME_STAGE).alias("stage"), "seq", F.col("name").alias("raw"), null.alias("additive_id"), F.col("risk").alias("status"),
-        F.concat(F.lit("e"), F.initcap("risk")).alias("grp"), F.concat(F.lit("Food additive "), F.col("code")).alias("reason"), "name", "code",
+        F.concat(F.lit("e"), F.initcap("risk")).alias("grp"), F.concat(F.lit("Additive by name, "), F.col("code")).alias("reason"), "name", "code",
     )
     e_tokens = tokens(norm(F.col("raw")))
     e = e.where((F.size(e_tokens) > 1) | (F.length(F.get(e_tokens, F.lit(0))) >= 4))
     stages = [("food", k, s) for k, s in _FOOD_STAGE.items()] + [("nonfood", k, s) for k, s in _OTHER_STAGE.items()]
-    meta = [(f, k, s, *(_REASONS.get(k) or ("good", "Whole-food ingredient" if f == "food" else "Recognised ingredient"))) for f, k, s in stages]
+    meta = [(f, k, s, *(_REASONS.get(k) or ("good", "Plain food" if f == "food" else "Plain substance"))) for f, k, s in stages]
     spark = lex["terms"].sparkSession
     lists = local_table(spark, meta, "family string, list string, stage int, status string, reason string")
     terms = lex["terms"].join(F.broadcast(lists), "list").select(

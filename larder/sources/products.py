@@ -16,10 +16,16 @@ RAW_SCHEMA = (
 DOMAINS = ["food", "beauty", "household", "petfood"]
 NO_NAME = "Unknown product"
 FRESH_DAYS = {"product": 30, "ingredient": 90}
-BACKUP_SCHEMA = (
-    "app string, version int, exported_at timestamp, history array<struct<user_id: bigint, product_id: bigint, ts: timestamp, logged: string, portion: double>>, "
-    "favorites array<struct<user_id: bigint, product_id: bigint>>"
-)
+#: Sections of a user's backup: lists of rows, a list of flags, one row, a map.
+BACKUP_SECTIONS = {
+    "history": "array<struct<scan_id: bigint, product_id: bigint, ts: timestamp, logged: string, ate_at: timestamp, portion: double>>",
+    "favorites": "array<struct<product_id: bigint, since: timestamp>>",
+    "profile": "array<string>",
+    "health": "struct<sex: string, age: int, cm: double, kg: double, activity: string, goal: string>",
+    "settings": "map<string,string>",
+}
+BACKUP_SCHEMA = "app string, version int, exported_at timestamp, user_id bigint, " + ", ".join(f"{k} {t}" for k, t in BACKUP_SECTIONS.items())
+_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def category_of(tags: Column) -> Column:
@@ -48,6 +54,8 @@ def map_products(raw: DataFrame, product_type: str = "food") -> DataFrame:
         "serving_quantity",
         "nova_group",
         "nutriscore_grade",
+        F.coalesce("categories_tags", F.array().cast("array<string>")).alias("categories_tags"),
+        F.coalesce("additives_tags", F.array().cast("array<string>")).alias("additives_tags"),
         F.coalesce("nutriments", F.create_map().cast("map<string,string>")).alias("nutriments"),
     )
 
@@ -103,20 +111,52 @@ def label_intake_gate(labels: DataFrame) -> DataFrame:
     return labels.withColumn("gate", F.when(seen < 6, "reject").when(poor, "review").otherwise("accept"))
 
 
-def export_backup(history: DataFrame, favorites: DataFrame, path: str, exported_at: Column) -> None:
-    """One JSON record per user; a user's saved rows are bounded by what a history keeps."""
-    h = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("user_id", "product_id", "ts", "logged", "portion"))).alias("history"))
-    f = favorites.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("user_id", "product_id"))).alias("favorites"))
-    out = h.join(f, "user_id", "full_outer").select(F.lit("larder").alias("app"), F.lit(4).alias("version"), exported_at.alias("exported_at"), "history", "favorites")
-    out.write.mode("overwrite").json(path)
-
-
-def import_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(history, favorites)``; absent sections have no rows."""
-    saved = spark.read.schema(BACKUP_SCHEMA).json(path)
-    return saved.select(F.inline("history")), saved.select(F.inline("favorites"))
-
-
-def replace_section(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Imported users' rows replace their old ones."""
-    return old.join(new.select("user_id").distinct(), "user_id", "left_anti").unionByName(new.select(*old.columns))
+def override_products(products: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Products with the text and type of ``overrides (product_id, text, product_type)`` where
+    these are told: a label that was read itself wins over the record's."""
+    o = overrides.select("product_id", missing(F.col("text")).alias("_text"), missing(F.col("product_type")).alias("_type"))
+    out = products.join(o, "product_id", "left")
+    out = out.withColumn("ingredients_text", F.coalesce("_text", "ingredients_text")).withColumn("product_type", F.coalesce("_type", missing(F.col("product_type")), F.lit("food")))
+    return out.select(*products.columns)
+
+
+def export_backup(path: str, exported_at: Column, history: DataFrame, favorites: DataFrame | None = None, profiles: DataFrame | None = None, health: DataFrame | None = None, settings: DataFrame | None = None) -> None:
+    """One JSON record per user with the sections given; a user's saved rows are bounded by
+    what a history keeps. ``settings`` is ``(user_id, settings map)``, the others are tables
+    with a ``user_id``, ``profiles`` one row a flag."""
+    listed = lambda df, *cols: df.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_x"))
+    parts = {"history": listed(history, "scan_id", "product_id", "ts", "logged", "ate_at", "portion")}
+    if favorites is not None:
+        parts["favorites"] = listed(favorites, "product_id", "since")
+    if profiles is not None:
+        parts["profile"] = profiles.groupBy("user_id").agg(F.sort_array(F.collect_set("profile_key")).alias("_x"))
+    if health is not None:
+        parts["health"] = health.select("user_id", F.struct("sex", "age", "cm", "kg", "activity", "goal").alias("_x"))
+    if settings is not None:
+        parts["settings"] = settings.select("user_id", F.col("settings").alias("_x"))
+    out = None
+    for name, part in parts.items():
+        part = part.withColumnRenamed("_x", name)
+        out = part if out is None else out.join(part, "user_id", "full_outer")
+    out = out.select(F.lit("larder").alias("app"), F.lit(4).alias("version"), exported_at.alias("exported_at"), "user_id", *parts)
+    out.write.mode("overwrite").options(**_TIME).json(path)
+
+
+def import_backup(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sections as tables with a ``user_id``, and ``users``: who has which section, since a
+    section may be there and empty."""
+    saved = spark.read.schema(BACKUP_SCHEMA).options(**_TIME).json(path)
+    return {
+        "users": saved.select("user_id", *[F.col(k).isNotNull().alias(k) for k in BACKUP_SECTIONS]),
+        "history": saved.select("user_id", F.inline("history")),
+        "favorites": saved.select("user_id", F.inline("favorites")),
+        "profile": saved.select("user_id", F.explode("profile").alias("profile_key")),
+        "health": saved.where("health IS NOT NULL").select("user_id", "health.*"),
+        "settings": saved.where("settings IS NOT NULL").select("user_id", "settings"),
+    }
+
+
+def replace_section(old: DataFrame, saved: dict[str, DataFrame], section: str) -> DataFrame:
+    """The rows of a section after an import: those of users whose backup has it are replaced."""
+    told = saved["users"].where(section).select("user_id")
+    return old.join(told, "user_id", "left_anti").select(*old.columns).unionByName(saved[section].select(*old.columns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.functions.exprs import js_round, portion_or_one
+from larder.functions.tables import delete, scratch
 from larder.operators.classify import classify
 from larder.operators.history import upsert_scans
 from larder.operators.labels import parse_labels
@@ -17,33 +18,42 @@ from larder.operators.score import score_products
 
 
 def stream_scores(products: DataFrame, lex: dict[str, DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Scores products as they land; each micro-batch is one batch job and one output folder."""
+    """Scores products as they land; each micro-batch is one batch job and one output folder,
+    and what it wrote on the way goes with it."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        classified = classify(parse_labels(batch, "product_id", "ingredients_text", "product_type"), lex)
-        score_products(batch, classified).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch():
+            classified = classify(parse_labels(batch, "product_id", "ingredients_text", "product_type"), lex)
+            score_products(batch, classified).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return products.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_intake(scans: DataFrame, kcal: DataFrame, late: str = "1 day") -> DataFrame:
-    """Calories per user and day over all eaten events; rows later than ``late`` are dropped.
+def daily_intake(scans: DataFrame, amounts: DataFrame, late: str = "1 day") -> DataFrame:
+    """Calories, and macros if told, per user and day over all eaten events; rows later than
+    ``late`` are dropped.
 
-    ``kcal (product_id, kcal)`` is a static side; the state is one row per user and open day.
+    ``amounts (product_id, kcal[, protein, carbs, fat])`` is a static side; the state is one
+    row per user and open day.
     """
-    eaten = scans.where("logged = 'eaten'").withWatermark("ts", late).join(kcal, "product_id")
-    amount = F.coalesce(js_round(F.col("kcal") * portion_or_one(F.col("portion"))), F.lit(0)).cast("long")
-    days = eaten.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.sum(amount).alias("kcal"), F.count("*").alias("n"))
-    return days.select("user_id", F.to_date("w.start").alias("day"), "kcal", "n")
+    eaten = scans.where("logged = 'eaten'").withWatermark("ts", late).join(amounts, "product_id")
+    told = [c for c in ("kcal", "protein", "carbs", "fat") if c in amounts.columns]
+    amount = lambda c: F.coalesce(js_round(F.col(c) * portion_or_one(F.col("portion"))), F.lit(0)).cast("long")
+    days = eaten.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(*[F.sum(amount(c)).alias(c) for c in told], F.count("*").alias("n"))
+    return days.select("user_id", F.to_date("w.start").alias("day"), *told, "n")
 
 
-def stream_daily_intake(scans: DataFrame, kcal: DataFrame, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    days = daily_intake(scans, kcal, late)
+def stream_daily_intake(scans: DataFrame, amounts: DataFrame, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    days = daily_intake(scans, amounts, late)
     return days.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_latest_scan(scans: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest scan per user and product; each micro-batch merges with the last state."""
+    """Keeps the newest scan per user and product; each micro-batch merges with the last state.
+
+    The state before the last is deleted: a batch that is run again after a failure needs
+    only the one before it.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -51,5 +61,7 @@ def stream_latest_scan(scans: DataFrame, out: str, checkpoint: str) -> Streaming
             before = spark.read.schema(batch.schema).parquet(f"{out}/state={batch_id - 1}")
             batch = before.unionByName(batch)
         upsert_scans(batch).write.mode("overwrite").parquet(f"{out}/state={batch_id}")
+        if batch_id > 1:
+            delete(f"{out}/state={batch_id - 2}")
 
     return scans.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
