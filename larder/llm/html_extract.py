@@ -15,11 +15,13 @@ Hosts with fewer than MIN_PAGES pages use the template deduced over all hosts. T
 are a row per host and are broadcast only after their number is checked.
 
 Words of class, id and role mark boilerplate (NOT_WORDS) on elements other than html, body,
-main, article and those that enclose the page's article.
+main, article and those that enclose the page's article, unless the mark has another word
+that names something else.
 
 Defined results: null or empty html gives an empty text; a page without any content region
-gives all its text outside boilerplate elements; a null url is a host of its own; repeated
-rows each come back.
+gives all its text outside boilerplate elements; pages of any length are read whole; a null
+url is a host of its own; of regions with equal text the first by label is taken; repeated
+rows each come back; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -62,9 +64,14 @@ SCOPES = set("ul ol dl table article section div body main nav aside header foot
 NOT_TEXT = RAW | set("head nav aside footer form button select option input dialog svg canvas menu object".split())
 NOT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer sidebar aside widget widgets related recommended share sharing social comment comments commentlist discussion replies disqus cookie cookies notice "
+    "footer sidebar aside widget widgets related recommended share sharing social comment comments commentlist discussion replies reactions responses respond disqus cookie cookies notice "
     "notices consent gdpr popup modal overlay newsletter subscribe subscription login signup search pagination pager skip hidden toolbar masthead complementary contentinfo".split()
 )
+#: Words beside those that only say which part of it an element is; any other names something else, as in share-price.
+PART_WORDS = set(
+    "box bar block list item items area wrap wrapper container inner outer section head header title body content main left right top bottom primary secondary "
+    "link links button buttons icon icons post posts stories news form panel slot unit text label count small large mobile desktop fixed sticky site page global js 0".split()
+)
 OUTSIDE_ONLY = {"header", "banner"}
 ARTICLE = {"article", "main"}
 #: Elements whose own marks say nothing about the article.
@@ -118,7 +125,11 @@ def _steady(name: str, is_id: bool, mark: str) -> str:
 def _rules(role: str) -> tuple[bool, bool, bool, bool]:
     """Whether the role's element, or a word of its marks, is never content; whether either is none outside an article."""
     name, _, marks = role.partition(".")
-    words = set(re.split(r"[^a-z0-9]+", marks)) if marks and name not in NO_WORDS else set()
+    words: set[str] = set()
+    for mark in marks.split(".") if name not in NO_WORDS else ():
+        found = {w for w in re.split(r"[^a-z0-9]+", mark) if w and not w.isdigit()}
+        if found <= NOT_WORDS | PART_WORDS | OUTSIDE_ONLY:
+            words |= found
     return name in NOT_TEXT, bool(words & (NOT_WORDS - OUTSIDE_ONLY)), name in OUTSIDE_ONLY, bool(words & OUTSIDE_ONLY)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import collect_garbage, components, discard, durable, is_small, table
+from larder.llm.common import collect_garbage, components, discard, durable, is_small, scratch, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -537,7 +537,8 @@ def near_duplicate_groups(docs: DataFrame, id_col="doc_id", text_col="text", rad
 def drop_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id, of equal ids the one
     whose text has the least hash, of repeated rows any; rows without an id all stay."""
-    rows = durable(_near_rows(docs, id_col, text_col, RADIUS, SIMILARITY, SHARD, GROUP), "near")
+    with scratch():
+        rows = durable(_near_rows(docs, id_col, text_col, RADIUS, SIMILARITY, SHARD, GROUP), "near", keep=True)
     same = (F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))
     gone = rows.where(~same).select("id", "th").distinct()
     gone = F.broadcast(gone) if is_small(gone) else gone.hint("shuffle_hash")

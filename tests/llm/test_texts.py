@@ -410,5 +410,35 @@ def test_html_template_texts_in_articles(spark):
     assert all(got[100 + i] == f"Daily brief Filed by the desk {stories[0]} {long}" for i in range(6))
 
 
+def test_html_marks_that_name_something_else(spark):
+    page = "<article><h1>Head</h1><p>Story<table class='share-price'><tr><td>7 up</table><p class='notice-board'>board<div class='share-buttons'>share</div><section class='reactions'><p>first!</section><ul id='related-posts-3'><li>other</ul></article>"
+    assert html_extract.main_text(page, None, {}) == "Head Story 7 up board"
+
+
+def test_html_without_article_or_known_names(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    story = lambda: " ".join(word() for _ in range(80))
+    long = "Every reader of these pages agrees to what the house has written down elsewhere, and that is said here again at such length that no limit on the size of a notice would let it pass as one. " * 2
+    page = "<body><div class=x1><span>Front</span><span>Back</span></div><div class=q7><h1>{}</h1><p>{}<p>{}</div><div class=z9><p>" + long + "<div class=z8><b>Call us</b></div></div>"
+    rows, want = [], {}
+    for i in range(12):
+        head, a, b = word(), story(), story()
+        rows.append((i, f"http://a.example/{i}", page.format(head, a, b)))
+        want[i] = f"{head} {a} {b}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("token", F.lit(1))
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == want
+    # Without the classes the notice is text like any other.
+    assert "Every reader" in html_extract.main_text(rows[0][2], None, {}) and html_extract.main_text(rows[0][2], "body/div.q7", {}) == want[0]
+
+
+def test_html_long_page_and_ties(spark):
+    body = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, "http://a.example/", f"<body><p>{body}</p>"), (2, None, "<body><div class=a><p>same</div><div class=b><p>same</div>"), (2, None, "<body><div class=a><p>same</div><div class=b><p>same</div>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, len(r.text)) for r in got) == [(1, len(body)), (2, len(got[1].text)), (2, len(got[1].text))]
+
+
 def test_longest_rise():
     assert html_extract._longest_rise([0, 1, 5, 2, 3]) == {0, 1, 2, 3} and html_extract._longest_rise([]) == set()
