@@ -1,19 +1,20 @@
 """Media columns from ISO media containers.
 
-Boxes are walked by their headers, nested containers included; the sample tables are
-decoded to chunk and sample byte ranges; codec, time scale, duration and the byte ranges of
-the keyframes are stored as columns. Payload bytes are never decoded. ``store_samples``
-writes the containers that the query reads: 8-bit samples in access units of UNIT bytes,
-one keyframe at the start of each chunk.
+Boxes are walked by their headers, nested containers included; the sample tables, and the
+runs of movie fragments after them, are decoded to chunk and sample byte ranges; codec, time
+scale, duration, edits and the byte ranges of the keyframes are stored as columns. Payload
+bytes are never decoded. ``store_samples`` writes the containers that the query reads: 8-bit
+samples in access units of UNIT bytes, one keyframe at the start of each chunk.
 
 Defined results: bytes that are no container, or are cut off, give a row with ``error`` set
 and no tracks; null media is handled as empty bytes; a payload is padded with zero bytes to
-a positive multiple of UNIT; equal payloads give equal bytes.
+a positive multiple of UNIT, and one of any length is one row; equal payloads give equal
+bytes; a track whose header tells no duration has that of its samples; repeated rows each
+come back; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ UNIT = 64
 UNITS_A_CHUNK = 128
 RATE = 8000
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"mvex"}
 _ROWS_OUT = 256
 
 
@@ -104,13 +105,16 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _walk(data: memoryview, start: int, end: int, found: list[dict], track: dict | None) -> None:
+def _walk(data: memoryview, start: int, end: int, found: list[dict], track: dict | None, defaults: dict[int, list[int]]) -> None:
     for kind, a, b in boxes(data, start, end):
         if kind == b"trak":
-            found.append(track := {})
-            _walk(data, a, b, found, track)
+            found.append(own := {})
+            _walk(data, a, b, found, own, defaults)
         elif kind in CONTAINERS:
-            _walk(data, a, b, found, track)
+            _walk(data, a, b, found, track, defaults)
+        elif kind == b"trex":
+            number, _, *rest = _u32(data, (a, b), 4, 5).tolist()
+            defaults[number] = rest
         elif track is not None:
             track[kind] = (a, b)
 
@@ -127,8 +131,8 @@ def _track(data: memoryview, t: dict) -> dict:
     version = data[a]
     scale, duration = struct.unpack_from(">IQ" if version else ">II", data, a + (20 if version else 12))
     codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
-    fixed, count = _u32(data, t[b"stsz"], 4, 2).tolist()
-    sizes = np.full(count, fixed, np.int64) if fixed else _u32(data, t[b"stsz"], 12, count)
+    sizes = _sizes(data, t)
+    count = len(sizes)
     if b"co64" in t:
         n = int(_u32(data, t[b"co64"], 4, 1)[0])
         _u32(data, t[b"co64"], 8, 2 * n)
@@ -148,15 +152,105 @@ def _track(data: memoryview, t: dict) -> dict:
     spans = np.stack([offsets, before[last] - before[last - per_chunk]], 1)
     if count and ((start + sizes).max() > len(data) or sync.size and not 0 <= sync.min() <= sync.max() < count):
         raise ValueError("a sample lies outside the file")
-    return {"codec": codec, "timescale": scale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "n_samples": count, "keyframes": np.stack([start[sync], sizes[sync]], 1), "spans": spans}
+    keys = np.stack([start[sync], sizes[sync]], 1)
+    return {"codec": codec, "timescale": scale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "n_samples": count, "edits": _edits(data, t), "keyframes": keys, "spans": spans}
+
+
+def _sizes(data: memoryview, t: dict) -> np.ndarray:
+    """Sizes of the samples, from either kind of table."""
+    if b"stz2" not in t:
+        fixed, count = _u32(data, t[b"stsz"], 4, 2).tolist()
+        return np.full(count, fixed, np.int64) if fixed else _u32(data, t[b"stsz"], 12, count)
+    bits, count = _u32(data, t[b"stz2"], 4, 2).tolist()
+    bits &= 255
+    if bits not in (4, 8, 16) or t[b"stz2"][0] + 12 + (bits * count + 7) // 8 > t[b"stz2"][1]:
+        raise ValueError("table is cut off")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", count, t[b"stz2"][0] + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, (bits * count + 7) // 8, t[b"stz2"][0] + 12)
+    return (raw if bits == 8 else np.stack([raw >> 4, raw & 15], 1).ravel()[:count]).astype(np.int64)
+
+
+def _edits(data: memoryview, t: dict) -> list[tuple[int, int]]:
+    """``(duration in the movie's time scale, start in the track's; -1: nothing shown)``."""
+    if b"elst" not in t:
+        return []
+    a, b = t[b"elst"]
+    version, count = data[a], int(_u32(data, (a, b), 4, 1)[0])
+    form, size = (">Qq4x", 20) if version else (">Ii4x", 12)
+    if a + 8 + size * count > b:
+        raise ValueError("table is cut off")
+    return [struct.unpack_from(form, data, a + 8 + size * i) for i in range(count)]
+
+
+def _number(data: memoryview, t: dict) -> int:
+    a, _ = t[b"tkhd"]
+    return struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+
+
+def _fragment(data: memoryview, start: int, a: int, b: int, tracks: dict[int, dict], defaults: dict[int, list[int]]) -> None:
+    """Adds the runs of one movie fragment, which begins at ``start``, to their tracks."""
+    place = start
+    for kind, a1, b1 in boxes(data, a, b):
+        if kind != b"traf":
+            continue
+        inner = list(boxes(data, a1, b1))
+        head = next((x, y) for k, x, y in inner if k == b"tfhd")
+        flags, number = (int(x) for x in _u32(data, head, 0, 2))
+        at, known = head[0] + 8, list(defaults.get(number, [0, 0, 0]))
+        base = struct.unpack_from(">Q", data, at)[0] if flags & 1 else start if flags & 0x20000 else place
+        at += 8 * (flags & 1) + 4 * bool(flags & 2)
+        for i, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                known[i], at = struct.unpack_from(">I", data, at)[0], at + 4
+        place = base
+        for k, x, y in inner:
+            if k == b"trun":
+                place = _run(data, (x, y), base, place, known, tracks[number])
+
+
+def _run(data: memoryview, box: tuple[int, int], base: int, place: int, known: list[int], track: dict) -> int:
+    """Adds the samples of one run; gives the place after them."""
+    flags, count = (int(x) for x in _u32(data, box, 0, 2))
+    flags &= 0xFFFFFF
+    at = 8
+    if flags & 1:
+        place, at = base + struct.unpack_from(">i", data, box[0] + at)[0], at + 4
+    first = int(_u32(data, box, at, 1)[0]) if flags & 4 else None
+    at += 4 * bool(flags & 4)
+    told = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    rows = _u32(data, box, at, count * len(told)).reshape(count, len(told))
+    column = lambda i, bit: rows[:, told.index(bit)] if bit in told else np.full(count, known[i], np.int64)
+    spans, sizes, marks = column(0, 0x100), column(1, 0x200), column(2, 0x400).copy()
+    if first is not None and count:
+        marks[0] = first
+    starts = place + np.cumsum(sizes) - sizes
+    end = place + int(sizes.sum())
+    if place < 0 or end > len(data):
+        raise ValueError("a sample lies outside the file")
+    sync = (marks & 0x10000) == 0
+    track["n_samples"] += count
+    track["ticks"] += int(spans.sum())
+    track["keyframes"] = np.concatenate([track["keyframes"], np.stack([starts[sync], sizes[sync]], 1)])
+    track["spans"] = np.concatenate([track["spans"], np.array([[place, end - place]], np.int64)])
+    return end
 
 
 def read_tracks(media: bytes) -> list[dict]:
-    data, found = memoryview(media), []
-    _walk(data, 0, len(data), found, None)
+    data, found, defaults = memoryview(media), [], {}
+    _walk(data, 0, len(data), found, None, defaults)
     if not found:
         raise ValueError("no track")
-    return [_track(data, t) for t in found]
+    tracks = [_track(data, t) for t in found]
+    by_number = {_number(data, t): track for t, track in zip(found, tracks, strict=True) if b"tkhd" in t}
+    start = 0
+    for kind, a, b in boxes(data, 0, len(data)):
+        if kind == b"moof":
+            _fragment(data, start, a, b, by_number, defaults)
+        start = b
+    for track in tracks:
+        track["duration"] = track["duration"] or track["ticks"]
+    return tracks
 
 
 _TRACK = T.StructType(
@@ -166,12 +260,13 @@ _TRACK = T.StructType(
         T.StructField("duration", T.LongType()),
         T.StructField("ticks", T.LongType()),
         T.StructField("n_samples", T.LongType()),
+        T.StructField("edits", T.ArrayType(T.StructType([T.StructField("duration", T.LongType()), T.StructField("start", T.LongType())]))),
         T.StructField("keyframes", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))),
     ]
 )
 _ARROW_TRACK = pa.list_(
     pa.struct(
-        [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("ticks", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+        [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("ticks", pa.int64()), ("n_samples", pa.int64()), ("edits", pa.list_(pa.struct([("duration", pa.int64()), ("start", pa.int64())]))), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
     )
 )
 
@@ -211,20 +306,16 @@ def media_columns(files: DataFrame, id_col="doc_id", media_col="media", payload=
     def each(media: bytes) -> tuple:
         try:
             tracks = read_tracks(media)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
+        except (ValueError, KeyError, IndexError, StopIteration, struct.error) as e:
             return (None, f"{type(e).__name__}: {e}", None)
         data = b"".join(media[a : a + n] for a, n in tracks[0]["spans"].tolist()) if payload else None
-        told = [{k: v for k, v in t.items() if k not in ("spans", "keyframes")} | {"keyframes": [{"start": a, "length": n} for a, n in t["keyframes"].tolist()]} for t in tracks]
+        ranges = lambda t: {"keyframes": [{"start": a, "length": n} for a, n in t["keyframes"].tolist()], "edits": [{"duration": a, "start": n} for a, n in t["edits"]]}
+        told = [{k: v for k, v in t.items() if k not in ("spans", "keyframes", "edits")} | ranges(t) for t in tracks]
         return (told, None, data)
 
     return _mapped(src, T.StructType(fields), each).withColumnRenamed("id", id_col)
 
 
-def keyframe_digest(tracks: list[dict]) -> str:
-    """Short text for the keyframe ranges of all tracks."""
-    return hashlib.sha256(";".join(f"{a}+{n}" for t in tracks for a, n in t["keyframes"].tolist()).encode()).hexdigest()[:16]
-
-
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_media(table(spark, sf_dir, "documents"))
     stored = stored.select(F.struct("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("key"), "media")

@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from larder.llm import simhash, suffix_dedup
+from larder.llm import sentencepiece_codec, simhash, suffix_dedup
 from larder.llm.common import components
 from tests.conftest import DATA
+from tests.llm import test_texts as texts
 
 
 def brute_repeats(docs, length=100):
@@ -176,6 +178,27 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "encoding"]
 
 
+def test_pipeline_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    train = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    told = texts.brute_languages([r[1] for r in rows], train)
+    rows = [r for r, (lang, _, unclear) in zip(rows, told, strict=True) if lang != "und" and not unclear]
+    kept = {i: t for i, _, _, t in texts.brute_lines([r[:2] for r in rows])}
+    rows = [(i, None if t is None else kept[i], *more) for i, t, *more in rows]
+    left = similar_groups([r[:2] for r in rows])
+    rows = [r for r in rows if r[0] in left]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    dirty = {i for i, _ in texts.brute_matches([r[:2] for r in rows], bench)}
+    library = sentencepiece_codec._codec(sentencepiece_codec.MODEL).whole
+    want = {}
+    for i, t, lang, source in rows:
+        if i not in dirty:
+            pieces = library.encode(t or "", return_type="proto").pieces
+            want[i] = (lang, source, len(pieces), [p.id for p in pieces], [p.end for p in pieces], True)
+    got = {r.doc_id: (r.lang, r.source, r.n_tokens, r.ids, r.ends, r.round_trip) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got.keys() == want.keys() and got == want and dirty
+
+
 def test_stages_on_edges(spark, docs_of, edge_rows):
     docs = docs_of([*edge_rows, *[(50 + i, "the quick brown fox and the lazy dog " * 3 + str(i), "en") for i in range(4)], (60, "der schnelle braune fuchs " * 9, "de")])
     for _, stage in corpus_pipeline.STAGES:
