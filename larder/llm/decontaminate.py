@@ -32,6 +32,9 @@ share only the id are searched one by one; other columns may have any names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +69,7 @@ def canonical(mark: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space, without the empty ones at the ends."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def _windows(words: Column, size: int) -> Column:
@@ -97,13 +100,15 @@ def _index(templates: DataFrame, window: int, coverage: float) -> tuple[DataFram
     return ranked.where("rank <= probes").select("tpl", "ipos", "hash"), free
 
 
-def _at(words: Column, shift: Column, template: Column, window: int) -> Column:
+def _starts(words: Column, window: int) -> Column:
+    """Where the windows with a word in them begin."""
+    return F.filter(F.sequence(F.lit(0), F.size(words) - window), lambda p: _spoken(F.slice(words, p + 1, F.lit(window))))
+
+
+def _at(words: Column, shift: Column, template: Column, starts: Column, window: int) -> Column:
     """Positions of the template whose windows the document has at ``shift``."""
-    first = F.greatest(F.lit(0), -shift)
-    last = F.least(F.size(template), F.size(words) - shift) - window
-    equal = lambda p: (F.slice(words, p + shift + 1, F.lit(window)) == F.slice(template, p + 1, F.lit(window))) & _spoken(F.slice(template, p + 1, F.lit(window)))
-    starts = F.when(last >= first, F.filter(F.sequence(first, F.greatest(first, last)), equal)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (window - 1)))))
+    equal = lambda p: (p + shift >= 0) & reduce(and_, [F.get(words, p + shift + k) == F.get(template, p + k) for k in range(window)])
+    return F.array_distinct(F.flatten(F.transform(F.filter(starts, equal), lambda p: F.sequence(p, p + (window - 1)))))
 
 
 def _counted(pairs: Column) -> Column:
@@ -127,7 +132,7 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id
     items = bench.select(F.col(item_id).alias("item"), F.col(text_col).alias("text")).dropDuplicates()
     items = items.select("item", tokens(mark).alias("core"), tokens(canonical(mark)).alias("words")).where(_spoken(F.col("words")))
     items = durable(items.withColumn("tpl", F.xxhash64("words")), "items")
-    long_ = items.where(F.size("words") >= window)
+    long_ = items.where(F.size("words") >= window).withColumn("starts", _starts(F.col("words"), window))
     templates = long_.groupBy("tpl").agg(F.first("words").alias("words"))
 
     index, free = _index(templates, window, coverage)
@@ -151,13 +156,14 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id="doc_id", item_id="item_id
     def counts(doc: Column) -> Column:
         def run(shift: Column) -> Column:
             pair = lambda i: F.struct(i.alias("i"), F.lower(F.get(F.col("core"), i)).alias("a"), F.lower(F.get(doc["core"], i + shift)).alias("b"))
-            return bound(F.transform(_at(doc["words"], shift, F.col("words"), window), pair), _counted)
+            return bound(F.transform(_at(doc["words"], shift, F.col("words"), F.col("starts"), window), pair), _counted)
 
         return F.size(F.array_distinct(F.flatten(F.transform("shifts", run))))
 
     good = bound(F.struct(F.col("dcore").alias("core"), F.col("dwords").alias("words")), counts)
     told = told.select("doc", "th", "item", F.size("words").alias("n"), good.alias("good"))
-    found = told.where(F.col("good") >= F.ceil(F.col("n") * coverage))
+    # Written, so that the filter does not count again.
+    found = durable(told, "counted").where(F.col("good") >= F.ceil(F.col("n") * coverage))
 
     short = items.where(F.size("words") < window).select("item", F.array_join(F.transform("core", F.lower), " ").alias("say"), F.size("core").alias("n"))
     for size in sorted(r[0] for r in short.select("n").distinct().collect()):
