@@ -25,7 +25,9 @@ def clean_label(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?i){BEFORE}(?:https?://|www\.)\S+", " ")
     # Only texts with an @ pay for the backtracking on long unspaced runs.
     t = F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, r"\S+@\S+\.\S+", " ")).otherwise(t)
-    t = F.regexp_replace(t, rf"(?i){_EDGE}[A-Za-z0-9_.-]+\.(?:com|net|org|co|us){AFTER}", " ")
+    # Likewise only texts with an ending of a domain.
+    domain = rf"\.(?:com|net|org|co|us){AFTER}"
+    t = F.when(t.rlike(f"(?i){domain}"), F.regexp_replace(t, rf"(?i){_EDGE}[A-Za-z0-9_.-]+{domain}", " ")).otherwise(t)
     t = F.regexp_replace(t, r"(?is)^(.*?)ingredients?:?", "$1 ")
     t = F.regexp_replace(t, "(?i)contains( 2% or less of| less than 2% of)?:?", ",")
     t = F.translate(t, "[]{}", ",,,,")
@@ -33,7 +35,9 @@ def clean_label(text: Column) -> Column:
 
 
 def is_non_ingredient(n: Column) -> Column:
-    return n.rlike(rf"\b(?:{NOISE})\b") | n.rlike(rf"\b\d+(\.\d+)?\s?(?:{PANEL_UNITS})\b")
+    # Normalised text is ASCII, so plain look-arounds are its word boundaries.
+    before, after = "(?<![a-z0-9])", "(?![a-z0-9])"
+    return n.rlike(f"{before}(?:{NOISE}){after}") | n.rlike(rf"{before}[0-9]+(?:\.[0-9]+)? ?(?:{PANEL_UNITS}){after}")
 
 
 def ingredient_array(text: Column) -> Column:
