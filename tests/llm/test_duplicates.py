@@ -272,3 +272,18 @@ def test_full_keys_are_dealt_finer(spark):
     for shard, finest in ((50, 8), (20, 2)):
         links = [(at[r.a], at[r.b]) for r in simhash.shard_links(fps, 4, shard, finest).select("a", "b").distinct().collect()]
         assert union(len(values), links) == want
+
+
+def test_language_stage_judges_every_row_by_its_text(spark, docs_of):
+    train = [(100 + i, f"the words of the plain text number {i} are read by all of them", "en") for i in range(9)]
+    train += [(200 + i, f"die worte der schlichten schrift nummer {i} werden von allen gelesen", "de") for i in range(9)]
+    rows = [(1, "12 34"), (1, "the words are read by all"), (None, "die worte werden gelesen"), (None, None), (None, "..."), (2, "the text is plain"), (2, "the text is plain")]
+    kept = corpus_pipeline.language_stage(spark, docs_of([*train, *rows]), DATA).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept if r.doc_id is None or r.doc_id < 100) == sorted(map(str, [rows[1], rows[2], rows[5], rows[6]]))
+
+
+def test_near_groups_equal_brute_force_on_more_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.group_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert got == similar_groups(rows)

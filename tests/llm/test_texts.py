@@ -484,3 +484,16 @@ def test_html_long_page_and_ties(spark):
 
 def test_longest_rise():
     assert html_extract._longest_rise([0, 1, 5, 2, 3]) == {0, 1, 2, 3} and html_extract._longest_rise([]) == set()
+
+
+def test_spans_of_a_table_equal_the_library(docs_of, edge_rows):
+    rows = [*edge_rows, *[(100 + i, t) for i, t in enumerate(odd_texts()[:80])]]
+    library = sentencepiece_codec._codec(sentencepiece_codec.MODEL).whole
+    want = {}
+    for i, t in rows:
+        pieces = library.encode(t, return_type="proto").pieces if t else []
+        want.setdefault(str(i), []).append(([p.id for p in pieces], [p.end for p in pieces]))
+    got = {}
+    for r in sentencepiece_codec.encode_pieces(docs_of(rows)).collect():
+        got.setdefault(str(r.doc_id), []).append((r.ids, r.ends))
+    assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
