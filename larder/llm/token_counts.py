@@ -12,7 +12,8 @@ it is, but the best of a character is rounded when it is kept, which decides bet
 once a long text's score exceeds 2**24. Pieces with a reserved score (the runs of white space
 at -1e9 that a byte-pair vocabulary lists for its own use) are no unigram pieces: with them
 every sum would be lost in rounding. Over the pieces that remain, counts of whole texts equal
-those of the tokenizer.
+those of the tokenizer while sums are exact; of 10,000 texts 4 differed, all beyond 2**24, by
+up to 6 tokens in 21,574, where its rounding is not told by this rule.
 
 No piece has a space after another character, so best paths split at words, and a bounded
 memo per worker keeps the counts of words. What a word adds depends on the score before it
@@ -46,8 +47,8 @@ RESERVED = -1e8
 _MARK = "▁"
 
 
-#: Whole numbers below are exact in single precision.
-_EXACT = float(1 << 24)
+#: Whole numbers below are exact in single precision; how far below its end a word's kept scores may lie.
+_EXACT, _MARGIN = float(1 << 24), float(1 << 22)
 
 
 def _single(value: float) -> float:
@@ -63,6 +64,24 @@ def _single_whole(value: float) -> float:
     return round(value / unit) * unit
 
 
+class _Exact(dict):
+    """Count and score of words, as one complex number, while sums are exact; ``far`` is set
+    by a word with a kept score beyond the margin."""
+
+    def __init__(self, viterbi: CountingViterbi):
+        self.viterbi, self.far = viterbi, False
+
+    def __missing__(self, word: str) -> complex:
+        count, end, reach = self.viterbi.chunk(word)
+        if reach > _MARGIN:
+            self.far = True
+        elif len(word) <= 64:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = complex(count, end)
+        return complex(count, end)
+
+
 class CountingViterbi:
     """Piece counts under ``pieces``, text of a piece to its score; those of ``chosen`` are
     user-defined symbols, which the tokenizer prefers."""
@@ -80,6 +99,7 @@ class CountingViterbi:
         self.unknown = _single(min(pieces.values(), default=0.0) - UNKNOWN_COST)
         self.byte_fallback = byte_fallback
         self.memos: dict[tuple[float, int], dict[str, tuple[int, float, float]]] = {}
+        self.exact = _Exact(self)
         whole = all(s <= 0 and s == int(s) for s in (*scores.values(), self.unknown))
         self.single = _single_whole if whole else _single
         self.splits = whole and byte_fallback and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
@@ -122,9 +142,18 @@ class CountingViterbi:
         text = _MARK + text.replace(" ", _MARK)
         if not self.splits:
             return self.chunk(text)[:2]
+        words = self.split(text)
+        self.exact.far = False
+        total = sum(map(self.exact.__getitem__, words), 0j)
+        if not self.exact.far and total.imag > _MARGIN - _EXACT:
+            return int(total.real), total.imag
+        return self._rounded(words)
+
+    def _rounded(self, words: list[str]) -> tuple[int, float]:
+        """Count and score of ``words`` whose sum leaves the exact range."""
         tokens, score, limit, unit = 0, 0.0, _EXACT, 0.0
         memo = self.memos.setdefault((0.0, 0), {})
-        for word in self.split(text):
+        for word in words:
             found = memo.get(word)
             if found and score - found[2] > -limit:
                 tokens += found[0]
