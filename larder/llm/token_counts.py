@@ -7,19 +7,15 @@ so among equal scores the longest piece wins. A character that is no piece itsel
 lowest score minus 10 and counts one token per UTF-8 byte with byte fallback; without it, a
 run of such characters counts one token.
 
-The tokenizer keeps scores in single precision, and so does this: a candidate is compared as
-it is, but the best of a character is rounded when it is kept, which decides between paths
-once a long text's score exceeds 2**24. Pieces with a reserved score (the runs of white space
-at -1e9 that a byte-pair vocabulary lists for its own use) are no unigram pieces: with them
-every sum would be lost in rounding. Over the pieces that remain, counts of whole texts equal
-those of the tokenizer while sums are exact; of 10,000 texts 4 differed, all beyond 2**24, by
-up to 6 tokens in 21,574, where its rounding is not told by this rule.
+Scores are summed in double precision, which is exact for the whole scores of the vocabulary
+files used here: equal sums are ties, as they are to the tokenizer, whose single precision is
+relative to the place it has reached and loses no digit of scores of this size. Pieces with a
+reserved score (the runs of white space at -1e9 that a byte-pair vocabulary lists for its own
+use) are no unigram pieces: with them the tokenizer's own sums are lost in rounding. Over the
+pieces that remain, counts of whole texts equal those of the tokenizer.
 
 No piece has a space after another character, so best paths split at words, and a bounded
-memo per worker keeps the counts of words. What a word adds depends on the score before it
-only by the rounding: by the power of two it lies under and whether its last digit is odd. So
-there is one memo for scores under 2**24, which whole scores reach exactly, and two for each
-power beyond; a word on the way from one power to the next is counted anew.
+memo per worker keeps the count and score of words.
 
 Defined results: a null or empty text has 0 tokens and score 0; a text of any length is one
 row; repeated rows each come back; an empty table gives no rows; other columns are not read.
@@ -30,8 +26,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from math import frexp
-from struct import pack, unpack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,39 +41,19 @@ RESERVED = -1e8
 _MARK = "▁"
 
 
-#: Whole numbers below are exact in single precision; how far below its end a word's kept scores may lie.
-_EXACT, _MARGIN = float(1 << 24), float(1 << 22)
-
-
-def _single(value: float) -> float:
-    """The nearest single-precision number."""
-    return unpack("f", pack("f", value))[0]
-
-
-def _single_whole(value: float) -> float:
-    """The same for a whole number that is not positive."""
-    if value > -_EXACT:
-        return value
-    unit = 2.0 ** (frexp(value)[1] - 24)
-    return round(value / unit) * unit
-
-
-class _Exact(dict):
-    """Count and score of words, as one complex number, while sums are exact; ``far`` is set
-    by a word with a kept score beyond the margin."""
+class _Words(dict):
+    """Count and score of words, as one complex number each; counts what it has not seen."""
 
     def __init__(self, viterbi: CountingViterbi):
-        self.viterbi, self.far = viterbi, False
+        self.viterbi = viterbi
 
     def __missing__(self, word: str) -> complex:
-        count, end, reach = self.viterbi.chunk(word)
-        if reach > _MARGIN:
-            self.far = True
-        elif len(word) <= 64:
+        found = complex(*self.viterbi.chunk(word))
+        if len(word) <= 64:
             if len(self) >= MEMO_WORDS:
                 self.clear()
-            self[word] = complex(count, end)
-        return complex(count, end)
+            self[word] = found
+        return found
 
 
 class CountingViterbi:
@@ -96,20 +70,16 @@ class CountingViterbi:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.singles = {p for p in pieces if len(p) == 1}
-        self.unknown = _single(min(pieces.values(), default=0.0) - UNKNOWN_COST)
+        self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_COST
         self.byte_fallback = byte_fallback
-        self.memos: dict[tuple[float, int], dict[str, tuple[int, float, float]]] = {}
-        self.exact = _Exact(self)
-        whole = all(s <= 0 and s == int(s) for s in (*scores.values(), self.unknown))
-        self.single = _single_whole if whole else _single
-        self.splits = whole and byte_fallback and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
+        self.words = _Words(self)
+        self.splits = byte_fallback and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self.split = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+").findall
 
-    def chunk(self, text: str, before: float = 0.0) -> tuple[int, float, float]:
-        """Count and end score of the best path over ``text``, which is normalised, from the
-        score ``before``, and how far below that any kept score lies."""
-        n, single, reach = len(text), self.single, before
-        score, count, odd = [before] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+    def chunk(self, text: str) -> tuple[int, float]:
+        """Count and score of the best path over ``text``, which is normalised."""
+        n = len(text)
+        score, count, odd = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             ends[end].append(match)
@@ -119,9 +89,9 @@ class CountingViterbi:
             for size, own in ends[end - 1]:
                 cand = score[end - size] + own
                 if best is None or cand > best:
-                    best, took = single(cand), size
+                    best, took = cand, size
             if text[end - 1] not in self.singles:
-                cand = single(score[end - 1] + self.unknown)
+                cand = score[end - 1] + self.unknown
                 if best is None or cand > best:
                     best, took, unknown = cand, 1, True
             start = end - took
@@ -132,46 +102,16 @@ class CountingViterbi:
             else:
                 more = 0 if odd[start] else 1
             score[end], count[end], odd[end] = best, count[start] + more, unknown
-            if best < reach:
-                reach = best
-        return count[n], score[n], before - reach
+        return count[n], score[n]
 
     def text(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         text = _MARK + text.replace(" ", _MARK)
         if not self.splits:
-            return self.chunk(text)[:2]
-        words = self.split(text)
-        self.exact.far = False
-        total = sum(map(self.exact.__getitem__, words), 0j)
-        if not self.exact.far and total.imag > _MARGIN - _EXACT:
-            return int(total.real), total.imag
-        return self._rounded(words)
-
-    def _rounded(self, words: list[str]) -> tuple[int, float]:
-        """Count and score of ``words`` whose sum leaves the exact range."""
-        tokens, score, limit, unit = 0, 0.0, _EXACT, 0.0
-        memo = self.memos.setdefault((0.0, 0), {})
-        for word in words:
-            found = memo.get(word)
-            if found and score - found[2] > -limit:
-                tokens += found[0]
-                score += found[1]
-            else:
-                more, end, reach = self.chunk(word, score)
-                if score - reach > -limit and len(word) <= 64:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = (more, end - score, reach)
-                tokens += more
-                score = end
-            if score <= -_EXACT:
-                if score <= -limit or not unit:
-                    power = frexp(score)[1]
-                    limit, unit = 2.0**power, 2.0 ** (power - 24)
-                memo = self.memos.setdefault((unit, int(score / unit) & 1), {})
-        return tokens, score
+            return self.chunk(text)
+        total = sum(map(self.words.__getitem__, self.split(text)), 0j)
+        return int(total.real), total.imag
 
 
 @lru_cache(1)

@@ -211,7 +211,7 @@ def test_viterbi_equals_library(docs_of, edge_rows):
     ours = token_counts.CountingViterbi(pieces)
     for t in odd_texts():
         assert ours.text(t)[0] == len(library.encode(t))
-    assert ours.chunk("▁" + "a b a".replace(" ", "▁"))[:2] == ours.text("a b a")
+    assert ours.chunk("▁" + "a b a".replace(" ", "▁")) == ours.text("a b a")
     assert token_counts.count_tokens(docs_of(edge_rows)).where("n_tokens = 0").count() == 3
     assert token_counts.count_tokens(docs_of([])).count() == 0
 
@@ -223,11 +223,11 @@ def test_token_counts_of_whole_texts(spark):
     assert got == {r.doc_id: len(library.encode(r.text or "")) for r in docs.collect()}
 
 
-def test_token_counts_beyond_exact_scores():
+def test_token_counts_beyond_single_precision():
     library, pieces = unigram_library()
     ours = token_counts.CountingViterbi(pieces)
     rng = random.Random(21)
-    words = ["".join(rng.choice("abcdeé\n梦") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    words = ["".join(rng.choice("abcdeé\n梦&&&") for _ in range(rng.randint(1, 12))) for _ in range(300)]
     text = " ".join(rng.choice(words) for _ in range(30_000))
     count, score = ours.text(text)
     assert score < -(2**28) and count == len(library.encode(text)) == ours.chunk("▁" + text.replace(" ", "▁"))[0]
