@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from larder.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 _MARK = "▁"
 _ROWS_OUT = 256
 
