@@ -6,17 +6,17 @@ normalised byte is recorded. Pieces cover the normalised bytes one after another
 running sum of their lengths, looked up in that record, projects every piece to a span of
 the original bytes: piece i covers ``[ends[i-1], ends[i])``.
 
-Speed: in a byte-pair model without a piece that has a space inside, no merge crosses from
-a word into the following space, so the pieces of a text are those of its words. A bounded
-memo per worker holds the pieces of words seen; any other model encodes whole texts.
+Piece ids of whole texts come from the library in one call a text; nothing is kept between
+texts but the model, so a worker's memory is bounded by its longest text.
 
 Defined results: null is encoded as the empty text, which has no pieces; repeated rows each
-come back; a text of any length is one row.
+come back; a text of any length is one row; an empty table gives no rows; ids of any value,
+null too, are carried along, and other columns, whatever their names, are not read; of equal
+merges the library takes the leftmost, and so does this.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 from larder.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
-MEMO_WORDS = 200_000
 _MARK = "▁"
 _ROWS_OUT = 256
 
@@ -128,21 +127,6 @@ class Normalizer:
         return bytes(out), np.array([*align, at], np.int64)
 
 
-class _Memo(dict):
-    """Pieces of a word as bytes of int32; encodes what it has not seen."""
-
-    def __init__(self, encode, front: str):
-        self.encode, self.front = encode, front
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word if word[:1] == "\n" else self.front + word), np.int32).tobytes()
-        if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class PieceCodec:
     def __init__(self, model_path: str):
         import sentencepiece
@@ -157,31 +141,10 @@ class PieceCodec:
         none = (kinds.CONTROL, kinds.UNKNOWN)
         self.lengths = np.array([0 if p.type in none else 1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.unknown = self.whole.unk_id()
-        pieces = [p.piece for p in proto.pieces]
-        spec = proto.normalizer_spec
-        self.by_word = (
-            proto.trainer_spec.model_type == pb.TrainerSpec.BPE
-            and proto.trainer_spec.byte_fallback
-            and not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix)
-            and spec.add_dummy_prefix
-            and not any(re.search(f"[^{_MARK}]{_MARK}|\n", p) for p in pieces)
-        )
-        bare = pb.ModelProto.FromString(blob)
-        bare.normalizer_spec.add_dummy_prefix = False
-        encode = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString()).encode
-        self.words, self.chunks = _Memo(encode, " "), _Memo(encode, "")
-        self.split = re.compile(f"[ {_MARK}]*[^ {_MARK}]+|[ {_MARK}]+").findall
 
     def encode(self, text: str) -> np.ndarray:
         """The library's piece ids of ``text``."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.by_word:
-            return np.array(self.whole.encode(text), np.int32)
-        lined = text.replace("\n", " \n")
-        if "  " in lined or lined[0] == " " or _MARK in text:
-            return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.split(" " + text))), np.int32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, lined.split(" "))), np.int32)
+        return np.array(self.whole.encode(text), np.int32)
 
     def ends(self, text: str, ids: np.ndarray) -> np.ndarray:
         """For each piece the end of its span in the bytes of ``text``."""

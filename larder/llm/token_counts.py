@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,25 +34,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.common import table
-from larder.llm.sentencepiece_codec import MEMO_WORDS, MODEL, model_file
+from larder.llm.sentencepiece_codec import MODEL, model_file
 
 UNKNOWN_COST = 10.0
 #: Pieces that score no more are not of the unigram vocabulary.
 RESERVED = -1e8
+#: Room of a worker's memo of words, its keys, values and table included.
+MEMO_BYTES = 64 << 20
+_ENTRY_BYTES = 104
 _MARK = "▁"
 
 
-class _Words(dict):
-    """Count and score of words, as one complex number each; counts what it has not seen."""
+class Memo(dict):
+    """What ``make`` gives for words, kept while it fits MEMO_BYTES.
 
-    def __init__(self, viterbi: CountingViterbi):
-        self.viterbi = viterbi
+    Two generations share the room: when the younger is full it becomes the older, from which
+    words that are met again return, so what is frequent stays whatever comes between.
+    """
 
-    def __missing__(self, word: str) -> complex:
-        found = complex(*self.viterbi.chunk(word))
+    def __init__(self, make, room: int = MEMO_BYTES):
+        self.make, self.older = make, {}
+        self.room = self.left = room // 2
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
+            self.left -= _ENTRY_BYTES + getsizeof(word) + getsizeof(found)
+            if self.left < 0:
+                self.older = self.copy()
                 self.clear()
+                self.left = self.room
             self[word] = found
         return found
 
@@ -72,7 +86,8 @@ class CountingViterbi:
         self.singles = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_COST
         self.byte_fallback = byte_fallback
-        self.words = _Words(self)
+        # Count and score of a word as one complex number.
+        self.words = Memo(lambda word: complex(*self.chunk(word)))
         self.splits = byte_fallback and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self.split = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+").findall
 

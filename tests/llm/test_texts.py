@@ -497,3 +497,17 @@ def test_spans_of_a_table_equal_the_library(docs_of, edge_rows):
     for r in sentencepiece_codec.encode_pieces(docs_of(rows)).collect():
         got.setdefault(str(r.doc_id), []).append((r.ids, r.ends))
     assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in want.items()}
+
+
+def test_memo_keeps_what_is_frequent_within_its_room():
+    made = []
+
+    def make(word):
+        made.append(word)
+        return 0j
+
+    memo = token_counts.Memo(make, 40_000)
+    for i in range(5_000):
+        assert memo[f"rare{i}"] == memo["often"] == 0j
+    assert made.count("often") == 1 and len(made) == 5_001
+    assert sum(len(m) for m in (memo, memo.older)) < 40_000 / token_counts._ENTRY_BYTES
