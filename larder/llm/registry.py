@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, decontaminate, html_extract, language_id, line_dedup, media, sentencepiece_codec, simhash, suffix_dedup, token_counts
+from larder.llm import chat, decontaminate, html_extract, language_id, licenses, line_dedup, media, sentencepiece_codec, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         chat.op8_chat_format,
         language_id.op9_language_id,
         decontaminate.op10_decontaminate,
+        licenses.op12_license_scans,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL, "op12_license_scans": licenses.OP12_SQL}
