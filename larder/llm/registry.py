@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, decontaminate, html_extract, language_id, licenses, line_dedup, media, sentencepiece_codec, simhash, suffix_dedup, token_counts
+from larder.llm import align_tokenizers, chat, decontaminate, html_extract, language_id, licenses, line_dedup, media, sentencepiece_codec, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         chat.op8_chat_format,
         language_id.op9_language_id,
         decontaminate.op10_decontaminate,
+        align_tokenizers.op11_align_tokenizers,
         licenses.op12_license_scans,
     ]
     return {f.__name__: f for f in found}

@@ -42,6 +42,8 @@ RESERVED = -1e8
 #: Room of a worker's memo of words, its keys, values and table included.
 MEMO_BYTES = 64 << 20
 _ENTRY_BYTES = 104
+#: Longer words are not kept.
+LONGEST_WORD = 64
 _MARK = "▁"
 
 
@@ -52,23 +54,27 @@ class Memo(dict):
     words that are met again return, so what is frequent stays whatever comes between.
     """
 
-    def __init__(self, make, room: int = MEMO_BYTES):
-        self.make, self.older = make, {}
+    def __init__(self, make, room: int = MEMO_BYTES, weigh=getsizeof):
+        self.make, self.weigh, self.older = make, weigh, {}
         self.room = self.left = room // 2
 
     def __missing__(self, word: str):
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
-        if len(word) <= 64:
-            self.left -= _ENTRY_BYTES + getsizeof(word) + getsizeof(found)
-            if self.left < 0:
-                self.older = self.copy()
-                self.clear()
-                self.left = self.room
-            self[word] = found
+        self.put(word, found)
         return found
 
+    def put(self, word: str, found) -> None:
+        if len(word) > LONGEST_WORD:
+            return
+        self.left -= _ENTRY_BYTES + getsizeof(word) + self.weigh(found)
+        if self.left < 0:
+            self.older = self.copy()
+            self.clear()
+            self.left = self.room
+        self[word] = found
+
 
 class CountingViterbi:
     """Piece counts under ``pieces``, text of a piece to its score; those of ``chosen`` are
