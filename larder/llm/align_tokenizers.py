@@ -105,7 +105,7 @@ class Aligner:
             and spec.add_dummy_prefix
             and not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix)
             and not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", p.piece) for p in proto.pieces)
-            and not any(re.search(rb"\S\s|\n\S", t) for t in self.a_bytes.values())
+            and not any(re.search(r"\S |\S\n|\n\S", t.decode(errors="replace")) for t in self.a_bytes.values())
         )
         # The space comes with the text, so that both libraries tell places in the same string.
         proto.normalizer_spec.add_dummy_prefix = False
