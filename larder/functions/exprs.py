@@ -44,10 +44,23 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def only_with(c: Column, sign: str, pattern: str, by: str) -> Column:
+    """``pattern`` replaced in texts that have ``sign``, without which it never matches."""
+    return F.when(F.contains(c, F.lit(sign)), F.regexp_replace(c, pattern, by)).otherwise(c)
+
+
+def without_brackets(c: Column, by: str) -> Column:
+    """Text in round brackets replaced; ``by`` has ``$1``, what an open bracket leaves as it is.
+
+    The rest after an open bracket is matched once, so many of them cost no more than one.
+    """
+    return only_with(c, "(", r"\([^)]*+\)|(\([^)]*+)", by)
+
+
 def norm(c: Column) -> Column:
     """Lower-case ASCII words, digits, ``& ' -``; parentheses and percentages go."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\([^)]*\)", " ")
-    t = F.regexp_replace(t, r"\d+(\.\d+)?\s*%", " ")
+    t = without_brackets(F.lower(F.coalesce(c, F.lit(""))), " $1")
+    t = only_with(t, "%", r"(?<!\d)\d++(?:\.\d++)?+\s*+%", " ")
     return squeeze(F.regexp_replace(t, r"[^a-z0-9&'\- ]", " "))
 
 

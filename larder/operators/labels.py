@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import AFTER, BEFORE, bound, norm, plain_spaces, squeeze
+from larder.functions.exprs import AFTER, BEFORE, bound, norm, only_with, plain_spaces, squeeze, without_brackets
 
 MAX_INGREDIENTS = 81
 #: Phrases of panel, contact and storage lines.
@@ -16,18 +16,19 @@ NOISE = (
 )
 #: Units of nutrition values.
 PANEL_UNITS = "mg|mcg|g|kg|kcal|iu|ml|oz"
-_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_HOST = "A-Za-z0-9_.-"
+#: Both begin where a run of their characters does, so a run is read once: an address takes
+#: its whole run, a domain what stands before its run's last ending.
+ADDRESS = r"(?<!\S)\S[^\s@]*+@\S\S*\.\S+"
+DOMAIN = rf"(?i)(?<![{_HOST}])([.-]*+)[A-Za-z0-9_][{_HOST}]*\.(?:com|net|org|co|us){AFTER}"
 
 
 def clean_label(text: Column) -> Column:
     """Text with addresses, heading and brackets replaced; commas separate ingredients."""
     t = plain_spaces(text)
     t = F.regexp_replace(t, rf"(?i){BEFORE}(?:https?://|www\.)\S+", " ")
-    # Only texts with an @ pay for the backtracking on long unspaced runs.
-    t = F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, r"\S+@\S+\.\S+", " ")).otherwise(t)
-    # Likewise only texts with an ending of a domain.
-    domain = rf"\.(?:com|net|org|co|us){AFTER}"
-    t = F.when(t.rlike(f"(?i){domain}"), F.regexp_replace(t, rf"(?i){_EDGE}[A-Za-z0-9_.-]+{domain}", " ")).otherwise(t)
+    t = only_with(t, "@", ADDRESS, " ")
+    t = only_with(t, ".", DOMAIN, "$1 ")
     t = F.regexp_replace(t, r"(?is)^(.*?)ingredients?:?", "$1 ")
     t = F.regexp_replace(t, "(?i)contains( 2% or less of| less than 2% of)?:?", ",")
     t = F.translate(t, "[]{}", ",,,,")
@@ -42,7 +43,7 @@ def is_non_ingredient(n: Column) -> Column:
 
 def ingredient_array(text: Column) -> Column:
     """``array<struct<raw, norm>>`` in label order."""
-    parts = F.transform(F.split(clean_label(text), "[,;.]+"), lambda x: F.trim(F.regexp_replace(x, r"\([^)]*\)", "")))
+    parts = F.transform(F.split(clean_label(text), "[,;.]+"), lambda x: F.trim(without_brackets(x, "$1")))
     pairs = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(squeeze(x).alias("raw"), norm(x).alias("norm")))
     kept = F.filter(pairs, lambda x: (F.length(x["norm"]) >= 2) & ~is_non_ingredient(x["norm"]))
     fresh = bound(kept, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["norm"] != F.get(a, i - 1)["norm"])))
