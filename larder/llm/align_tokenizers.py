@@ -36,7 +36,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +46,18 @@ from pyspark.sql import types as T
 
 from larder.llm.common import durable, table
 from larder.llm.sentencepiece_codec import MODEL, model_file
-from larder.llm.token_counts import LONGEST_WORD, Memo
+from larder.llm.token_counts import LONGEST_WORD
 
 BYTE_MODEL = "byte_bpe_50k.json"
 #: Text of a block: more ends it, so a block holds at most this and one text.
 BLOCK_BYTES = 24 << 20
+#: Room of a worker's memo of chunks, and of an entry without its texts.
+MEMO_BYTES, _ENTRY_BYTES = 96 << 20, 360
 _SPACE = "▁"
 #: Where neither tokenizer joins: before the space after a word, and around a lone line feed.
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _RUN = re.compile(r"\s\s|\s$")
-_ROWS = 128
+_ROWS = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,14 +70,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def refined(spans: list[tuple[int, int]], sizes: list[int], byte_at: list[int]) -> list[int]:
-    """The byte where each token ends, from spans of characters and lengths of decoded bytes."""
-    ends, at = [], 0
-    for i, (start, end) in enumerate(spans):
-        clean = start < end and (i + 1 == len(spans) or spans[i + 1][0] >= end)
-        at = byte_at[end] if clean else at + sizes[i]
-        ends.append(at)
-    return ends
+def refined(spans: np.ndarray, sizes: np.ndarray, byte_at: np.ndarray) -> np.ndarray:
+    """The byte where each token ends, from spans of characters and lengths of decoded bytes.
+
+    Where the next span begins behind this one the cut is known; within a character that
+    tokens share, lengths are counted from the last known cut.
+    """
+    if not len(spans):
+        return np.zeros(0, np.int64)
+    start, end = spans.T
+    clean = (start < end) & (np.append(start[1:], end[-1]) >= end)
+    coarse, counted = byte_at[end], np.cumsum(sizes)
+    # The drift of the counted ends at the last clean cut before, if any.
+    known = np.maximum.accumulate(np.where(clean, np.arange(len(spans)), -1))
+    drift = np.where(known >= 0, coarse[known] - counted[known], 0)
+    return np.where(clean, coarse, counted + drift)
 
 
 class Aligner:
@@ -95,6 +103,10 @@ class Aligner:
             proto = pb.ModelProto.FromString(f.read())
         kinds, spec = pb.ModelProto.SentencePiece, proto.normalizer_spec
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else p.piece.replace(_SPACE, " ").encode() for p in proto.pieces]
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        self.said = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
         parts = json.loads(self.a.to_str())
         self.by_chunk = (
             parts["model"]["type"] == "BPE"
@@ -110,39 +122,80 @@ class Aligner:
         # The space comes with the text, so that both libraries tell places in the same string.
         proto.normalizer_spec.add_dummy_prefix = False
         self.b = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.memo = Memo(lambda chunk: self.many([chunk])[0], weigh=lambda found: sum(map(getsizeof, found)) + 64 if found else 0)
+        # Chunks met lately and what became of them, in two generations.
+        self.young, self.older, self.left = {}, {}, MEMO_BYTES // 2
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and the bytes where they end, those of B; None if either's bytes are not the text's."""
+        data, a, b = text.encode(), self.a.encode(text, add_special_tokens=False), self.b.encode(text, return_type="proto").pieces
+        a_ids, b_ids = a.ids, [p.id for p in b]
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids)) != data:
+            return None
+        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        byte_at = np.arange(len(data) + 1)
+        if len(data) != len(text):
+            # Where characters begin: bytes that continue none.
+            byte_at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+        a_ends = refined(np.array(a.offsets, np.int64).reshape(-1, 2), self.a_sizes[a_ids], byte_at)
+        # B's spans are of bytes already.
+        b_spans = np.array([x for p in b for x in (p.begin, p.end)], np.int64).reshape(-1, 2)
+        return a_ids, a_ends, b_ids, refined(b_spans, self.b_sizes[b_ids], np.arange(len(data) + 1))
+
+    def aligned(self, text: str, ends: np.ndarray) -> list[tuple] | None:
+        """For each chunk of ``text``, which ends at one of the bytes ``ends``, its groups,
+        pairs of ids ``a << 32 | b`` as bytes, and the numbers of tokens of A and B and of groups
+        as one number of 40 bits each."""
+        found = self.tokens(text)
+        if found is None:
+            return None
+        a_ids, a_ends, b_ids, b_ends = found
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        either = np.union1d(a_ends, b_ends)
+        pairs = (a_ids[np.searchsorted(a_ends, either)] << 32 | b_ids[np.searchsorted(b_ends, either)]).tobytes()
+        # Tokens by group, those of A first, each with what follows it; a space ends a chunk.
+        side = [2 * np.searchsorted(shared, a_ends), 2 * np.searchsorted(shared, b_ends) + 1]
+        order = np.argsort(np.concatenate(side), kind="stable")
+        place = np.concatenate(side)[order]
+        last = np.append(np.diff(place) != 0, True)
+        sign = np.where(~last, 0, np.where(place % 2 == 0, 1, 2 + np.isin(shared, ends)[place >> 1]))
+        said = [self.said[i] for i in np.concatenate([a_ids, b_ids])[order].tolist()]
+        mixed = [""] * (2 * len(said))
+        mixed[::2], mixed[1::2] = said, [",|; "[k] for k in sign.tolist()]
+        groups = "".join(mixed).split(" ")
+        links = [0, *(8 * np.searchsorted(either, ends, "right")).tolist()]
+        counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0).tolist() for x in (a_ends, b_ends, shared)]
+        return [(g, pairs[i:j], na | nb << 40 | ng << 80) for g, i, j, na, nb, ng in zip(groups, links, links[1:], *counts, strict=False)]
+
+    def one(self, text: str) -> tuple | None:
+        found = self.aligned(text, np.array([len(text.encode())]))
+        return found and found[0]
 
     def many(self, chunks: list[str]) -> list[tuple | None]:
-        """For each chunk its groups, pairs of ids ``a << 32 | b`` as bytes, and numbers of tokens
-        and groups; None if either tokenizer's bytes are not those of the chunk."""
+        """For each chunk what ``one`` gives; chunks that stay apart side by side go as one text."""
+        apart = [bool(c[-1].strip()) and (c[0] == " " or bool(c[0].strip())) and _SPACE not in c for c in chunks]
+        # After a line feed neither tokenizer joins either.
+        said = [c if c[0] == " " else "\n" + c for c, ok in zip(chunks, apart, strict=True) if ok]
+        ends = np.cumsum([len(c.encode()) for c in said])
+        # The line feeds are chunks of their own.
+        feeds = [e - len(c.encode()) + 1 for c, e in zip(said, ends.tolist(), strict=True) if c[0] == "\n"]
+        found = self.aligned("".join(said), np.union1d(ends, feeds).astype(np.int64)) if said else []
+        if found is None:
+            return [self.one(c) for c in chunks]
+        told = iter(found)
         out = []
-        told = zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode(chunks, return_type="proto", num_threads=1), strict=True)
-        for chunk, a, b in told:
-            data, a_ids, pieces = chunk.encode(), a.ids, b.pieces
-            b_ids = [p.id for p in pieces]
-            a_said, b_said = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            if b"".join(a_said) != data or b"".join(b_said) != data:
-                out.append(None)
-                continue
-            byte_at = range(len(data) + 1) if len(data) == len(chunk) else [0, *np.cumsum([len(c.encode()) for c in chunk]).tolist()]
-            a_ends = refined(a.offsets, [len(x) for x in a_said], byte_at)
-            # B's spans are of bytes already.
-            b_ends = refined([(p.begin, p.end) for p in pieces], [len(x) for x in b_said], range(len(data) + 1))
-            out.append(self._joined(a_ids, a_ends, b_ids, b_ends))
+        for c, ok in zip(chunks, apart, strict=True):
+            if ok and c[0] != " ":
+                next(told)
+            out.append(next(told) if ok else self.one(c))
         return out
 
-    @staticmethod
-    def _joined(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> tuple:
-        groups, pairs, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-        while i < len(a_ids):
-            pairs.append(a_ids[i] << 32 | b_ids[j])
-            a_end, b_end = a_ends[i], b_ends[j]
-            i += a_end <= b_end
-            j += b_end <= a_end
-            if a_end == b_end:
-                groups.append(",".join(map(str, a_ids[first_a:i])) + "|" + ",".join(map(str, b_ids[first_b:j])))
-                first_a, first_b = i, j
-        return ";".join(groups), np.array(pairs, np.int64).tobytes(), np.array([len(a_ids), len(b_ids), len(groups)], np.int64).tobytes()
+    def keep(self, told: dict[str, tuple | None]) -> None:
+        """Remember chunks while they fit half of MEMO_BYTES; then what is younger replaces the older."""
+        kept = {c: x for c, x in told.items() if x and len(c) <= LONGEST_WORD}
+        self.left -= sum([len(c) + len(x[0]) + len(x[1]) for c, x in kept.items()]) + _ENTRY_BYTES * len(kept)
+        if self.left < 0:
+            self.young, self.older, self.left = {}, self.young, MEMO_BYTES // 2
+        self.young.update(kept)
 
     def chunks(self, text: str) -> list[str]:
         """The space and the text, cut where neither tokenizer joins."""
@@ -159,26 +212,28 @@ class Aligner:
             out += [" " + w for w in rest]
         return out
 
-    def texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    def texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, list[int]]]:
         """For each text its groups in runs, pairs of ids in order, and numbers of tokens of A
         and B and of groups; nothing of texts without tokens."""
-        none = ([], np.zeros(0, np.int64), np.zeros(3, np.int64))
+        none = ([], np.zeros(0, np.int64), [0, 0, 0])
         cut = [self.chunks(t) if t and self.by_chunk else [] for t in texts]
-        memo, older = self.memo, self.memo.older
-        fresh = list({c for chunks in cut for c in chunks if c not in memo and c not in older and len(c) <= LONGEST_WORD})
-        for k in range(0, len(fresh), 4096):
-            for chunk, found in zip(fresh[k : k + 4096], self.many(fresh[k : k + 4096]), strict=True):
-                memo.put(chunk, found)
+        young, older = self.young, self.older
+        told = {c: young.get(c) or older.get(c) for c in {c for chunks in cut for c in chunks}}
+        fresh = [c for c, found in told.items() if found is None]
+        for k in range(0, len(fresh), 8192):
+            told.update(zip(fresh[k : k + 8192], self.many(fresh[k : k + 8192]), strict=True))
+        self.keep(told)
         out = []
         for text, chunks in zip(texts, cut, strict=True):
-            found = [memo[c] for c in chunks]
+            found = [told[c] for c in chunks]
             if text and (not chunks or None in found):
-                found = self.many([" " + text])
+                found = [self.one(" " + text)]
             if not text or None in found:
                 out.append(none)
                 continue
             groups, pairs, sizes = zip(*found, strict=True)
-            out.append((groups, np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(sizes), np.int64).reshape(-1, 3).sum(0)))
+            total = sum(sizes)
+            out.append((groups, np.frombuffer(b"".join(pairs), np.int64), [total >> k & (1 << 40) - 1 for k in (0, 40, 80)]))
         return out
 
 
@@ -253,7 +308,7 @@ def aligned_blocks(docs: DataFrame, id_col="doc_id", text_col="text", a_model=BY
                 texts = batch.column(1).to_pylist()
                 for doc, text, (groups, pairs, (n_a, n_b, n_groups)) in zip(batch.column(0).to_pylist(), texts, aligner.texts(texts), strict=True):
                     digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-                    block.add(text, pairs, (doc, int(n_a), int(n_b), int(n_groups), len(pairs), digest))
+                    block.add(text, pairs, (doc, n_a, n_b, n_groups, len(pairs), digest))
                     if block.size >= BLOCK_BYTES:
                         yield from block.out(id_type)
                         block = _Block(block.block + 1)
