@@ -8,9 +8,9 @@ of MIN_COUNT or more get numbers by frequency again, and neighbouring pairs, whi
 all but one word, are the pairs of the next round: so phrases of one word more are counted in
 the same way, and only where both their parts are frequent.
 
-Plan: one map writes the texts as blocks of local word numbers (about BLOCK_BYTES of text by
-language) and each block's words. From then on a round is a cogroup, by language and block,
-of the block's numbers with the global numbers of what it holds, which writes the new numbers
+Plan: one map writes the texts as blocks of local word numbers, each of one language and of
+about BLOCK_BYTES at most, and each block's words. From then on a round is a cogroup, by
+block, of the block's numbers with the global numbers of what it holds, which writes the new numbers
 and the block's pairs by tile; a grouping by tile, which sums them up; and a numbering by
 counting, in which no task sorts a language. What a block learns is what it holds, so no
 vocabulary is broadcast, and what a task holds is one block or one tile.
@@ -45,7 +45,7 @@ TOP = 2000
 #: A candidate goes if so many percent of its occurrences stand in a longer one.
 INSIDE = 80
 SCALE = 2_000_000
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 64 << 20
 #: Occurrences that a tile has on average, and cells up to which it is counted by direct address.
 TILE_MASS = 4_000_000
 DENSE = 1 << 22
@@ -83,8 +83,8 @@ def word_blocks(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
     def batch(rows: int, **told) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(told[c], t) if c in told else pa.nulls(rows, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-    def out(block: int, langs: dict) -> Iterator[pa.RecordBatch]:
-        for lang, (number, parts) in langs.items():
+    def out(first: int, langs: dict) -> Iterator[pa.RecordBatch]:
+        for block, (lang, (number, parts)) in enumerate(langs.items(), first):
             units = np.concatenate(parts)
             yield batch(1, lang=[lang], block=[block], units=[_pack(units)])
             counts, words = np.bincount(units, minlength=len(number)), list(number)
@@ -107,7 +107,7 @@ def word_blocks(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
                     size += len(data)
                     if size >= BLOCK_BYTES:
                         yield from out(block, langs)
-                        block, langs, size = block + 1, {}, 0
+                        block, langs, size = block + len(langs), {}, 0
         yield from out(block, langs)
 
     return src.mapInArrow(run, _BLOCKS)
@@ -138,9 +138,8 @@ def _recoded(level: int):
     """Cogroup of a block with the numbers of what it holds: its new units, its pairs by tile."""
 
     def run(key: tuple, block: pa.Table, known: pa.Table) -> pa.Table:
-        lang, number = (k.as_py() for k in key)
-        rows = []
-        for packed in block["units"].to_pylist():
+        number, rows = key[0].as_py(), []
+        for lang, packed in zip(block["lang"].to_pylist(), block["units"].to_pylist(), strict=True):
             u = _unpack(packed)
             held = u if level == 1 else np.where((u[:-1] > 0) & (u[1:] > 0), u[:-1] << 32 | u[1:], 0)
             keys, ids, bands = (known[c].to_numpy() for c in ("key", "id", "band"))
@@ -212,17 +211,17 @@ def phrases(docs: DataFrame, text_col="text", lang_col="lang", min_count: int =
     counts = durable(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = durable(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     ids = durable(numbered(counts.where(F.col("f") >= min_count), ["word"]), "numbers")
-    known = own.select("lang", "block", F.col("local").alias("key"), "word").join(ids, ["lang", "word"]).select("lang", "block", "key", "id", "band")
+    known = own.select("lang", "block", F.col("local").alias("key"), "word").join(ids, ["lang", "word"]).select("block", "key", "id", "band")
     told = ids.select("lang", "id", F.array("word").alias("words"), "f", F.array("f").alias("first"), F.array("f").alias("last"))
     units, found = blocks.where("units IS NOT NULL").select("lang", "block", "units"), []
     for level in range(1, longest):
-        side = known.select(F.col("lang").alias("_lang"), F.col("block").alias("_block"), "key", "id", "band")
-        round_ = units.groupBy("lang", "block").cogroup(side.groupBy("_lang", "_block")).applyInArrow(_recoded(level), _ROUND)
+        side = known.select(F.col("block").alias("_block"), "key", "id", "band")
+        round_ = units.groupBy("block").cogroup(side.groupBy("_block")).applyInArrow(_recoded(level), _ROUND)
         round_ = durable(round_, f"round{level}")
         tiles = round_.where("keys IS NOT NULL").select("lang", "across", "down", "block", "keys", "counts")
         met = durable(tiles.groupBy("lang", "across", "down").applyInArrow(_summed(min_count), "lang string, block long, key long, f long"), "met")
         ids = durable(numbered(met.select("lang", "key", "f").distinct(), ["key"]), "numbers")
-        known = met.select("lang", "block", "key").join(ids, ["lang", "key"]).select("lang", "block", "key", "id", "band")
+        known = met.select("lang", "block", "key").join(ids, ["lang", "key"]).select("block", "key", "id", "band")
         units = round_.where("units IS NOT NULL").select("lang", "block", "units")
         left = told.select("lang", F.col("id").alias("a"), F.col("words").alias("_words"), F.col("first").alias("_first"))
         right = told.select("lang", F.col("id").alias("b"), F.element_at("words", -1).alias("_word"), F.col("last").alias("_last"))
