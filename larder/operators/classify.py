@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import cap, family, norm, status_rank, title_case, tokens
-from larder.functions.tables import durable, is_small, small_side
+from larder.functions.tables import durable, small_side
 from larder.sources.lexicon import ECODE_STAGE, build_lexicon
 
 def n_grams(words: Column, longest: int) -> Column:
@@ -20,22 +20,29 @@ def e_code(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(raw), r"(?<![a-z0-9_])e ?([0-9]{3,4}[a-z]?)(?![a-z0-9_])", 1), F.lit(""))
 
 
-def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str = "product_type") -> DataFrame:
-    """Adds family, status, grp, reason, name, enumber, additive_id to ingredient rows.
+TOLD = ["status", "grp", "reason", "name", "enumber", "additive_id"]
+
+
+def vocabulary_of(rows: DataFrame) -> DataFrame:
+    """The distinct words of ``coded`` rows: family, norm and the code in the raw text."""
+    return rows.select("family", "norm", "code").distinct()
+
+
+def coded(ingredients: DataFrame, type_col: str = "product_type") -> DataFrame:
+    """Ingredient rows with their ``family`` and ``code``, empty if none is told in food."""
+    rows = ingredients.withColumn("family", family(F.col(type_col)))
+    return rows.withColumn("code", F.coalesce(F.when(F.col("family") == "food", e_code(F.col("raw"))), F.lit("")))
+
+
+def tell(vocabulary: DataFrame, lex: dict[str, DataFrame]) -> DataFrame:
+    """``vocabulary`` with what the lexicon tells of each word: the columns TOLD.
 
-    The join runs on the distinct vocabulary (family, norm, code in the raw text), since a
-    few words make up most of all labels; stage and list order are the sort key of one
-    aggregated minimum. The told vocabulary is written before it meets the rows: a small one
-    is then broadcast and the rows are not shuffled; a large one is joined by a shuffle that
-    is split at words that very many labels share. The rows are written too, so that a label
-    is parsed once for both.
+    Matching is an equi-join of n-grams; stage and list order are the sort key of one
+    aggregated minimum.
     """
     table = durable(build_lexicon(lex), "lexicon")
     longest = table.agg(F.max("n_tokens")).first()[0]
     phrases = small_side(table.select("family", "phrase", "best"))
-    rows = ingredients.withColumn("family", family(F.col(type_col))).withColumn("_code", e_code(F.col("raw")))
-    rows = durable(rows.withColumn("_code", F.when(F.col("family") == "food", F.col("_code"))), "ingredients")
-    vocabulary = rows.select("family", "norm", F.coalesce("_code", F.lit("")).alias("code")).distinct()
     grams = vocabulary.select("*", F.explode_outer(n_grams(tokens(F.col("norm")), longest or 1)).alias("phrase"))
     hits = grams.join(phrases, ["family", "phrase"], "left")
     best = hits.groupBy("family", "norm", "code").agg(F.min("best").alias("best"))
@@ -47,14 +54,14 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
     by_code = (F.col("code") != "") & (F.col("best").isNull() | (F.col("best.stage") > ECODE_STAGE))
     risk, code = F.coalesce("e.risk", F.lit("caution")), F.coalesce("e.code", shown)
 
-    def pick(coded: Column, field: str, default: str | None) -> Column:
-        return F.when(by_code, coded).when(F.col("best").isNotNull(), F.col(f"best.{field}")).otherwise(F.lit(default).cast("string"))
+    def pick(told: Column, field: str, default: str | None) -> Column:
+        return F.when(by_code, told).when(F.col("best").isNotNull(), F.col(f"best.{field}")).otherwise(F.lit(default).cast("string"))
 
     null = F.lit(None).cast("string")
-    told = best.select(
-        F.col("family").alias("_f"),
-        F.col("norm").alias("_n"),
-        F.col("code").alias("_c"),
+    return best.select(
+        "family",
+        "norm",
+        "code",
         pick(risk, "status", "unknown").alias("status"),
         pick(F.concat(F.lit("e"), cap(risk)), "grp", "unknown").alias("grp"),
         pick(F.concat(F.lit("Additive by number, "), code), "reason", "In no list").alias("reason"),
@@ -62,9 +69,55 @@ def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str =
         pick(code, "code", None).alias("enumber"),
         pick(null, "additive_id", None).alias("additive_id"),
     )
-    told = small_side(durable(told, "vocabulary"))
-    on = (F.col("family") == F.col("_f")) & (F.col("norm") == F.col("_n")) & (F.coalesce("_code", F.lit("")) == F.col("_c"))
-    return rows.join(told, on).drop("_f", "_n", "_c", "_code")
+
+
+def with_told(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``coded`` rows with the columns TOLD of a written vocabulary; no code remains.
+
+    A small vocabulary is broadcast and the rows are not shuffled; a large one is joined by a
+    shuffle that is split at words that very many labels share.
+    """
+    t = small_side(told).withColumnsRenamed({"family": "_f", "norm": "_n", "code": "_c"})
+    on = (F.col("family") == F.col("_f")) & (F.col("norm") == F.col("_n")) & (F.col("code") == F.col("_c"))
+    return rows.join(t, on).drop("_f", "_n", "_c", "code")
+
+
+def classify(ingredients: DataFrame, lex: dict[str, DataFrame], type_col: str = "product_type") -> DataFrame:
+    """Adds family, status, grp, reason, name, enumber, additive_id to ingredient rows.
+
+    The lexicon meets the distinct vocabulary, since a few words make up most of all labels.
+    Rows are written first, so that a label is parsed once for the vocabulary and the join.
+    """
+    rows = durable(coded(ingredients, type_col), "ingredients")
+    return with_told(rows, durable(tell(vocabulary_of(rows), lex), "vocabulary"))
+
+
+def changed_phrases(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``(family, phrase)`` whose entry differs between two lexicons, and ``(code)`` likewise."""
+    entries = [build_lexicon(x).select("family", "phrase", F.xxhash64("best").alias(f"_{i}")) for i, x in enumerate((before, after))]
+    phrases = entries[0].join(entries[1], ["family", "phrase"], "full_outer").where(~F.col("_0").eqNullSafe(F.col("_1")))
+    codes = []
+    for i, x in enumerate((before, after)):
+        low = x["enumbers"].groupBy(F.lower("code").alias("low")).agg(F.min(F.struct("seq", "code", "name", "risk")).alias("e"))
+        codes.append(low.select(F.regexp_replace("low", "^e", "").alias("code"), F.xxhash64("e").alias(f"_{i}")))
+    other = codes[0].join(codes[1], "code", "full_outer").where(~F.col("_0").eqNullSafe(F.col("_1")))
+    return durable(phrases.select("family", "phrase"), "changed"), durable(other.select("code"), "codes")
+
+
+def retell(told: DataFrame, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """A vocabulary told by the lexicon ``before``, told by ``after``.
+
+    Only words that hold a changed phrase or code meet the new lexicon; the others keep what
+    they were told. ``told`` is read twice, so it should be a written table.
+    """
+    phrases, codes = changed_phrases(before, after)
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    grams = told.select("family", "norm", "code", F.explode(n_grams(tokens(F.col("norm")), longest)).alias("phrase"))
+    touched = grams.join(small_side(phrases), ["family", "phrase"], "left_semi").select("family", "norm", "code")
+    touched = touched.unionByName(told.join(small_side(codes), "code", "left_semi").select("family", "norm", "code"))
+    touched = durable(touched.distinct(), "touched")
+    same = told.join(small_side(touched), ["family", "norm", "code"], "left_anti")
+    return same.unionByName(tell(touched, after).select(*same.columns))
 
 
 def ingredient_detail(classified: DataFrame, lex: dict[str, DataFrame]) -> DataFrame:
@@ -110,35 +163,59 @@ def lexicon_browse(lex: dict[str, DataFrame], query: str = "") -> DataFrame:
 
 def unknown_terms(classified: DataFrame) -> DataFrame:
     """Uncatalogued ingredients worth looking up, by how often labels have them."""
+    # Words that name no ingredient.
     skip = ["and", "or", "contains", "less than", "of", "the", "other", "color added", "natural", "artificial"]
     rows = classified.where((F.col("status") == "unknown") & (F.length("raw") >= 3) & ~F.lower("raw").isin(skip))
     return rows.groupBy("norm").agg(F.count("*").alias("n_rows"), F.count_distinct("product_id").alias("n_products"))
 
 
-#: Keywords that may be looked for as substrings; each is held against every distinct word.
-SUBSTRINGS = 10_000
+#: Letters of the grams by which words and keywords meet.
+GRAM = 3
+
+
+def _letters(c: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size)))
+
+
+def words_with(words: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(norm, term)``: each of ``words (norm)`` with the ``keywords (term)`` that it holds anywhere.
+
+    A keyword is joined by the one of its grams of GRAM letters that the fewest words have,
+    and only what meets there is compared; shorter keywords are grams themselves.
+    """
+    sizes = sorted(r[0] for r in keywords.select(F.least(F.length("term"), F.lit(GRAM))).distinct().collect() if r[0])
+    if not sizes:
+        return words.select("norm", F.lit("").alias("term")).limit(0)
+    of_size = lambda n: F.when(F.length("norm") >= n, _letters(F.col("norm"), F.lit(n))).otherwise(F.array().cast("array<string>"))
+    held = words.select("norm", F.explode(F.concat(*map(of_size, sizes))).alias("gram"))
+    size = F.least(F.length("term"), F.lit(GRAM))
+    asked = keywords.where("term <> ''").select("term", F.explode(_letters(F.col("term"), size)).alias("gram"))
+    asked = durable(asked, "grams")
+    counts = held.join(small_side(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no word has ends the keyword, so it is the rarest.
+    rarest = asked.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = durable(rarest.where("r.n > 0").select("term", F.col("r.gram").alias("gram")), "rarest")
+    return held.join(small_side(rarest), "gram").where(F.contains(F.col("norm"), F.col("term"))).select("norm", "term")
 
 
 def alert_hits(ingredients: DataFrame, allergen_terms: DataFrame, mode: str = "token") -> DataFrame:
     """``(product_id, profile_key, hits)``: the first four raw hits in label order.
 
     Keywords are matched with the distinct vocabulary only. ``mode="token"`` is an equi-join
-    of whole words; ``mode="substring"`` holds every word against every distinct keyword and
-    is refused beyond SUBSTRINGS keywords.
+    of whole words, ``mode="substring"`` finds keywords within words (``words_with``); an
+    empty keyword is in no word.
     """
     ingredients = durable(ingredients.select("product_id", "pos", "raw", "norm"), "labels")
     words = ingredients.select("norm").distinct()
-    terms = allergen_terms.withColumn("term", F.array_join(tokens(norm(F.col("phrase"))), " ")).where("term <> ''")
     if mode == "token":
+        terms = allergen_terms.select("profile_key", F.array_join(tokens(norm(F.col("phrase"))), " ").alias("term")).where("term <> ''").distinct()
         longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-        grams = words.select("norm", F.explode(n_grams(tokens(F.col("norm")), longest)).alias("term"))
-        matched = grams.join(small_side(terms.select("profile_key", "term").distinct()), "term")
+        matched = words.select("norm", F.explode(n_grams(tokens(F.col("norm")), longest)).alias("term"))
     else:
-        keywords = allergen_terms.select(F.lower("phrase").alias("term")).distinct()
-        if not is_small(keywords, SUBSTRINGS):
-            raise ValueError(f"more than {SUBSTRINGS} keywords cannot be looked for as substrings; use mode='token'")
-        found = words.join(F.broadcast(keywords), F.contains(F.col("norm"), F.col("term")))
-        matched = found.join(small_side(allergen_terms.select("profile_key", F.lower("phrase").alias("term")).distinct()), "term")
+        terms = allergen_terms.select("profile_key", F.lower("phrase").alias("term")).distinct()
+        matched = words_with(words, terms.select("term").distinct())
+    matched = matched.join(small_side(terms), "term")
     matched = small_side(durable(matched.select("norm", "profile_key").distinct(), "alert_words"))
     hits = ingredients.join(matched, "norm").groupBy("product_id", "profile_key").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("h"))
     return hits.select("product_id", "profile_key", F.transform(F.slice("h", 1, 4), lambda x: x["raw"]).alias("hits"))
@@ -148,11 +225,11 @@ def personal_alerts(ingredients: DataFrame, profiles: DataFrame, allergen_terms:
     """``(user_id, product_id, profile_key, hits)`` for the ``pairs (user_id, product_id)`` asked for.
 
     The pairs meet the users' few profile keys first and then, by product and key, the hits:
-    no profile key, which very many users and products share, is a join key by itself.
-    Without pairs every user meets every product that has hits, which grows with both.
+    no profile key, which very many users and products share, is a join key by itself. All
+    users with all products is no output that anyone can read, so pairs must be given.
     """
-    hits = alert_hits(ingredients, allergen_terms, mode)
     if pairs is None:
-        return profiles.join(hits, "profile_key").select("user_id", "product_id", "profile_key", "hits")
+        raise ValueError("pairs (user_id, product_id) must say whom to alert of what")
+    hits = alert_hits(ingredients, allergen_terms, mode)
     asked = pairs.select("user_id", "product_id").distinct().join(profiles.select("user_id", "profile_key").distinct(), "user_id")
     return asked.join(hits, ["product_id", "profile_key"]).select("user_id", "product_id", "profile_key", "hits")

@@ -96,16 +96,13 @@ def find_alternatives(analysis: DataFrame) -> DataFrame:
     """``(product_id, rank, other_id, other_score, fit)``: the best four of the category.
 
     Only a category's best five products can be among anyone's best four (one may be the
-    product itself), so the self-join meets five rows per category and no large category is
-    paired with itself.
+    product itself). They are one short list a category, which each product cuts by itself:
+    no large category is paired with itself, and no row is exchanged after the join.
     """
     pool, need = _pool_and_need(analysis)
-    top = Window.partitionBy("category").orderBy(F.desc("score"), "product_id")
-    best = pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1)
-    pairs = _pairs(need, best).withColumn("fit", F.col("other_score"))
-    order = Window.partitionBy("product_id").orderBy(F.desc("fit"), F.desc("other_score"), "other_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SUGGESTIONS)
-    return ranked.select("product_id", "rank", "other_id", "other_score", F.col("fit").cast("int").alias("fit"))
+    lists = _best(pool.withColumn("fit", F.col("score")), ["category"])
+    rows = need.join(small_side(durable(lists, "lists")), "category")
+    return _suggested(rows, ["product_id"])
 
 
 def find_alternatives_for_users(analysis: DataFrame, hits: DataFrame, profiles: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -113,35 +110,38 @@ def find_alternatives_for_users(analysis: DataFrame, hits: DataFrame, profiles:
 
     Every alert that ``hits (product_id, profile_key)`` raises for a user costs points. Of the
     products of a category with the same set of keys all cost a user the same, so the best
-    five per category and set are all that can be among the best four. They make one list a
-    category, and each wanted row ranks the list by its user's keys: a row per wanted product
-    goes in and at most four come out, however large the category.
+    five per category and set are all that can be among the best four. They are ranked once
+    for each category, set of flags that users have, and score to be beaten, whose number
+    does not grow with users or products; a wanted row meets one list of five.
     """
     pool, need = _pool_and_need(analysis)
     sets = hits.groupBy("product_id").agg(F.sort_array(F.collect_set("profile_key")).alias("keys"))
     none = F.array().cast("array<string>")
     pool = pool.join(sets, "product_id", "left").withColumn("keys", F.coalesce("keys", none))
     top = Window.partitionBy("category", "keys").orderBy(F.desc("score"), "product_id")
-    best = pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1)
-    lists = best.groupBy("category").agg(F.collect_list(F.struct("product_id", "score", "_key", "keys")).alias("others"))
-    users = profiles.groupBy("user_id").agg(F.collect_set("profile_key").alias("mine"))
+    best = durable(pool.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= SUGGESTIONS + 1).drop("_n"), "best")
+    users = profiles.groupBy("user_id").agg(F.sort_array(F.collect_set("profile_key")).alias("mine"))
     rows = need.join(wanted.select("user_id", "product_id").distinct(), "product_id").join(users, "user_id", "left").withColumn("mine", F.coalesce("mine", none))
-    rows = rows.join(small_side(durable(lists, "lists")), "category")
-
-    def ranked(x: Column) -> Column:
-        fit = x["score"] - ALERT_COST * F.size(F.array_intersect(x["keys"], F.col("mine")))
-        return F.struct((-fit).alias("f"), (-x["score"]).alias("s"), x["product_id"].alias("other_id"))
-
-    able = F.filter("others", lambda x: (x["score"] >= F.col("own") + LEAST_GAIN) & (x["_key"] != F.col("own_key")))
-    best = F.slice(F.sort_array(F.transform(able, ranked)), 1, SUGGESTIONS)
-    out = rows.select("product_id", "user_id", F.posexplode(best).alias("rank", "x"))
-    return out.select("product_id", "user_id", (F.col("rank") + 1).alias("rank"), "x.other_id", (-F.col("x.s")).alias("other_score"), (-F.col("x.f")).cast("int").alias("fit"))
-
-
-def _pairs(need: DataFrame, pool: DataFrame) -> DataFrame:
-    other = pool.select(F.col("category").alias("_c"), F.col("_key").alias("_k"), F.col("product_id").alias("other_id"), F.col("score").alias("other_score"))
-    on = (F.col("category") == F.col("_c")) & (F.col("other_score") >= F.col("own") + LEAST_GAIN) & (F.col("_k") != F.col("own_key"))
-    return need.join(other, on)
+    rows = durable(rows, "wanted")
+    asked = rows.select("category", "mine", "own").distinct()
+    fit = F.col("score") - ALERT_COST * F.size(F.array_intersect("keys", "mine"))
+    able = asked.join(best, "category").where(F.col("score") >= F.col("own") + LEAST_GAIN).withColumn("fit", fit)
+    lists = _best(able, ["category", "mine", "own"])
+    return _suggested(rows.join(small_side(durable(lists, "lists")), ["category", "mine", "own"]), ["product_id", "user_id"])
+
+
+def _best(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, others)``: the best five in order, one of which may be the product itself."""
+    order = Window.partitionBy(*by).orderBy(F.desc("fit"), F.desc("score"), "product_id")
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SUGGESTIONS + 1)
+    return first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_n", F.col("product_id").alias("other_id"), F.col("score").alias("other_score"), F.col("fit").cast("int").alias("fit"), "_key"))).alias("others"))
+
+
+def _suggested(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """At most four of each row's ``others`` that are enough better and not the product itself."""
+    able = F.filter("others", lambda x: (x["other_score"] >= F.col("own") + LEAST_GAIN) & (x["_key"] != F.col("own_key")))
+    out = rows.select(*keys, F.posexplode(F.slice(able, 1, SUGGESTIONS)).alias("rank", "x"))
+    return out.select(*keys, (F.col("rank") + 1).alias("rank"), "x.other_id", "x.other_score", "x.fit")
 
 
 def category_scan(products: DataFrame, category_tag: str) -> DataFrame:

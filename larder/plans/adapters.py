@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.sources.lexicon import PROFILE_KEYS, UNCATALOGUED, seed_rows
+from larder.sources.lexicon import PROFILE_KEYS, SCHEMAS, UNCATALOGUED, local_table, seed_rows
 
 AS_OF = "2024-01-30 12:00:00"
 
@@ -18,6 +18,34 @@ def pool() -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def generated_rows() -> dict[str, list[tuple]]:
+    """A knowledge base of thousands of entries by rule: half of what the seed does not list,
+    phrases that begin or end with words of the seed, and made-up names and codes."""
+    words, risks = pool(), ["ok", "limit", "caution", "avoid"]
+    says = ("Generated.", "A generated substance.", "By rule.", "None told.")
+    made = [f"{a}{b}" for a in "ba ce di fo gu ka le mi no pu ra se ti vo zu".split() for b in "bel con dra fex gil hum jor kel".split()]
+    additives = [(i, ("food", "nonfood")[i % 2], f"gen{i}", [f"{made[i]}ate", f"{made[i]} gum"], f"E{1600 + i}", "Generated", risks[i % 4], *says) for i in range(len(made))]
+    additives += [(len(made) + i, f, f"odd{i}{f}", [w.lower()], None, "Generated", risks[i % 4], *says) for i, w in enumerate(UNCATALOGUED[::2]) for f in ("food", "nonfood")]
+    clean = [f"{x} {words[i % len(words)]}" for i, x in enumerate(made)] + [f"{w} {x}" for w in made for x in ("flour", "seed", "milk", "powder", "juice", "bran", "root", "leaf")]
+    vague = [w for w in words if " " in w] + [f"{x} blend" for x in made]
+    return {
+        "additives": additives,
+        "enumbers": [(i, f"E{1700 + i}", f"{made[i % len(made)]} salt {i}", risks[i % 4]) for i in range(400)],
+        "terms": [("clean", i, p) for i, p in enumerate(clean)] + [("vague", i, p) for i, p in enumerate(vague)],
+        "concern_terms": [("generated", 20, i, f"{x} sulfate", "limit", "Generated") for i, x in enumerate(made)],
+        "groups": [("generated", "Generated", "limit", "By rule.")],
+        "banned": [("gen3", "Not allowed by rule.")],
+        "allergen_terms": [("soy", i, f"{x} soy") for i, x in enumerate(made)],
+        "group_details": [("generated", *says[:3])],
+        "studies": [("group", "generated", 0, "On rules", "Generated", 2020)],
+    }
+
+
+def generated_lexicon(spark: SparkSession) -> dict[str, DataFrame]:
+    rows = generated_rows()
+    return {k: local_table(spark, rows[k], s) for k, s in SCHEMAS.items()}
+
+
 def label_text(k: Column) -> Column:
     words = pool()
     bag = F.lit(words)

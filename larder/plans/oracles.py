@@ -7,7 +7,7 @@ labels are cut with window functions. Lexicon and pool come in as literal rows.
 from __future__ import annotations
 
 from larder.operators.labels import NOISE, PANEL_UNITS
-from larder.plans.adapters import AS_OF, pool
+from larder.plans.adapters import AS_OF, generated_rows, pool
 from larder.sources.lexicon import ENAME_STAGE, PROFILE_KEYS, _FOOD_STAGE, _OTHER_STAGE, _REASONS, seed_rows
 
 
@@ -30,8 +30,22 @@ def _padded(x: str) -> str:
     return f"(' ' || trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
 
-def _lexicon() -> str:
-    seed, rows = seed_rows(), []
+def _merged_rows() -> dict[str, list[tuple]]:
+    """The seed with the generated entries that it lacks after its own."""
+    seed, more = seed_rows(), generated_rows()
+    of = {"additives": lambda r: (r[1], r[2]), "enumbers": lambda r: r[1], "terms": lambda r: (r[0], r[2]), "concern_terms": lambda r: (r[0], r[3])}
+    place = {"additives": 0, "enumbers": 0, "terms": 1, "concern_terms": 2}
+    for name, key in of.items():
+        have, i = {key(r) for r in seed[name]}, place[name]
+        shift = 1 + max(r[i] for r in seed[name])
+        # Of equal keys the first stays.
+        fresh = {key(r): r for r in reversed(more[name]) if key(r) not in have}
+        seed[name] = seed[name] + [(*r[:i], r[i] + shift, *r[i + 1 :]) for r in fresh.values()]
+    return seed
+
+
+def _lexicon(seed: dict[str, list[tuple]] | None = None) -> str:
+    seed, rows = seed or seed_rows(), []
     for seq, family, key, names, enumber, category, risk, *_ in seed["additives"]:
         rows += [(family, 1, seq * 1000 + i, n, key, risk, None, category, names[0], enumber) for i, n in enumerate(names)]
     for seq, code, name, risk in seed["enumbers"]:
@@ -284,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_part_labels": f"WITH {_PARSED} SELECT id AS product_id, pos::INT AS pos, raw, norm FROM ingredients",
         "parse_document_labels": f"WITH {_parse('documents', 'doc_id', 'text')} SELECT id AS label_id, pos::INT AS pos, raw, norm FROM ingredients",
         "classify_ingredients": f"{_KNOWN} SELECT product_id, pos::INT AS pos, norm, family, status, grp, name, enumber, additive_id FROM classified",
+        "merged_lexicon": f"WITH {_PARSED}, {_lexicon(_merged_rows())}, {_CLASSIFIED} SELECT product_id, pos::INT AS pos, norm, family, status, grp, name, enumber, additive_id FROM classified",
         "classify_order_lines": f"{lines} SELECT status, grp, count(*) AS n, sum(product_id)::BIGINT AS id_sum, sum(pos)::BIGINT AS pos_sum FROM classified GROUP BY status, grp",
         "eval_nutrition": f"WITH {_products()}, {_NUTRITION} SELECT product_id, CASE WHEN sev = 'good' THEN 'positive' ELSE 'negative' END AS side, ord, label, value_num, unit, sev, {_NOTE} AS note FROM nutrition",
         "explain_scores": f"{_FULL}, reasons AS ({reasons}) SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY o, o2) - 1)::INT AS ord, d, t FROM reasons",
@@ -319,7 +334,7 @@ def oracle_sql() -> dict[str, str]:
         "upsert_scans": f"WITH {_SCANS} SELECT user_id, product_id, scan_id, logged, portion FROM latest",
         "newest_scans": f"WITH {_SCANS} SELECT user_id, product_id, scan_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scan_id DESC)::INT AS rank FROM latest) WHERE rank <= 5",
         "set_logged": f"WITH {_SCANS} SELECT user_id, product_id, logged, CASE WHEN logged = 'eaten' THEN epoch_us(ts) END AS ate_at_us FROM latest",
-        "toggle_favorites": f"WITH {_SCANS} SELECT user_id, product_id % 10 AS product_id, epoch_us(max(ts)) AS since_us FROM scans WHERE event_type = 'click' GROUP BY user_id, product_id % 10 HAVING count(*) % 2 = 1",
+        "toggle_favorites": f"WITH {_SCANS} SELECT user_id, product_id, epoch_us(max(ts)) AS since_us FROM scans WHERE event_type = 'click' GROUP BY user_id, product_id HAVING count(*) % 2 = 1",
         "scan_insights": _insights(""),
         "scan_insights_eaten": _insights("WHERE logged = 'eaten'"),
         "top_flagged": f"{_KNOWN}, {_SCANS}, named AS (SELECT product_id, pos, coalesce(a.first, c.name, c.raw) AS t FROM classified c LEFT JOIN {additives} a ON a.id = c.additive_id WHERE status IN ('avoid', 'caution')), spelt AS (SELECT t, {_title('t')} AS title FROM (SELECT DISTINCT t FROM named)), titled AS (SELECT product_id, title, min(pos) AS pos FROM named JOIN spelt USING (t) GROUP BY product_id, title) SELECT user_id, title, n, rank FROM (SELECT user_id, title, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(row(-epoch_us(ts), -scan_id, pos)), title)::INT AS rank FROM latest JOIN titled USING (product_id) GROUP BY user_id, title) WHERE rank <= 6",

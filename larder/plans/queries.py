@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larder.functions.exprs import body_from_imperial as imperial
 from larder.functions.exprs import step_portion as step
@@ -16,7 +15,7 @@ from larder.operators import score as S
 from larder.operators.labels import parse_labels
 from larder.plans import adapters as A
 from larder.sources import products as R
-from larder.sources.lexicon import load_lexicon
+from larder.sources.lexicon import load_lexicon, merge_lexicons
 from larder.streaming import streams as T
 
 
@@ -262,7 +261,7 @@ def set_logged(spark, d):
 
 def toggle_favorites(spark, d):
     clicks = A.scans_from_events(spark, d).where("event_type = 'click'")
-    return H.toggle_favorites(clicks.withColumn("product_id", F.col("product_id") % 10)).select("user_id", "product_id", F.unix_micros("since").alias("since_us"))
+    return H.toggle_favorites(clicks).select("user_id", "product_id", F.unix_micros("since").alias("since_us"))
 
 
 def scan_insights(spark, d):
@@ -331,7 +330,7 @@ def stream_scores(spark, d):
     schema = products(spark, d).schema
     staged = f"{out}/in"
     products(spark, d).write.parquet(staged)
-    T.stream_scores(spark.readStream.schema(schema).parquet(staged), load_lexicon(spark), f"{out}/scores", f"{out}/check").awaitTermination()
+    T.stream_scores(spark.readStream.schema(schema).parquet(staged), load_lexicon(spark), f"{out}/scores", f"{out}/check", f"{out}/words").awaitTermination()
     return spark.read.parquet(f"{out}/scores").select("product_id", "score", "badge_cls", "flagged_count")
 
 
@@ -348,8 +347,17 @@ def stream_latest_scan(spark, d):
     out = _shared(spark)
     scans = A.scans_of(_stream(spark, d, "events"), A.count_products(spark, d))
     T.stream_latest_scan(scans, out + "/latest", f"{out}/check").awaitTermination()
-    states = spark.read.schema(StructType([*scans.schema.fields, StructField("state", IntegerType())])).parquet(f"{out}/latest")
-    return states.where(F.col("state") == states.agg(F.max("state")).first()[0]).select("user_id", "product_id", "scan_id", "logged")
+    return T.latest_scans(spark, out + "/latest").select("user_id", "product_id", "scan_id", "logged")
+
+
+def merged_lexicon(spark, d):
+    """Ingredients told by the seed, told again by a lexicon of thousands of entries merged into it."""
+    seed, more = load_lexicon(spark), A.generated_lexicon(spark)
+    rows = durable(C.coded(parse_labels(A.products_from_part(spark, d), "product_id", "ingredients_text", "product_type")), "ingredients")
+    told = durable(C.tell(C.vocabulary_of(rows), seed), "vocabulary")
+    merged = {k: durable(v, k) for k, v in merge_lexicons(seed, more).items()}
+    again = durable(C.retell(told, seed, merged), "retold")
+    return C.with_told(rows, again).select("product_id", "pos", "norm", "family", "status", "grp", "name", "enumber", "additive_id")
 
 
 _FUNCTIONS = [
@@ -359,7 +367,7 @@ _FUNCTIONS = [
     union_sources, resolve_barcodes, search_products, fresh_snapshots, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
     set_logged, toggle_favorites, scan_insights, scan_insights_eaten, top_flagged, today_intake, today_intake_events, weekly_trend, backup_round_trip,
     backup_sections, saved_history, step_portion, body_from_imperial,
-    stream_scores, stream_daily_intake, stream_latest_scan,
+    merged_lexicon, stream_scores, stream_daily_intake, stream_latest_scan,
 ]
 
 

@@ -153,12 +153,16 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def merge_lexicons(base: dict[str, DataFrame], other: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``other``'s groups, their details, studies and bans replace ``base``'s of equal key;
-    terms are appended unless they are there already."""
+    what else is not there already is appended, so it comes after ``base`` in list order."""
     keys = {"group_details": ["grp"], "studies": ["kind", "key", "seq"], "groups": ["grp"], "banned": ["additive_id"], "terms": ["list", "phrase"], "additives": ["family", "id"], "enumbers": ["code"], "concern_terms": ["bucket", "phrase"], "allergen_terms": ["profile_key", "phrase"]}
     out = {}
     for name, key in keys.items():
-        first, second = (other, base) if name in ("groups", "banned", "group_details", "studies") else (base, other)
-        both = first[name].withColumn("_from", F.lit(0)).unionByName(second[name].withColumn("_from", F.lit(1)))
+        replaces = name in ("groups", "banned", "group_details", "studies")
+        first, second = (other[name], base[name]) if replaces else (base[name], other[name])
+        if not replaces and "seq" in second.columns:
+            last = first.agg(F.max("seq")).first()[0]
+            second = second.withColumn("seq", (F.col("seq") + (0 if last is None else last + 1)).cast("int"))
+        both = first.withColumn("_from", F.lit(0)).unionByName(second.withColumn("_from", F.lit(1)))
         order = [F.col("_from"), *[F.col(c) for c in ("seq",) if c in both.columns]]
         best = both.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         out[name] = best.where("_n = 1").drop("_n", "_from")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from larder.operators import score as S
 from larder.operators.labels import parse_labels
 from larder.plans import adapters as A
 from larder.sources import products as R
-from larder.sources.lexicon import load_lexicon
+from larder.sources.lexicon import load_lexicon, merge_lexicons
 from larder.streaming import streams as T
 from tests.conftest import DATA
 
@@ -146,11 +147,31 @@ def test_alternatives_weigh_the_users_alerts(spark):
     assert got == {(7, 1): [(4, 84), (3, 73), (10, 71), (11, 70)], (8, 1): [(4, 84), (10, 83), (11, 82), (12, 81)], (9, 1): [(2, 90), (3, 85), (4, 84), (10, 83)]}
 
 
-def test_substring_alerts_are_refused_beyond_a_bound(spark, monkeypatch):
-    _, c, _ = analysed(spark)
-    monkeypatch.setattr(C, "SUBSTRINGS", 3)
-    with pytest.raises(ValueError, match="keywords"):
-        C.alert_hits(c, load_lexicon(spark)["allergen_terms"], "substring")
+def test_keywords_of_any_number_are_found_within_words(spark):
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choices("abc é", k=n))
+    words = sorted({made(rng.randrange(12)) for _ in range(300)})
+    terms = sorted({made(rng.randrange(5)) for _ in range(400)} | {"zzzz", "a"})
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in rows], f"{name} string")
+    got = C.words_with(frame(words, "norm"), frame(terms, "term"))
+    assert sorted(map(tuple, got.collect())) == sorted((w, t) for w in words for t in terms if t and t in w)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert C.words_with(frame(words, "norm"), frame([""], "term")).count() == 0
+
+
+def test_retelling_equals_telling_all(spark):
+    seed, more = load_lexicon(spark), A.generated_lexicon(spark)
+    merged = {k: tables.durable(v, k) for k, v in merge_lexicons(seed, more).items()}
+    assert sum(merged[k].count() for k in ("additives", "enumbers", "terms", "concern_terms")) > 1900
+    rows = C.coded(parse_labels(A.products_from_part(spark, DATA), "product_id", "ingredients_text", "product_type"))
+    extra = spark.createDataFrame([("food", "babel gum", ""), ("food", "x", "1701"), ("nonfood", "babel sulfate soap", ""), ("food", "plain nothing", "")], "family string, norm string, code string")
+    words = tables.durable(C.vocabulary_of(rows).unionByName(extra), "words")
+    told = tables.durable(C.tell(words, seed), "told")
+    columns = ["family", "norm", "code", *C.TOLD]
+    key = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    again = key(C.retell(told, seed, merged))
+    assert again == key(C.tell(words, merged)) != key(told)
+    assert key(C.retell(told, seed, seed)) == key(told)
 
 
 def test_streams_leave_nothing_behind(spark, tmp_path):
@@ -158,6 +179,6 @@ def test_streams_leave_nothing_behind(spark, tmp_path):
     products = A.products_from_part(spark, DATA)
     products.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(products.schema).parquet(str(tmp_path / "in"))
-    T.stream_scores(stream, load_lexicon(spark), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    T.stream_scores(stream, load_lexicon(spark), str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "words")).awaitTermination()
     assert set(tables._written) == before
     assert spark.read.parquet(str(tmp_path / "out")).count() == products.count()

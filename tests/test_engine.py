@@ -123,8 +123,11 @@ def test_alerts_and_compare(spark):
     c = classified(spark, p)
     users = spark.createDataFrame([(7, "egg"), (7, "nothing")], "user_id long, profile_key string")
     terms = load_lexicon(spark)["allergen_terms"]
-    assert [r.hits for r in C.personal_alerts(c, users, terms).collect()] == [["Egg"]]
-    assert [r.hits for r in C.personal_alerts(c, users, terms, "substring").collect()] == [["Eggplant", "Egg"]]
+    pairs = spark.createDataFrame([(7, 1), (7, 2)], "user_id long, product_id long")
+    assert [r.hits for r in C.personal_alerts(c, users, terms, pairs=pairs).collect()] == [["Egg"]]
+    assert [r.hits for r in C.personal_alerts(c, users, terms, "substring", pairs).collect()] == [["Eggplant", "Egg"]]
+    with pytest.raises(ValueError, match="pairs"):
+        C.personal_alerts(c, users, terms)
     a = S.build_analysis(p, c)
     pair = spark.createDataFrame([(1, 2)], "a_id long, b_id long")
     r = P.compare_products(pair, a).first()

@@ -99,9 +99,44 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 
 def test_latest_scan_over_batches(spark, tmp_path):
+    """What a batch writes follows the batch, through restarts of the query."""
     schema = "scan_id long, user_id long, product_id long, ts timestamp, logged string"
-    for i in range(2):
-        spark.createDataFrame([(i, 1, 5, T0 + dt.timedelta(hours=i), "eaten"), (10 + i, 1, 6 + i, T0, "eaten")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    batches = [[(i, 1, i, T0, "eaten") for i in range(200)], [(900, 1, 5, T0 + dt.timedelta(hours=1), "checked"), (901, 2, 5, T0, "eaten")], [(1, 1, 5, T0 - dt.timedelta(hours=1), "eaten")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
         T.stream_latest_scan(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    got = {(r.product_id, r.scan_id) for r in spark.read.parquet(f"{tmp_path}/out/state=1").collect()}
-    assert got == {(5, 1), (6, 10), (7, 11)}
+    assert [spark.read.parquet(f"{tmp_path}/out/batch={i}").count() for i in range(3)] == [200, 2, 1]
+    got = T.latest_scans(spark, f"{tmp_path}/out")
+    assert got.columns == ["user_id", "ts", "scan_id", "product_id", "logged"]
+    every = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    want = H.upsert_scans(every).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    T.compact_scans(spark, f"{tmp_path}/out", f"{tmp_path}/small")
+    assert sorted(map(tuple, T.latest_scans(spark, f"{tmp_path}/small").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_replayed_scans_change_no_sum(spark, tmp_path):
+    schema = "scan_id long, user_id long, product_id long, ts timestamp, logged string, portion double"
+    kcal = spark.createDataFrame([(5, 100)], "product_id long, kcal int")
+    hour = dt.timedelta(hours=1)
+    first = [(1, 1, 5, T0, "eaten", 1.0), (2, 1, 5, T0 + hour, "eaten", 2.0)]
+    for name, rows in (("a", first), ("b", [*first, (3, 1, 5, T0 + 2 * hour, "eaten", 1.0)]), ("c", [(4, 1, 5, T0 + 99 * hour, "eaten", 1.0)]), ("d", first), ("e", [(5, 1, 5, T0 + 300 * hour, "eaten", 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        T.stream_daily_intake(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), kcal, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {(str(r.day), r.kcal, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert ("2024-01-01", 400, 3) in got and len({d for d, _, _ in got}) == len(got)
+
+
+def test_known_words_meet_no_lexicon_again(spark, tmp_path, monkeypatch):
+    products, told = A.products_from_part(spark, DATA), []
+    tell = T.tell
+    monkeypatch.setattr(T, "tell", lambda words, lex: told.append(words.count()) or tell(words, lex))
+    for i, part in enumerate([products, products.where("product_id < 50"), products.where("product_id < 3").withColumn("ingredients_text", F.lit("Water, Neverseen, E1452"))]):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(products.schema).parquet(f"{tmp_path}/in/*")
+        T.stream_scores(stream, load_lexicon(spark), f"{tmp_path}/out", f"{tmp_path}/check", f"{tmp_path}/words").awaitTermination()
+        want = S.score_products(part, C.classify(parse_labels(part, "product_id", "ingredients_text", "product_type"), load_lexicon(spark)))
+        got = spark.read.parquet(f"{tmp_path}/out/batch={i}")
+        columns = ["product_id", "score", "badge_cls", "flagged_count"]
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert len(told) == 2 and told[1] < 5 < told[0]
