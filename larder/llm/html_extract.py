@@ -7,9 +7,10 @@ are grouped by equal vectors with ordinary aggregations and no host's pages ever
 one task. Classes of LOW_SUPPORT of the pages or more are nested by their paths. One with
 texts is valid if it has a tag, MIN_CLASS tokens or a support of SUPPORT; on each page its
 tokens must all be there, and those out of template order do not count. The texts of valid
-classes are template text, in articles too; the region whose slots, the rest, hold most
-text becomes the content region (its article or main element if there is one). Extraction
-keeps the slots of the content region and its headline.
+classes are template text; the region whose slots, the rest, hold most text becomes the
+content region (its article or main element if there is one). Extraction keeps the slots of
+the content region. Within an article only texts of classes with a tag outside articles go,
+and headings stay: what a few or many articles share without such a tag is theirs.
 
 Hosts with fewer than MIN_PAGES pages use the template deduced over all hosts. Templates
 are a row per host and are broadcast only after their number is checked.
@@ -57,6 +58,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe xmp template".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption details summary hgroup".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = TEXT_BLOCKS | set("address article aside div fieldset footer form header hr main nav section".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table article section div body main nav aside header footer form blockquote td th".split())
@@ -321,7 +323,7 @@ def token_stats(pages: DataFrame, id_col="page_id", url_col="url", html_col="htm
     return src.mapInArrow(run, _STATS).groupBy("host", "token").agg(F.first("label", ignorenulls=True).alias("label"), *total)
 
 
-_TEMPLATE = "host string, pages long, tokens array<long>, class array<int>, strong array<boolean>, gone array<struct<region:long,chars:long>>, classes string"
+_TEMPLATE = "host string, pages long, tokens array<long>, class array<int>, strong array<boolean>, framed array<boolean>, gone array<struct<region:long,chars:long>>, classes string"
 
 
 def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -336,9 +338,10 @@ def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         labels = [x for x in g["label"] if isinstance(x, str)]
         texts = g[g["label"].isna()]
         strong = support >= n * SUPPORT
+        framed = any(not _within_article(x) for x in labels)
         groups.append({"support": int(support), "steady": bool((g["least"] == g["most"]).all()), "tags": labels, "texts": [int(t) for t in texts["token"]]})
         groups[-1]["valid"] = bool(len(texts)) and bool(strong or labels or len(g) >= MIN_CLASS)
-        members.append((g, texts, bool(strong)))
+        members.append((g, texts, bool(strong), framed))
     # A class nests in the class of the nearest tag around its outermost tag, or around its texts if it has none.
     owner = {label: i for i, c in enumerate(groups) for label in c["tags"]}
     label_of = {int(t): x for t, x in zip(vectors["token"], vectors["label"], strict=True) if isinstance(x, str)}
@@ -353,14 +356,19 @@ def _deduce(host: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 break
         # Texts whose enclosing tags are no class of the host are in no template.
         c["valid"] = c["valid"] and all(int(t) in label_of for t in members[i][1]["within"])
-    order, kinds, strongs, gone = [], [], [], []
-    for i, (g, texts, strong) in enumerate(members):
+    order, kinds, strongs, frames, gone = [], [], [], [], []
+    for i, (g, texts, strong, framed) in enumerate(members):
         if groups[i]["valid"]:
             order += [int(t) for t in g["token"]]
             kinds += [i] * len(g)
             strongs += [strong] * len(g)
+            frames += [framed] * len(g)
             gone += [{"region": int(r), "chars": int(k)} for r, k in zip(texts["region"], texts["chars"], strict=True) if k]
-    return pd.DataFrame({"host": [host[0]], "pages": [n], "tokens": [order], "class": [kinds], "strong": [strongs], "gone": [gone], "classes": [json.dumps(groups)]})
+    return pd.DataFrame({"host": [host[0]], "pages": [n], "tokens": [order], "class": [kinds], "strong": [strongs], "framed": [frames], "gone": [gone], "classes": [json.dumps(groups)]})
+
+
+def _within_article(label: str) -> bool:
+    return any(role.partition(".")[0] in ARTICLE for role in label.split("/"))
 
 
 def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -390,7 +398,7 @@ def templates(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     slots = F.col("chars") - F.coalesce("gone", F.lit(0))
     best = regions.groupBy("host").agg(F.min_by("label", F.struct(-slots, -F.col("chars"), F.col("label"))).alias("region"))
     best = durable(best.join(small_side(hosts, MAX_TEMPLATES), "host").select("host", "region"), "regions")
-    return found.join(small_side(best, MAX_TEMPLATES), "host", "left").select("host", "pages", "region", "tokens", "class", "strong", "classes")
+    return found.join(small_side(best, MAX_TEMPLATES), "host", "left").select("host", "pages", "region", "tokens", "class", "strong", "framed", "classes")
 
 
 def _longest_rise(ranks: list[int]) -> set[int]:
@@ -407,16 +415,17 @@ def _longest_rise(ranks: list[int]) -> set[int]:
     return kept
 
 
-Template = dict[int, tuple[int, int, bool]]
+Template = dict[int, tuple[int, int, bool, bool]]
 
 
-def as_template(tokens: list[int], classes: list[int], strong: list[bool]) -> Template:
-    """Token to (class, place in the template, whether its support is SUPPORT or more)."""
-    return {t & (1 << 64) - 1: (c, i, s) for i, (t, c, s) in enumerate(zip(tokens, classes, strong, strict=True))}
+def as_template(tokens: list[int], classes: list[int], strong: list[bool], framed: list[bool]) -> Template:
+    """Token to (class, place in the template, whether its support is SUPPORT or more, whether
+    the class has a tag outside articles)."""
+    return {t & (1 << 64) - 1: (c, i, s, f) for i, (t, c, s, f) in enumerate(zip(tokens, classes, strong, framed, strict=True))}
 
 
-def template_texts(items: list[tuple[str, str, Element]], template: Template) -> dict[int, bool]:
-    """The text tokens that the page's valid classes hold, and whether each is strong.
+def template_texts(items: list[tuple[str, str, Element]], template: Template) -> dict[int, tuple[bool, bool]]:
+    """The text tokens that the page's valid classes hold, and whether each is strong and framed.
 
     On a page a class is valid with all its tokens, as far as they stand in template order.
     """
@@ -429,23 +438,26 @@ def template_texts(items: list[tuple[str, str, Element]], template: Template) ->
             seen.setdefault(known[0], []).append(known[1])
             if is_text:
                 texts[token] = known[1]
-    sizes = Counter(c for c, _, _ in template.values())
+    sizes = Counter(c for c, *_ in template.values())
     good = {r for c, ranks in seen.items() if len(ranks) == sizes[c] for r in (ranks if ranks == sorted(ranks) else _longest_rise(ranks))}
-    return {t: template[t][2] for t, r in texts.items() if r in good}
+    return {t: template[t][2:] for t, r in texts.items() if r in good}
 
 
 def main_text(page: str, content: str | None, template: Template) -> str:
     """The page's text in ``content``, or in its own article, without template text.
 
-    Where the template has half or more of an article's text, the pages are copies of each
-    other and it tells nothing: the article stays whole. So do headlines (h1).
+    An article loses only the texts of classes that have a tag outside articles, so those of
+    the page's template and not what some articles share, and never a heading. Where the
+    template has half or more of an article's text, the pages are copies of each other and it
+    tells nothing: the article stays whole.
     """
     items = walk(page)
     fixed = template_texts(items, template) if template else {}
     texts = [(" ".join(text.split()), e) if kind == "text" and not e.boilerplate else None for kind, text, e in items]
     tokens = [_text_token(x[1].label, x[0]) if x and fixed else 0 for x in texts]
-    article = [(t in fixed, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and x[1].inside]
-    around = [(fixed[t] if t in fixed else None, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and not x[1].inside]
+    framed = {t for t, (_, f) in fixed.items() if f}
+    article = [(t in framed, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and x[1].inside]
+    around = [(fixed[t][0] if t in fixed else None, len(x[0])) for t, x in zip(tokens, texts, strict=True) if x and not x[1].inside]
     clear_article = 2 * sum(n for gone, n in article if gone) < sum(n for _, n in article)
     clear_around = 2 * sum(n for strong, n in around if strong is False) < sum(n for strong, n in around if not strong)
     inside, own, loose = [], [], []
@@ -455,7 +467,7 @@ def main_text(page: str, content: str | None, template: Template) -> str:
                 part.append(" ")
         elif kind == "text" and not element.boilerplate:
             where = element.label
-            if token in fixed and (clear_article and not _in_headline(element) if element.inside else fixed[token] or clear_around):
+            if token in fixed and (token in framed and clear_article and not _in_heading(element) if element.inside else fixed[token][0] or clear_around):
                 continue
             text = entities.unescape(text)
             loose.append(text)
@@ -470,19 +482,19 @@ def main_text(page: str, content: str | None, template: Template) -> str:
     return main_text(page, content, {}) if template else ""
 
 
-def _in_headline(element: Element) -> bool:
-    while element.parent and element.name != "h1":
+def _in_heading(element: Element) -> bool:
+    while element.parent and element.name not in HEADINGS:
         element = element.parent
-    return element.name == "h1"
+    return element.name in HEADINGS
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """``(id, url, text)`` for every page."""
-    found = durable(templates(pages, id_col, url_col, html_col).select("host", "region", "tokens", "class", "strong"), "templates")
+    found = durable(templates(pages, id_col, url_col, html_col).select("host", "region", "tokens", "class", "strong", "framed"), "templates")
     every = found.where(F.col("host") == ANY_HOST).first()
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = src.join(small_side(found.where(F.col("host") != ANY_HOST), MAX_TEMPLATES), "host", "left").select("id", "url", "html", "host", "region", "tokens", "class", "strong")
-    any_region, shared = (every["region"], as_template(every["tokens"], every["class"], every["strong"])) if every else (None, {})
+    joined = src.join(small_side(found.where(F.col("host") != ANY_HOST), MAX_TEMPLATES), "host", "left").select("id", "url", "html", "host", "region", "tokens", "class", "strong", "framed")
+    any_region, shared = (every["region"], as_template(every["tokens"], every["class"], every["strong"], every["framed"])) if every else (None, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
@@ -494,7 +506,7 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
                 if own and host not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[host] = as_template(*[batch.column(k)[i].as_py() for k in (5, 6, 7)])
+                    known[host] = as_template(*[batch.column(k)[i].as_py() for k in (5, 6, 7, 8)])
                 out.append(main_text(page, content, known[host]) if own else main_text(page, any_region, shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 

@@ -511,3 +511,33 @@ def test_memo_keeps_what_is_frequent_within_its_room():
         assert memo[f"rare{i}"] == memo["often"] == 0j
     assert made.count("often") == 1 and len(made) == 5_001
     assert sum(len(m) for m in (memo, memo.older)) < 40_000 / token_counts._ENTRY_BYTES
+
+
+def test_hundreds_of_languages_are_all_learned(spark, docs_of):
+    said = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("mo", "ra", "ti", "lu")) * 6
+    docs = docs_of([(k, said(k), f"x{k}") for k in range(300)])
+    model = language_id.fit(docs)
+    assert len(model.languages) == 300 and model.weights.shape == (9 * language_id.CODE_BITS, language_id.BUCKETS)
+    assert sum(model.predict(said(k))[0] == f"x{k}" for k in range(300)) >= 295
+    assert len({tuple(x) for x in model.code.tolist()}) == 300
+
+
+def test_html_articles_keep_what_they_share(spark):
+    rng = random.Random(8)
+    story = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60))
+    some, many = "A paragraph that three articles quote from the same speech.", "A sentence that most articles of the house say somewhere."
+    page = "<body><div class=top><span>Front</span></div><article><h1>Title {}</h1><p>{}<h2>Background</h2><p>{}{}<h3>What happened next</h3><p>{}</article><div class=end>All rights</div></body>"
+    rows, want = [], {}
+    for i in range(20):
+        a, b, c = story(), story(), story()
+        extra = [x for x, k in ((some, 3), (many, 12)) if i < k]
+        rows.append((i, f"http://a.example/{i}", page.format(i, a, b, "".join(f"<p>{x}" for x in extra), c)))
+        want[i] = " ".join([f"Title {i}", a, "Background", b, *extra, "What happened next", c])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_equals_article_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    wrong = [r.page_id for r in html_extract.extract(pages).join(pages.select("page_id", "html"), "page_id").collect() if html_extract.main_text(r.html, None, {}) != r.text]
+    assert wrong == []
