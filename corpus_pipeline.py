@@ -2,6 +2,13 @@
 
 The filtering stages keep every document that they have no reason to reject; stages that
 change texts keep ``n_chars`` right.
+
+Defined results, beside those that the stages' operators tell: a null or empty text, or one
+without a letter, has no language and goes in the first stage; a null lang or source is
+carried along; rows with a null doc_id are no near duplicates of others and are else told
+apart by their texts; of a near-duplicate group the smallest id stays, of equal ids one text
+and of repeated rows one; very long texts are judged and encoded whole; an empty table, or one of which nothing is left, gives no rows;
+columns beside those of documents are carried to the last stage but one, whatever their names.
 """
 
 from __future__ import annotations
