@@ -268,26 +268,27 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = f"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, part FROM (
-    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS part FROM documents)
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS part FROM documents
 ), cut AS (
   SELECT lang, regexp_extract_all(part, '[^\\x20\\x09]+') AS w FROM pieces
 ), grams AS (
-  SELECT lang, list_slice(w, i, i + k - 1) AS words, k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut), range(1, {LONGEST + 1}) r(k) WHERE i + k - 1 <= len(w)
-), f AS (
-  SELECT lang, words, k, count(*) AS a FROM grams GROUP BY lang, words, k HAVING count(*) >= {MIN_COUNT}
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut), range(1, {LONGEST + 1}) r(k) WHERE i + k - 1 <= len(w)
+), f AS MATERIALIZED (
+  SELECT lang, phrase, k, string_split(phrase, ' ') AS w, count(*) AS a FROM grams GROUP BY lang, phrase, k HAVING count(*) >= {MIN_COUNT}
 ), totals AS (
-  SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang
+  SELECT coalesce(lang, 'und') AS lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY 1
+), parts AS (
+  SELECT lang, phrase, k, a, i, array_to_string(list_slice(w, 1, i), ' ') AS head, array_to_string(list_slice(w, i + 1, k), ' ') AS rest FROM f, range(1, {LONGEST}) s(i) WHERE i < k
+), inner_ AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, a FROM f, range(1, {LONGEST}) p(i), range(2, {LONGEST}) q(m) WHERE k > 2 AND m < k AND i + m - 1 <= k
 ), longer AS (
-  SELECT lang, list_slice(words, i, i + m - 1) AS words, max(a) AS most
-  FROM f, range(1, {LONGEST}) p(i), range(2, {LONGEST}) q(m) WHERE k > 2 AND m < k AND i + m - 1 <= k GROUP BY ALL
+  SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL
 ), cuts AS (
-  SELECT c.lang, c.words, c.k AS size, c.a, s.i, x.a AS l, y.a AS r, {SCALE} * c.a::HUGEINT // (x.a + y.a) AS score
-  FROM f c, range(1, {LONGEST}) s(i), f x, f y
-  WHERE c.k > 1 AND s.i < c.k AND x.lang = c.lang AND x.words = list_slice(c.words, 1, s.i) AND y.lang = c.lang AND y.words = list_slice(c.words, s.i + 1, c.k)
+  SELECT c.lang, c.phrase, c.a, c.i, x.a AS l, y.a AS r, {SCALE} * c.a::HUGEINT // (x.a + y.a) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
 ), least AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, i) = 1
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
 )
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
-FROM least LEFT JOIN longer USING (lang, words) JOIN totals USING (lang) WHERE most IS NULL OR 100 * most < {INSIDE} * a QUALIFY rank <= {TOP}
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM least LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE most IS NULL OR 100 * most < {INSIDE} * a QUALIFY rank <= {TOP}
 """
