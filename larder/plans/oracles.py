@@ -298,6 +298,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_part_labels": f"WITH {_PARSED} SELECT id AS product_id, pos::INT AS pos, raw, norm FROM ingredients",
         "parse_document_labels": f"WITH {_parse('documents', 'doc_id', 'text')} SELECT id AS label_id, pos::INT AS pos, raw, norm FROM ingredients",
         "classify_ingredients": f"{_KNOWN} SELECT product_id, pos::INT AS pos, norm, family, status, grp, name, enumber, additive_id FROM classified",
+        "ingredient_snapshots": f"WITH {_SCANS} SELECT scan_id, product_id, snapshot_id, epoch_us(read) AS read_us, told FROM (SELECT s.scan_id, s.product_id, n.scan_id AS snapshot_id, n.ts AS read, n.portion AS told, row_number() OVER (PARTITION BY s.scan_id ORDER BY n.ts DESC, n.scan_id DESC) AS r FROM scans s JOIN scans n ON n.product_id = s.product_id AND n.event_type = 'purchase' AND n.ts <= s.ts AND n.ts >= s.ts - INTERVAL 90 DAY) WHERE r = 1",
+        "additives_counted": f"{_FULL} SELECT a.product_id AS a_id, b.product_id AS b_id, CASE WHEN a.score > b.score THEN 'a' WHEN b.score > a.score THEN 'b' ELSE 'tie' END AS better, a.score - b.score AS score_delta, (SELECT count(*) FROM classified c WHERE c.product_id = a.product_id AND status IN ('avoid', 'caution'))::INT AS a_additives, (SELECT count(*) FROM classified c WHERE c.product_id = b.product_id AND status IN ('avoid', 'caution'))::INT AS b_additives FROM analysis a JOIN analysis b ON b.product_id = a.product_id + 1",
         "merged_lexicon": f"WITH {_PARSED}, {_lexicon(_merged_rows())}, {_CLASSIFIED} SELECT product_id, pos::INT AS pos, norm, family, status, grp, name, enumber, additive_id FROM classified",
         "classify_order_lines": f"{lines} SELECT status, grp, count(*) AS n, sum(product_id)::BIGINT AS id_sum, sum(pos)::BIGINT AS pos_sum FROM classified GROUP BY status, grp",
         "eval_nutrition": f"WITH {_products()}, {_NUTRITION} SELECT product_id, CASE WHEN sev = 'good' THEN 'positive' ELSE 'negative' END AS side, ord, label, value_num, unit, sev, {_NOTE} AS note FROM nutrition",

@@ -216,6 +216,23 @@ def fresh_snapshots(spark, d):
     return R.fresh_snapshots(snaps, "product_id", F.lit("2024-02-20 12:00:00").cast("timestamp")).select("product_id", "scan_id", "portion")
 
 
+def ingredient_snapshots(spark, d):
+    """Each scan with the newest purchase of its product that is at most 90 days old, as the
+    time when its ingredients were read."""
+    scans = A.scans_from_events(spark, d)
+    read = scans.where("event_type = 'purchase'").select("product_id", "ts", F.col("scan_id").alias("snapshot_id"), F.col("portion").alias("told"))
+    found = R.as_of_snapshots(scans, read, "product_id")
+    return found.select("scan_id", "product_id", "snapshot.snapshot_id", F.unix_micros("snapshot.ts").alias("read_us"), "snapshot.told")
+
+
+def additives_counted(spark, d):
+    """Comparison of products whose records tell no number of additives."""
+    products, classified, _ = _parts(spark, d)
+    analysis = durable(S.build_analysis(products, classified), "analysis").drop("flagged_count")
+    rows = P.compare_products(A.pairs_of(analysis), analysis, classified)
+    return rows.select("a_id", "b_id", "better", "score_delta", "a_additives", "b_additives")
+
+
 def normalize_barcodes(spark, d):
     codes = A.products_from_part(spark, d).select("product_id", F.when(F.col("product_id") % 4 == 0, F.substring("barcode", 9, 5)).otherwise(F.concat(F.lit(" "), F.col("barcode"), F.lit("-x"))).alias("code"))
     return R.normalize_barcodes(codes)
@@ -364,7 +381,7 @@ _FUNCTIONS = [
     score_products, parse_part_labels, parse_document_labels, classify_ingredients, classify_order_lines, eval_nutrition, explain_scores, build_analysis,
     overridden_labels, shown_negatives, status_breakdown, concern_rows, nutrition_facts, ingredient_detail, lexicon_browse, unknown_terms, personal_alerts, personal_alerts_substring,
     compare_products, compare_nutrition, compare_candidates, find_alternatives, find_alternatives_for_users, category_scan, health_sort, load_products,
-    union_sources, resolve_barcodes, search_products, fresh_snapshots, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
+    union_sources, resolve_barcodes, search_products, fresh_snapshots, ingredient_snapshots, additives_counted, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
     set_logged, toggle_favorites, scan_insights, scan_insights_eaten, top_flagged, today_intake, today_intake_events, weekly_trend, backup_round_trip,
     backup_sections, saved_history, step_portion, body_from_imperial,
     merged_lexicon, stream_scores, stream_daily_intake, stream_latest_scan,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import missing, plain_spaces
@@ -98,6 +98,32 @@ def fresh_snapshots(snapshots: DataFrame, key: str, as_of: Column, kind: str = "
     return last.select(key, *[F.col(f"_x.{c}").alias(c) for c in ["ts", *rest]])
 
 
+def as_of_snapshots(scans: DataFrame, snapshots: DataFrame, key: str, kind: str = "ingredient", scan_id: str = "scan_id", snapshot_id: str = "snapshot_id") -> DataFrame:
+    """Each of ``scans`` that has one, with the newest snapshot of its key at or before it
+    that is at most as old as its kind may be, as the struct ``snapshot``.
+
+    Of snapshots at one time the largest ``snapshot_id`` counts. Within a day both meet in a
+    window by key and day; before it only each day's newest snapshot counts, so what a key
+    holds in one task is a day, or a row a day, however hot it is.
+    """
+    day = F.to_date("ts")
+    snaps = snapshots.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).alias("_k"), "ts", day.alias("_d"), F.struct("ts", F.col(snapshot_id), *[c for c in snapshots.columns if c not in (key, "ts", snapshot_id)]).alias("_s"))
+    told = scans.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    asked = told.select(F.col(key).alias("_k"), "ts", day.alias("_d"), F.struct(*scans.columns).alias("_row"))
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    both = snaps.withColumn("_row", null(asked, "_row")).unionByName(asked.withColumn("_s", null(snaps, "_s")))
+    # A snapshot at the time of a scan comes first.
+    until = Window.partitionBy("_k", "_d").orderBy("ts", F.col("_row").isNotNull(), f"_s.{snapshot_id}").rowsBetween(Window.unboundedPreceding, 0)
+    same_day = both.withColumn("_same", F.last("_s", ignorenulls=True).over(until)).where("_row IS NOT NULL").select("_k", "_d", "_row", "_same")
+
+    newest = snaps.groupBy("_k", "_d").agg(F.max("_s").alias("_s"))
+    days = newest.unionByName(asked.select("_k", "_d").distinct().withColumn("_s", null(snaps, "_s"))).groupBy("_k", "_d").agg(F.max("_s").alias("_s"))
+    before = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select("_k", "_d", F.last("_s", ignorenulls=True).over(before).alias("_before")).where("_before IS NOT NULL")
+    found = same_day.join(earlier, ["_k", "_d"], "left").select("_row.*", F.coalesce("_same", "_before").alias("snapshot"))
+    return found.where(F.col("snapshot.ts") >= F.col("ts") - F.make_interval(days=F.lit(FRESH_DAYS[kind])))
+
+
 def normalize_barcodes(codes: DataFrame, code_col: str = "code", least: int = 8) -> DataFrame:
     """Adds ``barcode``, the digits of the code; codes with fewer than ``least`` digits go."""
     digits = F.regexp_replace(F.coalesce(F.col(code_col), F.lit("")), "[^0-9]", "")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def test_snapshots(spark):
     assert {r.key for r in R.fresh_snapshots(df, "key", as_of, "ingredient").collect()} == {"a", "b", "c"}
 
 
+def test_scans_with_the_newest_snapshot_before_them(spark):
+    rng, hour = random.Random(6), dt.timedelta(hours=1)
+    at = lambda: T0 + rng.randrange(0, 24 * 200, 6) * hour
+    scans = [(i, rng.choice([None, "a", "b", "c"]), at()) for i in range(300)]
+    snaps = [(i, rng.choice([None, "a", "b", "d"]), at(), i * 10) for i in range(60)] + [(900, "a", None, 1)]
+    got = R.as_of_snapshots(spark.createDataFrame(scans, "scan_id long, code string, ts timestamp"), spark.createDataFrame(snaps, "snapshot_id long, code string, ts timestamp, v long"), "code")
+    assert got.columns == ["scan_id", "code", "ts", "snapshot"]
+    want = {}
+    for i, key, ts in scans:
+        held = [(t, s, v) for s, k, t, v in snaps if key and k == key and t and t <= ts and t >= ts - dt.timedelta(days=90)]
+        if held:
+            want[i] = max(held)[1:]
+    assert {r.scan_id: (r.snapshot.snapshot_id, r.snapshot.v) for r in got.collect()} == want and 50 < len(want) < 200
+    assert got.where("false").count() == 0
+
+
 def test_search_needs_two_letters(spark):
     src = R.union_sources(A.source_tables(A.products_from_part(spark, DATA).select("product_id", "barcode", "name", "brand")))
     assert R.search_products(src, "r").count() == 0
