@@ -142,7 +142,7 @@ def _recoded(level: int):
         for lang, packed in zip(block["lang"].to_pylist(), block["units"].to_pylist(), strict=True):
             u = _unpack(packed)
             held = u if level == 1 else np.where((u[:-1] > 0) & (u[1:] > 0), u[:-1] << 32 | u[1:], 0)
-            keys, ids, bands = (known[c].to_numpy() for c in ("key", "id", "band"))
+            keys, ids, bands = _known(known)
             order = np.argsort(keys)
             keys = np.concatenate([keys[order], [np.iinfo(np.int64).max]])
             at = np.searchsorted(keys, held)
@@ -156,6 +156,15 @@ def _recoded(level: int):
     return run
 
 
+def _known(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, numbers and bands: a row each, or packed by tile."""
+    if "key" in rows.column_names:
+        return tuple(rows[c].to_numpy() for c in ("key", "id", "band"))
+    none = np.zeros(0, np.int64)
+    keys = np.concatenate([none, *[np.cumsum(_unpack(x)) for x in rows["keys"].to_pylist()]])
+    return keys, *(np.concatenate([none, *map(_unpack, rows[c].to_pylist())]) for c in ("ids", "bands"))
+
+
 def _round_schema() -> pa.Schema:
     return pa.schema([("lang", pa.string()), ("block", pa.int64()), ("units", pa.binary()), ("across", pa.int64()), ("down", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -180,11 +189,14 @@ def _tiles(units: np.ndarray, ids: np.ndarray, bands: np.ndarray) -> Iterator[di
         yield {"across": int(left[start]), "down": int(right[start]), "keys": _pack(np.diff(keys[start:end], prepend=0)), "counts": _pack(counts[start:end])}
 
 
+_TILE = "lang string, across long, down long, block long, keys binary, key long, f long"
+
+
 def _summed(least: int):
-    """Counts of a tile's pairs over all blocks; rows of frequent ones for each block that has them."""
+    """Frequent pairs of a tile with their counts over all blocks, and which each block has."""
 
-    def run(key: tuple, tile: pa.Table) -> pa.Table:
-        lang = key[0].as_py()
+    def run(tile_key: tuple, tile: pa.Table) -> pa.Table:
+        where = dict(zip(("lang", "across", "down"), (k.as_py() for k in tile_key), strict=True))
         keys = [np.cumsum(_unpack(k)) for k in tile["keys"].to_pylist()]
         counts = [_unpack(c) for c in tile["counts"].to_pylist()]
         every, n = np.concatenate(keys), np.concatenate(counts)
@@ -197,12 +209,33 @@ def _summed(least: int):
         # Sums of whole numbers below 2^53 are exact in double precision.
         total = np.bincount(at, n).astype(np.int64)[at]
         kept = total >= least
-        blocks = np.repeat(tile["block"].to_numpy(), [len(k) for k in keys])[kept]
-        return pa.table({"lang": pa.array([lang] * len(blocks), pa.string()), "block": blocks, "key": every[kept], "f": total[kept]})
+        rows, start = [], 0
+        for block, own in zip(tile["block"].to_pylist(), keys, strict=True):
+            held = own[kept[start : start + len(own)]]
+            start += len(own)
+            if len(held):
+                rows.append({**where, "block": block, "keys": _pack(np.diff(held, prepend=0))})
+        found, first = np.unique(every[kept], return_index=True)
+        schema = pa.schema([("lang", pa.string()), *[(c, pa.int64()) for c in ("across", "down", "block")], ("keys", pa.binary()), ("key", pa.int64()), ("f", pa.int64())])
+        size = len(found)
+        own = {c: pa.array([v] * size, schema.field(c).type) for c, v in where.items()} | {"block": pa.nulls(size, pa.int64()), "keys": pa.nulls(size, pa.binary()), "key": pa.array(found), "f": pa.array(total[kept][first])}
+        return pa.concat_tables([pa.Table.from_pylist(rows, schema), pa.table(own, schema)])
 
     return run
 
 
+def _placed(blocks: pa.Table, ids: pa.Table) -> pa.Table:
+    """The numbers of a tile's frequent pairs for each block that has them."""
+    keys = ids["key"].to_numpy()
+    order = np.argsort(keys)
+    keys, number, band = keys[order], ids["id"].to_numpy()[order], ids["band"].to_numpy()[order]
+    rows = []
+    for block, packed in zip(blocks["block"].to_pylist(), blocks["keys"].to_pylist(), strict=True):
+        at = np.searchsorted(keys, np.cumsum(_unpack(packed)))
+        rows.append({"block": block, "keys": packed, "ids": _pack(number[at]), "bands": _pack(band[at])})
+    return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "ids", "bands")]]))
+
+
 def phrases(docs: DataFrame, text_col="text", lang_col="lang", min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``(lang, words, f, first, last)`` of phrases of 2 words or more, with the counts of all
     their beginnings and ends, shortest first; and ``(lang, n)``."""
@@ -215,13 +248,16 @@ def phrases(docs: DataFrame, text_col="text", lang_col="lang", min_count: int =
     told = ids.select("lang", "id", F.array("word").alias("words"), "f", F.array("f").alias("first"), F.array("f").alias("last"))
     units, found = blocks.where("units IS NOT NULL").select("lang", "block", "units"), []
     for level in range(1, longest):
-        side = known.select(F.col("block").alias("_block"), "key", "id", "band")
+        side = known.withColumnRenamed("block", "_block")
         round_ = units.groupBy("block").cogroup(side.groupBy("_block")).applyInArrow(_recoded(level), _ROUND)
         round_ = durable(round_, f"round{level}")
         tiles = round_.where("keys IS NOT NULL").select("lang", "across", "down", "block", "keys", "counts")
-        met = durable(tiles.groupBy("lang", "across", "down").applyInArrow(_summed(min_count), "lang string, block long, key long, f long"), "met")
-        ids = durable(numbered(met.select("lang", "key", "f").distinct(), ["key"]), "numbers")
-        known = met.select("lang", "block", "key").join(ids, ["lang", "key"]).select("block", "key", "id", "band")
+        by = ["lang", "across", "down"]
+        met = durable(tiles.groupBy(*by).applyInArrow(_summed(min_count), _TILE), "met")
+        ids = durable(numbered(met.where("key IS NOT NULL").select(*by, "key", "f"), ["key"]), "numbers")
+        held = met.where("key IS NULL").select(*by, "block", "keys")
+        placed = ids.select(*[F.col(c).alias(f"_{c}") for c in by], "key", "id", "band")
+        known = held.groupBy(*by).cogroup(placed.groupBy(*[f"_{c}" for c in by])).applyInArrow(_placed, "block long, keys binary, ids binary, bands binary")
         units = round_.where("units IS NOT NULL").select("lang", "block", "units")
         left = told.select("lang", F.col("id").alias("a"), F.col("words").alias("_words"), F.col("first").alias("_first"))
         right = told.select("lang", F.col("id").alias("b"), F.element_at("words", -1).alias("_word"), F.col("last").alias("_last"))
