@@ -69,6 +69,12 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"[^a-z0-9]+"), lambda x: x != "")
 
 
+def letter_runs(c: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` letters; none of shorter texts."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
+    return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
 def title_case(c: Column) -> Column:
     """First word character after every boundary in upper case, the rest untouched."""
     parts = F.split(c, BEFORE + "(?=[A-Za-z0-9_])")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import cap, family, norm, status_rank, title_case, tokens
+from larder.functions.exprs import cap, family, letter_runs, norm, status_rank, title_case, tokens
 from larder.functions.tables import durable, small_side
 from larder.sources.lexicon import ECODE_STAGE, build_lexicon
 
@@ -173,11 +173,6 @@ def unknown_terms(classified: DataFrame) -> DataFrame:
 GRAM = 3
 
 
-def _letters(c: Column, size: Column) -> Column:
-    """Distinct runs of ``size`` letters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size)))
-
-
 def words_with(words: DataFrame, keywords: DataFrame) -> DataFrame:
     """``(norm, term)``: each of ``words (norm)`` with the ``keywords (term)`` that it holds anywhere.
 
@@ -187,10 +182,9 @@ def words_with(words: DataFrame, keywords: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in keywords.select(F.least(F.length("term"), F.lit(GRAM))).distinct().collect() if r[0])
     if not sizes:
         return words.select("norm", F.lit("").alias("term")).limit(0)
-    of_size = lambda n: F.when(F.length("norm") >= n, _letters(F.col("norm"), F.lit(n))).otherwise(F.array().cast("array<string>"))
-    held = words.select("norm", F.explode(F.concat(*map(of_size, sizes))).alias("gram"))
+    held = words.select("norm", F.explode(F.concat(*[letter_runs(F.col("norm"), F.lit(n)) for n in sizes])).alias("gram"))
     size = F.least(F.length("term"), F.lit(GRAM))
-    asked = keywords.where("term <> ''").select("term", F.explode(_letters(F.col("term"), size)).alias("gram"))
+    asked = keywords.where("term <> ''").select("term", F.explode(letter_runs(F.col("term"), size)).alias("gram"))
     asked = durable(asked, "grams")
     counts = held.join(small_side(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no word has ends the keyword, so it is the rarest.

@@ -353,4 +353,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_daily_intake": f"{_FULL}, {_SCANS} SELECT s.user_id, s.ts::DATE AS day, {eaten_sums}, count(*) AS n FROM scans s JOIN analysis a USING (product_id) WHERE s.logged = 'eaten' AND s.ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM scans WHERE logged = 'eaten') - INTERVAL 1 DAY GROUP BY s.user_id, s.ts::DATE",
         "stream_latest_scan": f"WITH {_SCANS} SELECT user_id, product_id, scan_id, logged FROM latest",
     }
+    sql["search_indexed"] = sql["search_products"]
     return sql

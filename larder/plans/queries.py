@@ -211,6 +211,12 @@ def search_products(spark, d):
     return R.search_products(_sources(spark, d), "Ring").select("barcode", "name", "brand", "source")
 
 
+def search_indexed(spark, d):
+    path, sources = _shared(spark), _sources(spark, d)
+    R.index_names(sources, path)
+    return R.search_indexed(sources, path, "Ring").select("barcode", "name", "brand", "source")
+
+
 def fresh_snapshots(spark, d):
     snaps = A.scans_from_events(spark, d).select("product_id", "ts", "scan_id", "portion")
     return R.fresh_snapshots(snaps, "product_id", F.lit("2024-02-20 12:00:00").cast("timestamp")).select("product_id", "scan_id", "portion")
@@ -381,7 +387,7 @@ _FUNCTIONS = [
     score_products, parse_part_labels, parse_document_labels, classify_ingredients, classify_order_lines, eval_nutrition, explain_scores, build_analysis,
     overridden_labels, shown_negatives, status_breakdown, concern_rows, nutrition_facts, ingredient_detail, lexicon_browse, unknown_terms, personal_alerts, personal_alerts_substring,
     compare_products, compare_nutrition, compare_candidates, find_alternatives, find_alternatives_for_users, category_scan, health_sort, load_products,
-    union_sources, resolve_barcodes, search_products, fresh_snapshots, ingredient_snapshots, additives_counted, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
+    union_sources, resolve_barcodes, search_products, search_indexed, fresh_snapshots, ingredient_snapshots, additives_counted, normalize_barcodes, label_intake_gate, daily_targets, upsert_scans, newest_scans,
     set_logged, toggle_favorites, scan_insights, scan_insights_eaten, top_flagged, today_intake, today_intake_events, weekly_trend, backup_round_trip,
     backup_sections, saved_history, step_portion, body_from_imperial,
     merged_lexicon, stream_scores, stream_daily_intake, stream_latest_scan,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import missing, plain_spaces
+from larder.functions.exprs import letter_runs, missing, plain_spaces
 from larder.operators.compare import keep_first
 
 RAW_SCHEMA = (
@@ -89,6 +91,34 @@ def search_products(products: DataFrame, query: str) -> DataFrame:
     return keep_first(found, ["key"], ["source_rank", "product_id"]).drop("key")
 
 
+#: Letters of the grams that an index has, and folders it is spread over.
+INDEX_GRAMS, INDEX_BUCKETS = (2, 3), 256
+
+
+def index_names(products: DataFrame, path: str) -> None:
+    """Write which products have a gram in their name or brand, by bucket and sorted by gram."""
+    sides = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "brand")]
+    grams = F.array_distinct(F.concat(*[letter_runs(c, F.lit(n)) for c in sides for n in INDEX_GRAMS]))
+    rows = products.select("product_id", F.explode(grams).alias("gram")).distinct().withColumn("bucket", (F.crc32("gram") % INDEX_BUCKETS).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def search_indexed(products: DataFrame, path: str, query: str) -> DataFrame:
+    """``search_products`` with an index of ``index_names``: it reads the buckets of the query's
+    grams, and of the products only those are compared that have the rarest of them."""
+    q = query.strip().lower()
+    size = min(max(INDEX_GRAMS), len(q))
+    if size < min(INDEX_GRAMS):
+        return search_products(products, query)
+    grams = sorted({q[i : i + size] for i in range(len(q) - size + 1)})
+    index = products.sparkSession.read.schema("product_id long, gram string, bucket int").parquet(path)
+    index = index.where(F.col("bucket").isin([crc32(g.encode()) % INDEX_BUCKETS for g in grams]) & F.col("gram").isin(grams))
+    counts = {r["gram"]: r["count"] for r in index.groupBy("gram").count().collect()}
+    rarest = min(grams, key=lambda g: (counts.get(g, 0), g))
+    held = index.where(F.col("gram") == rarest).select("product_id")
+    return search_products(products.join(held, "product_id", "left_semi"), query)
+
+
 def fresh_snapshots(snapshots: DataFrame, key: str, as_of: Column, kind: str = "product") -> DataFrame:
     """The latest snapshot per key that is at most as old as its kind may be."""
     from_ = as_of - F.make_interval(days=F.lit(FRESH_DAYS[kind]))

@@ -59,6 +59,18 @@ def test_snapshots(spark):
     assert {r.key for r in R.fresh_snapshots(df, "key", as_of, "ingredient").collect()} == {"a", "b", "c"}
 
 
+def test_indexed_search_equals_search(spark, tmp_path):
+    rows = [(1, "Ring Ding", "Ünal"), (2, "String", None), (3, "Plain", "ÜNAL ring"), (4, None, "ring"), (5, "ri", "x"), (6, "", "ring")]
+    few = spark.createDataFrame([(i, f"b{i}", n, b, 0) for i, n, b in rows], "product_id long, barcode string, name string, brand string, source_rank int")
+    path = f"{tmp_path}/index"
+    R.index_names(few, path)
+    for query in ("ring", " RI ", "r", "", "nal", "ünal", "ng di", "zzz", "ringx"):
+        got = R.search_indexed(few, path, query)
+        assert sorted(map(str, got.collect())) == sorted(map(str, R.search_products(few, query).collect())), query
+    plan = spark.read.parquet(path).where("bucket IN (1, 2) AND gram IN ('a', 'b')")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
 def test_scans_with_the_newest_snapshot_before_them(spark):
     rng, hour = random.Random(6), dt.timedelta(hours=1)
     at = lambda: T0 + rng.randrange(0, 24 * 200, 6) * hour
