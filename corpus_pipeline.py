@@ -27,8 +27,20 @@ from larder.llm.sentencepiece_codec import encode_pieces
 from larder.llm.simhash import drop_near_duplicates
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session does not say how many.
+BATCH_ROWS = 1000
+
+
+def _narrow_batches(spark: SparkSession) -> None:
+    """Documents are wide rows: ten thousand at a time, copied on both sides, fill an executor."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; without a letter or between languages they go."""
+    _narrow_batches(spark)
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     told = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, id_col="row")
     return told.where((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select("row.*")
@@ -52,6 +64,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids, the byte ends of their spans, and whether they decode to the text."""
+    _narrow_batches(spark)
     out = encode_pieces(docs.select(F.struct("doc_id", "lang", "source", "text").alias("row"), "text"), id_col="row")
     whole = F.coalesce(F.col("row.text"), F.lit(""))
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends", (F.col("decoded") == whole).alias("round_trip"))
