@@ -68,12 +68,12 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=M
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added; every row stays."""
     drops = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
-    left = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-    left = left.withColumn("_h", F.xxhash64("_t"))
+    # The text is in the row only, so that the join's exchange holds it once.
+    left = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"))
     # The text side is hashed, not sorted.
     joined = left.join(drops.hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    lines = _lines(F.col("_t"))
-    whole = F.coalesce(F.col("_t"), F.lit(""))
+    read = F.col("_row")[text_col]
+    lines, whole = _lines(read), F.coalesce(read, F.lit(""))
     left_over = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_drop"))
     text = bound(lines, lambda x: F.array_join(F.transform(left_over(x), lambda i: F.get(x, i)), "\n"))
     return joined.select(
