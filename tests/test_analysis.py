@@ -31,3 +31,9 @@ def test_amounts_read_no_label(spark, monkeypatch, query):
 
     monkeypatch.setattr(Q, "parse_labels", fail)
     assert set(_written(spark, monkeypatch, query)["amounts"]) == {"product_id", "kcal", "macros"}
+
+
+@pytest.mark.parametrize("query", [Q.compare_products, Q.compare_nutrition, Q.additives_counted, Q.find_alternatives_for_users, Q.scan_insights, Q.scan_insights_eaten])
+def test_analysis_is_written_without_columns_that_nobody_reads(spark, monkeypatch, query):
+    written = _written(spark, monkeypatch, query)["analysis"]
+    assert not {"ingredients_text", "nutriments", "score_reasons", "macros"} & set(written)
