@@ -37,3 +37,9 @@ def test_amounts_read_no_label(spark, monkeypatch, query):
 def test_analysis_is_written_without_columns_that_nobody_reads(spark, monkeypatch, query):
     written = _written(spark, monkeypatch, query)["analysis"]
     assert not {"ingredients_text", "nutriments", "score_reasons", "macros"} & set(written)
+
+
+def test_saved_history_of_candidates_is_made_once(spark, monkeypatch):
+    written = _written(spark, monkeypatch, Q.compare_candidates)
+    assert written["saved"] == ["user_id", "product_id", "rank"]
+    assert not {"negatives", "ingredients_text", "nutriments"} & set(written["analysis"])
