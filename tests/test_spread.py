@@ -1,7 +1,12 @@
 """Label parsing on tables that are few bytes or few files."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from larder.functions.exprs import norm
+from larder.operators import labels as L
 from larder.operators.labels import parse_labels
 from larder.plans import adapters as A
 from tests.conftest import DATA
@@ -42,3 +47,39 @@ def test_links_and_words_begin_at_boundaries(spark):
     for r in parse_labels(df).orderBy("product_id", "pos").collect():
         found.setdefault(r["product_id"], []).append(r["norm"])
     assert [found.get(i, []) for i in range(len(want))] == [w for _, w in want]
+
+
+def test_ingredients_are_normalised_as_one_text(spark):
+    # Item by item each pattern ran anew for every ingredient.
+    labels = spark.createDataFrame([(1, "Water (tap), salt 2%; Salt. 12 g, Milk")], "product_id long, ingredients_text string")
+    rows = parse_labels(labels)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in next(line for line in plan.splitlines() if "Generate" in line)
+    assert [(r.pos, r.raw, r.norm) for r in rows.orderBy("pos").collect()] == [(0, "Water", "water"), (1, "salt 2%", "salt"), (2, "Milk", "milk")]
+
+
+def test_whole_text_passes_equal_item_passes(spark):
+    rng = random.Random(7)
+    odd = ["a", "Salt", "salt", " ", " ", "  ", "\t", "\n", "\xa0", "﻿", ",", ";", ".", "..", "(", ")", "[", "}", "2", "12", "%", " %", "g", "3 mg", "é", "Σ", "İ", "K", "&", "'", "-", "#", "and", "contains", "per serving", "www", "www.", "http://x", "ww.", "a@b.c", "x.com", "fl oz", "Calories", "ingredients:", "made in"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "product_id long, ingredients_text string")
+    cleaned = df.select("product_id", L.clean_label(F.col("ingredients_text")).alias("c"))
+    got, want = {}, {}
+    for r in parse_labels(df).orderBy("product_id", "pos").collect():
+        got.setdefault(r["product_id"], []).append((r["raw"], r["norm"]))
+    parts = F.transform(F.split("c", "[,;.]+"), lambda x: F.trim(F.regexp_replace(x, r"\([^)]*+\)|(\([^)]*+)", "$1")))
+    items = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(F.trim(F.regexp_replace(x, r"\s+", " ")).alias("raw"), norm(x).alias("norm")))
+    noise = re.compile(rf"(?<![a-z0-9])(?:(?:{L.NOISE})|[0-9]+(?:\.[0-9]+)? ?(?:{L.PANEL_UNITS}))(?![a-z0-9])")
+    for r in cleaned.select("product_id", items.alias("items")).collect():
+        kept = [(x["raw"], x["norm"]) for x in r["items"] if len(x["norm"]) >= 2 and not noise.search(x["norm"])]
+        fresh = [x for i, x in enumerate(kept) if not i or x[1] != kept[i - 1][1]][: L.MAX_INGREDIENTS]
+        if fresh:
+            want[r["product_id"]] = fresh
+    assert len(want) > 2000 and got == want
+
+
+def test_texts_without_links_are_cleaned_as_all_are(spark):
+    texts = ["plain, text", "WWW.a b", "hTTps://c d", "e.com", "é http://", "a www b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(L.clean_label(F.col("t")).alias("now"), L._without_links(F.col("t")).alias("always"))
+    assert all(r.now == r.always for r in both.collect())
