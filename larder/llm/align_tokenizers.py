@@ -30,12 +30,16 @@ table gives no rows; equal counts are all the best; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,7 @@ _SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _RUN = re.compile(r"\s\s|\s$")
 _ROWS = 256
+_PIECE, _GROUPS, _PAIRS = attrgetter("id", "begin", "end"), itemgetter(0), itemgetter(1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,6 +92,23 @@ def refined(spans: np.ndarray, sizes: np.ndarray, byte_at: np.ndarray) -> np.nda
     return np.where(clean, coarse, counted + drift)
 
 
+def _numbers(rows: Iterable[tuple[int, ...]]) -> np.ndarray:
+    """The numbers of all ``rows`` in order; an array of tuples takes several times as long."""
+    return np.fromiter(chain.from_iterable(rows), np.int64)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles within: spans and memo are millions of tuples that make none."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 class Aligner:
     """Tokens of both tokenizers over one text, as groups and pairs of overlapping ids."""
 
@@ -128,18 +150,18 @@ class Aligner:
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and the bytes where they end, those of B; None if either's bytes are not the text's."""
         data, a, b = text.encode(), self.a.encode(text, add_special_tokens=False), self.b.encode(text, return_type="proto").pieces
-        a_ids, b_ids = a.ids, [p.id for p in b]
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids)) != data:
+        a_ids, b_told = a.ids, _numbers(map(_PIECE, b)).reshape(-1, 3)
+        b_ids = b_told[:, 0]
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids.tolist())) != data:
             return None
-        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_ids = np.array(a_ids, np.int64)
         byte_at = np.arange(len(data) + 1)
         if len(data) != len(text):
             # Where characters begin: bytes that continue none.
             byte_at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
-        a_ends = refined(np.array(a.offsets, np.int64).reshape(-1, 2), self.a_sizes[a_ids], byte_at)
+        a_ends = refined(_numbers(a.offsets).reshape(-1, 2), self.a_sizes[a_ids], byte_at)
         # B's spans are of bytes already.
-        b_spans = np.array([x for p in b for x in (p.begin, p.end)], np.int64).reshape(-1, 2)
-        return a_ids, a_ends, b_ids, refined(b_spans, self.b_sizes[b_ids], np.arange(len(data) + 1))
+        return a_ids, a_ends, b_ids, refined(b_told[:, 1:], self.b_sizes[b_ids], np.arange(len(data) + 1))
 
     def aligned(self, text: str, ends: np.ndarray) -> list[tuple] | None:
         """For each chunk of ``text``, which ends at one of the bytes ``ends``, its groups,
@@ -190,12 +212,15 @@ class Aligner:
         return out
 
     def keep(self, told: dict[str, tuple | None]) -> None:
-        """Remember chunks while they fit half of MEMO_BYTES; then what is younger replaces the older."""
-        kept = {c: x for c, x in told.items() if x and len(c) <= LONGEST_WORD}
-        self.left -= sum([len(c) + len(x[0]) + len(x[1]) for c, x in kept.items()]) + _ENTRY_BYTES * len(kept)
+        """Remember chunks while they fit half of MEMO_BYTES; then what is younger replaces the older.
+
+        What the younger hold already takes no more room."""
+        new = {c: x for c in told.keys() - self.young.keys() if (x := told[c]) and len(c) <= LONGEST_WORD}
+        size = sum(map(len, new)) + sum(map(len, map(_GROUPS, new.values()))) + sum(map(len, map(_PAIRS, new.values()))) + _ENTRY_BYTES * len(new)
+        self.left -= size
         if self.left < 0:
-            self.young, self.older, self.left = {}, self.young, MEMO_BYTES // 2
-        self.young.update(kept)
+            self.young, self.older, self.left = {}, self.young, MEMO_BYTES // 2 - size
+        self.young.update(new)
 
     def chunks(self, text: str) -> list[str]:
         """The space and the text, cut where neither tokenizer joins."""
@@ -215,6 +240,10 @@ class Aligner:
     def texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, list[int]]]:
         """For each text its groups in runs, pairs of ids in order, and numbers of tokens of A
         and B and of groups; nothing of texts without tokens."""
+        with uncollected():
+            return self._texts(texts)
+
+    def _texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, list[int]]]:
         none = ([], np.zeros(0, np.int64), [0, 0, 0])
         cut = [self.chunks(t) if t and self.by_chunk else [] for t in texts]
         young, older = self.young, self.older

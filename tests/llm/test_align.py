@@ -126,3 +126,23 @@ def test_packing():
 
 def test_empty_table(docs_of):
     assert al.align(docs_of([])).collect() == []
+
+
+def test_no_cycles_are_searched_while_texts_are_told(monkeypatch):
+    import gc
+
+    aligner = al._aligner(al.BYTE_MODEL, MODEL)
+    seen = []
+    plain = aligner.tokens
+    monkeypatch.setattr(aligner, "tokens", lambda text: seen.append(gc.isenabled()) or plain(text))
+    assert gc.isenabled()
+    aligner.texts(["uncollected words zqxa zqxb"])
+    assert seen and not any(seen) and gc.isenabled()
+
+
+def test_memo_counts_a_chunk_once():
+    aligner = al._aligner(al.BYTE_MODEL, MODEL)
+    aligner.texts(["counted once zqxc zqxd"])
+    left = aligner.left
+    aligner.texts(["counted once zqxc zqxd"])
+    assert aligner.left == left
