@@ -83,3 +83,14 @@ def test_texts_without_links_are_cleaned_as_all_are(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     both = df.select(L.clean_label(F.col("t")).alias("now"), L._without_links(F.col("t")).alias("always"))
     assert all(r.now == r.always for r in both.collect())
+
+
+def test_top_flagged_sorts_only_what_it_reads(spark, monkeypatch):
+    from larder.operators import history as H
+
+    scans = A.scans_from_events(spark, DATA)
+    seen, plain = [], H.upsert_scans
+    monkeypatch.setattr(H, "upsert_scans", lambda s: seen.append(s.columns) or plain(s))
+    classified = spark.createDataFrame([(1, 0, "Salt", "avoid", None, None)], "product_id long, pos int, raw string, status string, name string, additive_id string")
+    H.top_flagged(scans, classified, spark.createDataFrame([("a", ["b"])], "id string, names array<string>"))
+    assert seen == [["user_id", "product_id", "ts", "scan_id"]]
