@@ -12,8 +12,9 @@ document learns the counts of its own pairs.
 
 Neither tokenizer joins bytes across a word's last character and the space that follows, nor
 across a line feed. Texts are cut there, chunks that a worker has met lately are not
-tokenized again, and groups and links of a text are those of its chunks. Any other model, and
-a chunk whose tokens do not give its bytes, falls back to whole texts.
+tokenized again, and groups and links of a text are those of its chunks. What is told of chunks
+lies in a few long arrays, from which texts gather theirs. Any other model, and a chunk whose
+tokens do not give its bytes, falls back to whole texts.
 
 Plan: tokenizing is one map. It writes documents in blocks of about BLOCK_BYTES of text, each
 document with its distinct pairs as places in the block's list of pairs, and that list. Lists
@@ -39,7 +40,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
-from operator import attrgetter, itemgetter
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +57,16 @@ BYTE_MODEL = "byte_bpe_50k.json"
 #: Text of a block: more ends it, so a block holds at most this and one text.
 BLOCK_BYTES = 24 << 20
 #: Room of a worker's memo of chunks, and of an entry without its texts.
-MEMO_BYTES, _ENTRY_BYTES = 96 << 20, 360
+MEMO_BYTES, _ENTRY_BYTES = 96 << 20, 200
 _SPACE = "▁"
 #: Where neither tokenizer joins: before the space after a word, and around a lone line feed.
 _CUT = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _RUN = re.compile(r"\s\s|\s$")
-_ROWS = 256
-_PIECE, _GROUPS, _PAIRS = attrgetter("id", "begin", "end"), itemgetter(0), itemgetter(1)
+#: Texts that are told at once: their number and, unless it is one, their length.
+_ROWS, _LENGTH = 256, 4 << 20
+#: Chunks that are tokenized as one text, and segments that are gathered at once.
+_TOGETHER, _GATHERED = 4096, 1 << 16
+_PIECE = attrgetter("id", "begin", "end")
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,6 +101,16 @@ def _numbers(rows: Iterable[tuple[int, ...]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(rows), np.int64)
 
 
+def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The segments of ``values`` that begin at ``first`` and have ``size`` of them, one after another."""
+    parts = [values[:0]]
+    for k in range(0, len(first), _GATHERED):
+        n = size[k : k + _GATHERED]
+        to = np.cumsum(n)
+        parts.append(values[np.arange(to[-1]) + np.repeat(first[k : k + _GATHERED] - to + n, n)])
+    return np.concatenate(parts)
+
+
 @contextmanager
 def uncollected() -> Iterator[None]:
     """No search for cycles within: spans and memo are millions of tuples that make none."""
@@ -109,6 +123,53 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+#: Of segments: their groups as text, each with a semicolon behind it; their pairs of ids
+#: ``a << 32 | b``; and a row each: first byte and number of bytes of its groups, first pair and
+#: number of pairs, tokens of A and of B, groups. No pairs: the tokens do not give its bytes.
+Told = tuple[np.ndarray, np.ndarray, np.ndarray]
+_NOTHING: Told = (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros((1, 7), np.int64))
+
+
+class Chunks:
+    """Chunks by number and what is told of them, in a few long arrays instead of objects each."""
+
+    def __init__(self):
+        self.number, self.groups, self.pairs, self.rows, self.length = {}, bytearray(), bytearray(), bytearray(), 0
+
+    def add(self, chunks: list[str], told: Told) -> None:
+        groups, pairs, rows = told
+        n = len(self.number)
+        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.rows += (rows + np.array([len(self.groups), 0, len(self.pairs) // 8, 0, 0, 0, 0])).tobytes()
+        self.groups += groups.tobytes()
+        self.pairs += pairs.tobytes()
+        self.length += sum(map(len, chunks))
+
+    def told(self, at: np.ndarray) -> Told:
+        """What is told of the chunks of numbers ``at``, in their order."""
+        rows = np.frombuffer(self.rows, np.int64).reshape(-1, 7)[at]
+        groups = gathered(np.frombuffer(self.groups, np.uint8), rows[:, 0], rows[:, 1])
+        pairs = gathered(np.frombuffer(self.pairs, np.int64), rows[:, 2], rows[:, 3])
+        rows[:, 0:4:2] = np.cumsum(rows[:, 1:4:2], axis=0) - rows[:, 1:4:2]
+        return groups, pairs, rows
+
+    def at(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+
+    def size(self) -> int:
+        return len(self.groups) + len(self.pairs) + self.length + _ENTRY_BYTES * len(self.number)
+
+    def marked(self) -> tuple[int, int, int, int]:
+        return len(self.number), len(self.groups), len(self.pairs), self.length
+
+    def back_to(self, mark: tuple[int, int, int, int]) -> None:
+        """Forget the chunks that came after ``mark``."""
+        n, groups, pairs, self.length = mark
+        while len(self.number) > n:
+            self.number.popitem()
+        del self.rows[56 * n :], self.groups[groups:], self.pairs[pairs:]
+
+
 class Aligner:
     """Tokens of both tokenizers over one text, as groups and pairs of overlapping ids."""
 
@@ -128,7 +189,10 @@ class Aligner:
         self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
         for i, x in self.a_bytes.items():
             self.a_sizes[i] = len(x)
-        self.said = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
+        # Ids as text with what may follow them: 3 * id for a comma, then a bar, then a semicolon.
+        said = [f"{i}{sign}" for i in range(max(len(self.a_sizes), len(self.b_sizes))) for sign in ",|;"]
+        self.said, self.said_size = np.frombuffer("".join(said).encode(), np.uint8), np.array([len(x) for x in said])
+        self.said_at = np.cumsum(self.said_size) - self.said_size
         parts = json.loads(self.a.to_str())
         self.by_chunk = (
             parts["model"]["type"] == "BPE"
@@ -145,7 +209,7 @@ class Aligner:
         proto.normalizer_spec.add_dummy_prefix = False
         self.b = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         # Chunks met lately and what became of them, in two generations.
-        self.young, self.older, self.left = {}, {}, MEMO_BYTES // 2
+        self.young, self.older, self.left = Chunks(), Chunks(), MEMO_BYTES // 2
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and the bytes where they end, those of B; None if either's bytes are not the text's."""
@@ -163,64 +227,97 @@ class Aligner:
         # B's spans are of bytes already.
         return a_ids, a_ends, b_ids, refined(b_told[:, 1:], self.b_sizes[b_ids], np.arange(len(data) + 1))
 
-    def aligned(self, text: str, ends: np.ndarray) -> list[tuple] | None:
-        """For each chunk of ``text``, which ends at one of the bytes ``ends``, its groups,
-        pairs of ids ``a << 32 | b`` as bytes, and the numbers of tokens of A and B and of groups
-        as one number of 40 bits each."""
+    def aligned(self, text: str, ends: np.ndarray) -> Told | None:
+        """What is told of the segments of ``text`` that end at the bytes ``ends``, the last at its end."""
         found = self.tokens(text)
         if found is None:
             return None
         a_ids, a_ends, b_ids, b_ends = found
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        either = np.union1d(a_ends, b_ends)
-        pairs = (a_ids[np.searchsorted(a_ends, either)] << 32 | b_ids[np.searchsorted(b_ends, either)]).tobytes()
-        # Tokens by group, those of A first, each with what follows it; a space ends a chunk.
-        side = [2 * np.searchsorted(shared, a_ends), 2 * np.searchsorted(shared, b_ends) + 1]
-        order = np.argsort(np.concatenate(side), kind="stable")
-        place = np.concatenate(side)[order]
-        last = np.append(np.diff(place) != 0, True)
-        sign = np.where(~last, 0, np.where(place % 2 == 0, 1, 2 + np.isin(shared, ends)[place >> 1]))
-        said = [self.said[i] for i in np.concatenate([a_ids, b_ids])[order].tolist()]
-        mixed = [""] * (2 * len(said))
-        mixed[::2], mixed[1::2] = said, [",|; "[k] for k in sign.tolist()]
-        groups = "".join(mixed).split(" ")
-        links = [0, *(8 * np.searchsorted(either, ends, "right")).tolist()]
-        counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0).tolist() for x in (a_ends, b_ends, shared)]
-        return [(g, pairs[i:j], na | nb << 40 | ng << 80) for g, i, j, na, nb, ng in zip(groups, links, links[1:], *counts, strict=False)]
-
-    def one(self, text: str) -> tuple | None:
-        found = self.aligned(text, np.array([len(text.encode())]))
-        return found and found[0]
-
-    def many(self, chunks: list[str]) -> list[tuple | None]:
-        """For each chunk what ``one`` gives; chunks that stay apart side by side go as one text."""
-        apart = [bool(c[-1].strip()) and (c[0] == " " or bool(c[0].strip())) and _SPACE not in c for c in chunks]
-        # After a line feed neither tokenizer joins either.
-        said = [c if c[0] == " " else "\n" + c for c, ok in zip(chunks, apart, strict=True) if ok]
-        ends = np.cumsum([len(c.encode()) for c in said])
-        # The line feeds are chunks of their own.
-        feeds = [e - len(c.encode()) + 1 for c, e in zip(said, ends.tolist(), strict=True) if c[0] == "\n"]
-        found = self.aligned("".join(said), np.union1d(ends, feeds).astype(np.int64)) if said else []
-        if found is None:
-            return [self.one(c) for c in chunks]
-        told = iter(found)
-        out = []
-        for c, ok in zip(chunks, apart, strict=True):
-            if ok and c[0] != " ":
-                next(told)
-            out.append(next(told) if ok else self.one(c))
-        return out
-
-    def keep(self, told: dict[str, tuple | None]) -> None:
-        """Remember chunks while they fit half of MEMO_BYTES; then what is younger replaces the older.
-
-        What the younger hold already takes no more room."""
-        new = {c: x for c in told.keys() - self.young.keys() if (x := told[c]) and len(c) <= LONGEST_WORD}
-        size = sum(map(len, new)) + sum(map(len, map(_GROUPS, new.values()))) + sum(map(len, map(_PAIRS, new.values()))) + _ENTRY_BYTES * len(new)
-        self.left -= size
+        by = np.zeros(ends[-1] + 1, np.int8)
+        by[a_ends] = 1
+        by[b_ends] += 2
+        either = np.flatnonzero(by)
+        by = by[either]
+        by_a, by_b, shared = (by & 1).astype(bool), by > 1, by == 3
+        # Tokens of A and B and groups up to each end.
+        a_to, b_to, g_to = np.cumsum(by_a), np.cumsum(by_b), np.cumsum(shared)
+        pairs = a_ids[a_to - by_a] << 32 | b_ids[b_to - by_b]
+        # Tokens by group, those of A first, each with what follows it.
+        group, a_by, b_by = g_to - shared, a_to[shared], b_to[shared]
+        a_place = np.arange(len(a_ids)) + np.append(0, b_by)[group[by_a]]
+        b_place = np.arange(len(b_ids)) + a_by[group[by_b]]
+        said = np.empty(len(a_ids) + len(b_ids), np.int64)
+        said[a_place], said[b_place] = 3 * a_ids, 3 * b_ids
+        said[a_place[a_by - 1]] += 1
+        said[b_place[b_by - 1]] += 2
+        size = self.said_size[said]
+        groups = gathered(self.said, self.said_at[said], size)
+        # All of these up to the end of each segment.
+        links = np.searchsorted(either, ends, "right")
+        n_a, n_b = a_to[links - 1], b_to[links - 1]
+        to = np.stack([np.cumsum(size)[n_a + n_b - 1], links, n_a, n_b, g_to[links - 1]], axis=1)
+        own = np.diff(to, prepend=0, axis=0)
+        first = to - own
+        return groups, pairs, np.column_stack([first[:, 0], own[:, 0], first[:, 1], own[:, 1:]])
+
+    def one(self, text: str) -> tuple[str, bytes, int] | None:
+        """Groups, pairs as bytes, and the numbers of tokens of A and B and of groups as one
+        number of 40 bits each; nothing if the tokens do not give the text."""
+        told = self.aligned(text, np.array([len(text.encode())]))
+        if told is None:
+            return None
+        groups, pairs, rows = told
+        return groups[:-1].tobytes().decode(), pairs.tobytes(), sum(n << 40 * k for k, n in enumerate(rows[0, 4:].tolist()))
+
+    def tell(self, chunks: list[str]) -> None:
+        """Add ``chunks`` to the young; those that stay apart side by side go as one text."""
+        apart, rest = [], []
+        for c in chunks:
+            (apart if c[-1].strip() and (c[0] == " " or c[0].strip()) and _SPACE not in c else rest).append(c)
+        for k in range(0, len(apart), _TOGETHER):
+            self._together(apart[k : k + _TOGETHER])
+        for c in rest:
+            self.young.add([c], self.aligned(c, np.array([len(c.encode())])) or _NOTHING)
+
+    def _together(self, chunks: list[str]) -> None:
+        # After a line feed neither tokenizer joins either. The line feeds are segments of their own.
+        fed = np.array([c[0] != " " for c in chunks])
+        sizes = np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks]) + fed
+        place = np.arange(len(chunks)) + np.cumsum(fed)
+        ends = np.empty(place[-1] + 1, np.int64)
+        ends[place] = np.cumsum(sizes)
+        ends[place[fed] - 1] = ends[place[fed]] - sizes[fed] + 1
+        told = self.aligned("".join([c if c[0] == " " else "\n" + c for c in chunks]), ends)
+        if told is not None:
+            self.young.add(chunks, (*told[:2], told[2][place]))
+        elif len(chunks) == 1:
+            self.young.add(chunks, self.aligned(chunks[0], ends[-1:] - fed) or _NOTHING)
+        else:
+            # Some chunk's tokens do not give its bytes; it alone is to go without.
+            half = len(chunks) // 2
+            self._together(chunks[:half])
+            self._together(chunks[half:])
+
+    def meet(self, chunks: list[str]) -> tuple[int, int, int, int]:
+        """Have all ``chunks`` among the young, long ones behind the mark that is returned."""
+        new = set(chunks).difference(self.young.number)
+        known = [c for c in new if c in self.older.number]
+        if known:
+            self.young.add(known, self.older.told(self.older.at(known)))
+        fresh = list(new.difference(known))
+        self.tell([c for c in fresh if len(c) <= LONGEST_WORD])
+        mark = self.young.marked()
+        self.tell([c for c in fresh if len(c) > LONGEST_WORD])
+        return mark
+
+    def keep(self, mark: tuple[int, int, int, int]) -> None:
+        """Remember chunks up to ``mark`` while they fit half of MEMO_BYTES; then they become the older."""
+        self.young.back_to(mark)
+        self.left = MEMO_BYTES // 2 - self.young.size()
         if self.left < 0:
-            self.young, self.older, self.left = {}, self.young, MEMO_BYTES // 2 - size
-        self.young.update(new)
+            # What one batch of texts brought may be more than a memo holds.
+            self.older = self.young if -self.left <= MEMO_BYTES // 2 else Chunks()
+            self.young, self.left = Chunks(), MEMO_BYTES // 2
 
     def chunks(self, text: str) -> list[str]:
         """The space and the text, cut where neither tokenizer joins."""
@@ -240,29 +337,45 @@ class Aligner:
     def texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, list[int]]]:
         """For each text its groups in runs, pairs of ids in order, and numbers of tokens of A
         and B and of groups; nothing of texts without tokens."""
+        out, k = [], 0
         with uncollected():
-            return self._texts(texts)
+            while k < len(texts):
+                # As many as have room at once, one at least.
+                n, room = k + 1, _LENGTH - len(texts[k])
+                while n < len(texts) and len(texts[n]) <= room:
+                    room -= len(texts[n])
+                    n += 1
+                out += self._texts(texts[k:n])
+                k = n
+        return out
 
     def _texts(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, list[int]]]:
         none = ([], np.zeros(0, np.int64), [0, 0, 0])
-        cut = [self.chunks(t) if t and self.by_chunk else [] for t in texts]
-        young, older = self.young, self.older
-        told = {c: young.get(c) or older.get(c) for c in {c for chunks in cut for c in chunks}}
-        fresh = [c for c, found in told.items() if found is None]
-        for k in range(0, len(fresh), 8192):
-            told.update(zip(fresh[k : k + 8192], self.many(fresh[k : k + 8192]), strict=True))
-        self.keep(told)
-        out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            found = [told[c] for c in chunks]
-            if text and (not chunks or None in found):
-                found = [self.one(" " + text)]
-            if not text or None in found:
+        chunks, to = [], [0]
+        for t in texts:
+            if t and self.by_chunk:
+                chunks += self.chunks(t)
+            to.append(len(chunks))
+        mark = self.meet(chunks)
+        at, to = self.young.at(chunks), np.array(to)
+        # Bytes of groups, pairs, tokens of A and B, groups and chunks without tokens before each text's end.
+        upto = np.zeros((len(to), 6), np.int64)
+        groups, pairs = [_NOTHING[0]], [_NOTHING[1]]
+        for k in range(0, len(at), _GATHERED):
+            g, p, rows = self.young.told(at[k : k + _GATHERED])
+            groups.append(g)
+            pairs.append(p)
+            sums = np.cumsum(np.column_stack([rows[:, [1, 3, 4, 5, 6]], rows[:, 3] == 0]), axis=0)
+            upto += np.insert(sums, 0, 0, axis=0)[np.clip(to - k, 0, len(rows))]
+        self.keep(mark)
+        groups, pairs, out = np.concatenate(groups), np.concatenate(pairs), []
+        for text, (g, p, *_), (g_to, p_to, *_), (_, n_links, *sizes, lost) in zip(texts, upto[:-1].tolist(), upto[1:].tolist(), np.diff(upto, axis=0).tolist(), strict=True):
+            if text and n_links and not lost:
+                out.append(([groups[g : g_to - 1].tobytes().decode()], pairs[p:p_to], sizes))
+            elif text and (whole := self.one(" " + text)):
+                out.append(([whole[0]], np.frombuffer(whole[1], np.int64), [whole[2] >> k & (1 << 40) - 1 for k in (0, 40, 80)]))
+            else:
                 out.append(none)
-                continue
-            groups, pairs, sizes = zip(*found, strict=True)
-            total = sum(sizes)
-            out.append((groups, np.frombuffer(b"".join(pairs), np.int64), [total >> k & (1 << 40) - 1 for k in (0, 40, 80)]))
         return out
 
 

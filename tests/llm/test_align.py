@@ -146,3 +146,59 @@ def test_memo_counts_a_chunk_once():
     left = aligner.left
     aligner.texts(["counted once zqxc zqxd"])
     assert aligner.left == left
+
+
+def letters(n):
+    return "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+
+def test_memo_has_room_for_three_hundred_chunks_in_ninety_kilobytes(monkeypatch):
+    monkeypatch.setattr(al, "MEMO_BYTES", 180_000)
+    aligner = al.Aligner(model_file(al.BYTE_MODEL), model_file(MODEL))
+    batches = [" ".join(letters(7919 * (300 * b + i)) for i in range(300)) for b in range(3)]
+    first = aligner.texts(batches[:1])
+    for text in batches[1:]:
+        aligner.texts([text])
+    said = []
+    plain = aligner.tokens
+    monkeypatch.setattr(aligner, "tokens", lambda text: said.append(text) or plain(text))
+    again = aligner.texts(batches[:1])
+    assert said == [] and again[0][0] == first[0][0] and (again[0][1] == first[0][1]).all() and again[0][2] == first[0][2]
+
+
+def test_one_chunk_without_tokens_leaves_the_others_together(monkeypatch):
+    aligner = al.Aligner(model_file(al.BYTE_MODEL), model_file(MODEL))
+    words = [letters(7919 * i) for i in range(1000)]
+    good, bad = " ".join(words), " ".join(["bad#chunk", *words[:5]])
+    want = aligner.one(" " + good)
+    said = []
+    plain = aligner.tokens
+    monkeypatch.setattr(aligner, "tokens", lambda text: said.append(text) or (None if "bad#chunk" in text else plain(text)))
+    (groups, pairs, sizes), none = aligner.texts([good, bad])
+    assert (";".join(groups), pairs.tobytes()) == want[:2] and sizes == [want[2] >> k & (1 << 40) - 1 for k in (0, 40, 80)]
+    assert none[0] == [] and none[2] == [0, 0, 0] and not len(none[1])
+    assert len(said) < 40
+
+
+def test_memo_forgets_long_chunks_and_takes_back_what_it_had():
+    aligner = al.Aligner(model_file(al.BYTE_MODEL), model_file(MODEL))
+    texts = ["short words here", "x" * 500 + " and short words", "é" * 200 + "\nhere"]
+    whole = [aligner.one(" " + t) for t in texts]
+    for _ in range(2):
+        assert [(";".join(g), p.tobytes()) for g, p, _ in aligner.texts(texts)] == [w[:2] for w in whole]
+        assert max(map(len, aligner.young.number)) <= al.LONGEST_WORD
+    aligner.older, aligner.young = aligner.young, al.Chunks()
+    assert [(";".join(g), p.tobytes()) for g, p, _ in aligner.texts(texts[::-1])] == [w[:2] for w in whole[::-1]]
+
+
+def test_texts_told_in_parts_are_the_same(monkeypatch):
+    aligner = al._aligner(al.BYTE_MODEL, MODEL)
+    texts = [*odd_texts(60, 5), "", " ".join(letters(7919 * i) for i in range(400))]
+
+    def told():
+        return [(";".join(g), p.tobytes(), sizes) for g, p, sizes in aligner.texts(texts)]
+
+    want = told()
+    monkeypatch.setattr(al, "_GATHERED", 7)
+    monkeypatch.setattr(al, "_LENGTH", 50)
+    assert told() == want
