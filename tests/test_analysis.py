@@ -24,6 +24,12 @@ def test_texts_are_told_numbers_in_one_place(spark):
         assert plan.count("RLIKE(") == places
 
 
+def test_nutrition_rows_are_told_numbers_in_one_place(spark):
+    plan = Q.eval_nutrition(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # A filter on the number of rows was inferred, and told each number anew at each mention.
+    assert plan.count("RLIKE(") == 1 and "Filter" not in plan
+
+
 @pytest.mark.parametrize("query", [Q.weekly_trend, Q.today_intake])
 def test_amounts_read_no_label(spark, monkeypatch, query):
     def fail(*_):
