@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.exprs import norm
 from larder.operators import labels
+from larder.plans import queries
 
 TEXT = st.text("aA1_ \t\n@@..--,(é)%", max_size=24) | st.lists(st.sampled_from(["a", ".com", ".co", ".", "@", "-", " ", "x.org", "é", "_", ".us"]), max_size=10).map("".join)
 PLAIN_DOMAIN = r"(?ai)\b[A-Za-z0-9_.-]+\.(?:com|net|org|co|us)\b"
@@ -39,3 +40,12 @@ def test_time_follows_length(spark, dirt):
     began = time.time()
     kept = rows.select(labels.ingredient_array(F.col("t")).alias("a")).first()[0]
     assert time.time() - began < 20 and kept[0]["norm"] == "milk"
+
+
+def test_documents_lose_no_ingredient(spark, tmp_path):
+    items = [f"item{i}" for i in range(50_000)]
+    spark.createDataFrame([(1, ", ".join(items)), (2, "salt; salt, milk")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.parse_document_labels(spark, str(tmp_path)).orderBy("label_id", "pos").collect()
+    assert [tuple(r) for r in rows] == [(1, i, t, t) for i, t in enumerate(items)] + [(2, 0, "salt", "salt"), (2, 1, "milk", "milk")]
+    short = spark.createDataFrame([(1, ", ".join(items[:99]))], "product_id long, ingredients_text string")
+    assert [labels.parse_labels(short, most=n).count() for n in (5, 99, None)] == [5, 99, 99]
