@@ -116,6 +116,19 @@ def test_ties_of_flagged_names_go_by_first_met(spark):
     assert [r.title for r in got] == ["Zeta", "Alpha", "Beta"]
 
 
+def test_insights_tell_the_names_flagged_most(spark):
+    spec = "product_id long, pos int, raw string, status string, name string, additive_id string"
+    many = [(3, i, f"n{i}", "avoid", None, None) for i in range(9)]
+    c = spark.createDataFrame([(1, 0, "zeta", "avoid", None, None), (1, 1, "raw", "caution", "alpha", None), (1, 2, "zeta", "avoid", None, None), (2, 0, "x", "avoid", "y", "a"), (2, 1, "raw", "caution", "alpha", None), (2, 2, "fine", "limit", None, None), (4, 0, "fine", "ok", None, None), *many], spec)
+    names = H.flagged_names(c, spark.createDataFrame([("a", ["beta red", "other"])], "id string, names array<string>"))
+    analysis = spark.createDataFrame([(1, 10, "bad"), (2, 30, "bad"), (3, 0, "bad"), (4, 90, "exc")], "product_id long, score int, badge_cls string")
+    rows = scans(spark, [(1, 1, 2, T0, True), (2, 1, 1, T0 + dt.timedelta(hours=1), False), (3, 1, 1, T0 - dt.timedelta(hours=1), True), (4, 2, 4, T0, True), (5, 3, 3, T0, True)])
+    told = lambda **kw: {r.user_id: (r.n, r.avg_score, r.best_id, r.worst_id, list(map(tuple, r.top_flagged))) for r in H.scan_insights(rows, analysis, flagged=names, **kw).collect()}
+    rest = {2: (1, 90, 4, 4, []), 3: (1, 0, 3, 3, [(f"N{i}", 1) for i in range(6)])}
+    assert told() == {1: (2, 20, 2, 1, [("Alpha", 2), ("Zeta", 1), ("Beta Red", 1)]), **rest}
+    assert told(eaten_only=True) == {1: (1, 30, 2, 2, [("Beta Red", 1), ("Alpha", 1)]), **rest}
+
+
 def test_flagged_counts_fall_back_to_ingredients(spark):
     _, c, analysis = analysed(spark)
     bare = analysis.withColumn("flagged_count", F.when(F.col("product_id") % 2 == 0, F.col("flagged_count")))
